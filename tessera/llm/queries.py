@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -17,12 +18,28 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(GPT_JSON), limit=1024)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(GPT_JSON), capacity=2048)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, judge
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = fit(docs, table(spark, sf_dir, "labels"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judge(docs, rules).select("doc_id", *counts, "base_failed", "kept")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import decode, digests, encode
 
@@ -30,5 +47,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(decode(encode(table(spark, sf_dir, "documents"), path), path))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op8_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op7_simhash, op8_packing, op9_quality, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
