@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat
 from .common import table
 
 GPT_JSON = "byte_bpe_50k.json"
@@ -18,6 +19,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(GPT_JSON), limit=1024)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive, read_archives
+
+    return read_archives(spark, archive(table(spark, sf_dir, "pages"), min_bytes=0))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, format_trees, read_back, replies
+
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return digests(read_back(format_trees(replies(rows))))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -47,5 +67,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(decode(encode(table(spark, sf_dir, "documents"), path), path))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op7_simhash, op8_packing, op9_quality, op10_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op5_warc, op6_chat, op7_simhash, op8_packing, op9_quality, op10_byte_bpe)
+}
+ORACLE_SQL: dict[str, str] = {"op6_chat": chat.ORACLE_SQL}
