@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat
-from .common import table
+from . import chat, maxscore
+from .common import cut, table
 
 GPT_JSON = "byte_bpe_50k.json"
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +19,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(GPT_JSON), limit=1024)
 
 
+def op3_topk_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxscore import quantised, top_k
+
+    vectors = cut(quantised(table(spark, sf_dir, "embeddings")), "vectors")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, predict, training_rows, with_split
+
+    docs = with_split(table(spark, sf_dir, "documents"))
+    found = predict(docs.select("doc_id", "text"), fit(training_rows(docs)))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
+    return found.select("doc_id", (F.crc32(key) % 4 == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive, read_archives
 
@@ -69,6 +85,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op5_warc, op6_chat, op7_simhash, op8_packing, op9_quality, op10_byte_bpe)
+    for f in (op1_token_counts, op3_topk_maxscore, op4_language_id, op5_warc, op6_chat, op7_simhash, op8_packing, op9_quality, op10_byte_bpe)
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_topk_maxscore": maxscore.ORACLE_SQL, "op6_chat": chat.ORACLE_SQL}
