@@ -19,6 +19,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(GPT_JSON), limit=1024)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import deduplicate
+
+    found = deduplicate(table(spark, sf_dir, "documents"), length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_topk_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .maxscore import quantised, top_k
 
@@ -85,6 +92,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op3_topk_maxscore, op4_language_id, op5_warc, op6_chat, op7_simhash, op8_packing, op9_quality, op10_byte_bpe)
+    for f in (op1_token_counts, op2_suffix_dedup, op3_topk_maxscore, op4_language_id, op5_warc, op6_chat, op7_simhash, op8_packing, op9_quality, op10_byte_bpe)
 }
 ORACLE_SQL: dict[str, str] = {"op3_topk_maxscore": maxscore.ORACLE_SQL, "op6_chat": chat.ORACLE_SQL}
