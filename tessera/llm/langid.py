@@ -22,8 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from .common import with_text
+from pyspark.sql import types as T
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -199,15 +198,18 @@ def fit(train: DataFrame, sample: int = 1500, sample_chars: int = 20_000, penalt
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score (share of the letters in that language's spans) and spans.
+    """row (the input's columns), lang_pred, score (share of the letters in that language's spans) and spans.
 
     ``lang_spans``: language, first word and number of words of each run. Row-wise.
     """
-    schema = "doc_id long, lang_pred string, score double, lang_spans array<struct<lang: string, first: int, words: int>>"
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    span = T.StructType().add("lang", "string").add("first", "integer").add("words", "integer")
+    types = {"row": rows.schema["row"].dataType, "lang_pred": T.StringType(), "score": T.DoubleType(), "lang_spans": T.ArrayType(span)}
+    schema = T.StructType([T.StructField(n, t) for n, t in types.items()])
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
+            kept, texts = b.column(0), b.column(1).to_pylist()
             for begin, end in groups(texts, 8_000_000):
                 part = texts[begin:end]
                 if model:
@@ -216,9 +218,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     path = spans(np.concatenate([model.scores(w) for w in cuts]), per_text, model.penalty)
                 else:
                     per_text, size, path = np.zeros(len(part), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
-                yield summary(ids.slice(begin, end - begin), per_text, size, path)
+                yield summary(kept.slice(begin, end - begin), per_text, size, path)
 
-    def summary(ids, per_text, size, path):
+    def summary(kept, per_text, size, path):
         n = len(model.languages) if model else 1
         text = np.repeat(np.arange(len(per_text)), per_text)
         share = np.bincount(text * n + path, size, len(per_text) * n).reshape(-1, n)
@@ -237,6 +239,6 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         )
         offsets = np.concatenate([[0], np.cumsum(np.bincount(text[first], minlength=len(per_text)))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), runs)
-        return pa.RecordBatch.from_arrays([ids, pa.array(pred, pa.string()), pa.array(score), lists], names=["doc_id", "lang_pred", "score", "lang_spans"])
+        return pa.RecordBatch.from_arrays([kept, pa.array(pred, pa.string()), pa.array(score), lists], names=["row", "lang_pred", "score", "lang_spans"])
 
-    return with_text(docs).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

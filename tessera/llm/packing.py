@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .byte_bpe import encoder
 from .common import cut, with_text
@@ -170,7 +171,7 @@ def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
             offset = runs["offset"][at] + step % runs["each"][at] * n
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return numbered.mapInArrow(look_up, parts.schema.add("sequence_id", "long").add("offset", "long"))
+    return numbered.mapInArrow(look_up, T.StructType([*parts.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, keep_ids: bool = False) -> DataFrame:

@@ -23,7 +23,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import deduplicate
 
     found = deduplicate(table(spark, sf_dir, "documents"), length=100)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op3_topk_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +37,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, predict, training_rows, with_split
 
     docs = with_split(table(spark, sf_dir, "documents"))
-    found = predict(docs.select("doc_id", "text"), fit(training_rows(docs)))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
-    return found.select("doc_id", (F.crc32(key) % 4 == 2).alias("held_out"), "lang_pred", "score")
+    found = predict(docs.select("doc_id", "held_out", "text"), fit(training_rows(docs)))
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,13 +40,15 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and its fingerprint as a signed long. Row-wise."""
+    """doc_id, th (a hash of the text) and the fingerprint as a signed long. Row-wise."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, words) for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "fp"])
+            texts = b.column(1).to_pylist()
+            hashes = np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], "<u8").view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes), pa.array([fingerprint(t, words) for t in texts], pa.int64())], names=["doc_id", "th", "fp"])
 
-    return with_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return with_text(docs).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _decoder() -> np.ndarray:
@@ -121,7 +123,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, label: the smallest label reachable over the edges, for the nodes that have edges.
+    """node, root, label: the smallest label reachable over the edges, for the nodes that have edges.
 
     ``nodes``: node, label; ``edges``: src, dst. Each round takes the least label among the neighbours and then the
     label of that label's node; rounds end when nothing changes, after about the logarithm of the longest chain.
@@ -145,14 +147,30 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if not changed:
             break
     least = state.join(names, "node").groupBy("root").agg(F.min("label").alias("label"))
-    return state.join(least, "root").select("node", "label")
+    return state.join(least, "root").select("node", "root", "label")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links of at most two bits) of every document."""
+    """doc_id, th, fp, root (a fingerprint that stands for the component) and component_id of every document.
+
+    component_id is the smallest doc_id reachable over links of at most two bits.
+    """
     rows = cut(fingerprints(docs, words), "fingerprints")
     unique = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("label")), "unique")
     found = components(unique.select(F.col("fp").alias("node"), "label"), links(unique))
-    labels = unique.join(found.select(F.col("node").alias("fp"), F.col("label").alias("linked")), "fp", "left")
-    labels = labels.select("fp", F.coalesce("linked", "label").alias("component_id"))
-    return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
+    named = found.select(F.col("node").alias("fp"), F.col("root").alias("top"), F.col("label").alias("linked"))
+    labels = unique.join(named, "fp", "left").select("fp", F.coalesce("top", "fp").alias("root"), F.when(F.col("top").isNull(), F.col("label")).otherwise(F.col("linked")).alias("component_id"))
+    return rows.join(labels, "fp").select("doc_id", "th", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The documents' rows without near-duplicates: of each component the smallest doc_id stays, one row of it."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    found = near_duplicates(docs, words).select("th", "root", key.alias("d"))
+    stay = cut(found.groupBy("root").agg(F.min(F.struct("d", "th")).alias("first")).select("first.d", "first.th"), "kept")
+    rows = docs.select(F.struct("*").alias("row"), key.alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    rows = rows.join(stay, ["d", "th"], "left_semi")
+    repeated = found.groupBy("d", "th").count().filter("count > 1").limit(1).count()
+    if repeated:
+        rows = rows.dropDuplicates(["d", "th"])
+    return rows.select("row.*")

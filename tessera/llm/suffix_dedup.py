@@ -32,8 +32,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, with_text
+from .common import cut
 
 FILTER_BITS = 27
 PLACE_BITS = 20
@@ -322,35 +323,61 @@ def repeated_spans(docs: DataFrame, length: int = 100, heavy: int = 2000) -> Dat
 
 
 def deduplicate(docs: DataFrame, length: int = 100, heavy: int = 2000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), spans (begin, end; maximal), text as it was."""
-    rows = with_text(docs).select("doc_id", F.coalesce("doc_id", F.lit(LEAST).cast("long")).alias("d"), "text")
+    """row (the input's columns), n_bytes, n_removed, n_spans, kept (the remaining bytes), spans (maximal), text.
+
+    ``text`` holds what is left in whole characters: a character that a span cuts stays.
+    """
+    text, d = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST).cast("long"))
+    rows = docs.select(F.struct("*").alias("row"), text.alias("text"), d.alias("d"))
     spans = repeated_spans(rows.select("d", "text"), length, heavy)
     per_doc = spans.groupBy("d", "th").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
-    joined = rows.withColumn("th", F.xxhash64("text")).join(per_doc, ["d", "th"], "left").select("doc_id", "text", "found")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<begin: int, end: int>>"
+    joined = rows.withColumn("th", F.xxhash64("text")).join(per_doc, ["d", "th"], "left").select("row", "text", "found")
+    names = ["row", "n_bytes", "n_removed", "n_spans", "kept", "spans", "text"]
+    span = T.StructType().add("begin", "integer").add("end", "integer")
+    types = (joined.schema["row"].dataType, T.LongType(), T.LongType(), T.LongType(), T.BinaryType(), T.ArrayType(span), T.StringType())
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])), pa.string()]
 
     def run(batches):
         for b in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in kinds]
             for t, found in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                text, merged = t.encode(), []
-                if found.is_valid and len(found):
-                    flat = found.values
-                    begin, end = np.asarray(flat.field(0)), np.asarray(flat.field(1))
-                    order = np.argsort(begin, kind="stable")
-                    begin, reach = begin[order], np.maximum.accumulate(end[order])
-                    new = np.append(True, begin[1:] > reach[:-1])
-                    stop = np.append(np.flatnonzero(new)[1:] - 1, len(begin) - 1)
-                    merged = list(zip(begin[new].tolist(), reach[stop].tolist(), strict=True))
-                at, parts = 0, []
-                for i, j in merged:
-                    parts.append(text[at:i])
-                    at = j
-                parts.append(text[at:])
-                kept = b"".join(parts)
-                for column, x in zip(out, (len(text), len(text) - len(kept), len(merged), kept, [{"begin": i, "end": j} for i, j in merged]), strict=True):
+                text, merged = t.encode(), merge(found)
+                kept = without(text, merged)
+                whole = t if not merged else without(text, [inner(text, i, j) for i, j in merged]).decode()
+                row = (len(text), len(text) - len(kept), len(merged), kept, [{"begin": i, "end": j} for i, j in merged], whole)
+                for column, x in zip(out, row, strict=True):
                     column.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=names)
 
     return joined.mapInArrow(run, schema)
+
+
+def merge(found) -> list[tuple[int, int]]:
+    """Maximal runs of an Arrow list of (begin, end) structs."""
+    if not found.is_valid or not len(found):
+        return []
+    begin, end = np.asarray(found.values.field(0)), np.asarray(found.values.field(1))
+    order = np.argsort(begin, kind="stable")
+    begin, reach = begin[order], np.maximum.accumulate(end[order])
+    new = np.append(True, begin[1:] > reach[:-1])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(begin) - 1)
+    return list(zip(begin[new].tolist(), reach[last].tolist(), strict=True))
+
+
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    at, parts = 0, []
+    for i, j in spans:
+        parts.append(text[at:i])
+        at = j
+    return b"".join([*parts, text[at:]])
+
+
+def inner(text: bytes, i: int, j: int) -> tuple[int, int]:
+    """The whole characters within bytes i to j (a byte of the form 10xxxxxx goes on with a character)."""
+    inside = lambda k: k < len(text) and text[k] & 0xC0 == 0x80
+    while inside(i):
+        i += 1
+    while inside(j):
+        j -= 1
+    return i, max(i, j)
