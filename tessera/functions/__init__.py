@@ -1 +1 @@
-"""See the module list in the package README section."""
+"""Column functions: text, numbers, normalisers and year-less dates. All take and return Columns."""

@@ -1 +1 @@
-"""See the module list in the package README section."""
+"""DataFrame operators: tables, standardisation, search, joins, reconciliation, timelines."""
