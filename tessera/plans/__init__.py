@@ -1 +1 @@
-"""See the module list in the package README section."""
+"""Registered queries over the driver's tables, with their SQL."""

@@ -1 +1 @@
-"""See the module list in the package README section."""
+"""Readers: landed pages and their tables and links, JSON documents, sectioned sheets."""

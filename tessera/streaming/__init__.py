@@ -1 +1 @@
-"""See the module list in the package README section."""
+"""Continuous refresh: landed pages or events as streams."""
