@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of, clean, text
+from .text import any_of, clean, let, text
 
 #: Month stems in the order in which they are tried, and how a month may be written.
 STEMS = [
@@ -25,29 +27,34 @@ RANGE = "struct<start_month: int, start_day: int, end_month: int, end_day: int,
 def month_index(c: Column | str) -> Column:
     """0 to 11 by the first stem that the text begins with, else -1."""
     t = F.translate(F.lower(text(c)), "ё", "е")
-    out = F.when(F.lit(False), F.lit(-1))
-    for stem, i in STEMS:
-        out = out.when(t.startswith(stem), F.lit(i))
-    return out.otherwise(F.lit(-1))
+    number = F.create_map(*(F.lit(x) for pair in STEMS for x in pair))
+    stem = F.regexp_extract(t, "^(" + "|".join(s for s, _ in STEMS) + ")", 1)
+    return F.coalesce(F.try_element_at(number, stem), F.lit(-1))
 
 
 def parse_range(c: Column | str) -> Column:
     """The first of eight forms that is found; null where none is."""
-    t = clean(c)
+    return let(clean(c), _first_form)
+
+
+def _first_form(t: Column) -> Column:
     year, dash, flags = r"(?:\s+\d{4})?", r"\s*[–—\-]\s*", "(?iu)"
 
     def found(pattern: str, make, months: list[int], also=None) -> Column:
-        part = lambda k: F.regexp_extract(t, flags + pattern, k)
-        number = lambda k: part(k).try_cast("int")
-        month = lambda k: month_index(part(k))
-        good = t.rlike(flags + pattern)
-        for k in months:
-            good = good & (month(k) >= 0)
-        if also is not None:
-            good = good & also(month)
-        fields = [x if isinstance(x, Column) else F.lit(x) for x in make(number, month)]
-        fields += [F.lit(None)] * (8 - len(fields))
-        return F.when(good, F.struct(*fields).cast(RANGE))
+        def fields(g: Column) -> Column:
+            number = lambda k: g[k - 1].try_cast("int")
+            month = lambda k: month_index(g[k - 1])
+            good = F.lit(True)
+            for k in months:
+                good = good & (month(k) >= 0)
+            if also is not None:
+                good = good & also(month)
+            values = [x if isinstance(x, Column) else F.lit(x) for x in make(number, month)]
+            return F.when(good, F.struct(*values, *[F.lit(None)] * (8 - len(values))).cast(RANGE))
+
+        n = re.compile(pattern).groups
+        groups = F.array(*(F.regexp_extract(t, flags + pattern, k + 1) for k in range(n)))
+        return F.when(t.rlike(flags + pattern), let(groups, fields))
 
     first_day = lambda n: F.when(n(1) > 21, F.lit(1)).otherwise(F.lit(15))
     first_month = lambda n, m: F.when(n(1) > 21, m(2)).otherwise((m(2) + 11) % 12)
@@ -65,6 +72,10 @@ def parse_range(c: Column | str) -> Column:
 
 def for_wave(parsed: Column, months: list[int]) -> Column:
     """The range if it starts in one of the wave's months, else its alternate month's, else null."""
+    return let(parsed, lambda p: _in_wave(p, months))
+
+
+def _in_wave(parsed: Column, months: list[int]) -> Column:
     alt = F.struct(parsed["alt_month"], parsed["alt_start_day"], parsed["alt_month"], parsed["alt_end_day"], parsed["approx"], *[F.lit(None)] * 3).cast(RANGE)
     return F.when(parsed["start_month"].isin(months), parsed).when(parsed["alt_month"].isin(months), alt)
 

@@ -20,6 +20,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("string")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean(c: Column | str) -> Column:
     """Collapse white space (no-break spaces too) and trim."""
     return F.trim(F.regexp_replace(text(c), r"(?U)\s+", " "))
