@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 
@@ -79,7 +81,8 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ).drop("_words")
 
 
-BASE_FAILED = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def features() -> dict[str, Column]:
@@ -185,8 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> list[list[Tes
     """A decision list from at most ``sample`` labelled documents (quality 0: bad), by the order of a hash of doc_id."""
     known = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_top"))
     known = known.filter("quality = _top and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "quality")), "doc_id")
-    found = statistics(chosen).filter(~BASE_FAILED)
+    # Written first: else the filter below would move under the join and compute statistics of every document.
+    chosen = cut(docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "quality")), "doc_id"), "sample")
+    found = statistics(chosen).filter(~base_failed())
     got = found.select("quality", *(c.alias(n) for n, c in features().items())).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     if not got:
         return []
@@ -196,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> list[list[Tes
 
 def verdict(rules: list[list[Test]]) -> Column:
     """The decision list as one ordered conditional expression: false for the first rule that holds, else true."""
-    out = F.when(BASE_FAILED, F.lit(False))
+    out = F.when(base_failed(), F.lit(False))
     for tests in rules:
         both = tests[0].column()
         for t in tests[1:]:
@@ -207,4 +211,4 @@ def verdict(rules: list[list[Test]]) -> Column:
 
 def judge(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
     """The rows with statistics, base_failed and kept."""
-    return statistics(docs).withColumn("base_failed", BASE_FAILED).withColumn("kept", verdict(rules))
+    return statistics(docs).withColumn("base_failed", base_failed()).withColumn("kept", verdict(rules))
