@@ -40,15 +40,20 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 
 ORDERS_SQL = """SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority, c_name, c_mktsegment, n_name
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
-#: A search as a page would ask for it.
-ASKED = search.Search(
-    text_columns=[F.col("c_name"), F.col("n_name"), F.col("o_orderpriority"), F.col("c_mktsegment")],
-    query="UR",
-    filters=(("o_orderstatus", "O"), ("c_mktsegment", "all")),
-    where=(F.col("o_totalprice") > 1000,),
-    sort="c_name",
-    ties=("o_orderkey",),
-)
+
+
+def asked() -> search.Search:
+    """A search as a page would ask for it."""
+    return search.Search(
+        text_columns=[F.col("c_name"), F.col("n_name"), F.col("o_orderpriority"), F.col("c_mktsegment")],
+        query="UR",
+        filters=(("o_orderstatus", "O"), ("c_mktsegment", "all")),
+        where=(F.col("o_totalprice") > 1000,),
+        sort="c_name",
+        ties=("o_orderkey",),
+    )
+
+
 FOUND_SQL = f"""SELECT * FROM ({ORDERS_SQL}) WHERE o_orderstatus = 'O' AND o_totalprice > 1000
 AND (contains(lower(c_name), 'ur') OR contains(lower(n_name), 'ur') OR contains(lower(o_orderpriority), 'ur') OR contains(lower(c_mktsegment), 'ur'))"""
 
@@ -56,13 +61,13 @@ AND (contains(lower(c_name), 'ur') OR contains(lower(n_name), 'ur') OR contains(
 @query(f"SELECT * FROM ({FOUND_SQL}) ORDER BY lower(c_name), o_orderkey LIMIT 1200")
 def search_global(spark, d):
     """Join, text match over labels, filters, collated order with ties, limit."""
-    return ASKED.shown(_orders(spark, d))
+    return asked().shown(_orders(spark, d))
 
 
 @query(f"SELECT count(*)::BIGINT AS n, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM ({FOUND_SQL})")
 def search_totals(spark, d):
     """Totals over all matching rows, before any limit."""
-    return ASKED.rows(_orders(spark, d)).agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("total"))
+    return asked().rows(_orders(spark, d)).agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("total"))
 
 
 @query("SELECT 'brand' AS facet, p_brand AS value, count(*)::BIGINT AS n FROM part GROUP BY p_brand UNION ALL SELECT 'type', p_type, count(*)::BIGINT FROM part GROUP BY p_type UNION ALL SELECT 'size', p_size::VARCHAR, count(*)::BIGINT FROM part GROUP BY p_size")
