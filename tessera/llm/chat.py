@@ -73,18 +73,14 @@ def best_paths(tree: DataFrame, branches: int = 1) -> DataFrame:
     tables = []
     while True:
         state = cut(state, "ancestors")
-        if not state.filter("up is not null").limit(1).count():
+        going = state.filter("up is not null")
+        if not going.limit(1).count():
             break
-        tables.append(state.filter("up is not null").select(F.col("thread").alias("_thread"), F.col("node").alias("_node"), "up"))
+        tables.append(going.select(F.col("thread").alias("_thread"), F.col("node").alias("_node"), "up"))
+        # Only messages that have not reached their root take part in the next join.
         above = state.select(F.col("thread").alias("_thread"), F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), F.col("total").alias("_total"), F.col("root").alias("_root"))
-        state = _on(state, "up", above, "_node", "left").select(
-            "thread",
-            "node",
-            F.col("_up").alias("up"),
-            (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
-            (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
-            F.coalesce("_root", "root").alias("root"),
-        )
+        higher = _on(going, "up", above, "_node").select("thread", "node", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("total") + F.col("_total")).alias("total"), F.col("_root").alias("root"))
+        state = higher.union(state.filter("up is null"))
     parents = known.filter("_name is not null").select(F.col("thread").alias("_thread"), "_name").distinct()
     leaves = _on(state, "node", parents, "_name", "left_anti")
     rank = F.row_number().over(W.partitionBy("thread", "root").orderBy(F.desc(F.col("total") / F.col("steps")), "node"))
