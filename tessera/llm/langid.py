@@ -163,8 +163,10 @@ def fit(train: DataFrame, sample: int = 1500, sample_chars: int = 20_000, penalt
     """Fit on at most ``sample`` texts per language. ``train``: doc_id, text, lang."""
     from pyspark.sql import Window as W
 
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id"))
-    ids = train.select("doc_id", "lang", F.xxhash64("doc_id").alias("key")).withColumn("rank", rank).filter(F.col("rank") <= sample)
+    ids = train.select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))
+    for keys in (["lang", F.pmod("key", F.lit(64))], ["lang"]):  # first in parts, so that a common language is not one task's
+        rank = F.row_number().over(W.partitionBy(*keys).orderBy("key", "doc_id"))
+        ids = ids.withColumn("rank", rank).filter(F.col("rank") <= sample).drop("rank")
     ids = ids.select("doc_id", "lang").distinct()
     chosen = train.join(ids, ["doc_id", "lang"], "left_semi").select("lang", F.substring("text", 1, sample_chars).alias("text"))
 
