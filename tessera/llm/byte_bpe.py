@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, Units, Vocabulary, split_special, splitter
-from .common import with_text
+from .common import small, with_text
 
 SCHEMA = "doc_id long, n_tokens long, ids binary"
 
@@ -112,7 +112,7 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = 65_536, overlap: int =
     rows = with_text(docs)
 
     def whole(batches):
-        for b in batches:
+        for b in small(batches):
             ids = [encoder(path).encode(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
@@ -130,7 +130,7 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = 65_536, overlap: int =
             starts = [np.array(pretokenise(t), "<u4").tobytes() for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.binary())], names=["doc_id", "key", "offset", "text", "starts"])
 
-    def join(_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def join(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         copies = int((pdf.offset == 0).sum())
         pdf = pdf.drop_duplicates("offset").sort_values("offset")
         parts = [(o, t, np.frombuffer(s, "<u4").tolist()) for o, t, s in zip(pdf.offset, pdf.text, pdf.starts, strict=True)]
@@ -154,7 +154,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The encoded rows with ``decoded`` (the tokens' bytes, concatenated) beside their ids."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             raw = [encoder(path).decode(x) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 

@@ -37,3 +37,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, under fixed names, null text as the empty text."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def small(batches, rows: int = 1024):
+    """Arrow batches cut into smaller ones, so that a task never holds many texts' results at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import encoder
-from .common import cut, with_text
+from .common import cut, small, with_text
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Branch-and-bound nodes for one bin; beyond them the best filling so far stands.
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, keep_ids:
 
     def run(batches):
         enc = encoder(path)
-        for b in batches:
+        for b in small(batches):
             out: list[list] = [[], [], [], [], [], []]
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = enc.encode(t) + end_id.to_bytes(4, "little")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, with_text
+from .common import cut, small, with_text
 
 SEED = 42
 BLOCKS = 9
@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, th (a hash of the text) and the fingerprint as a signed long. Row-wise."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             texts = b.column(1).to_pylist()
             hashes = np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], "<u8").view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes), pa.array([fingerprint(t, words) for t in texts], pa.int64())], names=["doc_id", "th", "fp"])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import CACHE_ENTRIES, Units, Vocabulary, split_special, splitter
-from .common import with_text
+from .common import small, with_text
 
 
 class Counter:
@@ -95,7 +95,7 @@ def counter(path: str) -> Counter:
 
 def _map(df: DataFrame, schema: str, row):
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             out = [row(i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist(out, schema=arrow) if out else pa.RecordBatch.from_pylist([], schema=arrow)
 
