@@ -1,0 +1,304 @@
+"""The training-data operators against brute force, the libraries, and planted cases on small fixtures."""
+
+import base64
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tessera.llm import byte_bpe, chat, langid, maxscore, packing, quality, queries, simhash, suffix_dedup, token_counts, warc
+
+JSON = public_tokenizers.path(queries.GPT_JSON)
+MULTI = public_tokenizers.path(queries.MULTI)
+D = "/root/testdata/sf0.001"
+ODD = [None, "", " ", "\n", "  a  b\n\n c\t d", "a<|endoftext|> b", "don't we'll 's\n", "aaaa" * 500, "日本語 テスト 🎉", "a \n b", "x y  ", "\u00a0x", "é" * 300]
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return [r["text"] for r in spark.read.parquet(f"{D}/documents.parquet").select("text").limit(60).collect()]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en", "x") for i, t in enumerate(ODD + texts[:40])] + [(0, None, None, "x"), (None, "null id", None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, d string")
+
+
+def empty(docs):
+    return docs.filter("false")
+
+
+# 1
+def test_token_counts(spark, docs):
+    lib = Tokenizer.from_file(JSON)
+    got = token_counts.count_tokens(docs, JSON, limit=20).collect()
+    want = {r["doc_id"]: len(lib.encode(r["text"] or "", add_special_tokens=False).ids) for r in docs.collect()}
+    assert len(got) == docs.count() and all(r["n_tokens"] == want[r["doc_id"]] and r["over_limit"] == (r["n_tokens"] > 20) for r in got)
+    assert token_counts.count_tokens(empty(docs), JSON).count() == 0
+
+
+def test_every_prefix_and_truncation():
+    lib, c = Tokenizer.from_file(JSON), token_counts.counter(JSON)
+    count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    for t in filter(None, ODD):
+        t = t[:120]
+        for k in range(len(t.encode()) + 1):
+            assert c.at(t, k) == count(t.encode()[:k].decode("utf-8", "ignore"))
+        for budget in (0, 1, 5):
+            kept = c.truncate(t, budget)
+            assert t.startswith(kept) and count(kept) <= budget
+
+
+def test_prefix_table_ends_in_the_count(docs):
+    table = {r["doc_id"]: r for r in token_counts.prefix_table(docs.filter("doc_id > 3"), JSON).collect()}
+    for r in token_counts.count_tokens(docs.filter("doc_id > 3"), JSON).collect():
+        assert (table[r["doc_id"]]["tokens_so_far"] or [0])[-1] == r["n_tokens"] and sum(table[r["doc_id"]]["piece_bytes"]) == r["n_bytes"]
+
+
+# 2
+def brute_removed(docs, length):
+    seen, out = set(), {}
+    for d, t in sorted(docs):
+        b = (t or "").encode()
+        marked = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if b[i : i + length] in seen:
+                marked[i : i + length] = b"\1" * length
+            seen.add(b[i : i + length])
+        spans = sum(1 for i, m in enumerate(marked) if m and not (i and marked[i - 1]))
+        out[d] = (len(b), sum(marked), spans, bytes(x for x, m in zip(b, marked, strict=True) if not m))
+    return out
+
+
+@pytest.mark.parametrize("length,heavy", [(9, 2000), (20, 2), (100, 2000)])
+def test_suffix_dedup(spark, length, heavy):
+    rng = random.Random(length)
+    some = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))
+    rows = [(i, some() + rng.choice(["", "abcd" * 60, "é" * 150, "x" * 300]) + some()) for i in range(40)] + [(40, None), (41, "")]
+    got = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), length, heavy).collect()
+    assert {r["row"]["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got} == brute_removed(rows, length)
+    for r in got:
+        r["text"].encode()
+
+
+def test_suffix_dedup_edges(spark, docs):
+    got = suffix_dedup.deduplicate(docs, 100)
+    assert got.count() == docs.count()
+    assert suffix_dedup.deduplicate(empty(docs), 100).count() == 0
+    twice = docs.filter("doc_id = 12").union(docs.filter("doc_id = 12"))
+    assert len({r["n_removed"] for r in suffix_dedup.deduplicate(twice, 100).collect()}) == 1
+
+
+# 3
+def test_maxscore(spark):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(400, 16)), 1).astype(float)
+    v[100:250] = v[0]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(400, None), (401, [1.0, None] * 8), (402, [float("nan")] * 16), (450, [0.5, 0.5]), (None, [1.0] * 16)]
+    q = maxscore.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = maxscore.top_k(q, q.filter("vec_id % 50 = 0"), k=5, shard_rows=64, block_rows=3).collect()
+    ints = np.floor(256 * v.astype(np.float32).astype(float)).astype(int)
+    for k in range(0, 400, 50):
+        s = ints @ ints[k]
+        best = sorted((i for i in range(400) if i != k), key=lambda i: (-s[i], i))[:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == k) == [(n + 1, i, s[i]) for n, i in enumerate(best)]
+    none = q.filter("false")
+    assert maxscore.top_k(none, none).count() == 0
+
+
+# 4
+def test_language_id(spark, docs):
+    data = langid.with_split(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    model = langid.fit(langid.training_rows(data), sample=150)
+    got = langid.predict(data.filter("held_out"), model).select("row.lang", "lang_pred").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
+    edge = {r["row"]["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    assert edge[0]["lang_pred"] == edge[1]["lang_pred"] == edge[2]["lang_pred"] == "und" and edge[0]["score"] == 0
+    en, de = (data.filter(f"lang = '{x}' and length(text) > 900").first()["text"][:900] for x in ("en", "de"))
+    spans = langid.predict(spark.createDataFrame([(1, en + " " + de)], "doc_id long, text string"), model).first()["lang_spans"]
+    assert [s["lang"] for s in spans] == ["en", "de"]
+    assert langid.predict(docs, None).filter("lang_pred <> 'und'").count() == 0
+    assert langid.predict(empty(docs), model).count() == 0 and langid.fit(langid.training_rows(langid.with_split(empty(docs)))) is None
+
+
+# 5
+def test_warc_round_trip(spark):
+    rows = [(1, "u", "abcWARC/1.1\r\nxWARC/1.1"), (2, "u", None), (3, None, ""), (4, "u", "x" * 5000 + "WARC/1.1\r\n\r\n"), (5, "a\r\nWARC/1.1", "abcWARC/1.1\r\nxWARC/1.1"), (5, "u", "abcWARC/1.1\r\nxWARC/1.1"), (None, "u", "é€" * 3000), (6, "http://x/WARC/1.1", "\r\n\r\n"), (7, "x", "é€" * 3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.read_archives(spark, warc.archive(df, chunk_bytes=1000)).collect()
+    digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+    want = sorted((str(i), len((h or "").encode()), digest(h)) for i, _, h in rows)
+    assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"]) for r in got) == want
+    kinds = {(r["page_id"], r["record_type"], r["refers_to"]) for r in got}
+    assert {(1, "revisit", 5), (5, "revisit", 5), (5, "response", None), (2, "revisit", 3), (3, "response", None), (None, "revisit", 7)} <= kinds
+    assert warc.read_archives(spark, warc.archive(df, min_bytes=10)).filter("payload_bytes = 0 and record_type = 'revisit'").count() == 0
+    assert warc.read_archives(spark, warc.archive(empty(df))).count() == 0
+
+
+# 6
+def test_reply_trees(spark):
+    rows = [("t", 1, None, "user", "a", 0.1), ("t", 2, 1, "assistant", "b", 0.5), ("t", 3, 1, "assistant", "c", 0.9), ("t", 4, 2, "user", "d\\b <s>", 5.0), ("q", 9, None, None, None, None), (None, 1, None, "us\ner", "n", 0.0), (None, 2, 1, "assistant", "<|im_end|>\n", 1.0), ("o", 5, 77, "user", "orphan", 0.0)]
+    tree = spark.createDataFrame(rows, "thread string, node long, parent long, role string, text string, score double")
+    best = {r["thread"]: r for r in chat.read_back(chat.format_trees(tree)).collect()}
+    assert [tuple(t) for t in best["t"]["turns"]] == [("user", "a"), ("assistant", "b"), ("user", "d\\b <s>")] and best["t"]["loss_text"] == "b"
+    assert [tuple(t) for t in best[None]["turns"]] == [("us\ner", "n"), ("assistant", "<|im_end|>\n")] and best[None]["loss_text"] == "<|im_end|>\n"
+    assert [tuple(t) for t in best["q"]["turns"]] == [("", "")] and [tuple(t) for t in best["o"]["turns"]] == [("user", "orphan")]
+    assert chat.format_trees(tree, branches=2).filter("thread = 't'").count() == 2
+    assert chat.format_trees(empty(tree)).count() == 0
+
+
+def test_long_thread(spark):
+    rows = spark.range(70).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
+    got = chat.read_back(chat.format_trees(chat.replies(rows))).first()
+    assert [t["text"] for t in got["turns"]] == [str(i) for i in range(70)] and got["loss_text"] == "".join(str(i) for i in range(1, 70, 2))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="\\b0123456789n<>/s[INST]|_", max_size=30))
+def test_escapes_are_reversible(text):
+    code = text
+    for plain, short in chat.CODES:
+        code = code.replace(plain, short)
+    assert not any(c in code for c in chat.CONTROL)
+    for plain, short in reversed(chat.CODES):
+        code = code.replace(short, plain)
+    assert code == text
+
+
+# 7
+def brute_fingerprint(text):
+    w = [x for x in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if x]
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def test_simhash_fingerprints(docs):
+    for r in simhash.near_duplicates(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        assert r["fp"] & (1 << 64) - 1 == brute_fingerprint(r["text"] or "")
+
+
+def test_links_are_exactly_those_within_two_bits(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 4), replace=False)) for b in base for _ in range(6)]
+    fps = sorted(set(near))
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    root = {x: x for x in signed}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(signed):
+        for y in signed[:i]:
+            if bin((x ^ y) & (1 << 64) - 1).count("1") <= 2:
+                a, b = find(x), find(y)
+                root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    found = {r["node"]: r["label"] for r in simhash.components(df.select(F.col("fp").alias("node"), F.col("fp").alias("label")), simhash.links(df)).collect()}
+    assert {x: found.get(x, x) for x in signed} == {x: find(x) for x in signed}
+
+
+def test_chain_of_links(spark):
+    edges = spark.range(50).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    nodes = spark.range(51).select(F.col("id").alias("node"), (100 - F.col("id")).alias("label"))
+    assert {r["label"] for r in simhash.components(nodes, edges).collect()} == {50}
+
+
+def test_keep_one(spark, docs):
+    copies = docs.filter("doc_id in (20, 30)")
+    got = simhash.keep_one(copies.union(copies).union(copies.withColumn("doc_id", F.col("doc_id") + 1000))).collect()
+    assert sorted(r["doc_id"] for r in got) == [20, 30]
+    assert simhash.keep_one(empty(docs)).count() == 0
+
+
+# 8
+def test_packing(spark, docs):
+    got = packing.pack_documents(docs, JSON, capacity=64, keep_ids=True).collect()
+    lib = Tokenizer.from_file(JSON)
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append(r)
+    for rows in by.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 64
+    total = sum(r["length"] for r in got)
+    assert len(by) <= -(-total // 64) * 1.05 + 1
+    text = docs.filter("doc_id = 14").first()["text"]
+    parts = sorted((r for r in got if r["doc_id"] == 14), key=lambda r: r["piece"])
+    assert b"".join(bytes(r["ids"]) for r in parts) == np.array([*lib.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
+    assert all(r["length"] == 64 for r in parts[1:])
+    assert packing.pack_documents(empty(docs), JSON).count() == 0
+
+
+def test_bin_completion_is_optimal_on_small_cases():
+    counts = [0] * 11
+    for n in (6, 6, 4, 4, 5, 5, 3, 3, 4):
+        counts[n] += 1
+    assert sum(t for t, _ in packing.solve(counts, 10)) == 4
+
+
+# 9
+def brute_statistics(text):
+    import re
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    at = {}
+    for i in range(len(w) - 2):
+        at.setdefault(tuple(w[i : i + 3]), []).append(i)
+    covered = {j for v in at.values() if len(v) > 1 for i in v for j in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_statistics(docs):
+    for r in quality.statistics(docs).collect():
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_statistics(r["text"] or "")
+
+
+def test_quality_rules(spark, docs):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.fit(d, labels)
+    judged = quality.judge(d, rules).join(labels, "doc_id").filter("not base_failed").collect()
+    bad = [r for r in judged if r["quality"] == 0]
+    assert rules and sum(not r["kept"] for r in bad) >= 0.8 * len(bad)
+    assert sum(not r["kept"] for r in judged if r["quality"] == 1) <= 0.02 * len(judged)
+    assert quality.fit(d, labels.filter("false")) == []
+    assert {r["kept"] for r in quality.judge(docs.filter("doc_id < 3"), []).collect()} == {False}
+    assert quality.judge(empty(docs), rules).count() == 0
+
+
+# 10
+def test_byte_bpe(docs):
+    lib = byte_bpe.encoder(MULTI).lib
+    for chunk, overlap in ((65_536, 512), (60, 12)):
+        rows = byte_bpe.decode(byte_bpe.encode(docs, MULTI, chunk, overlap), MULTI).collect()
+        assert len(rows) == docs.count()
+        by = {r["doc_id"]: r for r in rows}
+        for r in docs.collect():
+            want = lib.encode_ordinary(r["text"] or "")
+            got = by[r["doc_id"]]
+            assert np.frombuffer(got["ids"], "<u4").tolist() == want and bytes(got["decoded"]) == (r["text"] or "").encode()
+    assert byte_bpe.encode(empty(docs), MULTI).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab' \n\tsrel12é,", min_size=1, max_size=80), st.integers(4, 20), st.integers(3, 8))
+def test_stitching_gives_the_whole_texts_pieces(text, chunk, overlap):
+    cut = [(o, text[o : o + chunk + overlap], byte_bpe.pretokenise(text[o : o + chunk + overlap])) for o in range(0, len(text), chunk)]
+    parts = [byte_bpe._slice(cut, k, a, z) for k, a, z in byte_bpe.stitch(cut)]
+    find = byte_bpe.splitter().findall
+    assert "".join(parts) == text and [m for p in parts for m in find(p)] == find(text)

@@ -1,0 +1,41 @@
+"""The registered operator queries: against SQL where there is some, else for their rows."""
+
+import duckdb
+import pytest
+
+from tessera.llm.queries import ORACLE_SQL, QUERIES
+
+D = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_matches_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations", "pages"):
+        c.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
+    df = QUERIES[name](spark, D)
+    names = sorted(df.columns)
+    res = c.sql(ORACLE_SQL[name])
+    order = [res.columns.index(n) for n in names]
+    assert sorted(tuple(str(r[n]) for n in names) for r in df.collect()) == sorted(tuple(str(r[i]) for i in order) for r in res.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+def test_rows(spark, name):
+    table = "pages" if name == "op5_warc" else "documents"
+    n = spark.read.parquet(f"{D}/{table}.parquet").count()
+    got = QUERIES[name](spark, D)
+    assert got.count() >= n if name == "op8_packing" else got.count() == n
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, out = out, corpus_pipeline.cut(stage(spark, out, D), name)
+        assert out.columns == docs.columns and 0 < out.count() <= before.count()
+        assert out.join(before, "doc_id", "left_anti").count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, out, D)
+    assert packed.select("doc_id").distinct().count() == out.select("doc_id").distinct().count()
