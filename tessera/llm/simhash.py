@@ -16,6 +16,8 @@ sequence is the one shingle. Repeated rows stay. A null doc_id stays a row, but
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,20 +27,42 @@ from pyspark.sql import functions as F
 from .common import cut, small, with_text
 
 SEED = 42
-BLOCKS = 9
+#: Of a sketch: its length in 64-bit words, and the bits of the parts that serve to find candidates.
+SKETCH, PART = 4, 32
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """Bit k is set where it is set in more than half of the shingles' XXH64 values."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included; of the whole sequence where there are fewer words."""
     w = text.encode().lower().split()  # of bytes: A-Z only, and exactly the bytes 0x20 and 0x09 to 0x0D
     if not w:
-        return 0
+        return np.zeros(0, "<u8")
     grams = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    hashes = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], "<u8")
+    return np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit k is set where it is set in more than half of the hashes. As a signed 64-bit integer."""
+    if not len(hashes):
+        return 0
     bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * bits > len(hashes), bitorder="little").tobytes(), "little", signed=True)
 
 
+def fingerprint(text: str, words: int = 3) -> int:
+    return majority(shingle_hashes(text, words))
+
+
+def sketch(text: str, words: int) -> list[int]:
+    """SKETCH fingerprints, each of the shingles' hashes mixed in another way."""
+    h = shingle_hashes(text, words)
+    out = []
+    for k in range(SKETCH):
+        with np.errstate(over="ignore"):
+            h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93 + 2 * k)
+        out.append(majority(h ^ h >> np.uint64(32)))
+    return out
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, th (a hash of the text) and the fingerprint as a signed long. Row-wise."""
 
@@ -66,20 +90,23 @@ NEAREST = _decoder()
 BESIDE = np.array([(sorted({int(NEAREST[v ^ 1 << b]) for b in range(7)} - {int(NEAREST[v])}) + [int(NEAREST[v])] * 3)[:3] for v in range(128)])
 
 
-def anchor(points: np.ndarray) -> np.ndarray:
-    """The anchor that covers each point."""
-    points = points.view(np.uint64)
-    out = (points >> np.uint64(63)).astype(np.int64) << 4 * BLOCKS
-    for k in range(BLOCKS):
+def anchor(points: np.ndarray, bits: int = 64) -> np.ndarray:
+    """The anchor that covers each point: the block's words, then the bits that no block holds as they are."""
+    points, blocks = points.view(np.uint64), bits // 7
+    out = (points >> np.uint64(7 * blocks)).astype(np.int64) << 4 * blocks
+    for k in range(blocks):
         out |= NEAREST[(points >> np.uint64(7 * k) & np.uint64(127)).astype(np.int64)] << 4 * k
     return out
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchors(fps: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """(row, anchor): the anchors that cover a point within one bit of each fingerprint, each once."""
-    own, rows = anchor(fps), np.arange(len(fps))
-    out_rows, out = [rows, rows], [own, own ^ (1 << 4 * BLOCKS)]
-    for k in range(BLOCKS):
+    own, rows, blocks = anchor(fps, bits), np.arange(len(fps)), bits // 7
+    out_rows, out = [rows], [own]
+    for free in range(bits - 7 * blocks):
+        out_rows.append(rows)
+        out.append(own ^ (1 << 4 * blocks + free))
+    for k in range(blocks):
         value = (fps.view(np.uint64) >> np.uint64(7 * k) & np.uint64(127)).astype(np.int64)
         for j in range(3):
             other, mine = BESIDE[value, j], NEAREST[value]
@@ -89,28 +116,29 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_rows), np.concatenate(out)
 
 
-FLIPS = np.array([0] + [1 << b for b in range(64)], np.uint64)
-
-
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, bits: int = 64) -> DataFrame:
     """src, dst: links (src < dst) that connect exactly the fingerprints at most two bits apart.
 
+    Bits from ``bits`` on are a tag: only fingerprints of one tag link.
+
     ``fps``: one column fp, distinct, best a written table. Linear in its rows: about 25 replicas each, and up to 65
     points for those that share an anchor.
     """
 
+    flips = np.array([0] + [1 << b for b in range(bits)], np.uint64)
+
     def replicate(batches):
         for b in batches:
             fp = np.asarray(b.column(0))
-            rows, found = anchors(fp)
+            rows, found = anchors(fp, bits)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(fp[rows])], names=["anchor", "fp"])
 
     def points(batches):
         for b in batches:
             at, fp = np.asarray(b.column(0)), np.asarray(b.column(1))
             for i in range(0, len(fp), 4096):
-                near = fp[i : i + 4096].view(np.uint64)[:, None] ^ FLIPS
-                own = anchor(near.ravel()).reshape(near.shape) == at[i : i + 4096, None]
+                near = fp[i : i + 4096].view(np.uint64)[:, None] ^ flips
+                own = anchor(near.ravel(), bits).reshape(near.shape) == at[i : i + 4096, None]
                 row = np.nonzero(own)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(near[own].view(np.int64)), pa.array(fp[i : i + 4096][row])], names=["point", "fp"])
 
@@ -163,11 +191,53 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.join(labels, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The documents' rows without near-duplicates: of each component the smallest doc_id stays, one row of it."""
+def most_bits(similarity: float) -> int:
+    """How many of a sketch's bits differ, by expectation, between texts whose shingles have this Jaccard similarity."""
+    return round(64 * SKETCH * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """d (doc_id, null as the least), th, root: documents that chains of similar texts join have one root.
+
+    Two bits of 64 mean near identity, so for a lower similarity each text gets a sketch of four fingerprints. Its
+    eight parts of 32 bits find candidates, by the same anchor covering with at most two differing bits; candidates
+    link if their whole sketches differ in no more bits than texts of that similarity do. Candidates are compared
+    with the first text of each part and of each point's parts, so their number is linear in the texts.
+    """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    found = near_duplicates(docs, words).select("th", "root", key.alias("d"))
+    names = [f"s{k}" for k in range(SKETCH)]
+
+    def run(batches):
+        for b in small(batches):
+            texts = b.column(1).to_pylist()
+            hashes = np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], "<u8").view(np.int64)
+            found = np.array([sketch(t, words) for t in texts], np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes), *(pa.array(found[:, k].copy()) for k in range(SKETCH))], names=["d", "th", *names])
+
+    rows = docs.select(key.alias("d"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = cut(rows.mapInArrow(run, "d long, th long, " + ", ".join(f"{n} long" for n in names)).withColumn("sid", F.xxhash64(*names)), "sketches")
+    unique = cut(rows.select("sid", *names).distinct(), "unique")
+    low = [F.col(n).bitwiseAND(F.lit((1 << PART) - 1)) for n in names]
+    high = [F.shiftrightunsigned(n, PART) for n in names]
+    parts = F.explode(F.array(*(x + F.lit(t << PART) for t, x in enumerate([*low, *high])))).alias("fp")
+    members = cut(unique.select(parts, "sid", *names), "parts")
+    whole = F.struct("sid", *names)
+    first = cut(members.groupBy("fp").agg(F.min(whole).alias("first")), "firsts")
+    near = cut(links(first.select("fp"), PART), "near")
+    both = near.union(near.select("dst", "src")).join(first, F.col("src") == F.col("fp")).select(F.col("dst").alias("fp"), "first")
+    pairs = members.join(both.unionByName(first), "fp").filter(F.col("sid") != F.col("first.sid"))
+    differ = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"first.{n}"))) for n in names), F.lit(0))
+    edges = pairs.filter(differ <= most_bits(similarity)).select(F.least("sid", "first.sid").alias("src"), F.greatest("sid", "first.sid").alias("dst")).distinct()
+    found = components(unique.select(F.col("sid").alias("node"), F.col("sid").alias("label")), edges)
+    named = found.select(F.col("node").alias("sid"), "root")
+    return rows.join(named, "sid", "left").select("d", "th", F.coalesce("root", "sid").alias("root"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents' rows without near-duplicates: of each group of similar ones the smallest doc_id, one row of it."""
+    found = cut(similar(docs, words, similarity), "similar")
     stay = cut(found.groupBy("root").agg(F.min(F.struct("d", "th")).alias("first")).select("first.d", "first.th"), "kept")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
     rows = docs.select(F.struct("*").alias("row"), key.alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     rows = rows.join(stay, ["d", "th"], "left_semi")
     repeated = found.groupBy("d", "th").count().filter("count > 1").limit(1).count()
