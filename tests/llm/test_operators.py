@@ -209,6 +209,28 @@ def test_links_are_exactly_those_within_two_bits(spark):
     assert {x: found.get(x, x) for x in signed} == {x: find(x) for x in signed}
 
 
+def test_similar_texts_share_a_root(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for g in range(12):
+        base = [word() for _ in range(400)]
+        rows.append((10 * g, " ".join(base)))
+        for k in range(1, 4):  # three to five words changed: similarity over 0.9
+            own = list(base)
+            for i in rng.sample(range(400), 2 + k):
+                own[i] = word()
+            rows.append((10 * g + k, " ".join(own)))
+        half = base[:200] + [word() for _ in range(200)]
+        rows.append((10 * g + 5, " ".join(half)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    root = {r["d"]: r["root"] for r in simhash.similar(df).collect()}
+    assert len(root) == len(rows)
+    assert sum(root[10 * g + k] == root[10 * g] for g in range(12) for k in range(1, 4)) >= 34
+    assert len({root[10 * g + k] for g in range(12) for k in (0, 5)}) == 24
+    assert sorted(r["doc_id"] % 10 for r in simhash.keep_one(df).collect()).count(5) == 12
+
+
 def test_chain_of_links(spark):
     edges = spark.range(50).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     nodes = spark.range(51).select(F.col("id").alias("node"), (100 - F.col("id")).alias("label"))
