@@ -275,3 +275,17 @@ def inferred_name(values: Column) -> Column:
         .when((length >= 18) & (share(lambda x: x.rlike("[А-Яа-яЁё]")) >= 0.6), F.lit("Направление"))
         .when((share(lambda x: (letters(x) != "") & (letters(x) == F.upper(letters(x)))) >= 0.6) & (length <= 8), F.lit("Подразделение"))
     )
+
+#: The layout of tables with 24 unnamed columns, four fields and five courses of four funds each.
+WIDE_FIELDS = ["Подразделение", "Форма", "Код", "Направление"]
+WIDE_FUNDS = ["Фед. бюджет", "Бюджет субъекта РФ", "Местный бюджет", "Платное обучение"]
+
+
+def with_inferred_names(tables: DataFrame) -> DataFrame:
+    """Generic headers named after their columns' values; the wide layout recognised by its first row."""
+    cols, rows = F.col("columns"), F.col("rows")
+    first = F.get(rows, F.lit(0))
+    wide = (F.size(cols) == 24) & (F.size(first) == 24) & looks_like_form(F.get(first, F.lit(1))) & F.get(first, F.lit(2)).rlike(rf"\b{CODE}\b")
+    layout = F.array(*map(F.lit, WIDE_FIELDS + [f"{k} курс — {fund}" for k in range(1, 6) for fund in WIDE_FUNDS]))
+    named = F.transform(cols, lambda c, i: F.when(F.trim(c).rlike(GENERIC), F.coalesce(inferred_name(F.transform(rows, lambda r: F.get(r, i))), c)).otherwise(c))
+    return tables.withColumn("columns", F.when(F.size(rows) == 0, cols).when(F.coalesce(wide, F.lit(False)), layout).otherwise(named))

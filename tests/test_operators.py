@@ -181,3 +181,43 @@ def test_stream_upsert(spark, tmp_path):
     stream = spark.readStream.schema("k int, v string, o int").parquet(src)
     refresh.continuous_upsert(stream, read, write, "k", "o", str(tmp_path / "cp")).awaitTermination()
     assert sorted(r[1] for r in store["rows"]) == ["b", "c", "keep"]
+
+
+def test_inferred_names(spark):
+    wide = [["ИТ", "очная", "01.03.01", "Математика", *["1"] * 20]]
+    rows = [("w", [f"Колонка {i}" for i in range(1, 25)], wide), ("g", ["Колонка 1", "x"], [["01.03.01", "a"], ["02.03.01", "b"]])]
+    got = {r["table_id"]: r["columns"] for r in tables.with_inferred_names(spark.createDataFrame(rows, TABLE)).collect()}
+    assert got["w"][:5] == ["Подразделение", "Форма", "Код", "Направление", "1 курс — Фед. бюджет"] and got["g"] == ["Код", "x"]
+
+
+def test_crawl(spark):
+    from tessera.operators.crawl import first_tables
+
+    schema = "uni_id string, url string, depth int, score double, failed boolean, columns array<string>, rows array<array<string>>"
+    rows = [("a", "u1", 0, 0.0, False, None, None), ("a", "u2", 1, 2.0, False, ["c"], [["x"]]), ("a", "u3", 1, 6.0, False, ["d"], [["y"]]), ("b", "u", 0, 0.0, True, None, None), ("c", "u", 0, 0.0, False, None, None)]
+    got = {r["uni_id"]: r for r in first_tables(spark.createDataFrame(rows, schema)).collect()}
+    assert got["a"]["source_url"] == "u3" and got["a"]["tried_urls"] == ["u1", "u3"]
+    assert (got["b"]["status"], got["c"]["status"]) == ("error", "partial")
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    from tessera.sources import workbooks
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    rel = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
+    cell = lambda ref, text: f'<c r="{ref}" t="inlineStr"><is><t>{text}</t></is></c>'
+    rows = [[("A1", "Вуз"), ("B1", "№")], [("A2", "Alpha"), ("D2", "1–14 июня"), ("J2", "see"), ("B2", "7")], [("A3", "Beta"), ("N3", "-")], [("A4", "Gamma")]]
+    body = "".join(f"<row>{''.join(cell(*c) for c in r)}</row>" for r in rows)
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="Даты" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships {rel}><Relationship Id="r1" Target="worksheets/s1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/s1.xml", f'<worksheet {ns}><sheetData>{body}</sheetData><hyperlinks><hyperlink ref="J2" r:id="h1"/></hyperlinks></worksheet>')
+        z.writestr("xl/worksheets/_rels/s1.xml.rels", f'<Relationships {rel}><Relationship Id="h1" Target="http://a/b"/></Relationships>')
+    cells = workbooks.workbook_cells(spark, str(tmp_path / "b.xlsx"))
+    got = workbooks.dated_entities(cells).orderBy("id").collect()
+    assert [(r["id"], r["university"], r["official_vacancies_link"]) for r in got] == [("u002", "Alpha", "http://a/b"), ("u004", "Gamma", "")]
+    by_word = workbooks.keyword_entities(cells, {"name": ["вуз"], "num": ["№"]}, number="num").orderBy("row_idx").collect()
+    assert [(r["id"], r["seq_id"], r["name"]) for r in by_word] == [(7, "u001", "Alpha"), (2, "u002", "Beta"), (3, "u003", "Gamma")]
+    assert workbooks.sheet_matrices(cells).first()["rows"][0][:2] == ["Вуз", "№"]
