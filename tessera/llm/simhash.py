@@ -3,9 +3,10 @@
 Fingerprints (64 bits) link when at most ``distance`` bits differ. Anchors are the words of a covering code: nine
 Hamming (7,4) blocks and one free bit, of covering radius 9, 2^37 anchors. Two fingerprints that differ in at most two
 bits have a point within one bit of both; the anchor that covers that point lies within radius + 1 of both. So each
-fingerprint is replicated to every anchor that covers a point within one bit of it (about 25), anchors with a single
-fingerprint drop out, and what is left is compared per anchor through those points: a point has at most 65
-fingerprints within one bit, all of which link. Nothing grows with the square of a group, and no group is capped.
+fingerprint is replicated to every anchor that covers a point within one bit of it (about 25) and compared there with
+the others. An anchor with over GROUP fingerprints compares them through those points instead: a point has at most 65
+fingerprints within one bit, all of which link. Links are given as stars, so nothing grows with the square of a group,
+and no group is capped.
 
 Linked fingerprints then get the smallest doc_id that is reachable, by rounds of min-label hooking with path halving.
 Only distinct fingerprints take part, so any number of copies costs one row per copy.
@@ -16,6 +17,7 @@ sequence is the one shingle. Repeated rows stay. A null doc_id stays a row, but
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -29,6 +31,8 @@ from .common import cut, small, with_text
 SEED = 42
 #: Of a sketch: its length in 64-bit words, and the bits of the parts that serve to find candidates.
 SKETCH, PART = 4, 32
+#: Anchors with up to so many fingerprints compare them directly.
+GROUP = 32
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -122,7 +126,7 @@ def links(fps: DataFrame, bits: int = 64) -> DataFrame:
     Bits from ``bits`` on are a tag: only fingerprints of one tag link.
 
     ``fps``: one column fp, distinct, best a written table. Linear in its rows: about 25 replicas each, and up to 65
-    points for those that share an anchor.
+    points for those that share an anchor with many others.
     """
 
     flips = np.array([0] + [1 << b for b in range(bits)], np.uint64)
@@ -142,12 +146,57 @@ def links(fps: DataFrame, bits: int = 64) -> DataFrame:
                 row = np.nonzero(own)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(near[own].view(np.int64)), pa.array(fp[i : i + 4096][row])], names=["point", "fp"])
 
+    def compare(batches):
+        held_at, held_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            at = np.concatenate([held_at, np.asarray(b.column(0))])
+            fp = np.concatenate([held_fp, np.asarray(b.column(1))])
+            done = int(np.searchsorted(at, at[-1], "left")) if len(at) else 0  # the last anchor may go on
+            held_at, held_fp = at[done:], fp[done:]
+            yield from per_anchor(at[:done], fp[:done])
+        yield from per_anchor(held_at, held_fp)
+
     cover = fps.select("fp").mapInArrow(replicate, "anchor long, fp long")
-    shared = cover.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    near = cover.join(shared, "anchor").select("anchor", "fp").mapInArrow(points, "point long, fp long")
+    found = cover.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(compare, "anchor long, src long, dst long")
+    found = cut(found, "pairs")
+    near = found.filter("dst is null").select("anchor", F.col("src").alias("fp")).mapInArrow(points, "point long, fp long")
     groups = near.groupBy("point").agg(F.array_sort(F.collect_set("fp")).alias("members")).filter(F.size("members") > 1)
     pairs = groups.select(F.col("members")[0].alias("src"), F.explode(F.expr("slice(members, 2, size(members))")).alias("dst"))
-    return pairs.distinct()
+    return found.filter("dst is not null").select("src", "dst").union(pairs).distinct()
+
+
+def per_anchor(at: np.ndarray, fp: np.ndarray):
+    """(anchor, src, dst) of the fingerprints of each anchor (sorted), one link for all but the first of a component.
+
+    Anchors of more than GROUP fingerprints are passed on with dst null, to be compared by points.
+    """
+    if not len(at):
+        return
+    new = np.append(True, at[1:] != at[:-1])
+    size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+    large, some = size > GROUP, (size > 1) & (size <= GROUP)
+    a, f = at[some], fp[some]
+    top = np.arange(len(a))
+
+    def root(i: int) -> int:
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        return i
+
+    for lag in range(1, GROUP):
+        near = a[lag:] == a[:-lag]
+        if not near.any():
+            break
+        near &= np.bitwise_count((f[lag:] ^ f[:-lag]).view(np.uint64)) <= 2
+        for i in np.flatnonzero(near).tolist():
+            x, y = root(i), root(i + lag)
+            top[max(x, y)] = min(x, y)
+    lower = np.flatnonzero(top != np.arange(len(a)))
+    src = f[[root(int(i)) for i in lower]] if len(lower) else f[:0]
+    out = [np.concatenate([at[large], a[lower]]), np.concatenate([fp[large], src]), np.concatenate([fp[large], f[lower]])]
+    none = np.concatenate([np.ones(int(large.sum()), bool), np.zeros(len(lower), bool)])
+    if len(out[0]):
+        yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2], mask=none)], names=["anchor", "src", "dst"])
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -223,7 +272,9 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
     members = cut(unique.select(parts, "sid", *names), "parts")
     whole = F.struct("sid", *names)
     first = cut(members.groupBy("fp").agg(F.min(whole).alias("first")), "firsts")
-    near = cut(links(first.select("fp"), PART), "near")
+    tag = F.shiftright("fp", PART)
+    rounds = [cut(links(first.select("fp").filter(tag.isin(t, t + SKETCH)), PART), "near") for t in range(SKETCH)]  # less disk at a time
+    near = functools.reduce(DataFrame.union, rounds)
     both = near.union(near.select("dst", "src")).join(first, F.col("src") == F.col("fp")).select(F.col("dst").alias("fp"), "first")
     pairs = members.join(both.unionByName(first), "fp").filter(F.col("sid") != F.col("first.sid"))
     differ = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"first.{n}"))) for n in names), F.lit(0))
