@@ -190,6 +190,7 @@ def test_links_are_exactly_those_within_two_bits(spark):
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 4), replace=False)) for b in base for _ in range(6)]
+    near += [int(base[0]) ^ 1 << k for k in range(64)]  # more than GROUP around one anchor
     fps = sorted(set(near))
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     root = {x: x for x in signed}
