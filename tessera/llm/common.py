@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -23,10 +24,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def short_shuffles(spark: SparkSession):
+    """Within it, an action's shuffle files go as soon as the action is over."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: short lineage that survives lost executors."""
+    """Write ``df`` as Parquet into the shared folder and read it back: short lineage that survives lost executors.
+
+    Its shuffle files go once it is written, so disk use is that of the largest step, not of all steps.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with short_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ induced from the anchors' suffixes, and about 3 % of the suffixes are anchors.
 1. The hashes of all anchors are counted. A bitmap of fixed size (2^27 bits) holds those that occur twice or more.
    It only thins out: what passes by accident drops out later, and if it were full, results would not change.
 2. Anchors in the bitmap become suffix tuples: anchor hash, the bytes before the anchor and from it on that its
-   windows cover, and their place. Tuples of equal bytes merge while they are shuffled (partial aggregation), keeping
+   windows cover, and their place. Tuples of equal bytes (by a hash of them) merge by partial aggregation, keeping
    the earliest place, so copies cost nothing later: all windows of a later copy go.
 3. The merged tuples are sorted by anchor and suffix, externally, by Spark's disk-backed sort. Each task walks its
    sorted run and induces: the order and common prefixes of suffixes one byte further left follow from those at hand
@@ -20,7 +20,8 @@ induced from the anchors' suffixes, and about 3 % of the suffixes are anchors.
 
 Null text is empty. Texts shorter than ``length`` stay. Rows with equal doc_id and text are one document whose result
 row repeats; equal doc_id with different texts are ordered by a hash of the text. A null doc_id sorts first. Strings
-are told apart by 64-bit anchor hashes with their full bytes, in step 4 by 128-bit hashes.
+are told apart by a 64-bit hash of the anchor with one of all bytes around it, in step 3 by the bytes themselves, in
+step 4 by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, short_shuffles
 
 FILTER_BITS = 27
 PLACE_BITS = 20
@@ -128,7 +129,9 @@ def repeated_filter(docs: DataFrame, length: int, size: int) -> bytes:
     maps = twice.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("map"))
     out = bytearray(1 << FILTER_BITS - 3)
     per = 4096  # bytes of one of Spark's bitmaps
-    for r in maps.collect():  # at most 2^FILTER_BITS / 32768 rows of 4096 bytes
+    with short_shuffles(docs.sparkSession):
+        found = maps.collect()  # at most 2^FILTER_BITS / 32768 rows of 4096 bytes
+    for r in found:
         out[(r["bucket"] - 1) * per : r["bucket"] * per] = r["map"]
     return bytes(out)
 
@@ -245,8 +248,10 @@ def induced_spans(tuples: DataFrame, length: int) -> DataFrame:
             return None
         rows = rows.filter(pa.array(many))
         d, th, place = (np.asarray(rows.column(c).combine_chunks()).astype(np.int64) for c in ("d", "th", "place"))
+        order = np.lexsort((place, th, d))
         rank = np.empty(len(d), np.int64)
-        rank[np.lexsort((place, th, d))] = np.arange(len(d))
+        same = (np.diff(place[order]) == 0) & (np.diff(th[order]) == 0) & (np.diff(d[order]) == 0)
+        rank[order] = np.cumsum(np.append(0, ~same))  # repeated rows share their place
         dup = induce(group[many], rows.column("suffix").to_pylist(), rows.column("before").to_pylist(), rank, length)
         row, begin, end = runs(dup, place, length)
         return pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(th[row]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["d", "th", "begin", "end"])
@@ -306,20 +311,22 @@ def repeated_spans(docs: DataFrame, length: int = 100, heavy: int = 2000) -> Dat
     bitmap = spark.sparkContext.broadcast(repeated_filter(docs, length, size))
     tuples = cut(suffix_tuples(docs.select("d", "text"), length, size, bitmap), "tuples")
     fresh = tuples.filter("not again")
-    # Equal bytes merge: the earliest place stays, and how many there were.
-    place = F.struct("d", "th", "first", "last", "place", "before", "suffix")
+    # Equal bytes merge: the earliest place stays, and how many there were. The bytes themselves do not move yet.
+    place = F.struct("d", "th")
     merged = fresh.groupBy("key", "context").agg(F.min(place).alias("at"), F.count("*").alias("n"))
     merged = cut(merged.select("key", "context", "n", "at.*"), "merged")
     many = merged.groupBy("key").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > 1)
-    many = cut(many, "anchors")
-    few = merged.join(many.filter(F.col("contexts") <= heavy).select("key"), "key", "left_semi")
-    most = merged.join(many.filter(F.col("contexts") > heavy).select("key"), "key", "left_semi")
-    windows = F.col("last") + length - 1
-    inside = tuples.filter("again").select("d", "th", F.col("first").alias("begin"), windows.cast("int").alias("end"))
+    first = cut(merged.join(many, "key").select("key", "context", "d", "th", "contexts"), "first")
+    # Only the earliest tuples of anchors with several surroundings bring their bytes along.
+    full = fresh.join(first, ["key", "context", "d", "th"]).select(*fresh.columns, "contexts")
+    few = cut(induced_spans(full.filter(F.col("contexts") <= heavy), length), "induced")
+    most = cut(window_spans(full.filter(F.col("contexts") > heavy), length), "windows")
+    end = (F.col("last") + length - 1).cast("int").alias("end")
+    inside = tuples.filter("again").select("d", "th", F.col("first").alias("begin"), end)
     copied = merged.filter("n > 1").select("key", "context", F.col("d").alias("d0"), F.col("th").alias("th0"))
     later = fresh.select("key", "context", "d", "th", "first", "last").join(copied, ["key", "context"])
-    later = later.filter("d <> d0 or th <> th0").select("d", "th", F.col("first").alias("begin"), windows.cast("int").alias("end"))
-    return inside.unionAll(later).unionAll(induced_spans(few, length)).unionAll(window_spans(most, length))
+    later = cut(later.filter("d <> d0 or th <> th0").select("d", "th", F.col("first").alias("begin"), end), "later")
+    return inside.unionAll(later).unionAll(few).unionAll(most)
 
 
 def deduplicate(docs: DataFrame, length: int = 100, heavy: int = 2000) -> DataFrame:
