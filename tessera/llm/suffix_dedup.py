@@ -82,6 +82,14 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[:count], least[width - n : width - n + count])
 
 
+def spread(least: np.ndarray) -> np.ndarray:
+    """Anchor hashes are the least of many, so their leading bits are small; this makes all bits even again."""
+    with np.errstate(over="ignore"):
+        mixed = (least ^ least >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = (mixed ^ mixed >> np.uint64(32)) * MIX
+    return mixed.view(np.int64)
+
+
 def anchors(text: bytes, length: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """key, place, and the first and last + 1 window of each anchor of a text, in order."""
     found = []
@@ -94,7 +102,7 @@ def anchors(text: bytes, length: int, size: int) -> tuple[np.ndarray, np.ndarray
         at = (sliding_min(h & np.uint64(~low & (1 << 64) - 1) | np.arange(len(h), dtype=np.uint64), width) & np.uint64(low)).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
         place = at[first]
-        found.append((h[place].view(np.int64), place + begin, first + begin, np.append(first[1:], len(at)) + begin))
+        found.append((spread(h[place]), place + begin, first + begin, np.append(first[1:], len(at)) + begin))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
 
 
