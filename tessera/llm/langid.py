@@ -24,8 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut
+
 BITS = 16
 BUCKETS = 1 << BITS
+#: Up to so many sampled ids are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: First code points of ranges, and the script that holds from there.
 SCRIPTS = [
     (0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -167,7 +171,9 @@ def fit(train: DataFrame, sample: int = 1500, sample_chars: int = 20_000, penalt
     for keys in (["lang", F.pmod("key", F.lit(64))], ["lang"]):  # first in parts, so that a common language is not one task's
         rank = F.row_number().over(W.partitionBy(*keys).orderBy("key", "doc_id"))
         ids = ids.withColumn("rank", rank).filter(F.col("rank") <= sample).drop("rank")
-    ids = ids.select("doc_id", "lang").distinct()
+    ids = cut(ids.select("doc_id", "lang").distinct(), "sample")
+    if ids.count() <= BROADCAST_ROWS:  # sample rows for each language
+        ids = F.broadcast(ids)
     chosen = train.join(ids, ["doc_id", "lang"], "left_semi").select("lang", F.substring("text", 1, sample_chars).alias("text"))
 
     def count(batches):
