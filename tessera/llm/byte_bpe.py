@@ -2,9 +2,10 @@
 
 Texts up to ``chunk_chars`` are one chunk. Longer ones are cut into chunks that overlap; every chunk is pre-tokenised
 and encoded on its own, in parallel. A document's chunks are stitched where the pre-token boundaries of two
-neighbours coincide: from such a place on, the left-to-right pattern matches alike. Where they don't coincide within
-the overlap (a pre-token longer than it), the pattern is run on from the last sure boundary until they do. Decoding
-concatenates the tokens' bytes.
+neighbours coincide behind a visible character: from such a place on, the left-to-right pattern matches alike, and
+what stands before it needs no look at what follows. Where there is none within the overlap (a pre-token or white
+space longer than it), the pattern is run on from the last sure boundary until there is. Decoding concatenates the
+tokens' bytes.
 
 Null and empty texts have no ids. Rows that are repeated give repeated results; doc_id may be null or repeated.
 """
@@ -86,9 +87,10 @@ def stitch(chunks: list[tuple[int, str, list[int]]]) -> list[tuple[int, int, int
             break
         following = {chunks[k + 1][0] + s for s in chunks[k + 1][2]}
         sure = [offset + s for s in starts if offset + s <= end - UNSURE]
-        joint = next((p for p in sure if p >= max(at, chunks[k + 1][0]) and p in following), None)
+        # White space is split by what follows it, so a slice must not end in it.
+        joint = next((p for p in sure if p >= max(at, chunks[k + 1][0]) and p in following and not text[p - offset - 1].isspace()), None)
         if joint is None:  # run on from the last sure boundary over the text that follows
-            begin = max((p for p in sure if p >= at), default=at)
+            begin = max((p for p in sure if p >= at), default=at) if at - offset in starts else at
             long, m = text[begin - offset :], k
             joint = None
             while joint is None:
@@ -96,7 +98,7 @@ def stitch(chunks: list[tuple[int, str, list[int]]]) -> list[tuple[int, int, int
                 long += chunks[m][1][max(0, begin + len(long) - chunks[m][0]) :]
                 last, known = m + 1 == len(chunks), {chunks[m][0] + s for s in chunks[m][2]}
                 found = (begin + x.start() for x in splitter().finditer(long))
-                joint = next((p for p in found if p > begin and p >= chunks[m][0] and p in known and (last or p <= begin + len(long) - UNSURE)), None)
+                joint = next((p for p in found if p > begin and p >= chunks[m][0] and p in known and (last or p <= begin + len(long) - UNSURE) and not long[p - begin - 1].isspace()), None)
                 if joint is None and last:
                     joint = begin + len(long)
         out.append((k, at - offset, joint - offset))

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -320,6 +320,7 @@ def test_byte_bpe(docs):
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab' \n\tsrel12é,", min_size=1, max_size=80), st.integers(4, 20), st.integers(3, 8))
+@example("111111 \n1", 4, 3)
 def test_stitching_gives_the_whole_texts_pieces(text, chunk, overlap):
     cut = [(o, text[o : o + chunk + overlap], byte_bpe.pretokenise(text[o : o + chunk + overlap])) for o in range(0, len(text), chunk)]
     parts = [byte_bpe._slice(cut, k, a, z) for k, a, z in byte_bpe.stitch(cut)]
