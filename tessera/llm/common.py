@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,11 @@ def small(batches, rows: int = 1024):
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return a worker's freed memory: workers outlive their tasks, and what they keep is missing in later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, small
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -178,7 +178,7 @@ def fit(train: DataFrame, sample: int = 1500, sample_chars: int = 20_000, penalt
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in small(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = totals.setdefault(lang, np.zeros(BUCKETS + 1 + len(SCRIPTS), np.int64))
                 w = cut_words([text])
@@ -216,18 +216,22 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = T.StructType([T.StructField(n, t) for n, t in types.items()])
 
     def run(batches):
-        for b in batches:
+        for b in small(batches, 4096):
             kept, texts = b.column(0), b.column(1).to_pylist()
             for begin, end in groups(texts, 8_000_000):
                 part = texts[begin:end]
                 if model:
-                    cuts = [cut_words(part[i:j]) for i, j in groups(part, 400_000)]
-                    per_text, size = np.concatenate([w.per_text for w in cuts]), np.concatenate([w.size for w in cuts])
-                    path = spans(np.concatenate([model.scores(w) for w in cuts]), per_text, model.penalty)
+                    scored = map(words_and_scores, (part[i:j] for i, j in groups(part, 400_000)))
+                    per_text, size, scores = map(np.concatenate, zip(*scored, strict=True))
+                    path = spans(scores, per_text, model.penalty)
                 else:
                     per_text, size, path = np.zeros(len(part), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
                 yield summary(kept.slice(begin, end - begin), per_text, size, path)
 
+    def words_and_scores(texts):
+        w = cut_words(texts)  # its n-grams are large and go at once
+        return w.per_text, w.size, model.scores(w)
+
     def summary(kept, per_text, size, path):
         n = len(model.languages) if model else 1
         text = np.repeat(np.arange(len(per_text)), per_text)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, with_text
+from .common import cut, give_back, small, with_text
 
 SEED = 42
 #: Of a sketch: its length in 64-bit words, and the bits of the parts that serve to find candidates.
@@ -155,6 +155,7 @@ def links(fps: DataFrame, bits: int = 64) -> DataFrame:
             held_at, held_fp = at[done:], fp[done:]
             yield from per_anchor(at[:done], fp[:done])
         yield from per_anchor(held_at, held_fp)
+        give_back()
 
     cover = fps.select("fp").mapInArrow(replicate, "anchor long, fp long")
     found = cover.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(compare, "anchor long, src long, dst long")

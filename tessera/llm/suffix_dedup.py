@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, short_shuffles
+from .common import cut, give_back, short_shuffles, small
 
 FILTER_BITS = 27
 PLACE_BITS = 20
@@ -115,7 +115,7 @@ def repeated_filter(docs: DataFrame, length: int, size: int) -> bytes:
     """The bitmap of anchor hashes that occur twice or more: 2^FILTER_BITS bits, whatever the input's size."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             for t in b.column(0):
                 keys = anchors(t.as_py().encode(), length, size)[0]
                 if len(keys):
@@ -155,7 +155,7 @@ def suffix_tuples(docs: DataFrame, length: int, size: int, bitmap) -> DataFrame:
     def run(batches):
         bits = np.frombuffer(bitmap.value, np.uint8)
         out: list[list] = [[] for _ in names]
-        for b in batches:
+        for b in small(batches):
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = t.encode()
                 key, place, first, last = anchors(text, length, size)
@@ -284,6 +284,8 @@ def induced_spans(tuples: DataFrame, length: int) -> DataFrame:
                 held.append(b)
         if held and (out := solve(pa.Table.from_batches(held))) is not None:
             yield out
+        held.clear()
+        give_back()
 
     return sorted_runs.mapInArrow(walk, SPANS)
 
@@ -292,7 +294,7 @@ def window_spans(tuples: DataFrame, length: int) -> DataFrame:
     """The same for heavy anchors: windows dealt by their own hash."""
 
     def explode(batches):
-        for b in batches:
+        for b in small(batches):
             for key, d, th, first, last, before, suffix in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = before + suffix
                 n = last - first
@@ -354,7 +356,7 @@ def deduplicate(docs: DataFrame, length: int = 100, heavy: int = 2000) -> DataFr
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])), pa.string()]
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             out: list[list] = [[] for _ in kinds]
             for t, found in zip(b.column(1).to_pylist(), b.column(2), strict=True):
                 text, merged = t.encode(), merge(found)
