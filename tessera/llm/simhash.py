@@ -8,7 +8,7 @@ the others. An anchor with over GROUP fingerprints compares them through those p
 fingerprints within one bit, all of which link. Links are given as stars, so nothing grows with the square of a group,
 and no group is capped.
 
-Linked fingerprints then get the smallest doc_id that is reachable, by rounds of min-label hooking with path halving.
+Linked fingerprints then get the smallest doc_id that is reachable, by rounds of min-label hooking with contraction.
 Only distinct fingerprints take part, so any number of copies costs one row per copy.
 
 Null, empty and blank texts have fingerprint zero and link like any other. Fewer words than a shingle: the whole
@@ -203,27 +203,32 @@ def per_anchor(at: np.ndarray, fp: np.ndarray):
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, root, label: the smallest label reachable over the edges, for the nodes that have edges.
 
-    ``nodes``: node, label; ``edges``: src, dst. Each round takes the least label among the neighbours and then the
-    label of that label's node; rounds end when nothing changes, after about the logarithm of the longest chain.
+    ``nodes``: node, label; ``edges``: src, dst. In each round every node hooks onto its least neighbour, pointers jump
+    to their trees' roots, and trees contract to one node: links inside a tree go, equal ones merge. So a round's
+    links are those between trees that are left, and a large group's links are read once, not in every round.
     """
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")), "links")
-    ends = both.select(F.col("src").alias("node")).distinct()
+    live = edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    live = cut(live, "links")
+    ends = live.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     names = cut(nodes.join(ends, "node").select("node", "label"), "nodes")
-    # The label is a node's own name at first; what is returned is the least label of the whole component.
-    state = cut(names.select("node", F.col("node").alias("root")), "roots")
-    while True:
-        seen = both.join(state.select(F.col("node").alias("dst"), F.col("root").alias("other")), "dst").groupBy("src").agg(F.min("other").alias("other"))
-        hooked = state.join(seen, F.col("node") == F.col("src"), "left").select("node", "root", F.least("root", "other").alias("low"))
-        # A root takes the least name that any of its tree's members saw.
-        lift = hooked.groupBy(F.col("root").alias("tree")).agg(F.min("low").alias("to"))
-        step = hooked.join(lift, F.col("root") == F.col("tree")).select("node", "root", F.least("low", "to").alias("low"))
-        up = step.select(F.col("node").alias("mid"), F.col("low").alias("top"))
-        new = step.join(up, F.col("low") == F.col("mid"), "left").select("node", F.col("root").alias("was"), F.least("low", "top").alias("root"))
-        new = cut(new, "roots")
-        changed = new.filter("was <> root").limit(1).count()
-        state = new.select("node", "root")
-        if not changed:
-            break
+    state = names.select("node", F.col("node").alias("root"))
+    while live.limit(1).count():
+        both = live.select("src", "dst").union(live.select("dst", "src"))
+        least = both.groupBy("src").agg(F.min("dst").alias("low"))
+        trees = cut(least.select(F.col("src").alias("node"), F.least("src", "low").alias("root")), "trees")
+        while True:
+            up = trees.select(F.col("node").alias("mid"), F.col("root").alias("top"))
+            jumped = trees.join(up, F.col("root") == F.col("mid")).select("node", F.col("root").alias("was"), F.col("top").alias("root"))
+            jumped = cut(jumped, "trees")
+            moved = jumped.filter("was <> root").limit(1).count()
+            trees = jumped.select("node", "root")
+            if not moved:
+                break
+        tops = trees.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        state = cut(state.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+        ends = live.join(trees.select(F.col("node").alias("src"), F.col("root").alias("a")), "src")
+        ends = ends.join(trees.select(F.col("node").alias("dst"), F.col("root").alias("b")), "dst").filter("a <> b")
+        live = cut(ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "links")
     least = state.join(names, "node").groupBy("root").agg(F.min("label").alias("label"))
     return state.join(least, "root").select("node", "root", "label")
 
