@@ -209,7 +209,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     live = edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     live = cut(live, "links")
-    ends = live.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    ends = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct()
     names = cut(nodes.join(ends, "node").select("node", "label"), "nodes")
     state = names.select("node", F.col("node").alias("root"))
     while live.limit(1).count():
