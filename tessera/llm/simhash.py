@@ -29,8 +29,13 @@ from pyspark.sql import functions as F
 from .common import cut, give_back, small, with_text
 
 SEED = 42
-#: Of a sketch: its length in 64-bit words, and the bits of the parts that serve to find candidates.
-SKETCH, PART = 4, 32
+#: Of a sketch: its length in 64-bit words, and by how many bits more than expected similar texts' sketches may differ
+#: (6 to 7 standard deviations, 5 for texts of five shingles).
+SKETCH, SLACK = 4, 41
+#: Documents sampled for frequent shingles, in how many of them those are, and how many shingles are kept at most.
+SAMPLE, OFTEN, MOST_FREQUENT = 5000, 5, 1 << 16
+#: Keys over which the pairs of one text are dealt.
+SALTS = 64
 #: Anchors with up to so many fingerprints compare them directly.
 GROUP = 32
 
@@ -251,43 +256,153 @@ def most_bits(similarity: float) -> int:
     return round(64 * SKETCH * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def least_overlap(n: int, similarity: float) -> int:
+    """How many of n shingles another set must share to be that similar."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def frequent(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles of many documents, sorted, by a sample. They only decide which prefixes are short to compare, never what links."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+
+    def run(batches):
+        for b in small(batches):
+            found = [np.unique(shingle_hashes(t, words)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, "<u8")]).view(np.int64))], names=["h"])
+
+    text = F.coalesce("text", F.lit(""))
+    some = docs.select(text.alias("text")).filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    often = some.distinct().mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= OFTEN)
+    rows = often.orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+
+
+def meet(groups, similarity: float):
+    """(a, b) of the members of one token whose components differ and whose sizes and sketches allow the similarity."""
+    most = most_bits(similarity) + SLACK
+    for sid, top, n, bits in groups:
+        for i in range(0, len(sid) if (top != top[0]).any() else 0, 256):
+            ok = top[i : i + 256, None] != top
+            ok &= np.minimum(n[i : i + 256, None], n) >= similarity * np.maximum(n[i : i + 256, None], n) - 1e-9
+            ok &= np.arange(i, min(i + 256, len(sid)))[:, None] < np.arange(len(sid))
+            x, y = np.nonzero(ok)
+            for j in range(0, len(x), 1 << 18):
+                p, q = x[j : j + (1 << 18)] + i, y[j : j + (1 << 18)]
+                near = np.bitwise_count((bits[p] ^ bits[q]).view(np.uint64)).sum(1, dtype=np.int64) <= most
+                yield sid[p[near]], sid[q[near]]
+
+
+def runs(batches, columns: int):
+    """The columns' values of each run of equal first values, which are sorted."""
+    held = None
+    for b in batches:
+        now = [np.asarray(b.column(k)) for k in range(columns)]
+        held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+        starts = np.flatnonzero(np.append(True, held[0][1:] != held[0][:-1])) if len(held[0]) else np.zeros(1, int)
+        for i, j in zip(starts, starts[1:], strict=False):
+            yield [x[i:j] for x in held]
+        held = [x[starts[-1] :] for x in held]  # the last run may go on
+    if held is not None and len(held[0]):
+        yield held
+
+
+def verified(pairs: DataFrame, unique: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """src, dst: the pairs (a, b) whose sets of shingles have the Jaccard similarity, by the texts themselves."""
+    names = [f"s{k}" for k in range(SKETCH)]
+
+    def ends(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+        """a, b, x and y: what ``facts`` (sid, fact) says of both; a's many pairs are dealt over SALTS keys."""
+        dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+        first = dealt.select("a", "salt").distinct().join(facts.select(F.col("sid").alias("a"), F.col("fact").alias("x")), "a")
+        return dealt.join(first, ["a", "salt"]).join(facts.select(F.col("sid").alias("b"), F.col("fact").alias("y")), "b").select("a", "b", "x", "y")
+
+    both = ends(pairs, unique.select("sid", F.struct("n", *names).alias("fact")))
+    differ = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in names), F.lit(0))
+    sizes = F.least("x.n", "y.n") >= F.lit(similarity) * F.greatest("x.n", "y.n") - F.lit(1e-9)
+    maybe = cut(both.filter(sizes & (differ <= most_bits(similarity) + SLACK)).select("a", "b"), "maybe")
+    need = maybe.select(F.col("a").alias("sid")).union(maybe.select("b")).distinct().join(unique.select("sid", "at.d", "at.th"), "sid")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(key.alias("d"), F.xxhash64(text).alias("th"), text.alias("fact")).join(need, ["d", "th"])
+    texts = cut(texts.dropDuplicates(["sid"]).select("sid", "fact"), "texts")
+
+    def run(batches):
+        last = functools.lru_cache(64)(lambda t: np.unique(shingle_hashes(t, words)))
+        for b in small(batches, 256):
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = last(x), last(y)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["src", "dst"])
+
+    return cut(ends(maybe, texts).mapInArrow(run, "src long, dst long"), "edges")
+
+
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """d (doc_id, null as the least), th, root: documents that chains of similar texts join have one root.
 
-    Two bits of 64 mean near identity, so for a lower similarity each text gets a sketch of four fingerprints. Its
-    eight parts of 32 bits find candidates, by the same anchor covering with at most two differing bits; candidates
-    link if their whole sketches differ in no more bits than texts of that similarity do. Candidates are compared
-    with the first text of each part and of each point's parts, so their number is linear in the texts.
+    Texts link if their sets of shingles have at least this Jaccard similarity. Sets so similar share a shingle among
+    the first n - ceil(similarity * n) + 1 of each, in any order common to all; here shingles of many documents come
+    last. Texts that share such a shingle are candidates. Each is first compared with the least of its shingle;
+    afterwards all pairs of a shingle are compared whose components still differ, so none that could join two
+    components is left out. Sketches only rule out pairs SLACK bits beyond what the similarity leads to expect, and
+    what they pass is decided by the texts.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
     names = [f"s{k}" for k in range(SKETCH)]
+    often = frequent(docs, words)
 
     def run(batches):
         for b in small(batches):
             texts = b.column(1).to_pylist()
             hashes = np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], "<u8").view(np.int64)
             found = np.array([sketch(t, words) for t in texts], np.int64).reshape(-1, SKETCH)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes), *(pa.array(found[:, k].copy()) for k in range(SKETCH))], names=["d", "th", *names])
+            sets = [np.unique(shingle_hashes(t, words)) for t in texts]
+            sids = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], "<u8").view(np.int64)
+            prefixes = []
+            for h in sets:
+                at = np.searchsorted(often, h) if len(often) else np.zeros(len(h), int)
+                common = often[np.minimum(at, len(often) - 1)] == h if len(often) else np.zeros(len(h), bool)
+                ordered = np.concatenate([h[~common], h[common]]).view(np.int64)
+                prefixes.append(ordered[: len(h) - least_overlap(len(h), similarity) + 1])
+            sizes = pa.array([len(h) for h in sets], pa.int32())
+            columns = [b.column(0), pa.array(hashes), pa.array(sids), sizes, pa.array(prefixes, pa.list_(pa.int64())), *(pa.array(found[:, k].copy()) for k in range(SKETCH))]
+            yield pa.RecordBatch.from_arrays(columns, names=["d", "th", "sid", "n", "prefix", *names])
+
+    def stars(batches):
+        for token, sid in runs(batches, 2):
+            sid = np.unique(sid)
+            if len(sid) > 1:
+                more = pa.array(np.full(len(sid) - 1, len(sid) > 2))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sid) - 1, token[0])), pa.array(np.full(len(sid) - 1, sid[0])), pa.array(sid[1:]), more], names=["token", "a", "b", "more"])
+        give_back()
+
+    def rest(batches):
+        groups = ((x[1], x[2], x[3], np.stack(x[4:], 1)) for x in runs(batches, 4 + SKETCH))
+        for a, b in meet(groups, similarity):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        give_back()
 
     rows = docs.select(key.alias("d"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = cut(rows.mapInArrow(run, "d long, th long, " + ", ".join(f"{n} long" for n in names)).withColumn("sid", F.xxhash64(*names)), "sketches")
-    unique = cut(rows.select("sid", *names).distinct(), "unique")
-    low = [F.col(n).bitwiseAND(F.lit((1 << PART) - 1)) for n in names]
-    high = [F.shiftrightunsigned(n, PART) for n in names]
-    parts = F.explode(F.array(*(x + F.lit(t << PART) for t, x in enumerate([*low, *high])))).alias("fp")
-    members = cut(unique.select(parts, "sid", *names), "parts")
-    whole = F.struct("sid", *names)
-    first = cut(members.groupBy("fp").agg(F.min(whole).alias("first")), "firsts")
-    tag = F.shiftright("fp", PART)
-    rounds = [cut(links(first.select("fp").filter(tag.isin(t, t + SKETCH)), PART), "near") for t in range(SKETCH)]  # less disk at a time
-    near = functools.reduce(DataFrame.union, rounds)
-    both = near.union(near.select("dst", "src")).join(first, F.col("src") == F.col("fp")).select(F.col("dst").alias("fp"), "first")
-    pairs = members.join(both.unionByName(first), "fp").filter(F.col("sid") != F.col("first.sid"))
-    differ = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"first.{n}"))) for n in names), F.lit(0))
-    edges = pairs.filter(differ <= most_bits(similarity)).select(F.least("sid", "first.sid").alias("src"), F.greatest("sid", "first.sid").alias("dst")).distinct()
-    found = components(unique.select(F.col("sid").alias("node"), F.col("sid").alias("label")), edges)
-    named = found.select(F.col("node").alias("sid"), "root")
-    return rows.join(named, "sid", "left").select("d", "th", F.coalesce("root", "sid").alias("root"))
+    kinds = "d long, th long, sid long, n int, prefix array<long>, " + ", ".join(f"{n} long" for n in names)
+    rows = cut(rows.mapInArrow(run, kinds), "sketches")
+    facts = [F.first(x).alias(x) for x in ("n", *names, "prefix")]
+    unique = cut(rows.groupBy("sid").agg(F.min(F.struct("d", "th")).alias("at"), *facts), "unique")
+    tokens = unique.select(F.explode("prefix").alias("token"), "sid")
+    shared = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(stars, "token long, a long, b long, more boolean")
+    shared = cut(shared, "shared")
+    nodes = unique.select(F.col("sid").alias("node"), F.col("sid").alias("label"))
+    edges = verified(shared.select("a", "b").distinct(), unique, docs, words, similarity)
+    found = cut(components(nodes, edges).select(F.col("node").alias("sid"), "root"), "joined")
+    left = shared.filter("more").select("token", F.col("b").alias("sid")).join(unique.select("sid", "n", *names), "sid").join(found, "sid", "left")
+    left = left.select("token", "sid", F.coalesce("root", "sid").alias("top"), "n", *names)
+    others = left.repartition("token").sortWithinPartitions("token").mapInArrow(rest, "a long, b long").distinct()
+    more = verified(cut(others, "others"), unique, docs, words, similarity)
+    if more.limit(1).count():
+        found = components(nodes, edges.union(more)).select(F.col("node").alias("sid"), "root")
+    return rows.join(found, "sid", "left").select("d", "th", F.coalesce("root", "sid").alias("root"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -232,6 +232,40 @@ def test_similar_texts_share_a_root(spark):
     assert sorted(r["doc_id"] % 10 for r in simhash.keep_one(df).collect()).count(5) == 12
 
 
+def brute_roots(rows, similarity=0.8):
+    sets = {d: set(simhash.shingle_hashes(t, 5).tolist()) for d, t in rows}
+    root = {d: d for d, _ in rows}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and len(x & y) >= similarity * len(x | y) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    return root
+
+
+def groups_of(roots):
+    by = {}
+    for d, r in roots.items():
+        by.setdefault(r, set()).add(d)
+    return {frozenset(g) for g in by.values()}
+
+
+def test_pairs_in_a_family_of_unlike_texts_are_found(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template, rows = [word() for _ in range(150)], []
+    for g in range(80):  # texts share three quarters, pairs of them all but one to nine words (similarity from 0.7 on)
+        body = template + [word() for _ in range(50)]
+        other = list(body)
+        for i in rng.sample(range(150, 200), 1 + g % 9):
+            other[i] = word()
+        rows += [(2 * g, " ".join(body)), (2 * g + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = groups_of(brute_roots(rows))
+    assert sum(len(g) == 2 for g in expected) > 40
+    assert groups_of({r["d"]: r["root"] for r in simhash.similar(df).collect()}) == expected
+
+
 def test_chain_of_links(spark):
     edges = spark.range(50).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     nodes = spark.range(51).select(F.col("id").alias("node"), (100 - F.col("id")).alias("label"))
