@@ -61,9 +61,8 @@ def fingerprint(text: str, words: int = 3) -> int:
     return majority(shingle_hashes(text, words))
 
 
-def sketch(text: str, words: int) -> list[int]:
-    """SKETCH fingerprints, each of the shingles' hashes mixed in another way."""
-    h = shingle_hashes(text, words)
+def sketch(h: np.ndarray) -> list[int]:
+    """SKETCH fingerprints of a set of shingle hashes, each mixed in another way."""
     out = []
     for k in range(SKETCH):
         with np.errstate(over="ignore"):
@@ -358,8 +357,8 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
         for b in small(batches):
             texts = b.column(1).to_pylist()
             hashes = np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], "<u8").view(np.int64)
-            found = np.array([sketch(t, words) for t in texts], np.int64).reshape(-1, SKETCH)
             sets = [np.unique(shingle_hashes(t, words)) for t in texts]
+            found = np.array([sketch(h) for h in sets], np.int64).reshape(-1, SKETCH)
             sids = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], "<u8").view(np.int64)
             prefixes = []
             for h in sets:

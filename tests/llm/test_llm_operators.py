@@ -266,6 +266,17 @@ def test_pairs_in_a_family_of_unlike_texts_are_found(spark):
     assert groups_of({r["d"]: r["root"] for r in simhash.similar(df).collect()}) == expected
 
 
+def test_a_repeated_line_does_not_link_unlike_texts(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for g in range(20):  # pairs share a line of 24 words, 20 times over, and nothing else
+        line = [word() for _ in range(24)]
+        rows += [(2 * g + k, " ".join(line * 20 + [word() for _ in range(400)])) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({r["root"] for r in simhash.similar(df).collect()}) == 40
+
+
 def test_chain_of_links(spark):
     edges = spark.range(50).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     nodes = spark.range(51).select(F.col("id").alias("node"), (100 - F.col("id")).alias("label"))
