@@ -288,21 +288,21 @@ def meet(groups, similarity: float):
             for j in range(0, len(x), 1 << 18):
                 p, q = x[j : j + (1 << 18)] + i, y[j : j + (1 << 18)]
                 near = np.bitwise_count((bits[p] ^ bits[q]).view(np.uint64)).sum(1, dtype=np.int64) <= most
-                yield sid[p[near]], sid[q[near]]
+                if near.any():
+                    yield np.minimum(sid[p], sid[q])[near], np.maximum(sid[p], sid[q])[near]
 
 
-def runs(batches, columns: int):
-    """The columns' values of each run of equal first values, which are sorted."""
-    held = None
+def whole_runs(batches, columns: int):
+    """The columns' values, cut so that no run of equal first values (they are sorted) is split, and where runs start."""
+    held = [np.zeros(0, np.int64)] * columns
     for b in batches:
-        now = [np.asarray(b.column(k)) for k in range(columns)]
-        held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-        starts = np.flatnonzero(np.append(True, held[0][1:] != held[0][:-1])) if len(held[0]) else np.zeros(1, int)
-        for i, j in zip(starts, starts[1:], strict=False):
-            yield [x[i:j] for x in held]
-        held = [x[starts[-1] :] for x in held]  # the last run may go on
-    if held is not None and len(held[0]):
-        yield held
+        now = [np.concatenate([x, np.asarray(b.column(k))]) for k, x in enumerate(held)]
+        done = int(np.searchsorted(now[0], now[0][-1], "left")) if len(now[0]) else 0  # the last run may go on
+        held = [x[done:] for x in now]
+        if done:
+            yield [x[:done] for x in now], np.flatnonzero(np.append(True, now[0][1:done] != now[0][: done - 1]))
+    if len(held[0]):
+        yield held, np.zeros(1, np.int64)
 
 
 def verified(pairs: DataFrame, unique: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -371,17 +371,29 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
             yield pa.RecordBatch.from_arrays(columns, names=["d", "th", "sid", "n", "prefix", *names])
 
     def stars(batches):
-        for token, sid in runs(batches, 2):
-            sid = np.unique(sid)
-            if len(sid) > 1:
-                more = pa.array(np.full(len(sid) - 1, len(sid) > 2))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sid) - 1, token[0])), pa.array(np.full(len(sid) - 1, sid[0])), pa.array(sid[1:]), more], names=["token", "a", "b", "more"])
+        for (token, sid), starts in whole_runs(batches, 2):
+            size = np.diff(np.append(starts, len(sid)))
+            other = np.ones(len(sid), bool)
+            other[starts] = False
+            columns = [token[other], np.repeat(sid[starts], size)[other], sid[other], np.repeat(size > 2, size)[other]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "a", "b", "more"])
         give_back()
 
     def rest(batches):
-        groups = ((x[1], x[2], x[3], np.stack(x[4:], 1)) for x in runs(batches, 4 + SKETCH))
-        for a, b in meet(groups, similarity):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for x, starts in whole_runs(batches, 4 + SKETCH):
+            mixed = np.minimum.reduceat(x[2], starts) != np.maximum.reduceat(x[2], starts)
+            ends = np.append(starts[1:], len(x[0]))
+            bits = np.stack(x[4:], 1)
+            groups = ((x[1][i:j], x[2][i:j], x[3][i:j], bits[i:j]) for i, j in zip(starts[mixed], ends[mixed], strict=True))
+            held, n = [], 0
+            for found in meet(groups, similarity):
+                held.append(found)
+                n += len(found[0])
+                if n > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["a", "b"])
+                    held, n = [], 0
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["a", "b"])
         give_back()
 
     rows = docs.select(key.alias("d"), F.coalesce("text", F.lit("")).alias("text"))
@@ -390,14 +402,14 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
     facts = [F.first(x).alias(x) for x in ("n", *names, "prefix")]
     unique = cut(rows.groupBy("sid").agg(F.min(F.struct("d", "th")).alias("at"), *facts), "unique")
     tokens = unique.select(F.explode("prefix").alias("token"), "sid")
-    shared = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(stars, "token long, a long, b long, more boolean")
+    shared = tokens.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(stars, "token long, a long, b long, more boolean")
     shared = cut(shared, "shared")
     nodes = unique.select(F.col("sid").alias("node"), F.col("sid").alias("label"))
     edges = verified(shared.select("a", "b").distinct(), unique, docs, words, similarity)
     found = cut(components(nodes, edges).select(F.col("node").alias("sid"), "root"), "joined")
     left = shared.filter("more").select("token", F.col("b").alias("sid")).join(unique.select("sid", "n", *names), "sid").join(found, "sid", "left")
     left = left.select("token", "sid", F.coalesce("root", "sid").alias("top"), "n", *names)
-    others = left.repartition("token").sortWithinPartitions("token").mapInArrow(rest, "a long, b long").distinct()
+    others = left.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(rest, "a long, b long").distinct()
     more = verified(cut(others, "others"), unique, docs, words, similarity)
     if more.limit(1).count():
         found = components(nodes, edges.union(more)).select(F.col("node").alias("sid"), "root")
