@@ -17,21 +17,23 @@ sequence is the one shingle. Repeated rows stay. A null doc_id stays a row, but
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, give_back, small, with_text
 
 SEED = 42
-#: Of a sketch: its length in 64-bit words, and by how many bits more than expected similar texts' sketches may differ
-#: (6 to 7 standard deviations, 5 for texts of five shingles).
-SKETCH, SLACK = 4, 41
+#: Ranges of hashes of which sets keep the least, and by how much the similarity that those minima show may fall short:
+#: six standard deviations, sqrt(0.8 * 0.2 / 256) each.
+BINS, SLACK = 256, 0.15
+#: Sets of one shingle compared in a task (more are dealt in pairs of parts), and sets and shingles of a block.
+CROWD, BLOCK, BLOCK_SHINGLES = 8192, 512, 1 << 20
 #: Documents sampled for frequent shingles, in how many of them those are, and how many shingles are kept at most.
 SAMPLE, OFTEN, MOST_FREQUENT = 5000, 5, 1 << 16
 #: Keys over which the pairs of one text are dealt.
@@ -40,6 +42,34 @@ SALTS = 64
 GROUP = 32
 
 
+def key_of(docs: DataFrame) -> Column:
+    """doc_id as a long, null as the least."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)).cast("long"))
+
+
+def run_sizes(key: np.ndarray) -> np.ndarray:
+    """For each row of sorted keys, how many rows have its key."""
+    run = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+    return np.bincount(run)[run]
+
+
+def whole_runs(batches):
+    """Arrow tables cut so that no run of equal values in the first column (they are sorted) is split."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        first = np.asarray(b.column(0))
+        last = int(np.searchsorted(first, first[-1], "left"))
+        if last or held and np.asarray(held[-1].column(0))[-1] != first[0]:  # what came before the last run is whole
+            if held or last:
+                yield pa.Table.from_batches([*held, b.slice(0, last)]).combine_chunks()
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def shingle_hashes(text: str, words: int) -> np.ndarray:
     """XXH64 of the word shingles, repeats included; of the whole sequence where there are fewer words."""
     w = text.encode().lower().split()  # of bytes: A-Z only, and exactly the bytes 0x20 and 0x09 to 0x0D
@@ -61,16 +91,6 @@ def fingerprint(text: str, words: int = 3) -> int:
     return majority(shingle_hashes(text, words))
 
 
-def sketch(h: np.ndarray) -> list[int]:
-    """SKETCH fingerprints of a set of shingle hashes, each mixed in another way."""
-    out = []
-    for k in range(SKETCH):
-        with np.errstate(over="ignore"):
-            h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93 + 2 * k)
-        out.append(majority(h ^ h >> np.uint64(32)))
-    return out
-
-
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, th (a hash of the text) and the fingerprint as a signed long. Row-wise."""
 
@@ -250,9 +270,18 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.join(labels, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-def most_bits(similarity: float) -> int:
-    """How many of a sketch's bits differ, by expectation, between texts whose shingles have this Jaccard similarity."""
-    return round(64 * SKETCH * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def set_of(text: str, words: int) -> np.ndarray:
+    """A text's distinct shingle hashes, sorted."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def minima(h: np.ndarray) -> np.ndarray:
+    """The least hash in each of BINS equal ranges, as a byte (0: none). ``h``: sorted, distinct."""
+    if not len(h):
+        return np.zeros(BINS, np.uint8)
+    at = np.searchsorted(h, np.arange(BINS, dtype=np.uint64) << np.uint64(56))
+    some = at < np.append(at[1:], len(h))
+    return np.where(some, h[np.minimum(at, len(h) - 1)] % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
 
 
 def least_overlap(n: int, similarity: float) -> int:
@@ -260,13 +289,37 @@ def least_overlap(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
+def alike(n: np.ndarray, bins: np.ndarray, v, others, similarity: float) -> np.ndarray:
+    """Whether v's and the others' sizes and minima allow the similarity (SLACK below it, by the minima's estimate)."""
+    x, y = bins[v], bins[others]
+    same = ((x == y) & (y > 0)).sum(-1)
+    either = ((x | y) > 0).sum(-1)
+    sizes = np.minimum(n[v], n[others]) >= similarity * np.maximum(n[v], n[others]) - 1e-9
+    return sizes & (same >= (similarity - SLACK) * either)
+
+
+def forest(n: np.ndarray, bins: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what chains of ``alike`` connect: from each member reached, to all not reached before."""
+    out, left = [], np.arange(len(n))
+    while len(left) > 1:
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            v = reached.pop()
+            ok = alike(n, bins, v, left, similarity)
+            hit = left[ok].tolist()
+            out += [(v, x) for x in hit]
+            reached += hit
+            left = left[~ok]
+    return out
+
+
 def frequent(docs: DataFrame, words: int) -> np.ndarray:
     """Shingles of many documents, sorted, by a sample. They only decide which prefixes are short to compare, never what links."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
 
     def run(batches):
         for b in small(batches):
-            found = [np.unique(shingle_hashes(t, words)) for t in b.column(0).to_pylist()]
+            found = [set_of(t, words) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, "<u8")]).view(np.int64))], names=["h"])
 
     text = F.coalesce("text", F.lit(""))
@@ -276,89 +329,18 @@ def frequent(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
 
 
-def meet(groups, similarity: float):
-    """(a, b) of the members of one token whose components differ and whose sizes and sketches allow the similarity."""
-    most = most_bits(similarity) + SLACK
-    for sid, top, n, bits in groups:
-        for i in range(0, len(sid) if (top != top[0]).any() else 0, 256):
-            ok = top[i : i + 256, None] != top
-            ok &= np.minimum(n[i : i + 256, None], n) >= similarity * np.maximum(n[i : i + 256, None], n) - 1e-9
-            ok &= np.arange(i, min(i + 256, len(sid)))[:, None] < np.arange(len(sid))
-            x, y = np.nonzero(ok)
-            for j in range(0, len(x), 1 << 18):
-                p, q = x[j : j + (1 << 18)] + i, y[j : j + (1 << 18)]
-                near = np.bitwise_count((bits[p] ^ bits[q]).view(np.uint64)).sum(1, dtype=np.int64) <= most
-                if near.any():
-                    yield np.minimum(sid[p], sid[q])[near], np.maximum(sid[p], sid[q])[near]
-
-
-def whole_runs(batches, columns: int):
-    """The columns' values, cut so that no run of equal first values (they are sorted) is split, and where runs start."""
-    held = [np.zeros(0, np.int64)] * columns
-    for b in batches:
-        now = [np.concatenate([x, np.asarray(b.column(k))]) for k, x in enumerate(held)]
-        done = int(np.searchsorted(now[0], now[0][-1], "left")) if len(now[0]) else 0  # the last run may go on
-        held = [x[done:] for x in now]
-        if done:
-            yield [x[:done] for x in now], np.flatnonzero(np.append(True, now[0][1:done] != now[0][: done - 1]))
-    if len(held[0]):
-        yield held, np.zeros(1, np.int64)
-
-
-def verified(pairs: DataFrame, unique: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """src, dst: the pairs (a, b) whose sets of shingles have the Jaccard similarity, by the texts themselves."""
-    names = [f"s{k}" for k in range(SKETCH)]
-
-    def ends(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-        """a, b, x and y: what ``facts`` (sid, fact) says of both; a's many pairs are dealt over SALTS keys."""
-        dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-        first = dealt.select("a", "salt").distinct().join(facts.select(F.col("sid").alias("a"), F.col("fact").alias("x")), "a")
-        return dealt.join(first, ["a", "salt"]).join(facts.select(F.col("sid").alias("b"), F.col("fact").alias("y")), "b").select("a", "b", "x", "y")
-
-    both = ends(pairs, unique.select("sid", F.struct("n", *names).alias("fact")))
-    differ = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in names), F.lit(0))
-    sizes = F.least("x.n", "y.n") >= F.lit(similarity) * F.greatest("x.n", "y.n") - F.lit(1e-9)
-    maybe = cut(both.filter(sizes & (differ <= most_bits(similarity) + SLACK)).select("a", "b"), "maybe")
-    need = maybe.select(F.col("a").alias("sid")).union(maybe.select("b")).distinct().join(unique.select("sid", "at.d", "at.th"), "sid")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    text = F.coalesce("text", F.lit(""))
-    texts = docs.select(key.alias("d"), F.xxhash64(text).alias("th"), text.alias("fact")).join(need, ["d", "th"])
-    texts = cut(texts.dropDuplicates(["sid"]).select("sid", "fact"), "texts")
-
-    def run(batches):
-        last = functools.lru_cache(64)(lambda t: np.unique(shingle_hashes(t, words)))
-        for b in small(batches, 256):
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = last(x), last(y)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["src", "dst"])
-
-    return cut(ends(maybe, texts).mapInArrow(run, "src long, dst long"), "edges")
-
+def sketches(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """One row per distinct set of shingles, and one per document: (unique, rows).
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """d (doc_id, null as the least), th, root: documents that chains of similar texts join have one root.
-
-    Texts link if their sets of shingles have at least this Jaccard similarity. Sets so similar share a shingle among
-    the first n - ceil(similarity * n) + 1 of each, in any order common to all; here shingles of many documents come
-    last. Texts that share such a shingle are candidates. Each is first compared with the least of its shingle;
-    afterwards all pairs of a shingle are compared whose components still differ, so none that could join two
-    components is left out. Sketches only rule out pairs SLACK bits beyond what the similarity leads to expect, and
-    what they pass is decided by the texts.
+    ``unique``: sid (a hash of the set), at (least document: d, th), n, fp (fingerprint of the set), bins, prefix.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    names = [f"s{k}" for k in range(SKETCH)]
     often = frequent(docs, words)
 
     def run(batches):
         for b in small(batches):
             texts = b.column(1).to_pylist()
             hashes = np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], "<u8").view(np.int64)
-            sets = [np.unique(shingle_hashes(t, words)) for t in texts]
-            found = np.array([sketch(h) for h in sets], np.int64).reshape(-1, SKETCH)
+            sets = [set_of(t, words) for t in texts]
             sids = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], "<u8").view(np.int64)
             prefixes = []
             for h in sets:
@@ -366,53 +348,198 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
                 common = often[np.minimum(at, len(often) - 1)] == h if len(often) else np.zeros(len(h), bool)
                 ordered = np.concatenate([h[~common], h[common]]).view(np.int64)
                 prefixes.append(ordered[: len(h) - least_overlap(len(h), similarity) + 1])
-            sizes = pa.array([len(h) for h in sets], pa.int32())
-            columns = [b.column(0), pa.array(hashes), pa.array(sids), sizes, pa.array(prefixes, pa.list_(pa.int64())), *(pa.array(found[:, k].copy()) for k in range(SKETCH))]
-            yield pa.RecordBatch.from_arrays(columns, names=["d", "th", "sid", "n", "prefix", *names])
-
-    def stars(batches):
-        for (token, sid), starts in whole_runs(batches, 2):
-            size = np.diff(np.append(starts, len(sid)))
-            other = np.ones(len(sid), bool)
-            other[starts] = False
-            columns = [token[other], np.repeat(sid[starts], size)[other], sid[other], np.repeat(size > 2, size)[other]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "a", "b", "more"])
+            columns = [
+                b.column(0), pa.array(hashes), pa.array(sids), pa.array([len(h) for h in sets], pa.int32()), pa.array([majority(h) for h in sets], pa.int64()),
+                pa.array([minima(h).tobytes() for h in sets], pa.binary()), pa.array(prefixes, pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["d", "th", "sid", "n", "fp", "bins", "prefix"])
+
+    rows = docs.select(key_of(docs).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "d long, th long, sid long, n int, fp long, bins binary, prefix array<long>")
+
+
+def prefix_links(unique: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that connect all sets which share a prefix shingle and are ``alike``. Linear in the prefixes.
+
+    A shingle with over CROWD sets is dealt in pairs of parts, so that no task compares more than two parts.
+    """
+
+    def shared(batches):
+        for g in whole_runs(batches):
+            token, sid = (np.asarray(g.column(k)) for k in range(2))
+            size = run_sizes(token)
+            some = size > 1
+            yield pa.RecordBatch.from_arrays([pa.array(token[some]), pa.array(sid[some]), pa.array(size[some])], names=["token", "sid", "size"])
         give_back()
 
-    def rest(batches):
-        for x, starts in whole_runs(batches, 4 + SKETCH):
-            mixed = np.minimum.reduceat(x[2], starts) != np.maximum.reduceat(x[2], starts)
-            ends = np.append(starts[1:], len(x[0]))
-            bits = np.stack(x[4:], 1)
-            groups = ((x[1][i:j], x[2][i:j], x[3][i:j], bits[i:j]) for i, j in zip(starts[mixed], ends[mixed], strict=True))
-            held, n = [], 0
-            for found in meet(groups, similarity):
-                held.append(found)
-                n += len(found[0])
-                if n > 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["a", "b"])
-                    held, n = [], 0
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["a", "b"])
+    def near(batches):
+        for g in whole_runs(batches):
+            key, sid, n = (np.asarray(g.column(k)) for k in range(3))
+            bins = np.frombuffer(b"".join(g.column(3).to_pylist()), np.uint8).reshape(-1, BINS)
+            size, start = run_sizes(key), np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            two = start[size[start] == 2]
+            two = two[alike(n, bins, two, two + 1, similarity)] if len(two) else two
+            a, b = [sid[two]], [sid[two + 1]]
+            for i in start[size[start] > 2].tolist():
+                j = i + int(size[i])
+                found = np.array(forest(n[i:j], bins[i:j], similarity), np.int64).reshape(-1, 2) + i
+                a.append(sid[found[:, 0]])
+                b.append(sid[found[:, 1]])
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
         give_back()
 
-    rows = docs.select(key.alias("d"), F.coalesce("text", F.lit("")).alias("text"))
-    kinds = "d long, th long, sid long, n int, prefix array<long>, " + ", ".join(f"{n} long" for n in names)
-    rows = cut(rows.mapInArrow(run, kinds), "sketches")
-    facts = [F.first(x).alias(x) for x in ("n", *names, "prefix")]
-    unique = cut(rows.groupBy("sid").agg(F.min(F.struct("d", "th")).alias("at"), *facts), "unique")
     tokens = unique.select(F.explode("prefix").alias("token"), "sid")
-    shared = tokens.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(stars, "token long, a long, b long, more boolean")
-    shared = cut(shared, "shared")
+    found = cut(tokens.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(shared, "token long, sid long, size long"), "shared")
+    parts, own = F.ceil(F.col("size") / CROWD), F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / CROWD))
+    other = F.explode(F.when(F.col("size") <= CROWD, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = found.select("token", "sid", "size", own.alias("own"), other.alias("other"))
+    key = F.when(F.col("size") <= CROWD, F.col("token")).otherwise(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
+    dealt = dealt.select(key.alias("key"), "sid").join(unique.select("sid", "n", "bins"), "sid").select("key", "sid", "n", "bins")
+    return dealt.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(near, "a long, b long").distinct()
+
+
+def covering_links(unique: DataFrame) -> DataFrame:
+    """a, b: links that connect the sets whose fingerprints differ in at most two bits, by anchor-point covering."""
+    heads = cut(unique.groupBy("fp").agg(F.min("sid").alias("head")), "heads")
+    same = unique.join(heads, "fp").filter("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
+    near = links(heads).join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src")
+    return near.join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst").select("a", "b").union(same)
+
+
+def sets_of(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
+    """sid and its set (little-endian unsigned 64-bit, sorted), made from one document each. ``need``: sid, d, th."""
+
+    def run(batches):
+        for b in small(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_of(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["sid", "hashes"])
+
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(key_of(docs).alias("d"), F.xxhash64(text).alias("th"), text.alias("text")).join(need, ["d", "th"])
+    return texts.dropDuplicates(["sid"]).select("sid", "text").mapInArrow(run, "sid long, hashes binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """src, dst: the pairs (a, b) whose sets have the Jaccard similarity. a's many pairs are dealt over SALTS keys."""
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    first = dealt.select("a", "salt").distinct().join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a")
+    both = dealt.join(first, ["a", "salt"]).join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches):
+        for b in small(batches, 256):
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["src", "dst"])
+
+    return both.mapInArrow(run, "src long, dst long")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """How many hashes each set on the left shares with each on the right, by products of incidence matrices."""
+    out = np.zeros((len(left), len(right)), np.float64)
+    value, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    for begin in range(0, len(value), columns):
+        i, j = np.searchsorted(at, [begin, begin + columns])
+        m = np.zeros((len(left) + len(right), columns), np.float32)
+        m[row[i:j], at[i:j] - begin] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def rest_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """src, dst: links between roots of one family whose members have the similarity, found without listing pairs.
+
+    ``members``: family, sid, root, n. A family's sets are dealt into blocks of about BLOCK sets (fewer, if they are
+    large): a root with more than a block has blocks of its own, the others share some. Each pair of blocks is one
+    group, compared by a matrix product, unless both are of one root. Only links that join different roots come out.
+    """
+    weight = F.greatest(F.lit(1.0), F.col("n") / BLOCK_SHINGLES * BLOCK)
+    roots = members.groupBy("family", "root").agg(F.sum(weight).alias("weight"))
+    mixed = roots.groupBy("family").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("weight") <= BLOCK, F.col("weight")).otherwise(0)).alias("pool")).filter("roots > 1")
+    roots = roots.join(mixed, "family")
+    large = F.col("weight") > BLOCK
+    roots = cut(roots.select("family", "root", large.alias("large"), F.ceil(F.when(large, F.col("weight")).otherwise(F.col("pool")) / BLOCK).alias("parts")), "roots")
+    tag = F.when(F.col("large"), F.col("root"))
+    part = F.pmod(F.when(F.col("large"), F.xxhash64("sid")).otherwise(F.xxhash64("root")), F.col("parts"))
+    dealt = members.join(roots, ["family", "root"]).select("family", "sid", "root", F.struct(tag.alias("tag"), part.alias("part")).alias("block"))
+    dealt = cut(dealt, "dealt")
+    blocks = dealt.groupBy("family").agg(F.collect_set("block").alias("blocks"))
+    rows = dealt.join(blocks, "family").select("family", "sid", "root", "block", F.explode("blocks").alias("other"))
+    one = F.col("block.tag").isNotNull() & F.col("block.tag").eqNullSafe(F.col("other.tag"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    rows = rows.filter(~one).select("family", F.xxhash64(low, high).alias("pair"), (F.col("block") == low).alias("is_low"), (low == high).alias("alone"), "sid", "root")
+    rows = rows.join(sets, "sid")
+
+    def compare(pdf):
+        sets = [np.frombuffer(x, "<u8") for x in pdf.hashes]
+        roots, low = pdf.root.to_numpy(), pdf.is_low.to_numpy()
+        if pdf.alone.iloc[0]:
+            low = np.ones(len(pdf), bool)
+        left, right = np.flatnonzero(low), np.arange(len(pdf)) if pdf.alone.iloc[0] else np.flatnonzero(~low)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"src": [], "dst": []}, dtype="int64")
+        shared = overlaps([sets[i] for i in left], [sets[i] for i in right])
+        n = np.array([len(x) for x in sets], float)
+        ok = shared >= similarity * (n[left][:, None] + n[right] - shared) - 1e-9
+        ok &= roots[left][:, None] != roots[right]
+        x, y = np.nonzero(ok)
+        a, b = roots[left[x]], roots[right[y]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        top: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while top.get(i, i) != i:
+                i = top[i]
+            return i
+
+        out = []
+        for p, q in pairs.tolist():
+            p0, q0 = root(p), root(q)
+            if p0 != q0:
+                top[max(p0, q0)] = min(p0, q0)
+                out.append((p, q))
+        return pd.DataFrame(out or np.zeros((0, 2), np.int64), columns=["src", "dst"], dtype="int64")
+
+    found = rows.select("family", "pair", "is_low", "alone", "root", "hashes").groupBy("family", "pair").applyInPandas(compare, "src long, dst long")
+    return found.distinct()
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """d (doc_id, null as the least), th, root: documents that chains of similar texts join have one root.
+
+    Texts link if their sets of shingles have at least this Jaccard similarity. Equal sets are one. First, sets whose
+    fingerprints differ in at most two bits are linked by anchor-point covering. Two bits of 64 are far less than
+    that similarity allows (about ten differ at 0.8), so candidates are completed by shingles: sets so similar share
+    one among the first n - ceil(similarity * n) + 1 of each, in any order common to all (shingles of many documents
+    come last). Minima of the sets rule out pairs far below the similarity (SLACK, six standard deviations). Links that
+    connect all candidates are verified by the sets themselves and contracted. Where a family of candidates then still
+    has several roots, all its sets of different roots are compared, block by block. So no link is lost, and nothing
+    that grows with the square of a family is ever listed.
+    """
+    rows = cut(sketches(docs, words, similarity), "sketches")
+    facts = [F.first(x).alias(x) for x in ("n", "fp", "bins", "prefix")]
+    unique = cut(rows.groupBy("sid").agg(F.min(F.struct("d", "th")).alias("at"), *facts), "unique")
+    near = cut(prefix_links(unique, similarity), "near")
+    pairs = cut(near.union(covering_links(unique).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "candidates")
+    need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(unique.select("sid", "at.d", "at.th"), "sid")
+    sets = cut(sets_of(docs, need, words), "sets")
     nodes = unique.select(F.col("sid").alias("node"), F.col("sid").alias("label"))
-    edges = verified(shared.select("a", "b").distinct(), unique, docs, words, similarity)
-    found = cut(components(nodes, edges).select(F.col("node").alias("sid"), "root"), "joined")
-    left = shared.filter("more").select("token", F.col("b").alias("sid")).join(unique.select("sid", "n", *names), "sid").join(found, "sid", "left")
-    left = left.select("token", "sid", F.coalesce("root", "sid").alias("top"), "n", *names)
-    others = left.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(rest, "a long, b long").distinct()
-    more = verified(cut(others, "others"), unique, docs, words, similarity)
+    found = cut(components(nodes, verified(pairs, sets, similarity)).select(F.col("node").alias("sid"), "root"), "joined")
+    families = components(nodes, near.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("sid"), F.col("root").alias("family"))
+    members = families.join(found, "sid", "left").join(unique.select("sid", "n"), "sid").select("family", "sid", F.coalesce("root", "sid").alias("root"), "n")
+    more = cut(rest_links(cut(members, "families"), sets, similarity), "more")
     if more.limit(1).count():
-        found = components(nodes, edges.union(more)).select(F.col("node").alias("sid"), "root")
+        top = components(nodes, more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        single = more.select(F.col("src").alias("sid")).union(more.select("dst")).distinct().join(found, "sid", "left_anti")
+        found = found.union(single.select("sid", F.col("sid").alias("root")))
+        found = cut(found.join(top, "root", "left").select("sid", F.coalesce("top", "root").alias("root")), "joined")
     return rows.join(found, "sid", "left").select("d", "th", F.coalesce("root", "sid").alias("root"))
 
 
@@ -420,8 +547,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     """The documents' rows without near-duplicates: of each group of similar ones the smallest doc_id, one row of it."""
     found = cut(similar(docs, words, similarity), "similar")
     stay = cut(found.groupBy("root").agg(F.min(F.struct("d", "th")).alias("first")).select("first.d", "first.th"), "kept")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    rows = docs.select(F.struct("*").alias("row"), key.alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    rows = docs.select(F.struct("*").alias("row"), key_of(docs).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     rows = rows.join(stay, ["d", "th"], "left_semi")
     repeated = found.groupBy("d", "th").count().filter("count > 1").limit(1).count()
     if repeated:
