@@ -1,11 +1,10 @@
 """Packing token sequences into as few sequences of ``capacity`` tokens as can be, by bin completion.
 
 Only lengths matter for where a piece goes, and there are at most ``capacity`` of them. So Spark counts the pieces of
-each length, and bin completion runs once over those counts: the largest length that is left is completed by the
-undominated filling with the least waste, found by branch and bound with the best-fit filling as the first incumbent,
-and the filling is used as often as the counts allow. Each use of a filling at least halves the count of some length,
-so there are at most capacity * log2(pieces) fillings, whatever the input's size. Spark then numbers the pieces of
-each length, in buckets, and looks up each number's place.
+each length, and bin completion runs once over those counts: best fit gives the first incumbent, a lower bound says
+when no packing can be better (mostly at once), and else the sequences of the longest pieces are filled in every
+undominated way, by branch and bound on waste, within ``steps`` steps. Spark then numbers the pieces of each length,
+in buckets, and looks up each number's place.
 
 Null and empty texts are one end token. Repeated rows are packed each on its own. An empty table gives no pieces.
 """
@@ -25,8 +24,8 @@ from .byte_bpe import encoder
 from .common import cut, small, with_text
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Branch-and-bound nodes for one bin; beyond them the best filling so far stands.
-NODES = 400
+#: Steps that the search may take; where they end, the best packing so far stands (best fit's, or a better one).
+STEPS = 200_000
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -56,72 +55,164 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, keep_ids:
     return with_text(docs).mapInArrow(run, PIECES + ", ids binary" * keep_ids)
 
 
-def best_fit(left: int, counts: list[int], lengths: list[int]) -> list[int]:
-    """The greedy filling: again and again the largest length that fits."""
-    out: list[int] = []
-    used: dict[int, int] = {}
-    for n in lengths:
-        while n <= left and counts[n] > used.get(n, 0):
-            used[n] = used.get(n, 0) + 1
-            out.append(n)
-            left -= n
-    return out
+Filling = tuple[int, list[int]]
 
 
-def complete(left: int, counts: list[int]) -> list[int]:
-    """The filling of ``left`` with the least waste that branch and bound finds, larger lengths first.
+def best_fit(counts: list[int], capacity: int) -> list[Filling]:
+    """Best-fit decreasing on counts: (times used, lengths), without a step for each piece.
 
-    A filling to which another piece could be added is dominated, as is any that leaves out the one length that fills
-    the rest exactly. Branches end where even all smaller pieces could not beat the incumbent's waste.
+    Sequences with equal room are alike, so a length goes to all of them at once, as often as it fits (what is left
+    after one piece is the tightest room again).
     """
-    lengths = [n for n in range(min(left, len(counts) - 1), 0, -1) if counts[n]]
-    if not lengths:
-        return []
-    below = np.cumsum([n * counts[n] for n in reversed(lengths)])[::-1].tolist()  # tokens of this and smaller lengths
-    best = best_fit(left, counts, lengths)
-    waste, nodes = left - sum(best), 0
-    smallest = lengths[-1]
-
-    def grow(rest: int, first: int, chosen: list[int]) -> None:
-        nonlocal best, waste, nodes
-        nodes += 1
-        if rest < smallest or first == len(lengths):
-            if rest < waste:
-                best, waste = chosen, rest
-            return
-        if rest <= lengths[first] and counts[rest] > chosen.count(rest):
-            best, waste = [*chosen, rest], 0
+    rooms: dict[int, list[Filling]] = {capacity: []}
+    for n in range(capacity, 0, -1):
+        left = counts[n]
+        for room in sorted(r for r in rooms if r >= n and rooms[r]):
+            each = room // n
+            while left and rooms[room]:
+                times, filling = rooms[room].pop()
+                full = min(times, left // each)
+                if full:
+                    rooms.setdefault(room - each * n, []).append((full, filling + [n] * each))
+                    left, times = left - full * each, times - full
+                if times and left:  # fewer than one sequence takes
+                    rooms.setdefault(room - left * n, []).append((1, filling + [n] * left))
+                    left, times = 0, times - 1
+                if times:
+                    rooms[room].append((times, filling))
+        each = capacity // n
+        if left >= each:
+            rooms.setdefault(capacity - each * n, []).append((left // each, [n] * each))
+        if left % each:
+            rooms.setdefault(capacity - left % each * n, []).append((1, [n] * (left % each)))
+    return [f for group in rooms.values() for f in group]
+
+
+def lower_bound(counts: list[int], capacity: int) -> int:
+    """No packing has fewer sequences: pieces over half a sequence need one each, and small ones what these leave."""
+    n = np.arange(capacity + 1)
+    c = np.asarray(counts[: capacity + 1], object)
+    pieces, tokens = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(c * n)])
+    many = lambda lo, hi: pieces[hi + 1] - pieces[lo]  # noqa: E731  pieces of lo to hi tokens
+    much = lambda lo, hi: tokens[hi + 1] - tokens[lo]
+    best, half = -(-tokens[-1] // capacity), capacity // 2
+    for k in range(1, half + 1):  # pieces under k are left out
+        alone, large = many(capacity - k + 1, capacity), many(half + 1, capacity - k)
+        over = much(k, half) - (large * capacity - much(half + 1, capacity - k))
+        best = max(best, alone + large + max(0, -(-over // capacity)))
+    return int(best)
+
+
+def dominated(filling: list[int], left: int, counts: list[int]) -> bool:
+    """Whether a longer piece that is at hand could stand for one or more of the filling's (``left``: its waste)."""
+    sums = {0}
+    for n in filling if len(filling) <= 10 else filling[:0]:
+        sums |= {x + n for x in sums}
+    used = {n: filling.count(n) for n in filling}
+    for x in sums - {0}:
+        for y in range(x, x + left + 1):
+            if y < len(counts) and counts[y] > used.get(y, 0) and y not in filling:
+                return True
+    return False
+
+
+def fillings(room: int, counts: list[int], most_waste: int, budget: list[int]):
+    """Undominated fillings of ``room`` by rising waste, larger pieces first. Each step takes one from ``budget``."""
+    lengths = [n for n in range(min(room, len(counts) - 1), 0, -1) if counts[n]]
+    reach = 1  # bit s: some lengths add up to s, whatever their counts
+    for n in reversed(lengths):
+        step = n
+        while step <= room:
+            reach |= reach << step
+            step *= 2
+        reach &= (1 << room + 1) - 1
+
+    def exact(left: int, first: int, chosen: list[int]):
+        budget[0] -= 1
+        if not left:
+            yield list(chosen)
             return
-        fits = False
         for k in range(first, len(lengths)):
             n = lengths[k]
-            if not waste or nodes > NODES or rest - below[k] >= waste:
+            if budget[0] <= 0:
                 return
-            if n > rest or chosen.count(n) >= counts[n]:
+            if n > left or chosen.count(n) >= counts[n] or not reach >> left - n & 1:
                 continue
-            fits = True
-            grow(rest - n, k, [*chosen, n])
-        if not fits and rest < waste:
-            best, waste = chosen, rest
+            chosen.append(n)
+            yield from exact(left - n, k, chosen)
+            chosen.pop()
 
-    if waste:
-        grow(left, 0, [])
-    return best
+    for waste in range(min(most_waste, room) + 1):
+        if reach >> room - waste & 1:
+            for f in exact(room - waste, 0, []):
+                if not dominated(f, waste, counts):
+                    yield waste, f
+        if budget[0] <= 0:
+            return
 
 
-def solve(counts: list[int], capacity: int) -> list[tuple[int, list[int]]]:
-    """Fillings as (times used, lengths, largest first); ``counts[n]``: pieces of length n."""
-    counts, out = list(counts), []
-    for largest in range(capacity, 0, -1):
-        while counts[largest]:
-            counts[largest] -= 1
-            filling = [largest, *complete(capacity - largest, counts)]
+def complete(counts: list[int], capacity: int, best: list[Filling], low: int, steps: int) -> list[Filling]:
+    """Bin completion by branch and bound: ``best`` or a packing with fewer sequences.
+
+    Each node fills the sequence of the longest piece that is left, in every undominated way, as often as counts allow
+    or once. A branch ends where its waste exceeds what a packing better than the incumbent may waste, or where the
+    lower bound of what is left does not beat it.
+    """
+    counts, budget = list(counts), [steps]
+    total, size = sum(n * c for n, c in enumerate(counts)), sum(t for t, _ in best)
+    path: list[Filling] = []
+    used = wasted = 0
+
+    def children():
+        largest = max(n for n, c in enumerate(counts) if c)
+        allowed = (size - 1) * capacity - total - wasted
+        counts[largest] -= 1
+        found = fillings(capacity - largest, counts, allowed, budget)
+        while True:
+            got = next(found, None)
             counts[largest] += 1
+            if got is None:
+                return
+            filling = [largest, *got[1]]
             times = min(counts[n] // filling.count(n) for n in set(filling))
-            for n in filling:
-                counts[n] -= times
-            out.append((times, filling))
-    return out
+            for t in dict.fromkeys((times, 1)):
+                if wasted + t * got[0] <= (size - 1) * capacity - total:
+                    yield t, filling
+            counts[largest] -= 1
+
+    def use(t: int, filling: list[int], sign: int) -> None:
+        nonlocal used, wasted
+        for n in filling:
+            counts[n] -= sign * t
+        used, wasted = used + sign * t, wasted + sign * t * (capacity - sum(filling))
+
+    stack = [children()]
+    while stack and budget[0] > 0 and size > low:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if path:
+                use(*path.pop(), -1)
+            continue
+        use(*step, 1)
+        path.append(step)
+        budget[0] -= 1 + capacity // 32  # about what the lower bound costs
+        if not any(counts):
+            if used < size:
+                best, size = list(path), used
+        elif used + lower_bound(counts, capacity) < size:
+            stack.append(children())
+            continue
+        use(*path.pop(), -1)
+    return best
+
+
+def solve(counts: list[int], capacity: int, steps: int = STEPS) -> list[Filling]:
+    """Fillings as (times used, lengths, largest first); ``counts[n]``: pieces of length n. Never worse than best fit."""
+    best, low = best_fit(counts, capacity), lower_bound(counts, capacity)
+    if sum(t for t, _ in best) > low:
+        best = complete(counts, capacity, best, low, steps)
+    return best
 
 
 def places(fillings: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
@@ -141,27 +232,30 @@ def places(fillings: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "begin", "sequence", "each", "offset"), table.T, strict=True))
 
 
-def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
-    """The pieces with ``sequence_id`` and ``offset``. ``parts`` should be a written table: it is read three times."""
+def pack(parts: DataFrame, capacity: int = 2048, steps: int = STEPS) -> DataFrame:
+    """The pieces with ``sequence_id`` and ``offset``. ``parts`` should be a written table: it is read three times.
+
+    Columns of ``parts`` named _bucket, _before, _inside or _number are overwritten.
+    """
     found = parts.groupBy("length").count().collect()  # at most ``capacity`` rows
     counts = [0] * (capacity + 1)
     for r in found:
         counts[r["length"]] = r["count"]
-    runs = places(solve(counts, capacity))
+    runs = places(solve(counts, capacity, steps))
     buckets = max(8, -(-sum(counts) // 50_000))
-    numbered = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    sizes = numbered.groupBy("length", "bucket").count()
-    before = F.sum("count").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    sizes = sizes.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
-    numbered = numbered.withColumn("inside", inside - 1).join(sizes, ["length", "bucket"])
+    numbered = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    sizes = numbered.groupBy("length", "_bucket").count()
+    before = F.sum("count").over(W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select("length", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32"))
+    numbered = numbered.withColumn("_inside", inside - 1).join(sizes, ["length", "_bucket"])
     names = [c for c in parts.columns]
-    numbered = numbered.select(*names, (F.col("before") + F.col("inside")).cast("long").alias("number"))
+    numbered = numbered.select(*names, (F.col("_before") + F.col("_inside")).cast("long").alias("_number"))
 
     def look_up(batches):
         lengths, begins = runs["length"], runs["begin"]
         for b in batches:
-            n, r = (np.asarray(b.column(b.schema.get_field_index(c))) for c in ("length", "number"))
+            n, r = (np.asarray(b.column(b.schema.get_field_index(c))) for c in ("length", "_number"))
             at = np.zeros(len(n), np.int64)
             for length in np.unique(n):
                 own, (lo, hi) = n == length, np.searchsorted(lengths, [length, length + 1])
