@@ -1,11 +1,13 @@
-"""Exact token counts at every prefix of a text.
+"""Exact token counts at every prefix of a text, by prefix dynamic programming.
 
-``prefix_table`` stores, per document, the token count after every pre-token with that pre-token's length in bytes;
-inside a pre-token the prefix dynamic programme of :class:`tessera.llm.bpe.Vocabulary` gives the count after every
-byte. ``count_tokens`` keeps the last entry of that table, ``truncate`` answers budgets from it, and neither encodes
-a text twice. All of it is row-wise: no shuffle, and a task holds one Arrow batch.
+A text's table has one part for each pre-token: the tokens before it, and the prefix dynamic programme's count after
+each of its bytes (:class:`tessera.llm.bpe.Vocabulary`). White space has parts of its own, because the pattern splits it by
+what follows it: a head that ends in white space has the whole run as one pre-token. So the count of every prefix is
+one entry of the table, and lengths, truncation and budgets are looked up. Counts are not monotone (half a word may
+take more tokens than the whole), so a budget's longest prefix is searched from the table's end.
 
-Null and empty texts have no tokens. Repeated rows give repeated results. Extra columns are ignored.
+All of it is row-wise: no shuffle, and a task holds one Arrow batch. Null and empty texts have no tokens. Repeated
+rows give repeated results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -13,12 +15,23 @@ from __future__ import annotations
 import functools
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import CACHE_ENTRIES, Units, Vocabulary, split_special, splitter
 from .common import small, with_text
 
 
+#: What the pattern takes whole before it looks at letters.
+CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
+
+
+@functools.cache
+def blank() -> "regex.Pattern":
+    return regex.compile(r"\s*")
+
+
 class Counter:
     """Per worker: prefix counts of pre-tokens, and total counts of units, for one vocabulary."""
 
@@ -46,47 +59,80 @@ class Counter:
     def count(self, text: str) -> int:
         return sum(1 if known is not None else sum(self.units.of(part, self._total)) for part, known in split_special(text, self.vocab.special))
 
-    def table(self, text: str) -> tuple[list[int], list[int]]:
-        """Byte length and running token count after each pre-token."""
-        sizes, counts, total = [], [], 0
-        for part, known in split_special(text, self.vocab.special):
-            for p in [part] if known is not None else self.find(part):
-                total += 1 if known is not None else self.piece(p)[-1]
-                sizes.append(len(p.encode()))
-                counts.append(total)
-        return sizes, counts
-
-    def at(self, text: str, n_bytes: int) -> int:
-        """Tokens of the first ``n_bytes`` bytes alone (cut back to a whole character).
-
-        The head is split anew, because the pattern looks at what follows white space; its pre-tokens' counts are
-        those already known, and the last one's is an entry of its prefix table.
+    def inside(self, piece: str) -> list[int]:
+        """Tokens of every prefix of ``piece`` that is encoded as one pre-token, by characters (0 for none)."""
+        counts = self.piece(piece)
+        if len(counts) == len(piece):
+            return [0, *counts]
+        out, at = [0], 0
+        for c in piece:
+            at += len(c.encode())
+            out.append(counts[at - 1])
+        return out
+
+    def parts(self, text: str):
+        """(begin, before, counts, first, least): ``before + counts[k]`` tokens stand in the first begin + k characters.
+
+        For k from ``first`` on. Together the parts hold every prefix once, in order. No later part has a count under
+        ``least``.
         """
-        head = text.encode()[:n_bytes].decode("utf-8", "ignore")
-        done, tail = 0, []
-        for part, known in split_special(head, self.vocab.special):
+        at = total = 0
+        for part, known in split_special(text, self.vocab.special):
             if known is not None:
-                done += 1
+                # A head that ends inside the special string is split with what stands before it.
+                begin, before = joint if at else (0, 0)
+                heads = [before + self._total(text[begin : at + k]) - total for k in range(1, len(part))]
+                yield at, total, [0, *heads, 1], 1, before
+                total, at = total + 1, at + len(part)
+                joint = at, total
                 continue
-            done += sum(self.piece(p)[-1] for p in self.find(part))
-        return done
+            begin, run_end, joint = at, 0, (at, total)
+            for m in splitter().finditer(part):
+                a, z = m.span()
+                if a >= run_end and (run_end := blank().match(part, a).end()) > a:
+                    yield begin + a, total, self.inside(part[a:run_end]), 1, joint[1]
+                if z > run_end or run_end <= a:
+                    piece = m.group()
+                    if piece in CONTRACTIONS:
+                        counts = [0, *(self._total(piece[:k]) for k in range(1, len(piece))), self.piece(piece)[-1]]
+                    else:
+                        counts = self.inside(piece)
+                    yield begin + a, total, counts, max(run_end - a, 0) + 1, joint[1]
+                    joint = begin + a, total
+                total += self.piece(m.group())[-1]
+            at += len(part)
+
+    def table(self, text: str) -> list[int]:
+        """The token count of the first k characters, for every k from 0 on."""
+        out = [0]
+        for _, before, counts, first, _ in self.parts(text):
+            out += [before + n for n in counts[first:]]
+        return out
 
-    def truncate(self, text: str, budget: int) -> str:
-        """The longest run of whole characters from the start whose own count stays within the budget."""
-        sizes, counts = self.table(text)
-        keep = 0
-        for size, n in zip(sizes, counts, strict=True):
-            if n > budget:
+    def at(self, text: str, n_bytes: int) -> int:
+        """Tokens of the first ``n_bytes`` bytes alone (cut back to a whole character)."""
+        k = len(text.encode()[:n_bytes].decode("utf-8", "ignore"))
+        for begin, before, counts, first, _ in self.parts(text) if k else ():
+            if begin + first <= k < begin + len(counts):
+                return before + counts[k - begin]
+        return 0
+
+    def within(self, text: str, budget: int) -> int:
+        """Characters of the longest prefix whose own count stays within the budget. Reads no further than it must."""
+        best = 0
+        for begin, before, counts, first, least in self.parts(text):
+            for k in range(len(counts) - 1, first - 1, -1):
+                if before + counts[k] <= budget:
+                    best = begin + k
+                    break
+            if least > budget:
                 break
-            keep += size
-        raw = text.encode()
-        best = raw[:keep].decode()
-        while best and self.count(best) > budget:
-            best = best[:-1]
-        while len(best) < len(text) and self.count(best + text[len(best)]) <= budget:
-            best += text[len(best)]
         return best
 
+    def truncate(self, text: str, budget: int) -> str:
+        """The longest run of whole characters from the start whose own count stays within the budget."""
+        return text[: self.within(text, budget)]
+
 
 @functools.cache
 def counter(path: str) -> Counter:
@@ -107,30 +153,27 @@ def _map(df: DataFrame, schema: str, row):
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every document."""
+    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), chars_in_limit of every document.
+
+    ``chars_in_limit``: the longest prefix, in characters, of at most ``limit`` tokens.
+    """
 
     def row(i, t):
         n = counter(path).count(t)
-        return {"doc_id": i, "n_bytes": len(t.encode()), "n_tokens": n, "over_limit": n > limit}
+        kept = counter(path).within(t, limit) if n > limit else len(t)
+        return {"doc_id": i, "n_bytes": len(t.encode()), "n_tokens": n, "over_limit": n > limit, "chars_in_limit": kept}
 
-    return _map(with_text(docs), "doc_id long, n_bytes long, n_tokens long, over_limit boolean", row)
+    return _map(with_text(docs), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, chars_in_limit long", row)
 
 
 def prefix_table(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id with the byte length of each pre-token and the token count at its end."""
+    """doc_id, text and prefix_tokens: the token count of the first k characters at index k, from 0 to the whole text."""
+    return _map(with_text(docs), "doc_id long, text string, prefix_tokens array<int>", lambda i, t: {"doc_id": i, "text": t, "prefix_tokens": counter(path).table(t)})
 
-    def row(i, t):
-        sizes, counts = counter(path).table(t)
-        return {"doc_id": i, "piece_bytes": sizes, "tokens_so_far": counts}
-
-    return _map(with_text(docs), "doc_id long, piece_bytes array<int>, tokens_so_far array<long>", row)
-
-
-def truncate(docs: DataFrame, path: str, budget: int) -> DataFrame:
-    """doc_id, text cut to at most ``budget`` tokens, and n_tokens of what is left."""
-
-    def row(i, t):
-        kept = counter(path).truncate(t, budget)
-        return {"doc_id": i, "text": kept, "n_tokens": counter(path).count(kept)}
 
-    return _map(with_text(docs), "doc_id long, text string, n_tokens long", row)
+def truncate(table: DataFrame, budget: int) -> DataFrame:
+    """doc_id, text cut to at most ``budget`` tokens, and n_tokens of what is left; looked up in a ``prefix_table``."""
+    good = F.transform("prefix_tokens", lambda n: n <= budget)
+    kept = F.size("prefix_tokens") - F.array_position(F.reverse(good), True).cast("int")
+    cut = table.withColumn("_kept", kept)
+    return cut.select("doc_id", F.substring("text", F.lit(1), F.col("_kept")).alias("text"), F.get("prefix_tokens", F.col("_kept")).cast("long").alias("n_tokens"))

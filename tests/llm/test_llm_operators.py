@@ -17,6 +17,7 @@ from tessera.llm import byte_bpe, chat, langid, maxscore, packing, quality, quer
 
 JSON = public_tokenizers.path(queries.GPT_JSON)
 MULTI = public_tokenizers.path(queries.MULTI)
+LIB = Tokenizer.from_file(JSON)
 D = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "\n", "  a  b\n\n c\t d", "a<|endoftext|> b", "don't we'll 's\n", "aaaa" * 500, "日本語 テスト 🎉", "a \n b", "x y  ", "\u00a0x", "é" * 300]
 
@@ -45,22 +46,41 @@ def test_token_counts(spark, docs):
     assert token_counts.count_tokens(empty(docs), JSON).count() == 0
 
 
-def test_every_prefix_and_truncation():
-    lib, c = Tokenizer.from_file(JSON), token_counts.counter(JSON)
+def check_prefixes(lib, c, t):
     count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
-    for t in filter(None, ODD):
-        t = t[:120]
-        for k in range(len(t.encode()) + 1):
-            assert c.at(t, k) == count(t.encode()[:k].decode("utf-8", "ignore"))
-        for budget in (0, 1, 5):
-            kept = c.truncate(t, budget)
-            assert t.startswith(kept) and count(kept) <= budget
+    want = [count(t[:k]) for k in range(len(t) + 1)]
+    assert c.table(t) == want
+    for budget in {0, 1, 2, 5, max(want) // 2, max(want) - 1}:
+        assert len(c.truncate(t, budget)) == max((k for k, n in enumerate(want) if n <= budget), default=0)
+    for k in range(0, len(t.encode()) + 1, 3):
+        assert c.at(t, k) == count(t.encode()[:k].decode("utf-8", "ignore"))
+
+
+def test_every_prefix_and_truncation(texts):
+    lib, c = Tokenizer.from_file(JSON), token_counts.counter(JSON)
+    for t in [*filter(None, ODD), *texts[:20]]:
+        check_prefixes(lib, c, t[:150])
 
 
-def test_prefix_table_ends_in_the_count(docs):
-    table = {r["doc_id"]: r for r in token_counts.prefix_table(docs.filter("doc_id > 3"), JSON).collect()}
-    for r in token_counts.count_tokens(docs.filter("doc_id > 3"), JSON).collect():
-        assert (table[r["doc_id"]]["tokens_so_far"] or [0])[-1] == r["n_tokens"] and sum(table[r["doc_id"]]["piece_bytes"]) == r["n_bytes"]
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "the", " ", "  ", "\n", "\t", "'", "'re", "'l", "l", "1", "23", "!", "<", "|", "<|endoftext|>", "é", "日", "\u00a0", "🎉", "\x1c"]), max_size=12).map("".join))
+def test_every_prefix_of_odd_texts(text):
+    check_prefixes(LIB, token_counts.counter(JSON), text)
+
+
+def test_budgets_are_looked_up(spark, docs):
+    lib = Tokenizer.from_file(JSON)
+    count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    rows = docs.filter("length(text) < 400 or text is null").select("doc_id", F.substring("text", 1, 200).alias("text"), F.lit(1).alias("_kept"))
+    table = token_counts.prefix_table(rows, JSON)
+    whole = {r["doc_id"]: r["text"] or "" for r in rows.filter("doc_id > 0").collect()}
+    for r in token_counts.truncate(table, 7).filter("doc_id > 0").collect():
+        t = whole[r["doc_id"]]
+        assert r["text"] == t[: max(k for k in range(len(t) + 1) if count(t[:k]) <= 7)] and r["n_tokens"] == count(r["text"])
+    for r in table.filter("doc_id > 0").collect():
+        assert r["prefix_tokens"][-1] == count(whole[r["doc_id"]])
+    kept = {r["doc_id"]: r["chars_in_limit"] for r in token_counts.count_tokens(rows, JSON, limit=7).collect() if r["doc_id"]}
+    assert all(kept[r["doc_id"]] == len(r["text"]) for r in token_counts.truncate(table, 7).filter("doc_id > 0").collect())
 
 
 # 2
@@ -312,11 +332,54 @@ def test_packing(spark, docs):
     assert packing.pack_documents(empty(docs), JSON).count() == 0
 
 
-def test_bin_completion_is_optimal_on_small_cases():
-    counts = [0] * 11
-    for n in (6, 6, 4, 4, 5, 5, 3, 3, 4):
-        counts[n] += 1
-    assert sum(t for t, _ in packing.solve(counts, 10)) == 4
+def fewest(items, capacity):
+    best = len(items)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for k in {b: k for k, b in enumerate(bins) if b + items[i] <= capacity}.values():
+            place(i + 1, [b + items[i] * (j == k) for j, b in enumerate(bins)])
+        place(i + 1, [*bins, items[i]])
+
+    items = sorted(items, reverse=True)
+    place(0, [])
+    return best
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(6, 30).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c), min_size=1, max_size=10))))
+def test_bin_completion_is_optimal_on_small_cases(case):
+    capacity, items = case
+    counts = [items.count(n) for n in range(capacity + 1)]
+    got = packing.solve(counts, capacity)
+    assert [sum(t * f.count(n) for t, f in got) for n in range(capacity + 1)] == counts and all(sum(f) <= capacity for _, f in got)
+    assert packing.lower_bound(counts, capacity) <= sum(t for t, _ in got) == fewest(items, capacity)
+
+
+def test_the_search_beats_best_fit():
+    counts = [0] * 2049
+    rng = random.Random(3)
+    for _ in range(1000):
+        counts[rng.randint(650, 700)] += 1
+    size = lambda found: sum(t for t, _ in found)
+    low = packing.lower_bound(counts, 2048)
+    assert low <= size(packing.solve(counts, 2048)) < size(packing.best_fit(counts, 2048))
+    assert size(packing.solve(counts, 2048, steps=0)) == size(packing.best_fit(counts, 2048))
+    assert packing.solve([10**12 if n in (2048, 7, 1000) else 0 for n in range(2049)], 2048)
+
+
+def test_packing_meets_the_lower_bound(spark):
+    got = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), JSON)
+    sizes = got.groupBy("length").count().collect()
+    counts = [0] * 2049
+    for r in sizes:
+        counts[r["length"]] = r["count"]
+    assert got.select("sequence_id").distinct().count() == packing.lower_bound(counts, 2048)
 
 
 # 9
