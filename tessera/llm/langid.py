@@ -5,9 +5,9 @@ script while training. Its score for a language is the mean log probability of i
 length. Viterbi over a text's words, with a penalty for each switch, labels spans of mixed-language text; the text's
 language is the one that covers most letters. All documents of a batch take their Viterbi steps together.
 
-The model is fitted on at most ``sample`` documents per language and at most ``sample_chars`` characters of each,
-both taken by the order of a hash of the id: a bounded classifier sample. Prediction reads every whole text and never
-looks at lang, source or doc_id.
+The model is fitted on about ``sample`` whole documents per language: those whose hash of the id lies below a
+threshold that the language's count of documents sets, so no group of rows is sorted or gathered. Prediction reads
+every whole text and never looks at lang, source or doc_id. Up to 32,767 languages.
 
 Null texts and texts without a letter are ``und`` with score 0. A word in a script that was never seen counts for all
 languages alike. Without training rows everything is ``und``. Ties go to the language that sorts first.
@@ -24,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small
+from .common import small
 
 BITS = 16
+LABEL = np.int16
 BUCKETS = 1 << BITS
-#: Up to so many sampled ids are broadcast; more are joined by a shuffle.
+#: Up to so many languages are broadcast with their thresholds; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Hashes for the sample: so many values.
+SHARES = 1 << 30
 #: First code points of ranges, and the script that holds from there.
 SCRIPTS = [
     (0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -116,8 +119,8 @@ def spans(scores: np.ndarray, per_text: np.ndarray, penalty: float) -> np.ndarra
     starts = (np.cumsum(per_text) - per_text)[order]
     longest, n = int(lengths.max(initial=0)), scores.shape[1]
     live = np.searchsorted(-lengths, -np.arange(longest + 1), "left")  # texts with more than t words
-    back = np.zeros(scores.shape, np.int8)
-    own = np.arange(n, dtype=np.int8)
+    back = np.zeros(scores.shape, LABEL)
+    own = np.arange(n, dtype=LABEL)
     best = scores[starts[: live[0]]] if longest else scores[:0]
     state = np.zeros(len(order), np.int64)
     for t in range(1, longest + 1):
@@ -130,9 +133,9 @@ def spans(scores: np.ndarray, per_text: np.ndarray, penalty: float) -> np.ndarra
         top = best.argmax(axis=1)
         switched = best.max(axis=1, keepdims=True) - penalty
         at = starts[:k] + t
-        back[at] = np.where(best >= switched, own, top[:, None].astype(np.int8))
+        back[at] = np.where(best >= switched, own, top[:, None].astype(LABEL))
         best = np.maximum(best, switched) + scores[at]
-    path = np.zeros(len(scores), np.int8)
+    path = np.zeros(len(scores), LABEL)
     for t in range(longest - 1, -1, -1):
         at = starts[: live[t]] + t
         path[at] = state[: live[t]]
@@ -163,18 +166,18 @@ def with_split(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), (F.crc32(key.cast("binary")) % 4 == 2).alias("held_out"))
 
 
-def fit(train: DataFrame, sample: int = 1500, sample_chars: int = 20_000, penalty: float = 12.0) -> Model | None:
-    """Fit on at most ``sample`` texts per language. ``train``: doc_id, text, lang."""
-    from pyspark.sql import Window as W
+def sampled(train: DataFrame, sample: int) -> DataFrame:
+    """lang and text of about ``sample`` documents per language (all, where there are fewer), by a hash of the id."""
+    sizes = train.groupBy("lang").agg(F.count("*").alias("_size"))
+    if sizes.count() <= BROADCAST_ROWS:
+        sizes = F.broadcast(sizes)
+    below = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(SHARES)) < F.lit(float(SHARES) * sample) / F.col("_size")
+    return train.select("doc_id", "lang", "text").join(sizes, "lang").filter(below).select("lang", "text")
 
-    ids = train.select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))
-    for keys in (["lang", F.pmod("key", F.lit(64))], ["lang"]):  # first in parts, so that a common language is not one task's
-        rank = F.row_number().over(W.partitionBy(*keys).orderBy("key", "doc_id"))
-        ids = ids.withColumn("rank", rank).filter(F.col("rank") <= sample).drop("rank")
-    ids = cut(ids.select("doc_id", "lang").distinct(), "sample")
-    if ids.count() <= BROADCAST_ROWS:  # sample rows for each language
-        ids = F.broadcast(ids)
-    chosen = train.join(ids, ["doc_id", "lang"], "left_semi").select("lang", F.substring("text", 1, sample_chars).alias("text"))
+
+def fit(train: DataFrame, sample: int = 1500, penalty: float = 12.0) -> Model | None:
+    """Fit on about ``sample`` whole texts per language. ``train``: doc_id, text, lang."""
+    chosen = sampled(train, sample)
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
@@ -193,6 +196,8 @@ def fit(train: DataFrame, sample: int = 1500, sample_chars: int = 20_000, penalt
     counts = chosen.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.collect()  # at most BUCKETS + len(SCRIPTS) rows for each language
     languages = sorted({r["lang"] for r in got})
+    if len(languages) > np.iinfo(LABEL).max:
+        raise ValueError(f"{len(languages)} languages; labels hold {np.iinfo(LABEL).max}")
     if not languages:
         return None
     table = np.zeros((BUCKETS + 1 + len(SCRIPTS), len(languages)))
@@ -225,7 +230,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     per_text, size, scores = map(np.concatenate, zip(*scored, strict=True))
                     path = spans(scores, per_text, model.penalty)
                 else:
-                    per_text, size, path = np.zeros(len(part), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
+                    per_text, size, path = np.zeros(len(part), np.int64), np.zeros(0, np.int64), np.zeros(0, LABEL)
                 yield summary(kept.slice(begin, end - begin), per_text, size, path)
 
     def words_and_scores(texts):
@@ -235,7 +240,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def summary(kept, per_text, size, path):
         n = len(model.languages) if model else 1
         text = np.repeat(np.arange(len(per_text)), per_text)
-        share = np.bincount(text * n + path, size, len(per_text) * n).reshape(-1, n)
+        share = np.bincount(text * n + path.astype(np.int64), size, len(per_text) * n).reshape(-1, n)
         total = share.sum(axis=1)
         best = share.argmax(axis=1)
         names = np.array([*(model.languages if model else []), "und"], object)

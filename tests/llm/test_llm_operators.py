@@ -149,6 +149,50 @@ def test_language_id(spark, docs):
     assert langid.predict(empty(docs), model).count() == 0 and langid.fit(langid.training_rows(langid.with_split(empty(docs)))) is None
 
 
+def brute_path(scores, penalty):
+    """The best label sequence of a text, by all label sequences."""
+    import itertools
+
+    best, found = -np.inf, None
+    for labels in itertools.product(range(scores.shape[1]), repeat=len(scores)):
+        total = sum(scores[i, x] for i, x in enumerate(labels)) - penalty * sum(a != b for a, b in itertools.pairwise(labels))
+        if total > best + 1e-9:
+            best, found = total, labels
+    return best, found
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3):
+        per_text = np.array([0, 5, 1, 6, 0, 3])
+        scores = -rng.integers(0, 40, (per_text.sum(), n)).astype(np.float32) / 4
+        got, at = langid.spans(scores, per_text, 3.0), 0
+        for size in per_text:
+            own, labels = scores[at : at + size], got[at : at + size]
+            value = sum(own[i, x] for i, x in enumerate(labels)) - 3.0 * np.count_nonzero(np.diff(labels))
+            assert not size or value == pytest.approx(brute_path(own, 3.0)[0])
+            at += size
+
+
+def test_two_hundred_languages(spark):
+    rng = random.Random(2)
+    letters = [chr(c) for c in range(0x61, 0x7B)] + [chr(c) for c in range(0x430, 0x450)]
+    own = ["".join(rng.sample(letters[:26] if i % 2 else letters[26:], 5)) for i in range(200)]
+    text = lambda i: " ".join("".join(rng.choice(own[i]) for _ in range(rng.randint(3, 8))) for _ in range(60))
+    rows = [(200 * k + i, text(i), f"x{i:03d}") for i in range(200) for k in range(3)]
+    model = langid.fit(langid.training_rows(langid.with_split(spark.createDataFrame(rows, "doc_id long, text string, lang string"))))
+    assert len(model.languages) == 200
+    fresh = spark.createDataFrame([(i, text(i)) for i in range(200)], "doc_id long, text string")
+    got = langid.predict(fresh, model).collect()
+    assert sum(r["lang_pred"] == f"x{r['row']['doc_id']:03d}" for r in got) >= 190
+
+
+def test_sampling_by_threshold(spark):
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 30, "rare").otherwise("hot").alias("lang"))
+    got = {r["lang"]: r["count"] for r in langid.sampled(rows, 500).groupBy("lang").count().collect()}
+    assert got["rare"] == 30 and 400 < got["hot"] < 600
+
+
 # 5
 def test_warc_round_trip(spark):
     rows = [(1, "u", "abcWARC/1.1\r\nxWARC/1.1"), (2, "u", None), (3, None, ""), (4, "u", "x" * 5000 + "WARC/1.1\r\n\r\n"), (5, "a\r\nWARC/1.1", "abcWARC/1.1\r\nxWARC/1.1"), (5, "u", "abcWARC/1.1\r\nxWARC/1.1"), (None, "u", "é€" * 3000), (6, "http://x/WARC/1.1", "\r\n\r\n"), (7, "x", "é€" * 3000)]
