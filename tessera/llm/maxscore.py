@@ -7,20 +7,23 @@ together stay below the threshold. Essential postings are traversed for the whol
 probed only for the vectors that are still competitive, in steps, with the threshold rising to the k-th best known
 score. Shards' results merge by a window over at most k rows per query and shard.
 
-Queries come in blocks and go to every shard: a stated query set against all rows. Nothing is broadcast, so neither
-the queries nor the vectors need a size bound. Ties go to the smaller id. Vectors that are null or hold null or
+Vectors move once, to their shard; only the queries are dealt to every shard (a stated query set against all rows).
+A task keeps one shard in memory and streams the queries past it, so the queries need no size bound, and nothing is
+broadcast. Ties go to the smaller id. Vectors that are null or hold null or
 non-finite components take no part, nor does a null id; a query leaves out every row with its own id. Vectors of another length than
-the query's are not compared. Repeated rows count as rows. Sums are exact as 64-bit integers.
+the query's are not compared. An empty vector is compared with nothing. Repeated rows count as rows. Sums are exact as 64-bit integers.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 STEP = 8
 
 
@@ -62,31 +65,61 @@ def top_of_shard(ids: np.ndarray, postings: np.ndarray, query_id: int, query: np
     return alive[best], partial[best]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
+class Shard:
+    """A shard's vectors, by length: ids ascending, and postings (dimension by row)."""
+
+    def __init__(self, ids: list[int], vectors: list[list[int]]):
+        self.parts = {}
+        by: dict[int, list[int]] = {}
+        for i, v in enumerate(vectors):
+            by.setdefault(len(v), []).append(i)
+        for size, rows in by.items():
+            own = np.array([ids[i] for i in rows], np.int64)
+            order = np.argsort(own, kind="stable")
+            postings = np.array([vectors[i] for i in rows], np.int64).reshape(len(rows), size)
+            self.parts[size] = own[order], np.ascontiguousarray(postings[order].T)
+
+    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores)"""
+        if not len(query) or len(query) not in self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids, postings = self.parts[len(query)]
+        rows, scores = top_of_shard(ids, postings, query_id, query, k)
+        return ids[rows], scores
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 16_384) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best. Both sides: vec_id and q, as from ``quantised``.
 
-    Shards and blocks are dealt by a hash of the id, so copies of one vector spread evenly.
+    Shards are dealt by a hash of the id, so copies of one vector spread evenly.
     """
     shards = max(1, -(-vectors.count() // shard_rows))
-    blocks = max(1, -(-queries.count() // block_rows))
-    deal = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(n)).cast("int"))
-    v = deal(vectors, shards, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    q = deal(queries, blocks, "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        left = left.sort_values("vec_id", kind="stable")
-        for size, own in left.groupby(left.q.map(len)):
-            if not size:
-                continue
-            ids, postings = own.vec_id.to_numpy(), np.ascontiguousarray(np.stack(own.q.to_list()).astype(np.int64).T)
-            for query_id, query in zip(right.vec_id, right.q, strict=True):
-                if len(query) == size:
-                    rows, scores = top_of_shard(ids, postings, query_id, query.astype(np.int64), k)
-                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[rows], "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-
-    found = v.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInPandas(compare, "query_id long, vec_id long, score long")
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+    held = vectors.select(own.alias("shard"), F.lit(0).alias("asks"), "vec_id", "q")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "vec_id", "q")
+    rows = held.union(asked).repartition("shard").sortWithinPartitions("shard", "asks", "vec_id")
+
+    def compare(batches):
+        now, ids, vectors, shard = None, [], [], None
+        for b in batches:
+            out: list[list] = [[], [], []]
+            for number, asks, i, q in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if number != now:
+                    now, ids, vectors, shard = number, [], [], None
+                if not asks:
+                    ids.append(i)
+                    vectors.append(q)
+                    continue
+                if shard is None:  # a shard's own vectors come before the queries
+                    shard = Shard(ids, vectors)
+                    ids, vectors = [], []
+                found, scores = shard.best(i, np.array(q, np.int64), k)
+                for column, x in zip(out, ([i] * len(found), found.tolist(), scores.tolist()), strict=True):
+                    column += x
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
+        give_back()
+
+    found = rows.mapInArrow(compare, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -99,7 +132,7 @@ WITH q AS (
 s AS (
   SELECT a.vec_id AS query_id, b.vec_id,
     list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
-  FROM q a JOIN q b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+  FROM q a JOIN q b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND len(a.v) > 0 WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
