@@ -1,11 +1,11 @@
 """Byte-level BPE encoding by overlapping chunks, and decoding.
 
-Texts up to ``chunk_chars`` are one chunk. Longer ones are cut into chunks that overlap; every chunk is pre-tokenised
-and encoded on its own, in parallel. A document's chunks are stitched where the pre-token boundaries of two
-neighbours coincide behind a visible character: from such a place on, the left-to-right pattern matches alike, and
-what stands before it needs no look at what follows. Where there is none within the overlap (a pre-token or white
-space longer than it), the pattern is run on from the last sure boundary until there is. Decoding concatenates the
-tokens' bytes.
+A text is cut into chunks that overlap (one up to ``chunk_chars`` is a single chunk), and every chunk is pre-tokenised
+on its own, in parallel. Two neighbours are stitched where their pre-token boundaries first coincide behind a visible
+character: from such a place on, the left-to-right pattern matches alike, and what stands before it needs no look at
+what follows. The pieces between such places are encoded in parallel too, and a text's ids are put together at last.
+A document with a pre-token or white space longer than the overlap has no such place; its chunks are stitched in one
+task, by running the pattern on from the last sure boundary. Decoding concatenates the tokens' bytes.
 
 Null and empty texts have no ids. Rows that are repeated give repeated results; doc_id may be null or repeated.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, Units, Vocabulary, split_special, splitter
-from .common import small, with_text
+from .common import cut, small, with_text
 
 SCHEMA = "doc_id long, n_tokens long, ids binary"
 
@@ -106,10 +106,13 @@ def stitch(chunks: list[tuple[int, str, list[int]]]) -> list[tuple[int, int, int
     return out
 
 
-def encode(docs: DataFrame, path: str, chunk_chars: int = 65_536, overlap: int = 512) -> DataFrame:
+CHUNK = "did long, key string, offset int, text string, starts binary, head array<int>, tail array<int>"
+
+
+def encode(docs: DataFrame, path: str, chunk_chars: int = 16_384, overlap: int = 512) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every document; other columns are dropped.
 
-    Only documents longer than a chunk are shuffled, by document; a task holds one document at a time.
+    Only documents longer than a chunk are shuffled, chunk by chunk.
     """
     rows = with_text(docs)
 
@@ -118,30 +121,66 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = 65_536, overlap: int =
             ids = [encoder(path).encode(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    short = rows.filter(F.length("text") <= chunk_chars).mapInArrow(whole, SCHEMA)
-    steps = F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk_chars))
-    chunks = (
-        rows.filter(F.length("text") > chunk_chars)
-        .withColumn("key", F.md5(F.col("text").cast("binary")))
-        .select("doc_id", "key", "text", F.explode(steps).alias("offset"))
-        .select("doc_id", "key", "offset", F.expr(f"substring(text, offset + 1, {chunk_chars + overlap})").alias("text"))
-    )
-
     def boundaries(batches):
+        for b in small(batches, 64):
+            starts, heads, tails = [], [], []
+            for offset, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                found = pretokenise(t)
+                starts.append(np.array(found, "<u4").tobytes())
+                heads.append([offset + s for s in found if s < overlap])
+                tails.append([offset + s for s in found if chunk_chars <= s <= len(t) - UNSURE and not t[s - 1].isspace()])
+            columns = [*b.columns, pa.array(starts, pa.binary()), pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["did", "key", "offset", "text", "starts", "head", "tail"])
+
+    def pieces(batches):
+        for b in small(batches, 64):
+            ids = [encoder(path).encode(t) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.binary())], names=["did", "key", "offset", "ids"])
+
+    def together(batches):
+        now, parts = None, []
         for b in batches:
-            starts = [np.array(pretokenise(t), "<u4").tobytes() for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.binary())], names=["doc_id", "key", "offset", "text", "starts"])
+            out: list[list] = [[], [], []]
+            for did, key, _, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (did, key) != now:
+                    for column, x in zip(out, (*now, b"".join(parts)) if now else (), strict=False):
+                        column.append(x)
+                    now, parts = (did, key), []
+                parts.append(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary())], names=["did", "key", "ids"])
+        if now:
+            yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.string()), pa.array([b"".join(parts)], pa.binary())], names=["did", "key", "ids"])
 
     def join(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        copies = int((pdf.offset == 0).sum())
-        pdf = pdf.drop_duplicates("offset").sort_values("offset")
+        pdf = pdf.sort_values("offset")
         parts = [(o, t, np.frombuffer(s, "<u4").tolist()) for o, t, s in zip(pdf.offset, pdf.text, pdf.starts, strict=True)]
         ids = b"".join(encoder(path).encode(_slice(parts, k, a, z)) for k, a, z in stitch(parts))
-        doc_id = None if pd.isna(pdf.doc_id.iloc[0]) else int(pdf.doc_id.iloc[0])
-        return pd.DataFrame({"doc_id": pd.array([doc_id] * copies, "Int64"), "n_tokens": len(ids) // 4, "ids": [ids] * copies})
+        return pd.DataFrame({"did": pdf.did.iloc[:1], "key": pdf.key.iloc[:1], "ids": [ids]})
 
-    found = chunks.repartition(F.col("doc_id"), F.col("key"), F.col("offset")).mapInArrow(boundaries, "doc_id long, key string, offset int, text string, starts binary")
-    return short.unionByName(found.groupBy("doc_id", "key").applyInPandas(join, SCHEMA))
+    short = rows.filter(F.length("text") <= chunk_chars).mapInArrow(whole, SCHEMA)
+    long, name = rows.filter(F.length("text") > chunk_chars), ["did", "key"]
+    key = F.concat(F.md5(F.col("text").cast("binary")), F.when(F.col("doc_id").isNull(), "n").otherwise(""))
+    long = long.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("did"), key.alias("key"), "text")
+    steps = F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk_chars))
+    cuts = long.select(*name, "text", F.explode(steps).alias("offset"))
+    cuts = cuts.select(*name, "offset", F.expr(f"substring(text, offset + 1, {chunk_chars + overlap})").alias("text"))
+    copies = cuts.filter("offset = 0").groupBy(*name).count().filter("count > 1")
+    chunks = cut(cuts.dropDuplicates([*name, "offset"]).select(*name, "offset", "text").mapInArrow(boundaries, CHUNK), "chunks")
+    following = chunks.select(*name, (F.col("offset") - chunk_chars).alias("offset"), "head")
+    joint = F.array_min(F.array_intersect("tail", "head"))
+    joints = chunks.select(*name, "offset", "tail").join(following, [*name, "offset"]).select(*name, (F.col("offset") + chunk_chars).alias("offset"), joint.alias("joint"))
+    joints = cut(joints, "joints")
+    hard = joints.filter("joint is null").select(*name).distinct()
+    ends = joints.select(*name, (F.col("offset") - chunk_chars).alias("offset"), F.col("joint").alias("end"))
+    easy = chunks.select(*name, "offset", "text").join(hard, name, "left_anti").join(joints, [*name, "offset"], "left").join(ends, [*name, "offset"], "left")
+    begin = F.coalesce("joint", "offset") - F.col("offset")
+    easy = easy.select(*name, "offset", F.substring("text", begin + 1, F.coalesce(F.col("end") - F.col("offset"), F.length("text")) - begin).alias("text"))
+    parts = easy.mapInArrow(pieces, "did long, key string, offset int, ids binary")
+    found = parts.repartition(*name).sortWithinPartitions(*name, "offset").mapInArrow(together, "did long, key string, ids binary")
+    rest = chunks.select(*name, "offset", "text", "starts").join(hard, name, "left_semi").groupBy(*name).applyInPandas(join, "did long, key string, ids binary")
+    found = found.union(rest).join(copies, name, "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("count", F.lit(1)).cast("int"))))
+    doc_id = F.when(~F.col("key").endswith("n"), F.col("did"))
+    return short.unionByName(found.select(doc_id.alias("doc_id"), F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids"))
 
 
 def _slice(parts, k: int, first: int, last: int) -> str:
