@@ -1,6 +1,7 @@
 """Chat formatting over reply trees, in DataFrame expressions only.
 
-``tree``: thread, node, parent (null at a root), role, text, score; a node's name is unique in its thread. Ancestor
+``tree``: thread, node, parent (null at a root), role, text, score. Of rows with the same thread and node the first by
+parent, role, text and score stays; a row without a node takes no part. Ancestor
 tables double their reach with each self-join (1, 2, 4, ... replies up), so a path of any length takes as many joins
 as its length has binary digits. Branches of a tree are ranked by the mean score of their messages, ties to the
 smaller leaf; each chosen leaf then gathers its ancestors through the same tables, every one exactly once.
@@ -9,7 +10,8 @@ A turn is written as ``<|im_start|>role, newline, text<|im_end|>`` and a newline
 texts are escaped reversibly. The loss mask is the list of character spans that hold the assistants' texts.
 
 Null role and text count as empty, a null thread is a thread, messages of equal turn are ordered by role and text, an
-empty table gives no conversations. A parent that does not exist makes its reply a root.
+empty table gives no conversations. A parent that does not exist makes its reply a root. Where messages answer each
+other in a circle, the one of the least node becomes a root.
 """
 
 from __future__ import annotations
@@ -62,6 +64,19 @@ def _on(a: DataFrame, x: str, b: DataFrame, y: str, how: str = "inner") -> DataF
     return a.join(b, a["thread"].eqNullSafe(b["_thread"]) & (a[x] == b[y]), how).drop("_thread")
 
 
+def one_each(tree: DataFrame) -> DataFrame:
+    """Without repeated and missing nodes."""
+    rank = F.row_number().over(W.partitionBy("thread", "node").orderBy("parent", "role", "text", "score"))
+    return tree.filter("node is not null").withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+
+
+def without_circles(known: DataFrame, circling: DataFrame) -> DataFrame:
+    """``known`` with each circle cut above its least node: the one that is the least of its own ancestors."""
+    least = circling.filter("low = node").select(F.col("thread").alias("_thread"), F.col("node").alias("_node"), F.lit(True).alias("_cut"))
+    rows = _on(known, "node", least, "_node", "left").withColumn("_name", F.when(F.col("_cut").isNull(), F.col("_name")))
+    return rows.drop("_node", "_cut")
+
+
 def best_paths(tree: DataFrame, branches: int = 1) -> DataFrame:
     """thread, leaf, node, distance (0 at the leaf) of the ``branches`` best paths of each tree.
 
@@ -69,17 +84,25 @@ def best_paths(tree: DataFrame, branches: int = 1) -> DataFrame:
     """
     names = tree.select(F.col("thread").alias("_thread"), F.col("node").alias("_name"))
     known = _on(tree.select("thread", "node", "parent", "score"), "parent", names, "_name", "left")
-    state = known.select("thread", "node", F.col("_name").alias("up"), F.lit(1).cast("long").alias("steps"), F.coalesce("score", F.lit(0.0)).alias("total"), F.coalesce("_name", "node").alias("root"))
-    tables = []
+    tables, state, longest = [], None, None
     while True:
+        if state is None:
+            own = (F.col("_name").alias("up"), F.col("_name").alias("low"), F.lit(1).cast("long").alias("steps"))
+            state = known.select("thread", "node", *own, F.coalesce("score", F.lit(0.0)).alias("total"), F.coalesce("_name", "node").alias("root"))
         state = cut(state, "ancestors")
         going = state.filter("up is not null")
         if not going.limit(1).count():
             break
+        if 2 ** len(tables) >= 64 and longest is None:
+            longest = tree.groupBy("thread").count().agg(F.max("count")).first()[0]
+        if longest is not None and 2 ** len(tables) > longest:  # a path longer than its thread
+            known, tables, state = cut(without_circles(known, going), "known"), [], None
+            continue
         tables.append(going.select(F.col("thread").alias("_thread"), F.col("node").alias("_node"), "up"))
         # Only messages that have not reached their root take part in the next join.
-        above = state.select(F.col("thread").alias("_thread"), F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), F.col("total").alias("_total"), F.col("root").alias("_root"))
-        higher = _on(going, "up", above, "_node").select("thread", "node", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("total") + F.col("_total")).alias("total"), F.col("_root").alias("root"))
+        above = state.select(F.col("thread").alias("_thread"), F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("low").alias("_low"), F.col("steps").alias("_steps"), F.col("total").alias("_total"), F.col("root").alias("_root"))
+        sums = ((F.col(c) + F.col(f"_{c}")).alias(c) for c in ("steps", "total"))
+        higher = _on(going, "up", above, "_node").select("thread", "node", F.col("_up").alias("up"), F.least("low", "_low").alias("low"), *sums, F.col("_root").alias("root"))
         state = higher.union(state.filter("up is null"))
     parents = known.filter("_name is not null").select(F.col("thread").alias("_thread"), "_name").distinct()
     leaves = _on(state, "node", parents, "_name", "left_anti")
@@ -108,8 +131,9 @@ def format_paths(tree: DataFrame, paths: DataFrame) -> DataFrame:
     return grouped.select("thread", "leaf", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
-def format_trees(tree: DataFrame, branches: int = 1) -> DataFrame:
-    tree = cut(tree, "tree")
+def format_trees(tree: DataFrame, branches: int = 1, unique: bool = False) -> DataFrame:
+    """The formatted conversations of all trees. ``unique``: nodes are known to be present and unique in their threads."""
+    tree = cut(tree if unique else one_each(tree), "tree")
     return format_paths(tree, best_paths(tree, branches))
 
 

@@ -57,7 +57,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
-    return digests(read_back(format_trees(replies(rows))))
+    return digests(read_back(format_trees(replies(rows), unique=True)))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,9 +122,9 @@ def test_maxscore(spark):
     rng = np.random.default_rng(3)
     v = np.round(rng.normal(size=(400, 16)), 1).astype(float)
     v[100:250] = v[0]
-    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(400, None), (401, [1.0, None] * 8), (402, [float("nan")] * 16), (450, [0.5, 0.5]), (None, [1.0] * 16)]
-    q = maxscore.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    got = maxscore.top_k(q, q.filter("vec_id % 50 = 0"), k=5, shard_rows=64, block_rows=3).collect()
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(400, None), (401, [1.0, None] * 8), (402, [float("nan")] * 16), (450, [0.5, 0.5]), (500, []), (None, [1.0] * 16)]
+    q = maxscore.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("q", F.lit("clash")).withColumn("score", F.lit(1)))
+    got = maxscore.top_k(q, q.filter("vec_id % 50 = 0"), k=5, shard_rows=64).collect()
     ints = np.floor(256 * v.astype(np.float32).astype(float)).astype(int)
     for k in range(0, 400, 50):
         s = ints @ ints[k]
@@ -219,6 +219,18 @@ def test_reply_trees(spark):
     assert chat.format_trees(empty(tree)).count() == 0
 
 
+def test_reply_circles_and_repeated_nodes(spark):
+    rows = [("c", 1, 2, "user", "a"), ("c", 2, 1, "assistant", "b"), ("c", 3, 2, "user", "c"), ("d", 7, 7, "user", "self"), ("e", 1, None, "user", "x"), ("e", 1, None, "user", "x"), ("e", 2, 1, "assistant", "y"), ("e", 2, 1, "assistant", "z"), ("e", None, 1, "user", "lost"), (None, 5, 5, None, None)]
+    tree = spark.createDataFrame(rows, "thread string, node long, parent long, role string, text string").withColumn("score", F.lit(1.0)).withColumn("low", F.lit("clash"))
+    got = {r["thread"]: [t["text"] for t in r["turns"]] for r in chat.read_back(chat.format_trees(tree)).collect()}
+    assert got == {"c": ["a", "b", "c"], "d": ["self"], "e": ["x", "y"], None: [""]}
+    ring = [("r", i, (i + 1) % 150, "user", str(i)) for i in range(150)] + [("r", 200, 149, "user", "leaf")]
+    tree = spark.createDataFrame(ring, "thread string, node long, parent long, role string, text string").withColumn("score", F.lit(None).cast("double"))
+    got = [[t["text"] for t in r["turns"]] for r in chat.read_back(chat.format_trees(tree, branches=5)).collect()]
+    assert sorted(map(len, got)) == [3, 150]
+    assert all(g[0] == "0" for g in got)
+
+
 def test_long_thread(spark):
     rows = spark.range(70).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
     got = chat.read_back(chat.format_trees(chat.replies(rows))).first()
@@ -460,8 +472,9 @@ def test_quality_rules(spark, docs):
 def test_byte_bpe(docs):
     lib = byte_bpe.encoder(MULTI).lib
     for chunk, overlap in ((65_536, 512), (60, 12)):
-        rows = byte_bpe.decode(byte_bpe.encode(docs, MULTI, chunk, overlap), MULTI).collect()
-        assert len(rows) == docs.count()
+        twice = docs.union(docs.filter("length(text) > 400")).withColumn("key", F.lit("clash"))
+        rows = byte_bpe.decode(byte_bpe.encode(twice, MULTI, chunk, overlap), MULTI).collect()
+        assert len(rows) == twice.count()
         by = {r["doc_id"]: r for r in rows}
         for r in docs.collect():
             want = lib.encode_ordinary(r["text"] or "")
