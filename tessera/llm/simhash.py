@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, small, with_text
+from .common import cut, give_back, remove, replaced, small, with_text
 
 SEED = 42
 #: Ranges of hashes of which sets keep the least, and by how much the similarity that those minima show may fall short:
@@ -235,24 +235,26 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     live = cut(live, "links")
     ends = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct()
     names = cut(nodes.join(ends, "node").select("node", "label"), "nodes")
-    state = names.select("node", F.col("node").alias("root"))
+    state = None
     while live.limit(1).count():
         both = live.select("src", "dst").union(live.select("dst", "src"))
         least = both.groupBy("src").agg(F.min("dst").alias("low"))
-        trees = cut(least.select(F.col("src").alias("node"), F.least("src", "low").alias("root")), "trees")
-        while True:
+        trees = cut(least.select(F.col("src").alias("node"), F.least("src", "low").alias("root"), F.lit(True).alias("moved")), "trees")
+        while trees.filter("moved").limit(1).count():
             up = trees.select(F.col("node").alias("mid"), F.col("root").alias("top"))
-            jumped = trees.join(up, F.col("root") == F.col("mid")).select("node", F.col("root").alias("was"), F.col("top").alias("root"))
-            jumped = cut(jumped, "trees")
-            moved = jumped.filter("was <> root").limit(1).count()
-            trees = jumped.select("node", "root")
-            if not moved:
-                break
+            jumped = trees.join(up, F.col("root") == F.col("mid")).select("node", F.col("top").alias("root"), (F.col("root") != F.col("top")).alias("moved"))
+            trees = replaced(jumped, "trees", trees)
         tops = trees.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        state = cut(state.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+        if state is None:
+            state = cut(names.select("node", F.col("node").alias("root")).join(tops, "root").select("node", F.col("top").alias("root")), "roots")
+        else:
+            state = replaced(state.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots", state)
         ends = live.join(trees.select(F.col("node").alias("src"), F.col("root").alias("a")), "src")
         ends = ends.join(trees.select(F.col("node").alias("dst"), F.col("root").alias("b")), "dst").filter("a <> b")
-        live = cut(ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "links")
+        live = replaced(ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "links", live)
+        remove(live.sparkSession, trees.written_to)
+    if state is None:
+        return names.select("node", F.col("node").alias("root"), "label")
     least = state.join(names, "node").groupBy("root").agg(F.min("label").alias("label"))
     return state.join(least, "root").select("node", "root", "label")
 
