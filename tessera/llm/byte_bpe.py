@@ -106,7 +106,9 @@ def stitch(chunks: list[tuple[int, str, list[int]]]) -> list[tuple[int, int, int
     return out
 
 
-CHUNK = "did long, key string, offset int, text string, starts binary, head array<int>, tail array<int>"
+CHUNK = "did long, key string, offset int, text string, head array<int>, tail array<int>"
+#: Up to so many chunks' places (about 60 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def encode(docs: DataFrame, path: str, chunk_chars: int = 16_384, overlap: int = 512) -> DataFrame:
@@ -123,14 +125,13 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = 16_384, overlap: int =
 
     def boundaries(batches):
         for b in small(batches, 64):
-            starts, heads, tails = [], [], []
+            heads, tails = [], []
             for offset, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 found = pretokenise(t)
-                starts.append(np.array(found, "<u4").tobytes())
                 heads.append([offset + s for s in found if s < overlap])
                 tails.append([offset + s for s in found if chunk_chars <= s <= len(t) - UNSURE and not t[s - 1].isspace()])
-            columns = [*b.columns, pa.array(starts, pa.binary()), pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["did", "key", "offset", "text", "starts", "head", "tail"])
+            columns = [*b.columns, pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["did", "key", "offset", "text", "head", "tail"])
 
     def pieces(batches):
         for b in small(batches, 64):
@@ -153,7 +154,7 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = 16_384, overlap: int =
 
     def join(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("offset")
-        parts = [(o, t, np.frombuffer(s, "<u4").tolist()) for o, t, s in zip(pdf.offset, pdf.text, pdf.starts, strict=True)]
+        parts = [(o, t, pretokenise(t)) for o, t in zip(pdf.offset, pdf.text, strict=True)]
         ids = b"".join(encoder(path).encode(_slice(parts, k, a, z)) for k, a, z in stitch(parts))
         return pd.DataFrame({"did": pdf.did.iloc[:1], "key": pdf.key.iloc[:1], "ids": [ids]})
 
@@ -166,19 +167,27 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = 16_384, overlap: int =
     cuts = cuts.select(*name, "offset", F.expr(f"substring(text, offset + 1, {chunk_chars + overlap})").alias("text"))
     copies = cuts.filter("offset = 0").groupBy(*name).count().filter("count > 1")
     chunks = cut(cuts.dropDuplicates([*name, "offset"]).select(*name, "offset", "text").mapInArrow(boundaries, CHUNK), "chunks")
-    following = chunks.select(*name, (F.col("offset") - chunk_chars).alias("offset"), "head")
-    joint = F.array_min(F.array_intersect("tail", "head"))
-    joints = chunks.select(*name, "offset", "tail").join(following, [*name, "offset"]).select(*name, (F.col("offset") + chunk_chars).alias("offset"), joint.alias("joint"))
-    joints = cut(joints, "joints")
-    hard = joints.filter("joint is null").select(*name).distinct()
-    ends = joints.select(*name, (F.col("offset") - chunk_chars).alias("offset"), F.col("joint").alias("end"))
-    easy = chunks.select(*name, "offset", "text").join(hard, name, "left_anti").join(joints, [*name, "offset"], "left").join(ends, [*name, "offset"], "left")
-    begin = F.coalesce("joint", "offset") - F.col("offset")
+    # Where each chunk's piece begins and ends: boundaries near its ends that its neighbours share. No text moves here.
+    sides = chunks.select(*name, "offset", "head", "tail")
+    following = sides.select(*name, (F.col("offset") - chunk_chars).alias("offset"), F.col("head").alias("next"))
+    ends = sides.join(following, [*name, "offset"], "left").select(*name, "offset", F.array_min(F.array_intersect("tail", "next")).alias("end"), F.col("next").isNotNull().alias("goes_on"))
+    ends = cut(ends, "ends")
+    begins = ends.filter("goes_on").select(*name, (F.col("offset") + chunk_chars).alias("offset"), F.col("end").alias("begin"))
+    hard = cut(ends.filter("goes_on and end is null").select(*name).distinct(), "hard")
+    some = hard.limit(1).count()
+    places = ends.join(begins, [*name, "offset"], "left").select(*name, "offset", "begin", "end")
+    places = cut(places.join(hard, name, "left_anti") if some else places, "places")
+    if places.count() <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    begin = F.coalesce("begin", "offset") - F.col("offset")
+    easy = chunks.select(*name, "offset", "text").join(places, [*name, "offset"])
     easy = easy.select(*name, "offset", F.substring("text", begin + 1, F.coalesce(F.col("end") - F.col("offset"), F.length("text")) - begin).alias("text"))
     parts = easy.mapInArrow(pieces, "did long, key string, offset int, ids binary")
     found = parts.repartition(*name).sortWithinPartitions(*name, "offset").mapInArrow(together, "did long, key string, ids binary")
-    rest = chunks.select(*name, "offset", "text", "starts").join(hard, name, "left_semi").groupBy(*name).applyInPandas(join, "did long, key string, ids binary")
-    found = found.union(rest).join(copies, name, "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("count", F.lit(1)).cast("int"))))
+    if some:
+        rest = chunks.select(*name, "offset", "text").join(hard, name, "left_semi").groupBy(*name)
+        found = found.union(rest.applyInPandas(join, "did long, key string, ids binary"))
+    found = found.join(copies, name, "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("count", F.lit(1)).cast("int"))))
     doc_id = F.when(~F.col("key").endswith("n"), F.col("did"))
     return short.unionByName(found.select(doc_id.alias("doc_id"), F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids"))
 
