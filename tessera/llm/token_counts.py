@@ -70,64 +70,101 @@ class Counter:
             out.append(counts[at - 1])
         return out
 
+    def heads(self, piece: str, joint: str | None) -> list[int]:
+        """Tokens of every prefix of a part: of one pre-token, or (``joint``) of a special string after other text.
+
+        A head that ends inside a special string is split with what stands before it.
+        """
+        if joint is not None:
+            return [0, *(self._total(joint + piece[:k]) for k in range(1, len(piece))), self._total(joint) + 1]
+        if piece in CONTRACTIONS:
+            return [0, *(self._total(piece[:k]) for k in range(1, len(piece))), self.piece(piece)[-1]]
+        return self.inside(piece)
+
     def parts(self, text: str):
-        """(begin, before, counts, first, least): ``before + counts[k]`` tokens stand in the first begin + k characters.
+        """(begin, before, piece, joint, first, least): the table's parts, in order; ``heads`` has a part's counts.
 
-        For k from ``first`` on. Together the parts hold every prefix once, in order. No later part has a count under
-        ``least``.
+        The first begin + k characters have before + heads[k] tokens, for k from ``first`` to the piece's end.
+        Together the parts hold every prefix once. No later part has a count under ``least``.
         """
-        at = total = 0
+        at = total = begun = before = 0
         for part, known in split_special(text, self.vocab.special):
             if known is not None:
-                # A head that ends inside the special string is split with what stands before it.
-                begin, before = joint if at else (0, 0)
-                heads = [before + self._total(text[begin : at + k]) - total for k in range(1, len(part))]
-                yield at, total, [0, *heads, 1], 1, before
+                yield at, before, part, text[begun:at], 1, before
                 total, at = total + 1, at + len(part)
-                joint = at, total
+                begun, before = at, total
                 continue
-            begin, run_end, joint = at, 0, (at, total)
+            begin, run_end, begun, before = at, 0, at, total
             for m in splitter().finditer(part):
-                a, z = m.span()
-                if a >= run_end and (run_end := blank().match(part, a).end()) > a:
-                    yield begin + a, total, self.inside(part[a:run_end]), 1, joint[1]
-                if z > run_end or run_end <= a:
-                    piece = m.group()
-                    if piece in CONTRACTIONS:
-                        counts = [0, *(self._total(piece[:k]) for k in range(1, len(piece))), self.piece(piece)[-1]]
-                    else:
-                        counts = self.inside(piece)
-                    yield begin + a, total, counts, max(run_end - a, 0) + 1, joint[1]
-                    joint = begin + a, total
-                total += self.piece(m.group())[-1]
+                a, piece = m.start(), m.group()
+                if a >= run_end and piece[0].isspace() and (run_end := blank().match(part, a).end()) > a:
+                    yield begin + a, total, part[a:run_end], None, 1, before
+                z = a + len(piece)
+                if z > run_end:
+                    begun, before = begin + a, total
+                    yield begun, total, piece, None, max(run_end - a, 0) + 1, before
+                total += self.piece(piece)[-1]
             at += len(part)
 
     def table(self, text: str) -> list[int]:
         """The token count of the first k characters, for every k from 0 on."""
         out = [0]
-        for _, before, counts, first, _ in self.parts(text):
-            out += [before + n for n in counts[first:]]
+        for _, before, piece, joint, first, _ in self.parts(text):
+            out += [before + n for n in self.heads(piece, joint)[first:]]
         return out
 
     def at(self, text: str, n_bytes: int) -> int:
         """Tokens of the first ``n_bytes`` bytes alone (cut back to a whole character)."""
         k = len(text.encode()[:n_bytes].decode("utf-8", "ignore"))
-        for begin, before, counts, first, _ in self.parts(text) if k else ():
-            if begin + first <= k < begin + len(counts):
-                return before + counts[k - begin]
+        for begin, before, piece, joint, first, _ in self.parts(text) if k else ():
+            if begin + first <= k <= begin + len(piece):
+                return before + self.heads(piece, joint)[k - begin]
         return 0
 
     def within(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix whose own count stays within the budget. Reads no further than it must."""
-        best = 0
-        for begin, before, counts, first, least in self.parts(text):
-            for k in range(len(counts) - 1, first - 1, -1):
-                if before + counts[k] <= budget:
-                    best = begin + k
+        """Characters of the longest prefix whose own count stays within the budget.
+
+        Pre-tokens are read up to where none can fit any more; from there back, the first entry that fits is it. Units
+        of the text (see ``Units``) whose totals stay within the budget are stepped over, but for the last one.
+        """
+        begin, total = self.near(text, budget)
+        if begin:
+            return begin + self.within_part(text[begin:], budget - total)
+        return self.within_part(text, budget)
+
+    def near(self, text: str, budget: int) -> tuple[int, int]:
+        """(characters, tokens) before the unit that comes before the one in which the budget is spent."""
+        if any(s in text for s in self.vocab.special):
+            return 0, 0
+        first, *rest = text.replace("\n", " \n").split(" ", budget + 2)  # each unit has a token or more
+        if not first or first[0].isspace():
+            return 0, 0
+        at, total, before = len(first), self._total(first), (0, 0)
+        try:
+            for unit in rest:
+                if total > budget:
                     break
-            if least > budget:
+                before, unit_total = (at, total), self.units[unit]
+                at += len(unit) + (unit[0] != "\n")
+                total += unit_total
+        except KeyError:  # white space side by side: the pattern has to see it
+            return 0, 0
+        return before
+
+    def within_part(self, text: str, budget: int) -> int:
+        """``within`` without stepping over anything."""
+        seen = []
+        for part in self.parts(text):
+            seen.append(part)
+            if part[-1] > budget:
                 break
-        return best
+        for begin, before, piece, joint, first, _ in reversed(seen):
+            if before <= budget:
+                counts = self.heads(piece, joint)
+                for k in range(len(counts) - 1, first - 1, -1):
+                    if before + counts[k] <= budget:
+                        return begin + k
+        return 0
 
     def truncate(self, text: str, budget: int) -> str:
         """The longest run of whole characters from the start whose own count stays within the budget."""

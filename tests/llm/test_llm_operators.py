@@ -62,6 +62,13 @@ def test_every_prefix_and_truncation(texts):
         check_prefixes(lib, c, t[:150])
 
 
+def test_units_are_stepped_over(texts):
+    c = token_counts.counter(JSON)
+    for t in texts:
+        for budget in (0, 3, 50, 200):
+            assert c.within(t, budget) == c.within_part(t, budget)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["a", "B", "the", " ", "  ", "\n", "\t", "'", "'re", "'l", "l", "1", "23", "!", "<", "|", "<|endoftext|>", "é", "日", "\u00a0", "🎉", "\x1c"]), max_size=12).map("".join))
 def test_every_prefix_of_odd_texts(text):
