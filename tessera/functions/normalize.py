@@ -71,6 +71,16 @@ def profile_level(c: Column | str) -> Column:
     return F.when(spo, F.lit("spo")).otherwise(_first(t, PROFILE_LEVELS, F.lit("")))
 
 
+#: Titles of the level keys.
+LEVEL_TITLES = {"spo": "СПО", "bak": "Бакалавриат", "spec": "Специалитет", "mag": "Магистратура", "asp": "Аспирантура", "ord": "Ординатура", "dpo": "Доп. образование", "higher": "Высшее (не уточнено)"}
+
+
+def profile_title(key: Column | str) -> Column:
+    """A level key's title; other texts as they are."""
+    titles = F.create_map(*[F.lit(x) for pair in LEVEL_TITLES.items() for x in pair])
+    return F.coalesce(F.try_element_at(titles, text(key)), text(key))
+
+
 def _form(c: Column | str, extra) -> Column:
     t = F.regexp_replace(comparable(c), r"\s*-\s*", "-")
     return F.when(t.isin(BLANK), F.lit("")).otherwise(_first(t, [*FORMS, *extra], t))
@@ -132,9 +142,17 @@ def row_key(code: str, direction: str, program: str, level: str, course: str, fo
     return F.concat_ws("|", comparable(code), comparable(direction), comparable(program), ui_level(level), ui_course(course), ui_form(form), number(budget), number(paid))
 
 
+#: Letters with marks and the letters that they sort as.
+MARKED, PLAIN = "ёàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "еaaaaaaceeeeiiiinooooouuuuyy"
+
+
 def collation_key(c: Column | str) -> Column:
-    """Sorts as people expect: case-blind, ё as е, digit runs by value (``2.1.9`` before ``2.1.11``)."""
-    t = F.translate(F.lower(text(c)), "ё", "е")
+    """Sorts as people expect: blind to case and accents, digit runs of any length by value (``2.1.9`` before ``2.1.11``)."""
+    t = F.translate(F.lower(text(c)), MARKED, PLAIN)
     parts = F.regexp_extract_all(t, F.lit(r"\d+|\D+"), F.lit(0))
-    padded = F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, r"^0+(?=\d)", ""), 20, "0")).otherwise(x))
-    return F.array_join(padded, "")
+
+    def number(x: Column) -> Column:
+        digits = F.regexp_replace(x, r"^0+(?=\d)", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)  # the longer number is the larger
+
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), number(x)).otherwise(x)), "")

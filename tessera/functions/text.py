@@ -151,6 +151,11 @@ def host(c: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(F.try_parse_url(text(c), F.lit("HOST")), F.lit("")), "^www\\.", "")
 
 
+def query_value(c: Column | str) -> Column:
+    """A text as the value of a link's query."""
+    return F.url_encode(text(c))
+
+
 def source_type(url: Column, content_type: Column) -> Column:
     """html, pdf, excel or csv by the path's suffix, then the content type."""
     path = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
@@ -163,20 +168,41 @@ def source_type(url: Column, content_type: Column) -> Column:
     )
 
 
+#: Fixed value: a numbered item up to the next number or the end.
+NUMBERED = r"(?s)(?:^|[\s;])\d{1,2}[.)]\s*(.*?)(?=(?:[\s;]\d{1,2}[.)]\s)|$)"
+
+
+def long_text(c: Column | str) -> Column:
+    """White space collapsed, and one blank after each semicolon."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text(c), r"(?U)\s+", " "), r"\s*;\s*", "; "))
+
+
+def item_text(c: Column | str) -> Column:
+    """Without leading bullets and trailing semicolons."""
+    tidy = F.regexp_replace(F.regexp_replace(text(c), r"^[\-–—•●*]+\s*", ""), r"(?U)\s+", " ")
+    return F.trim(F.regexp_replace(tidy, r"[;\s]+$", ""))
+
+
 def split_items(c: Column | str) -> Column:
     """Numbered items where there are two or more, else chunks between ; and bullets, else none."""
-    t = F.trim(F.regexp_replace(text(c), r"[ \t]+", " "))
-    tidy = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^[\s•\-–—]+", ""), r"(?U)[\s;]+$", ""))
-    numbered = F.transform(F.regexp_extract_all(t, F.lit(r"(?s)(?:^|\s)\d{1,2}[.)]\s+(.+?)(?=\s\d{1,2}[.)]\s|$)"), F.lit(1)), tidy)
-    chunks = F.filter(F.transform(F.split(t, r"[;•\n]+"), tidy), lambda x: x != "")
+    full = lambda items: F.filter(F.transform(items, item_text), lambda x: x != "")
+    t = long_text(c)
+    numbered = full(F.regexp_extract_all(t, F.lit(NUMBERED), F.lit(1)))
+    chunks = full(F.split(t, r"\s*;\s*|\s*[•●]\s*"))
     return F.when(F.size(numbered) >= 2, numbered).when(F.size(chunks) >= 2, chunks).otherwise(F.array().cast("array<string>"))
 
 
 def entity_id(c: Column | str) -> Column:
-    """``2``, ``u2``, ``U002`` to ``u002``; other texts lower-cased."""
+    """``2``, ``u2``, ``U002`` to ``u002``; after u only digits count; other texts lower-cased."""
     t = F.lower(F.trim(text(c)))
-    digits = F.regexp_extract(t, r"^u?(\d+)$", 1)
-    return F.when(digits != "", F.concat(F.lit("u"), F.lpad(digits, F.greatest(F.lit(3), F.length(digits)), F.lit("0")))).otherwise(t)
+    digits = F.when(t.startswith("u"), F.regexp_replace(t, r"\D", "")).when(t.rlike(r"^\d+$"), t).otherwise(F.lit(""))
+    number = F.coalesce(F.nullif(F.ltrim(digits, F.lit("0")), F.lit("")), F.lit("0"))
+    return F.when(digits != "", F.concat(F.lit("u"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0")))).otherwise(t)
+
+
+def entity_ids(c: Column | str) -> Column:
+    """The ids of a list between commas, semicolons and blanks, in order, repeats included."""
+    return F.transform(F.filter(F.split(F.trim(text(c)), r"[,\s;]+"), lambda x: x != ""), entity_id)
 
 
 def flag(c: Column | str, yes: bool = True) -> Column:
@@ -211,15 +237,40 @@ def quality(t: str) -> int:
     )
 
 
+def text_quality(c: Column | str) -> Column:
+    """``quality`` as a Column: no Python."""
+    t = text(c)
+    n = lambda p: F.regexp_count(t, F.lit(p))
+    upper, lower = n(r"\p{Lu}"), n(r"\p{Ll}")
+    share = F.when((upper > 0) & (lower > 0), upper / (upper + lower)).otherwise(0.0)
+    loud = F.when(share > 0.4, F.floor(8 * share)).otherwise(0)
+    marks = 2 * n("[ÐÑÃÊÂ�]") + n("[РС][А-Яа-яЁё]") + 3 * n("[─-▟]") + 2 * n("[∀-⋿]") + 4 * n("�")
+    return (n("[А-Яа-яЁё]") - marks - loud).cast("int")
+
+
+def clean_recovered(c: Column | str, safe: bool = True) -> Column:
+    """``clean`` after charset recovery: what every text of a landed table goes through.
+
+    Only texts beyond ASCII can be decoded wrongly, so only those go to Python.
+    """
+    t = text(c)
+    return clean(F.when(t.rlike(r"[^\x00-\x7F]"), recover_mojibake(t, safe)).otherwise(t))
+
+
+def mixed_words(t: str) -> int:
+    """Places where a Latin and a Cyrillic letter meet: what accented Latin text turns into when taken for wrong."""
+    return len(re.findall("[A-Za-z][А-Яа-яЁё]|[А-Яа-яЁё][A-Za-z]", t))
+
+
 def recover(t: str, safe: bool = True) -> str:
-    """The best transcoding. ``safe``: only lossless ones that score at least 3 better; else the exact older rule."""
+    """The best transcoding. ``safe``: only lossless ones that score at least 3 better and mix no scripts; else the exact older rule."""
     best, top = t, quality(t) + (2 if safe else 0)
     for to, back in TRANSCODINGS:
         try:
             other = t.encode(to).decode(back, "strict" if safe else "ignore")
         except (UnicodeEncodeError, UnicodeDecodeError):
             continue
-        if (q := quality(other)) > top:
+        if (q := quality(other)) > top and not (safe and mixed_words(other) > mixed_words(t)):
             best, top = other, q
     return best
 

@@ -15,6 +15,24 @@ def first_text(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(clean(c), F.lit("")) for c in columns), F.lit(""))
 
 
+def look_up(base: DataFrame, other: DataFrame, key: str, other_key: str, values: dict[str, tuple[str, str]], keep: list[str] | None = None) -> DataFrame:
+    """Left join that adds columns (name -> the other side's column and its default), and ``keep`` as they are.
+
+    The other side's key should be unique; a default stands for missing and for empty values.
+    """
+    keep = keep or []
+    names = {c: f"_{i}" for i, c in enumerate(dict.fromkeys([c for c, _ in values.values()] + keep))}
+    side = other.select(F.col(other_key).alias("_key"), *(F.col(c).alias(n) for c, n in names.items()))
+    joined = base.join(side, base[key] == side["_key"], "left")
+    return joined.select(*base.columns, *(first_text(F.col(names[c]), F.lit(default)).alias(n) for n, (c, default) in values.items()), *(F.col(names[c]).alias(c) for c in keep))
+
+
+def last_known(df: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
+    """The column's gaps filled with the last value before them."""
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumn(column, F.last(column, ignorenulls=True).over(w))
+
+
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the last by ``order``."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import comparable, qa_course, qa_form, qa_level
 from ..functions.numbers import digits_sum
+from .enrich import last_wins
 
 BASE = ["code", "dir", "program", "level", "course", "form"]
 FIELDS = [*BASE, "budget", "paid"]
@@ -43,6 +44,22 @@ def weighted(counts: DataFrame, keys: list[str], sums: list[str], weight: str =
     return counts.groupBy(*keys).agg(*(F.sum(F.col(c) * F.col(weight)).alias(c) for c in sums))
 
 
+def differing_sums(left: DataFrame, right: DataFrame, keys: list[str], column: str, left_name: str, right_name: str) -> DataFrame:
+    """Keys that both sides have, with their sums, where those differ.
+
+    Equal rows of a side are counted first (``multiset``), then weighted; both sides go through one shuffle.
+    """
+    tagged = multiset(left.select(*keys, column, F.lit(True).alias("_left")).unionAll(right.select(*keys, column, F.lit(False).alias("_left"))), [*keys, column, "_left"])
+    weight = F.col(column) * F.col("n")
+    sums = tagged.groupBy(*keys).agg(F.sum(F.when(F.col("_left"), weight)).alias(left_name), F.sum(F.when(~F.col("_left"), weight)).alias(right_name))
+    return sums.filter(F.col(left_name) != F.col(right_name))
+
+
+def latest(register: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last record of each key in an append-only register."""
+    return last_wins(register, keys, order)
+
+
 def classify(parsed: DataFrame, expected: DataFrame, sources: DataFrame, key: str = "uni_id") -> DataFrame:
     """key, mismatches (sorted names; empty where the multisets are equal). sources: key, source_type."""
     empty = " and ".join(f"{c} = ''" for c in BASE) + " and budget = 0 and paid = 0"

@@ -53,11 +53,48 @@ def facet(df: DataFrame, column: str, ordinal: str | None = None) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.min(ordinal).alias("first_seen")).orderBy("first_seen")
 
 
+def facet_counts(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """facet, value, n of several facets (name -> column), in one pass over the table."""
+    pairs = F.array(*(F.struct(F.lit(name).alias("facet"), F.col(c).cast("string").alias("value")) for name, c in columns.items()))
+    return df.select(F.explode(pairs).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
+
+
 def keep_selection(options: Column, previous: Column) -> Column:
     """The previous choice while it is still offered, else null."""
     return F.when(F.array_contains(options, previous), previous)
 
 
+def active_table(columns: Column, rows: Column, standard_columns: Column, standard_rows: Column) -> Column:
+    """struct(columns, rows, standardized): the standardised table unless it is empty, else the raw one."""
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    use = some(standard_rows) & some(standard_columns)
+    return F.struct(F.when(use, standard_columns).otherwise(columns).alias("columns"), F.when(use, standard_rows).otherwise(rows).alias("rows"), use.alias("standardized"))
+
+
+def max_number(row: Column) -> Column:
+    """The largest number in a row's cells, 0 where there is none: a sign of places where no column is known."""
+    runs = F.flatten(F.transform(row, lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\d+"), F.lit(0))))
+    return F.coalesce(F.array_max(F.transform(runs, lambda x: x.try_cast("long"))), F.lit(0))
+
+
+def stored_or(stored: Column, computed: Column) -> Column:
+    """A stored statistic unless it is missing or 0, else the computed one."""
+    return F.coalesce(F.nullif(stored, F.lit(0)), computed)
+
+
+def only(df: DataFrame, key: str, ids: list[str] | DataFrame | None) -> DataFrame:
+    """Rows whose key is in an allow-list: a few ids, or a table of them (column ``key``); all where there is none."""
+    if ids is None:
+        return df
+    return df.filter(F.col(key).isin(ids)) if isinstance(ids, list) else df.join(ids.select(key), key, "left_semi")
+
+
+def batch(df: DataFrame, order: str, number: int, size: int = 3) -> DataFrame:
+    """The rows of one batch (from 1) of ``size`` rows by order, found as the nth smallest keys."""
+    first = df.orderBy(order).limit(number * size).select(F.col(order).alias("_first"))
+    return df.join(F.broadcast(first.orderBy(F.desc("_first")).limit(size)), df[order] == F.col("_first"), "left_semi") if number > 1 else df.orderBy(order).limit(size)
+
+
 def enum_rank(column: Column, order: list[str]) -> Column:
     """Place in a given order; unknown values come last."""
     place = F.array_position(F.array(*map(F.lit, order)), column)
@@ -70,6 +107,12 @@ def ordered(df: DataFrame, by: str, ties: list[str], numeric: bool = False, desc
     return df.orderBy(key.desc() if descending else key.asc(), *ties)
 
 
+def mixed_order(column: str) -> list[Column]:
+    """Sort keys of a column that holds numbers and texts: numbers first, by value, then texts as people expect."""
+    number = F.col(column).try_cast("double")
+    return [number.asc_nulls_last(), F.when(number.isNull(), collation_key(column)).asc_nulls_first()]
+
+
 def capped(df: DataFrame, keys: list[str], order: list[str], cap: int) -> DataFrame:
     """The first rows of each group, with ``truncated`` and the count before the cap (``row_count``)."""
     w = W.partitionBy(*keys)

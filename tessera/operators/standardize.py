@@ -1,15 +1,18 @@
 """Standardisation of a table into eight fields: code, direction, program, level, course, form, budget, paid.
 
 Field extraction, repairs and number parsing are Column expressions per row. Two steps depend on the order of a
-table's rows: merging continuation rows and carrying fields forward. They run per table in ``applyInPandas``; a table
-has at most ``cap`` rows (the cap comes first), so a group is bounded.
+table's rows: merging continuation rows and carrying fields forward. They are folds over a table's sorted rows, in
+Arrow batches; a table has at most ``cap`` rows (the cap comes first), so what a task holds is bounded.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.numbers import amount_tokens, course, course_tokens, digits_sum
 from ..functions.text import CODE, any_of, clean, is_code, is_numeric_cell, is_summary, level_from_code, split_code
@@ -20,9 +23,29 @@ MAX_ROWS = 1200
 TEXT = ["code", "direction", "program"]
 
 
-def merge_continuations(pdf: pd.DataFrame) -> pd.DataFrame:
+def fold(df: DataFrame, key: str, step: Callable[[list[dict]], list[dict]]) -> DataFrame:
+    """``step`` over each table's rows in order; the columns stay. A task holds one table's rows and one batch."""
+    names, schema = df.columns, df.schema
+
+    def run(batches):
+        held: list[dict] = []
+        for b in batches:
+            out: list[dict] = []
+            for r in b.to_pylist():
+                if held and held[-1][key] != r[key]:
+                    out += step(held)
+                    held = []
+                held.append(r)
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+        if held:
+            yield pa.RecordBatch.from_pylist(step(held), schema=arrow)
+
+    arrow = to_arrow_schema(schema)
+    return df.repartition(key).sortWithinPartitions(key, "pos").select(*names).mapInArrow(run, schema)
+
+
+def merge_continuations(rows: list[dict]) -> list[dict]:
     """Rows with text but neither code nor other cells go into the next row if that lacks text, else the one before."""
-    rows = pdf.sort_values("pos").to_dict("records")
     out: list[dict] = []
     for k, r in enumerate(rows):
         if r["code"] or not (r["direction"] or r["program"]) or r["has_other"]:
@@ -34,16 +57,15 @@ def merge_continuations(pdf: pd.DataFrame) -> pd.DataFrame:
         for f in ("direction", "program") if target else ():
             if r[f]:
                 target[f] = " ".join(x for x in ((r[f], target[f]) if ahead else (target[f], r[f])) if x)
-    return pd.DataFrame(out, columns=pdf.columns)
+    return out
 
 
-def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+def carry(rows: list[dict]) -> list[dict]:
     """Fill fields from the last accepted row, and the course within one code and direction.
 
     A row takes them only if it has a payload. Rows that turn out to be noise leave what is carried as it was, but
     for tables with course groups and rows with several courses, where it always follows.
     """
-    rows = pdf.sort_values("pos").to_dict("records")
     context = dict.fromkeys(["code", "direction", "program", "level", "course"], "")
     for r in rows:
         if r["payload"] and context["direction"]:
@@ -62,7 +84,7 @@ def carry(pdf: pd.DataFrame) -> pd.DataFrame:
         kept = any(own.values()) or r["course"] or r["form"] or r["amount"]
         if kept and any(own.values()) and not noisy(r):
             context = own | {"course": r["course"]}
-    return pd.DataFrame(rows, columns=pdf.columns)
+    return rows
 
 
 #: What a text over 200 characters holds if it is a page's menu, and headings that fill whole rows.
@@ -94,12 +116,12 @@ def noisy(r: dict) -> bool:
     full = [r[f] for f in ("code", "direction", "program", "level", "course", "form") if r[f]]
     low = [x.lower() for x in full]
     summary = lambda x: x in ("-", "—", "–") or x.startswith(("итог", "всего")) or ("все" in x and "курс" in x)
-    code = lambda x: bool(re.fullmatch(CODE, x))
+    code = lambda x: bool(re.fullmatch(CODE, x, re.ASCII))
     if any(map(summary, low)) or (len(full) >= 2 and len(set(low)) == 1 and not code(full[0])):
         return True
-    if sum(bool(re.fullmatch(r"\d+(\.\d+)?", x)) for x in full) >= 3 and not code(r["code"]):
+    if sum(bool(re.fullmatch(r"\d+(\.\d+)?", x, re.ASCII)) for x in full) >= 3 and not code(r["code"]):
         return True
-    if r["course"] and not r["course"].isdigit() and "курс" in r["course"].lower():
+    if r["course"] and not re.fullmatch(r"\d+", r["course"], re.ASCII) and "курс" in r["course"].lower():
         return True
     text = r["direction"].lower()
     if full == [r["direction"]] and len(text) > 200 and (sum(w in text for w in MENU_WORDS) >= 3 or any(w in text for w in PAGE_WORDS)):
@@ -108,16 +130,25 @@ def noisy(r: dict) -> bool:
     return any(others.count(x) >= 3 and (any(h in x for h in HEADINGS) or x.startswith(tuple(HEADING_STARTS))) for x in others)
 
 
+def cut_rows(tables: DataFrame, cap: int = MAX_ROWS) -> DataFrame:
+    """The tables with at most ``cap`` rows each, ``row_count`` (before the cut) and ``truncated``."""
+    n = F.coalesce(F.size("rows"), F.lit(0))
+    return tables.withColumn("row_count", n).withColumn("truncated", n > cap).withColumn("rows", F.slice("rows", 1, cap))
+
+
 def standardize(tables: DataFrame, key: str = "table_id", cap: int = MAX_ROWS) -> DataFrame:
-    """key, pos, sub (place within an expanded row) and the eight fields of every kept row. tables: key, columns, rows."""
-    capped = tables.select(key, "columns", F.slice("rows", 1, cap).alias("rows"))
+    """key, pos, sub (place within an expanded row) and the eight fields of every kept row. tables: key, columns, rows.
+
+    ``cut_rows`` says which tables have more than ``cap`` rows.
+    """
+    capped = cut_rows(tables, cap).select(key, "columns", "rows")
     rows = with_roles(capped).select(key, "roles", F.posexplode("rows").alias("pos", "cells"))
     at = lambda f: clean(F.get("cells", F.col(f"roles.{f}")))
     key_places = F.array(*(F.col(f"roles.{f}") for f in TEXT))
     other = F.exists(F.transform("cells", lambda c, i: (clean(c) != "") & ~F.coalesce(F.array_contains(F.array_compact(key_places), i), F.lit(False))), lambda x: x)
     rows = rows.select(key, "pos", "roles", "cells", *(at(f).alias(f) for f in TEXT), other.alias("has_other"))
     texts = rows.select(key, "pos", *TEXT, "has_other")
-    merged = texts.groupBy(key).applyInPandas(merge_continuations, texts.schema)
+    merged = fold(texts, key, merge_continuations)
     rows = merged.drop("has_other").join(rows.select(key, "pos", "roles", "cells"), [key, "pos"])
 
     # Repairs.
@@ -169,7 +200,7 @@ def standardize(tables: DataFrame, key: str = "table_id", cap: int = MAX_ROWS) -
 
     columns = [key, "pos", "code", "direction", "program", "level", "course", "form", "payload", "amount", "many", "last_course"]
     rows = rows.select(*columns, "parts")
-    carried = rows.groupBy(key).applyInPandas(carry, rows.schema)
+    carried = fold(rows, key, carry)
     out = carried.select(key, "pos", "code", "direction", "program", "level", F.col("course").alias("_own"), "form", F.posexplode("parts").alias("sub", "part"))
     out = out.withColumn("course", F.coalesce("part.course", "_own"))
     out = out.filter((F.concat("code", "direction", "program", "level", "course", "form") != "") | (F.col("part.budget") > 0) | (F.col("part.paid") > 0))

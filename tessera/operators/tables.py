@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import CODE, LEVEL_WORDS, any_of, clean, form_literal, header, looks_like_form, looks_like_level
+from ..functions.text import CODE, LEVEL_WORDS, any_of, clean, collapse_duplicates, form_literal, header, looks_like_form, looks_like_level
 
 #: Word lists of the scoring rules.
 TABLE_WORDS = ["вакант", "мест", "бюджет", "направлен", "специальн", "курс", "очная", "заочная", "колич", "финанс", "обуч"]
@@ -200,14 +200,16 @@ def row_similarity(a: Column, b: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+    """Of two sets (arrays without repeats)."""
+    shared = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - shared
+    return F.when(union > 0, shared / union).otherwise(0.0)
 
 
 def header_similarity(a: Column, b: Column) -> Column:
     x, y = F.transform(a, header), F.transform(b, header)
     full = lambda v: F.filter(v, lambda s: s != "")
-    return F.greatest(row_similarity(x, y), jaccard(full(x), full(y)))
+    return F.greatest(row_similarity(x, y), jaccard(F.array_distinct(full(x)), F.array_distinct(full(y))))
 
 
 def best_table(tables: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -225,19 +227,21 @@ def merge_similar(tables: DataFrame, keys: list[str], order: str, least: float =
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("score").desc(), order))
     anchors = tables.withColumn("_rank", rank).filter("_rank = 1").select(*keys, F.col("columns").alias("anchor"))
     near = tables.join(anchors, keys).filter(header_similarity(F.col("anchor"), F.col("columns")) >= least)
-    rows = near.select(*keys, "anchor", "columns", "score", order, F.posexplode("rows").alias("_at", "row"))
     kinds = lambda c: F.transform(c, header_kind)
-    source, target = kinds(F.col("columns")), kinds(F.col("anchor"))
-
-    def target_place(i: Column) -> Column:
-        kind = F.get(source, i)
-        by_kind = F.filter(F.transform(F.col("anchor"), lambda c, j: F.when(F.get(target, j) == kind, F.struct(align_points(F.get(F.col("columns"), i), c).alias("p"), (-j).alias("j")))), lambda x: x.isNotNull())
-        return F.coalesce(-F.array_max(by_kind)["j"], i)
-
-    placed = F.transform(F.col("row"), lambda v, i: F.struct(target_place(i).alias("to"), clean(v).alias("v")))
-    aligned = F.transform(F.col("anchor"), lambda _, j: F.array_join(F.array_distinct(F.transform(F.filter(placed, lambda p: (p["to"] == j) & (p["v"] != "")), lambda p: p["v"])), " "))
-    same = F.size("columns") == F.size("anchor")
-    rows = rows.withColumn("row", F.when(same, F.transform("row", clean)).otherwise(aligned))
+    near = near.withColumns({"_source": kinds(F.col("columns")), "_target": kinds(F.col("anchor"))})
+
+    def target_place(c: Column, i: Column) -> Column:
+        alike = F.filter(F.sequence(F.lit(0), F.size("anchor") - 1), lambda j: F.get("_target", j) == F.get("_source", i))
+        points = F.transform(alike, lambda j: F.struct(align_points(c, F.get("anchor", j)).alias("p"), (-j).alias("j")))
+        return F.coalesce(-F.array_max(points)["j"], i)
+
+    # Where each column goes is worked out once a table, before its rows are taken apart.
+    near = near.withColumn("_to", F.transform("columns", target_place)).withColumn("_same", F.size("columns") == F.size("anchor"))
+    rows = near.select(*keys, "anchor", "_to", "_same", "score", order, F.posexplode("rows").alias("_at", "row"))
+    rows = rows.withColumn("row", F.transform("row", clean))
+    goes = lambda j: F.filter("row", lambda v, i: (F.get("_to", i) == j) & (v != ""))
+    aligned = F.transform("anchor", lambda _, j: F.array_join(F.array_distinct(goes(j)), " "))
+    rows = rows.withColumn("row", F.when(F.col("_same"), F.col("row")).otherwise(aligned))
     rows = rows.filter(F.exists("row", lambda v: v != "")).filter(row_similarity(F.col("row"), F.col("anchor")) <= 0.8)
     first = rows.groupBy(*keys, "anchor", "row").agg(F.min(F.struct(order, "_at")).alias("first"), F.max("score").alias("score"))
     return first.groupBy(*keys, F.col("anchor").alias("columns")).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "row"))), lambda r: r["row"]).alias("rows"), F.max("score").alias("score"))
@@ -253,6 +257,19 @@ def align_points(a: Column, b: Column) -> Column:
     return reduce(lambda p, q: p + q, shared) + F.when(x == y, 3).otherwise(0)
 
 
+def merge_runs(df: DataFrame, keys: list[str], order: str, by: str, text: str) -> DataFrame:
+    """Neighbouring rows with the same ``by`` as one: keys, least order, by, n, and their texts joined by blanks."""
+    w = W.partitionBy(*keys).orderBy(order)
+    marked = df.withColumn("_new", F.when(F.col(by) == F.lag(by).over(w), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ")
+    return marked.groupBy(*keys, "_run").agg(F.min(order).alias(order), F.min(by).alias(by), F.count("*").alias("n"), joined.alias(text)).drop("_run")
+
+
+def unpivot(df: DataFrame, keys: list[str], columns: list[str], place: str, value: str) -> DataFrame:
+    """Wide to long: a row for each column, with its place from 1. Zeros stay."""
+    return df.select(*keys, F.posexplode(F.array(*columns)).alias("_at", value)).select(*keys, (F.col("_at") + 1).alias(place), value)
+
+
 def unique_headers(columns: DataFrame, keys: list[str], place: str, name: str) -> DataFrame:
     """Repeated header names get a running number from the second on."""
     n = F.row_number().over(W.partitionBy(*keys, name).orderBy(place))
@@ -289,3 +306,78 @@ def with_inferred_names(tables: DataFrame) -> DataFrame:
     layout = F.array(*map(F.lit, WIDE_FIELDS + [f"{k} курс — {fund}" for k in range(1, 6) for fund in WIDE_FUNDS]))
     named = F.transform(cols, lambda c, i: F.when(F.trim(c).rlike(GENERIC), F.coalesce(inferred_name(F.transform(rows, lambda r: F.get(r, i))), c)).otherwise(c))
     return tables.withColumn("columns", F.when(F.size(rows) == 0, cols).when(F.coalesce(wide, F.lit(False)), layout).otherwise(named))
+
+
+#: What a header row holds, and what a block of signatures.
+HEADER_HINTS = ["код", "наименован", "направлен", "специальн", "форма", "курс", "уровень", "бюджет"]
+SIGNATURE_HINTS = ["документ подписан", "уникальный программный ключ", "должность"]
+
+
+def generic_name(i: Column) -> Column:
+    return F.concat(F.lit("Колонка "), (i + 1).cast("string"))
+
+
+def data_start(rows: Column) -> Column:
+    """The place (from 0) of the first of 12 rows that holds a code, else null."""
+    place = F.array_position(F.transform(F.slice(rows, 1, 12), lambda r: F.array_join(r, " ").rlike(rf"\b{CODE}\b")), True)
+    return F.when(place > 0, (place - 1).cast("int"))
+
+
+def joined_headers(rows: Column, width: Column) -> Column:
+    """Each column's distinct header parts, joined by slashes; generic names where there are none."""
+
+    def name(i: Column) -> Column:
+        parts = F.filter(F.transform(rows, lambda r: collapse_duplicates(F.get(r, i))), lambda x: x != "")
+        return F.when(F.size(parts) > 0, F.array_join(F.array_distinct(parts), " / ")).otherwise(generic_name(i))
+
+    return F.transform(F.sequence(F.lit(0), width - 1), name)
+
+
+def numbered_names(names: Column) -> Column:
+    """Repeated names get a running number from the second on."""
+    seen = lambda i, x: _count(F.slice(names, F.lit(1), i + 1), lambda y: y == x)
+    return F.transform(names, lambda x, i: F.when(seen(i, x) > 1, F.concat(x, F.lit(" ("), seen(i, x).cast("string"), F.lit(")"))).otherwise(x))
+
+
+def normalized(tables: DataFrame, matrix: str = "matrix") -> DataFrame:
+    """The tables with ``columns`` and ``rows`` in place of their matrix; those of fewer than two rows go.
+
+    Headers may take several rows (those before the first code), be missing (a code in the first row, or a block of
+    signatures), or stand in the first data row. Echoes of the header and empty columns go, repeated names get
+    numbers, and generic names follow what their columns hold.
+    """
+    kept = F.filter(F.transform(matrix, lambda r: F.transform(r, clean)), lambda r: F.exists(r, lambda c: c != ""))
+    t = tables.withColumn("_rows", kept).filter(F.size("_rows") > 1).withColumn("_width", F.array_max(F.transform("_rows", F.size)))
+    t = t.withColumn("_rows", F.transform("_rows", lambda r: F.concat(r, F.array_repeat(F.lit(""), F.col("_width") - F.size(r)))))
+    rest = lambda rows, n: F.slice(rows, n + 1, F.greatest(F.size(rows) - n, F.lit(0)))  # noqa: E731  without the first n
+    start = F.col("_start")
+    t = t.withColumn("_start", data_start(F.col("_rows")))
+    t = t.withColumns(
+        {
+            "columns": F.when(start > 0, joined_headers(F.slice("_rows", F.lit(1), start), F.col("_width"))).when(start == 0, F.transform(F.sequence(F.lit(0), F.col("_width") - 1), generic_name)).otherwise(F.get("_rows", F.lit(0))),
+            "rows": rest(F.col("_rows"), F.coalesce(start, F.lit(1))),
+        }
+    )
+    generic = F.transform(F.sequence(F.lit(0), F.col("_width") - 1), generic_name)
+    signed = any_of(F.lower(_blob(F.col("_rows"), 4)), SIGNATURE_HINTS)
+    t = t.withColumn("columns", F.when(signed, generic).otherwise(F.col("columns")))
+    unnamed = _count(F.col("columns"), lambda c: F.trim(c).rlike(GENERIC)) >= F.greatest(F.lit(2), F.floor(F.col("_width") / 2))
+    promote = (F.size("rows") > 0) & unnamed & any_of(F.lower(F.array_join(F.get("rows", F.lit(0)), " ")), HEADER_HINTS)
+    t = t.withColumn("_promote", F.coalesce(promote, F.lit(False)))
+    t = t.withColumns({"columns": F.when(F.col("_promote"), F.get("rows", F.lit(0))).otherwise(F.col("columns")), "rows": F.when(F.col("_promote"), rest(F.col("rows"), F.lit(1))).otherwise(F.col("rows"))})
+    names = F.transform("columns", lambda c, i: F.coalesce(F.nullif(collapse_duplicates(c), F.lit("")), generic_name(i)))
+    t = t.withColumn("columns", names).withColumn("columns", numbered_names(F.col("columns")))
+    echo = (F.size("rows") > 0) & (row_similarity(F.get("rows", F.lit(0)), F.col("columns")) > 0.7)
+    t = t.withColumn("rows", F.when(F.coalesce(echo, F.lit(False)), rest(F.col("rows"), F.lit(1))).otherwise(F.col("rows")))
+    places = F.filter(F.sequence(F.lit(0), F.col("_width") - 1), lambda i: F.exists("rows", lambda r: F.get(r, i) != ""))
+    t = t.withColumn("_keep", places)
+    only = lambda xs: F.when(F.size("_keep") > 0, F.transform("_keep", lambda i: F.get(xs, i))).otherwise(xs)
+    t = t.withColumns({"columns": only(F.col("columns")), "rows": F.transform("rows", only)})
+    return with_inferred_names(t.drop(matrix, "_rows", "_width", "_start", "_promote", "_keep"))
+
+
+def best_by_base(tables: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of each key's sheets or files the one of the highest base score, the first of equals; layouts are not told apart."""
+    scored = tables.withColumn("score", base_score(F.col("columns"), F.col("rows")))
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("score").desc(), *order))
+    return scored.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")

@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, normalize, numbers, text
-from ..operators import enrich, reconcile, search, tables, timeline
-from ..operators.standardize import standardize as standardize_tables
-from ..sources import html_tables
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
+from ..operators import enrich, reconcile, search, tables
+from ..sources import documents, html_tables
+from ..streaming import refresh as streams
+from .registry import ORACLE_SQL, QUERIES, query, table
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
@@ -64,17 +46,6 @@ def search_global(spark, d):
     return asked().shown(_orders(spark, d))
 
 
-@query(f"SELECT count(*)::BIGINT AS n, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM ({FOUND_SQL})")
-def search_totals(spark, d):
-    """Totals over all matching rows, before any limit."""
-    return asked().rows(_orders(spark, d)).agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("total"))
-
-
-@query("SELECT 'brand' AS facet, p_brand AS value, count(*)::BIGINT AS n FROM part GROUP BY p_brand UNION ALL SELECT 'type', p_type, count(*)::BIGINT FROM part GROUP BY p_type UNION ALL SELECT 'size', p_size::VARCHAR, count(*)::BIGINT FROM part GROUP BY p_size")
-def facets(spark, d):
-    """Facet values with their counts, all facets in one pass over the table."""
-    pairs = F.array(*(F.struct(F.lit(n).alias("facet"), F.col(c).cast("string").alias("value")) for n, c in (("brand", "p_brand"), ("type", "p_type"), ("size", "p_size"))))
-    return table(spark, d, "part").select(F.explode(pairs).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_type AS value, min(p_partkey) AS first_seen FROM part GROUP BY p_type")
@@ -90,14 +61,6 @@ def seat_filters(spark, d):
     return df.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
 
 
-@query("""SELECT c_custkey, coalesce(nullif(n_name, ''), 'unknown') AS country, coalesce(nullif(r_name, ''), 'unknown') AS region
-FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 3 <> 0 LEFT JOIN region ON n_regionkey = r_regionkey""")
-def left_enrich(spark, d):
-    """Two left joins with defaults; a third of the nations is missing from the build side."""
-    n = table(spark, d, "nation").filter("n_nationkey % 3 <> 0")
-    joined = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return joined.select("c_custkey", enrich.first_text(F.col("n_name"), F.lit("unknown")).alias("country"), enrich.first_text(F.col("r_name"), F.lit("unknown")).alias("region"))
-
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey = 3 THEN 'Third' WHEN s_name = (SELECT s_name FROM supplier WHERE s_suppkey = 5) THEN 'Fifth' ELSE s_name END AS s_name, s_acctbal FROM supplier""")
 def override_by_id_or_name(spark, d):
@@ -156,54 +119,6 @@ def multiset_diff(spark, d):
     return reconcile.multiset_diff(a, b, ["l_partkey", "l_quantity"])
 
 
-@query("""WITH a AS (SELECT l_suppkey, l_returnflag, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL),
-b AS (SELECT l_suppkey, l_returnflag, sum(CASE WHEN l_linenumber = 7 THEN l_quantity + 1 ELSE l_quantity END)::BIGINT AS q FROM lineitem GROUP BY ALL)
-SELECT l_suppkey, l_returnflag, a.q AS expected, b.q AS parsed FROM a JOIN b USING (l_suppkey, l_returnflag) WHERE a.q <> b.q""")
-def weighted_recon(spark, d):
-    """Counts to weighted sums over fewer keys, then shared keys with different sums."""
-    li = table(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("long"))
-
-    def sums(df, name):
-        counts = reconcile.multiset(df, ["l_suppkey", "l_returnflag", "q"])
-        return reconcile.weighted(counts, ["l_suppkey", "l_returnflag"], ["q"]).withColumnRenamed("q", name)
-
-    changed = li.withColumn("q", F.when(F.col("l_linenumber") == 7, F.col("q") + 1).otherwise(F.col("q")))
-    return sums(li, "expected").join(sums(changed, "parsed"), ["l_suppkey", "l_returnflag"]).filter("expected <> parsed")
-
-
-@query("""SELECT event_id, user_id, last_value(CASE WHEN event_id % 3 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM events""")
-def carry_forward(spark, d):
-    """The last known value of a column with gaps."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    known = F.when(F.col("event_id") % 3 == 0, F.col("event_type"))
-    return table(spark, d, "events").select("event_id", "user_id", F.last(known, ignorenulls=True).over(w).alias("carried"))
-
-
-@query("""WITH f AS (SELECT *, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM f)
-SELECT conv_id, min(turn) AS turn, min(role) AS role, count(*)::BIGINT AS n, string_agg(text, ' ' ORDER BY turn) AS text FROM g GROUP BY conv_id, run""")
-def continuation_merge(spark, d):
-    """Neighbouring rows of one role become one row."""
-    w = W.partitionBy("conv_id").orderBy("turn")
-    new = F.when(F.col("role") == F.lag("role").over(w), 0).otherwise(1)
-    runs = table(spark, d, "conversations").withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ")
-    return runs.groupBy("conv_id", "run").agg(F.min("turn").alias("turn"), F.min("role").alias("role"), F.count("*").alias("n"), joined.alias("text")).drop("run")
-
-
-@query("""SELECT l_orderkey, l_linenumber, 1 AS course, l_quantity AS amount FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 2, l_tax FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 3, l_discount FROM lineitem""")
-def unpivot_courses(spark, d):
-    """Wide to long; rows of zero stay."""
-    amounts = F.posexplode(F.array("l_quantity", "l_tax", "l_discount")).alias("i", "amount")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", amounts).select("l_orderkey", "l_linenumber", (F.col("i") + 1).alias("course"), "amount")
-
-
-@query("""WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM t)
-SELECT w[i] AS token, count(*)::BIGINT AS n, min(i)::BIGINT AS first_place FROM u GROUP BY w[i]""")
-def multivalue_explode(spark, d):
-    """Every text's tokens with their places, counted."""
-    rows = table(spark, d, "documents").select(F.posexplode(F.split("text", " ")).alias("i", "token"))
-    return rows.groupBy("token").agg(F.count("*").alias("n"), (F.min("i") + 1).cast("long").alias("first_place"))
 
 
 @query("""SELECT l_suppkey, l_orderkey, l_linenumber, rn, row_count, truncated FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber)::INTEGER AS rn,
@@ -223,11 +138,6 @@ def topk_enum_order(spark, d):
     return df.orderBy(search.enum_rank(F.col("o_orderpriority"), PRIORITIES), "o_orderkey").limit(500)
 
 
-@query("""SELECT p_partkey, CASE WHEN n > 1 THEN p_name || ' (' || n || ')' ELSE p_name END AS unique_name FROM (SELECT p_partkey, substr(p_name, 1, 6) AS p_name, row_number() OVER (PARTITION BY p_brand, substr(p_name, 1, 6) ORDER BY p_partkey) AS n FROM part)""")
-def header_dup_suffix(spark, d):
-    df = table(spark, d, "part").select("p_partkey", "p_brand", F.substring("p_name", 1, 6).alias("p_name"))
-    return tables.unique_headers(df, ["p_brand"], "p_partkey", "p_name").select("p_partkey", "unique_name")
-
 
 @query("""SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn = 1""")
 def argmax_first(spark, d):
@@ -235,11 +145,6 @@ def argmax_first(spark, d):
     return df.select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("""SELECT source, round(avg(CASE WHEN regexp_matches(text, '[0-9]') THEN 1.0 ELSE 0.0 END), 6) AS digits, round(avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0.0 END), 6) AS long FROM documents GROUP BY source""")
-def value_ratio(spark, d):
-    share = lambda c, n: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6).alias(n)
-    return table(spark, d, "documents").groupBy("source").agg(share(F.col("text").rlike("[0-9]"), "digits"), share(F.col("n_chars") > 1000, "long"))
-
 
 @query("""WITH t AS (SELECT event_id, list_transform(regexp_extract_all(props, '[0-9]{1,9}'), lambda x: x::BIGINT) AS v FROM events)
 SELECT event_id, (CASE WHEN len(list_distinct(v)) = 1 THEN v[1] ELSE coalesce(list_sum(v), 0) END)::BIGINT AS number FROM t""")
@@ -262,18 +167,6 @@ def collapse_duplicates(spark, d):
     return twice.union(p.select(-F.col("p_partkey"), text.collapse_duplicates(F.concat("p_name", F.lit(" x")))))
 
 
-@query("""WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, ';', chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS v FROM documents)
-SELECT doc_id, len(v)::INTEGER AS n FROM t""")
-def split_items(spark, d):
-    """Chunks between semicolons and line breaks."""
-    chunks = F.filter(F.transform(F.split("text", "[;\n]"), lambda x: F.trim(x)), lambda x: x != "")
-    return table(spark, d, "documents").select("doc_id", F.size(chunks).alias("n"))
-
-
-@query("""SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.k') AS k FROM events""")
-def json_props(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.page").alias("page"), F.get_json_object("props", "$.k").alias("k"))
-
 
 @query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(html, '(?i)https?://[^\s<>\]\)\};,]+') AS first_url FROM pages""")
 def url_parts(spark, d):
@@ -291,27 +184,6 @@ def html_links_top10(spark, d):
     return rows.withColumn("rank", rank).filter("rank <= 10").select("page_id", "href", "n", "rank")
 
 
-@query()
-def download_links(spark, d):
-    """Scored download links; the driver's pages have no such files, so two words of theirs stand in."""
-    return html_tables.download_links(table(spark, d, "pages"), words=["the", "de"])
-
-
-@query(r"""SELECT page_id, round(len(regexp_extract_all(html, '[0-9]')) / greatest(length(html), 1)::DOUBLE, 6) AS digit_ratio, len(regexp_extract_all(html, '<a '))::INTEGER AS anchors, len(regexp_extract_all(html, '<p>'))::INTEGER AS paragraphs FROM pages""")
-def html_text_metrics(spark, d):
-    n = lambda p: F.regexp_count("html", F.lit(p))
-    return table(spark, d, "pages").select("page_id", F.round(n("[0-9]") / F.greatest(F.length("html"), F.lit(1)), 6).alias("digit_ratio"), n("<a ").alias("anchors"), n("<p>").alias("paragraphs"))
-
-
-@query("""WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split(regexp_replace(text, '[\n\t\r]', ' ', 'g'), ' '), lambda x: x <> '')) AS w FROM documents),
-p AS (SELECT a.doc_id, a.w AS x, b.w AS y FROM t a JOIN t b ON b.doc_id = a.doc_id + 1)
-SELECT doc_id, round(CASE WHEN len(list_distinct(x || y)) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(x || y))::DOUBLE ELSE 0 END, 6) AS similarity FROM p""")
-def header_jaccard(spark, d):
-    """Word Jaccard of each document and the next one."""
-    words = F.array_distinct(F.filter(F.split(F.regexp_replace("text", "[\n\t\r]", " "), " "), lambda x: x != ""))
-    t = table(spark, d, "documents").select("doc_id", words.alias("w"))
-    n = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("y"))
-    return t.join(n, "doc_id").select("doc_id", F.round(tables.jaccard(F.col("w"), F.col("y")), 6).alias("similarity"))
 
 
 @query("""WITH t AS (SELECT o_orderkey, month(o_orderdate) - 1 AS sm, day(o_orderdate) AS sd, (month(o_orderdate) + 1) % 12 AS em, 15 AS ed FROM orders),
@@ -324,38 +196,18 @@ def interval_current(spark, d):
     return o.select("o_orderkey", dates.is_current(sm, F.dayofmonth("o_orderdate"), em, F.lit(15), F.lit(0), F.lit(20)).alias("current"))
 
 
-@query("""SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
-def windowed_counts(spark, d):
-    """The batch form of the streaming counts."""
-    w = F.window(F.col("ts").cast("timestamp"), "1 hour")
-    out = table(spark, d, "events").groupBy(w, "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
-
-
-#: Texts with known results, for what the driver's tables hold nothing of.
-DATES = ["20.06 – 29.08 (бюджет)", "8 декабря – 25 января", "1–14 июня; доп. период", "До 10 сентября 18:00", "До 20 января", "Июль–август", "Декабрь и июнь (1–15 числа)", "1–14 май"]
-
-
-@query()
-def ru_dates(spark, d):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(DATES)], "id int, summer string").withColumn("winter", F.col("summer"))
-    df = df.withColumns({"vacPubSummer": F.lit("1 июля – 5 июля"), "vacPubWinter": F.lit("")})
-    rows = timeline.timeline(df)
-    return rows.select("id", "wave", "parsed.*", "pub_month", "pub_day", "sort_key")
-
-
-@query()
-def mojibake(spark, d):
-    df = spark.createDataFrame([("РђРІС‚РѕРј",), ("Магистратура",), ("café",), ("СПбГУ 5",)], "raw string")
-    return df.select("raw", text.recover_mojibake("raw").alias("safe"), text.recover_mojibake("raw", safe=False).alias("compat"))
+@query("""WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM t)
+SELECT w[i] AS token, count(*)::BIGINT AS n, min(i)::BIGINT AS first_place FROM u GROUP BY w[i]""")
+def multivalue_explode(spark, d):
+    """Every text's tokens with their places, counted."""
+    rows = table(spark, d, "documents").select(F.posexplode(F.split("text", " ")).alias("i", "token"))
+    return rows.groupBy("token").agg(F.count("*").alias("n"), (F.min("i") + 1).cast("long").alias("first_place"))
 
 
-@query()
-def standardize(spark, d):
-    """A table of 65 rows by six course columns gives 390 rows."""
-    names = ["Подразделение", "Код и наименование направления", *(f"{k} курс" for k in range(1, 7))]
-    cells = [["Ф", f"01.03.{i % 9 + 1:02d} Направление {i}", *(str((i + k) % 4) for k in range(6))] for i in range(65)]
-    return standardize_tables(spark.createDataFrame([("t", names, cells)], "table_id string, columns array<string>, rows array<array<string>>"))
+@query(r"""SELECT page_id, round(len(regexp_extract_all(html, '[0-9]')) / greatest(length(html), 1)::DOUBLE, 6) AS digit_ratio, len(regexp_extract_all(html, '<a '))::INTEGER AS anchors, len(regexp_extract_all(html, '<p>'))::INTEGER AS paragraphs FROM pages""")
+def html_text_metrics(spark, d):
+    n = lambda p: F.regexp_count("html", F.lit(p))
+    return table(spark, d, "pages").select("page_id", F.round(n("[0-9]") / F.greatest(F.length("html"), F.lit(1)), 6).alias("digit_ratio"), n("<a ").alias("anchors"), n("<p>").alias("paragraphs"))
 
 
 @query("""SELECT level, form, course, count(*)::BIGINT AS n FROM (SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'бакалавриат' WHEN 'AUTOMOBILE' THEN 'высшее' ELSE lower(c_mktsegment) END AS level,
@@ -367,3 +219,105 @@ def normalized_levels(spark, d):
     course = F.concat((F.col("c_custkey") % 6).cast("string"), F.when(F.col("c_custkey") % 6 == 0, "").otherwise(" курс"))
     df = table(spark, d, "customer").select(normalize.ui_level(raw).alias("level"), normalize.ui_form(form).alias("form"), normalize.ui_course(course).alias("course"))
     return df.groupBy("level", "form", "course").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT source, round(avg(CASE WHEN regexp_matches(text, '[0-9]') THEN 1.0 ELSE 0.0 END), 6) AS digits, round(avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0.0 END), 6) AS long FROM documents GROUP BY source""")
+def value_ratio(spark, d):
+    share = lambda c, n: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6).alias(n)
+    return table(spark, d, "documents").groupBy("source").agg(share(F.col("text").rlike("[0-9]"), "digits"), share(F.col("n_chars") > 1000, "long"))
+
+
+@query(f"SELECT count(*)::BIGINT AS n, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM ({FOUND_SQL})")
+def search_totals(spark, d):
+    """Totals over all matching rows, before any limit."""
+    rows = asked().rows(_orders(spark, d)).withColumn("one", F.lit(1))
+    return search.totals(rows, {"n": "one", "total": "o_totalprice"}).select("n", F.round(F.col("total").cast("double"), 2).alias("total"))
+
+
+@query("SELECT 'brand' AS facet, p_brand AS value, count(*)::BIGINT AS n FROM part GROUP BY p_brand UNION ALL SELECT 'type', p_type, count(*)::BIGINT FROM part GROUP BY p_type UNION ALL SELECT 'size', p_size::VARCHAR, count(*)::BIGINT FROM part GROUP BY p_size")
+def facets(spark, d):
+    """Facet values with their counts, all facets in one pass over the table."""
+    return search.facet_counts(table(spark, d, "part"), {"brand": "p_brand", "type": "p_type", "size": "p_size"})
+
+
+@query("""SELECT c_custkey, coalesce(nullif(n_name, ''), 'unknown') AS country, coalesce(nullif(r_name, ''), 'unknown') AS region
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 3 <> 0 LEFT JOIN region ON n_regionkey = r_regionkey""")
+def left_enrich(spark, d):
+    """Two left joins with defaults; a third of the nations is missing from the build side."""
+    n = table(spark, d, "nation").filter("n_nationkey % 3 <> 0")
+    named = enrich.look_up(table(spark, d, "customer"), n, "c_nationkey", "n_nationkey", {"country": ("n_name", "unknown")}, keep=["n_regionkey"])
+    named = enrich.look_up(named, table(spark, d, "region"), "n_regionkey", "r_regionkey", {"region": ("r_name", "unknown")})
+    return named.select("c_custkey", "country", "region")
+
+
+@query("""WITH a AS (SELECT l_suppkey, l_returnflag, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL),
+b AS (SELECT l_suppkey, l_returnflag, sum(CASE WHEN l_linenumber = 7 THEN l_quantity + 1 ELSE l_quantity END)::BIGINT AS q FROM lineitem GROUP BY ALL)
+SELECT l_suppkey, l_returnflag, a.q AS expected, b.q AS parsed FROM a JOIN b USING (l_suppkey, l_returnflag) WHERE a.q <> b.q""")
+def weighted_recon(spark, d):
+    """Counts to weighted sums over fewer keys, then shared keys with different sums; one pass over either side."""
+    li = table(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("long"))
+    changed = li.withColumn("q", F.when(F.col("l_linenumber") == 7, F.col("q") + 1).otherwise(F.col("q")))
+    return reconcile.differing_sums(li, changed, ["l_suppkey", "l_returnflag"], "q", "expected", "parsed")
+
+
+@query("""SELECT event_id, user_id, last_value(CASE WHEN event_id % 3 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM events""")
+def carry_forward(spark, d):
+    """The last known value of a column with gaps."""
+    known = F.when(F.col("event_id") % 3 == 0, F.col("event_type"))
+    return enrich.last_known(table(spark, d, "events").withColumn("carried", known), ["user_id"], ["ts", "event_id"], "carried").select("event_id", "user_id", "carried")
+
+
+@query("""WITH f AS (SELECT *, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM f)
+SELECT conv_id, min(turn) AS turn, min(role) AS role, count(*)::BIGINT AS n, string_agg(text, ' ' ORDER BY turn) AS text FROM g GROUP BY conv_id, run""")
+def continuation_merge(spark, d):
+    """Neighbouring rows of one role become one row."""
+    return tables.merge_runs(table(spark, d, "conversations"), ["conv_id"], "turn", "role", "text")
+
+
+@query("""SELECT l_orderkey, l_linenumber, 1 AS course, l_quantity AS amount FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 2, l_tax FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 3, l_discount FROM lineitem""")
+def unpivot_courses(spark, d):
+    """Wide to long; rows of zero stay."""
+    return tables.unpivot(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_quantity", "l_tax", "l_discount"], "course", "amount")
+
+
+@query("""SELECT p_partkey, CASE WHEN n > 1 THEN p_name || ' (' || n || ')' ELSE p_name END AS unique_name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS n FROM part)""")
+def header_dup_suffix(spark, d):
+    return tables.unique_headers(table(spark, d, "part"), ["p_brand"], "p_partkey", "p_name").select("p_partkey", "unique_name")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN [p_name, p_type] WHEN 1 THEN [p_name, p_type, p_brand] WHEN 2 THEN [p_name, p_brand] WHEN 3 THEN ['1. ' || p_name] [2:1] ELSE [p_name, '1. ' || p_type || ' 2.'] END AS items FROM part""")
+def split_items(spark, d):
+    """Numbered items, chunks between semicolons, bullets; one chunk is none."""
+    n, t, b = "p_name", "p_type", "p_brand"
+    raw = [F.concat_ws("", F.lit("1. "), n, F.lit(" 2) "), t), F.concat_ws("", n, F.lit(" ;  "), t, F.lit("; ; "), b, F.lit(";")), F.concat_ws("", F.lit("• "), n, F.lit(" • "), b), F.concat_ws("", F.lit("1. "), n), F.concat_ws("", n, F.lit("  ;1. "), t, F.lit(" 2. ;"))]
+    c = F.element_at(F.array(*raw), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", text.split_items(c).alias("items"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.k') AS k FROM events""")
+def json_props(spark, d):
+    found = documents.json_fields("props", "page string, k string")
+    return table(spark, d, "events").select("event_id", found["page"].alias("page"), found["k"].alias("k"))
+
+
+@query("""SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def windowed_counts(spark, d):
+    """The streaming counts on a batch."""
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = streams.windowed_counts(events)
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split(regexp_replace(text, '[\n\t\r]', ' ', 'g'), ' '), lambda x: x <> '')) AS w FROM documents),
+p AS (SELECT a.doc_id, a.w AS x, b.w AS y FROM t a JOIN t b ON b.doc_id = a.doc_id + 1)
+SELECT doc_id, round(CASE WHEN len(list_distinct(x || y)) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(x || y))::DOUBLE ELSE 0 END, 6) AS similarity FROM p""")
+def header_jaccard(spark, d):
+    """Word Jaccard of each document and the next one; hashes of words move, not the words."""
+    words = F.filter(F.split(F.regexp_replace("text", "[\n\t\r]", " "), " "), lambda x: x != "")
+    t = table(spark, d, "documents").select("doc_id", F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))).alias("w"))
+    n = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("y"))
+    return t.join(n, "doc_id").select("doc_id", F.round(tables.jaccard(F.col("w"), F.col("y")), 6).alias("similarity"))
+
+
+from . import fields, layouts, portals, readers  # noqa: E402,F401  they add their queries

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import io
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clean
+from ..functions.text import clean, source_type
+from ..operators.tables import best_by_base, normalized
+from .html_tables import best_html_table, decode
+from .workbooks import best_sheet, cells_of_files
 
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
@@ -23,6 +30,11 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def json_fields(column: str, schema: str) -> Column:
+    """A JSON text's fields, as a struct."""
+    return F.from_json(column, schema)
+
+
 def overrides(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     """key, field, value; the document may wrap its map in ``overrides``. Unknown fields are dropped."""
     kind = "map<string,map<string,string>>"
@@ -39,11 +51,15 @@ def template_types(spark: SparkSession, path: str) -> DataFrame:
     return whole_text(spark, path).select(F.explode(F.arrays_zip(found.alias("name"), kinds.alias("type"))).alias("x")).select("x.name", "x.type")
 
 
-def sections(rows: DataFrame, labels: dict[str, str], scalars: dict[str, str], key: str = "sheet", order: str = "row_idx") -> DataFrame:
+def sections(rows: DataFrame, labels: dict[str, str], scalars: dict[str, str], key: str = "sheet", order: str = "row_idx", named: bool = False) -> DataFrame:
     """key, field, value from two-column sheets (left, right): labels open a section, scalar labels close it.
 
-    A section's texts join in order, each once.
+    A section's texts join in order, each once. ``named``: sheets stand for entities by name, and of repeated names
+    the last sheet (by ``sheet_idx``) counts.
     """
+    if named:
+        last = rows.groupBy(clean(key).alias(key)).agg(F.max("sheet_idx").alias("sheet_idx"))
+        rows = rows.withColumn(key, clean(key)).join(last, [key, "sheet_idx"], "left_semi")
     left, right = clean("left"), clean("right")
     field = lambda names: F.coalesce(*(F.when(left == k, F.lit(v)) for k, v in names.items()), F.lit(None).cast("string"))
     marked = rows.withColumn("_open", field(labels)).withColumn("_scalar", field(scalars))
@@ -58,10 +74,37 @@ def sections(rows: DataFrame, labels: dict[str, str], scalars: dict[str, str], k
     return scalar.unionByName(joined)
 
 
-def csv_matrix(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Rows of texts; the delimiter is the commonest of ``;``, tab and comma in the first line unless given."""
-    if sep is None:
-        first = spark.read.text(path).limit(1).collect()
-        line = first[0]["value"] if first else ""
-        sep = max(";\t,", key=line.count)
-    return spark.read.csv(path, sep=sep, header=False, inferSchema=False)
+def csv_rows(content: Column, encoding: Column) -> Column:
+    """A CSV file's rows as texts; its delimiter is the commonest of ``;``, tab and comma in its first line."""
+
+    @F.pandas_udf("array<array<string>>")
+    def run(files: pd.Series) -> pd.Series:
+        def rows(t: str) -> list[list[str]]:
+            first = t.lstrip("\r\n").split("\n", 1)[0]
+            return list(csv.reader(io.StringIO(t), delimiter=max(";\t,", key=first.count)))
+
+        return files.map(rows)
+
+    return run(decode(content, encoding))
+
+
+def csv_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """path, row_idx, cells of every CSV file below the path; a task holds one file, and each has its own delimiter."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.posexplode(csv_rows(F.col("content"), F.lit("utf-8"))).alias("row_idx", "cells"))
+
+
+def landed_tables(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, source_type, columns, rows of the best table of every landed source. pages: key, url, content_type, encoding, content.
+
+    HTML pages, workbooks and CSV files go their own ways and meet again; other types have no table.
+    """
+    typed = pages.withColumn("source_type", source_type(F.col("url"), F.col("content_type")))
+    of = lambda kind: typed.filter(F.col("source_type") == kind)
+    html = best_html_table(of("html").select(key, decode(F.col("content"), F.col("encoding")).alias("html")), key)
+    excel = best_sheet(cells_of_files(of("excel").select(F.col(key).cast("string").alias("path"), "content")))
+    excel = excel.select(F.col("path").cast(pages.schema[key].dataType).alias(key), "columns", "rows")
+    matrices = of("csv").select(key, F.lit(0).alias("table_idx"), csv_rows(F.col("content"), F.col("encoding")).alias("matrix"))
+    csvs = best_by_base(normalized(matrices), [key], ["table_idx"])
+    found = [df.select(key, F.lit(kind).alias("source_type"), "columns", "rows") for kind, df in (("html", html), ("excel", excel), ("csv", csvs))]
+    return found[0].unionByName(found[1]).unionByName(found[2])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -12,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: What marks a cell as hidden, a link as a download, a header row, a signature block.
+from ..functions.text import recover
+from ..operators.tables import best_table, normalized
+
+#: What marks a cell as hidden, a link as a download; tables and links of a page at most.
 HIDDEN = {"hide", "sr-only", "visually-hidden"}
 HIDDEN_INSIDE = HIDDEN | {"element-invisible"}
 DOWNLOAD_WORDS = ["вакант", "vacant", "vakant", "budget", "перевод"]
-HEADER_HINTS = ["код", "наименован", "направлен", "специальн", "форма", "курс", "уровень", "бюджет"]
-SIGNATURE_HINTS = ["документ подписан", "уникальный программный ключ", "должность"]
 MAX_TABLES, MAX_LINKS = 40, 10
-CODE = re.compile(r"\b\d{1,2}\.\d{1,2}\.\d{1,2}\b")
 
 
 def clean(t: str | None) -> str:
@@ -80,89 +79,28 @@ def cell_text(cell: dict) -> str:
     return clean(" ".join(cell["text"])) or clean(cell["alt"]) or clean(cell["label"]) or clean(" ".join(cell["hidden"]))
 
 
-def expand(rows: list[list[dict]]) -> list[list[str]]:
-    """Cells as a matrix: spans repeat their text over the columns and rows that they cover."""
-    out, over = [], {}
-    for cells in rows:
-        row: list[str] = []
-
-        def fill(row=row) -> None:
-            while over.get(len(row), ("", 0))[1] > 0:
-                text, left = over.pop(len(row))
-                if left > 1:
-                    over[len(row)] = (text, left - 1)
-                row.append(text)
-
-        if not cells:
-            continue
+def grid(rows: list[list[dict]]) -> list[list[str]]:
+    """Cells placed on a grid: each takes the first free place of its row and fills its span downwards and sideways."""
+    taken: dict[tuple[int, int], str] = {}
+    width = [0] * len(rows)
+    for y, cells in enumerate(rows):
+        x = 0
         for c in cells:
             if c["gone"]:
                 continue
-            fill()
-            for _ in range(c["cols"]):
-                if c["rows"] > 1:
-                    over[len(row)] = (cell_text(c), c["rows"] - 1)
-                row.append(cell_text(c))
-        fill()
-        if any(row):
-            out.append(row)
-    return out
-
-
-def collapse(t: str) -> str:
-    w = t.split()
-    half = len(w) // 2
-    return " ".join(w[:half]) if half and len(w) % 2 == 0 and w[:half] == w[half:] else t
-
-
-def generic(i: int) -> str:
-    return f"Колонка {i + 1}"
-
-
-def is_generic(name: str) -> bool:
-    return bool(re.fullmatch(r"колонка\s*\d+", name.strip(), re.I))
-
-
-def echo(row: list[str], columns: list[str]) -> float:
-    return sum(bool(a) and a.lower() == b.lower() for a, b in zip(row, columns, strict=False)) / max(len(row), len(columns), 1)
-
-
-def to_table(matrix: list[list[str]]) -> tuple[list[str], list[list[str]]] | None:
-    """Header and rows of a matrix: headers may take several rows, be missing, or stand in the first data row."""
-    rows = [[clean(c) for c in r] for r in matrix]
-    rows = [r for r in rows if any(r)]
-    if len(rows) < 2:
-        return None
-    width = max(map(len, rows))
-    rows = [r + [""] * (width - len(r)) for r in rows]
-    blob = " ".join(" ".join(r) for r in rows[:4]).lower()
-    start = next((i for i, r in enumerate(rows[:12]) if CODE.search(" ".join(r))), None)
-    if start:
-        heads = [list(dict.fromkeys(filter(None, (collapse(r[i]) for r in rows[:start])))) for i in range(width)]
-        columns, data = [" / ".join(h) or generic(i) for i, h in enumerate(heads)], rows[start:]
-    elif start == 0:
-        columns, data = [generic(i) for i in range(width)], rows
-    else:
-        columns, data = rows[0], rows[1:]
-    if any(h in blob for h in SIGNATURE_HINTS):
-        columns = [generic(i) for i in range(width)]
-    if data and sum(map(is_generic, columns)) >= max(2, width // 2) and any(h in " ".join(data[0]).lower() for h in HEADER_HINTS):
-        columns, data = [collapse(c) for c in data[0]], data[1:]
-    seen: dict[str, int] = {}
-    for i, c in enumerate(columns):
-        name = collapse(c) or generic(i)
-        seen[name] = seen.get(name, 0) + 1
-        columns[i] = f"{name} ({seen[name]})" if seen[name] > 1 else name
-    if data and echo(data[0], columns) > 0.7:
-        data = data[1:]
-    keep = [i for i in range(width) if any(r[i] for r in data)]
-    if keep:
-        columns, data = [columns[i] for i in keep], [[r[i] for i in keep] for r in data]
-    return columns, data
-
-
-def html_tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, table_idx, columns, rows of the first 40 tables of each page."""
+            while (y, x) in taken:
+                x += 1
+            text = recover(cell_text(c))
+            for down in range(y, min(y + c["rows"], len(rows))):
+                for across in range(x, x + c["cols"]):
+                    taken.setdefault((down, across), text)
+                width[down] = max(width[down], x + c["cols"])
+            x += c["cols"]
+    return [[taken.get((y, x), "") for x in range(w)] for y, w in enumerate(width) if rows[y]]
+
+
+def page_matrices(pages: DataFrame, key: str = "page_id", html: str = "html", most: int = MAX_TABLES) -> DataFrame:
+    """key, table_idx, n_tables (on the page), matrix of the first ``most`` tables of each page. Python parses tags only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -171,14 +109,22 @@ def html_tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
                 parser = Tables()
                 parser.feed(text or "")
                 parser.close()
-                for i, rows in enumerate(parser.tables[:MAX_TABLES]):
-                    if (table := to_table(expand(rows))) is not None:
-                        out.append((k, i, *table))
-            yield pd.DataFrame(out, columns=[key, "table_idx", "columns", "rows"])
+                out += [(k, i, len(parser.tables), grid(rows)) for i, rows in enumerate(parser.tables[:most])]
+            yield pd.DataFrame(out, columns=[key, "table_idx", "n_tables", "matrix"])
 
     kind = pages.schema[key].dataType.simpleString()
     some = pages.filter(F.contains(F.lower(html), F.lit("<table")))
-    return some.select(key, html).mapInPandas(run, f"`{key}` {kind}, table_idx int, columns array<string>, rows array<array<string>>")
+    return some.select(key, html).mapInPandas(run, f"`{key}` {kind}, table_idx int, n_tables int, matrix array<array<string>>")
+
+
+def html_tables(pages: DataFrame, key: str = "page_id", html: str = "html", most: int = MAX_TABLES) -> DataFrame:
+    """key, table_idx, n_tables, columns, rows of the first ``most`` tables of each page that have two rows or more."""
+    return normalized(page_matrices(pages, key, html, most))
+
+
+def best_html_table(pages: DataFrame, key: str = "page_id", html: str = "html", most: int = MAX_TABLES) -> DataFrame:
+    """Each page's table of the highest score that is no layout, the first of equals."""
+    return best_table(html_tables(pages, key, html, most), [key], ["table_idx"])
 
 
 def links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -200,9 +146,21 @@ def absolute(base, href):
     return run(base, href)
 
 
+def with_absolute(rows: DataFrame, base: str, href: str, name: str) -> DataFrame:
+    """The rows with resolved links. Only relative paths go to Python: whole links, paths from the root and fragments don't.
+
+    Root paths with dot segments are relative ones too.
+    """
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    whole = F.col(href).rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~F.col(href).rlike(r"^https?:(?!//)")
+    rooted = F.col(href).rlike(r"^/(?!/)") & ~F.col(href).rlike(r"(^|/)\.\.?(/|[?#]|$)") & (root != "")
+    easy = F.when(F.col(href) == "", F.col(base)).when(whole, F.col(href)).when(rooted, F.concat(root, href)).when(F.col(href).rlike("^#."), F.concat(F.regexp_replace(base, "#.*$", ""), href))
+    return rows.withColumn("_easy", easy).withColumn(name, F.coalesce("_easy", absolute(F.when(F.col("_easy").isNull(), F.col(base)), F.when(F.col("_easy").isNull(), F.col(href))))).drop("_easy")
+
+
 def download_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", words: list[str] = DOWNLOAD_WORDS) -> DataFrame:
     """key, link, score of each page's 10 best downloads: +2 for a file's suffix, +4 for each word; first seen wins ties."""
-    rows = links(pages, key, url, html).withColumn("link", absolute(F.col(url), F.col("href")))
+    rows = with_absolute(links(pages, key, url, html), url, "href", "link")
     blob = F.lower(F.concat_ws(" ", "text", "link"))
     file = F.regexp_replace("link", r"[?#].*$", "").rlike(r"(?i)\.(pdf|xlsx?|csv)$")
     points = F.when(file, 2.0).otherwise(0.0)

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, cell_link, clean, header
+from ..operators.tables import best_by_base, normalized
 
 CELLS = "path string, sheet string, sheet_idx int, row_idx int, col_idx int, value string, link string"
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -51,12 +52,24 @@ def cells_of(content: bytes) -> Iterator[tuple[str, int, int, int, str, str | No
 def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
     """Every cell of every workbook below the path; a task holds one file."""
 
+    return cells_of_files(spark.read.format("binaryFile").load(path))
+
+
+def cells_of_files(files: DataFrame) -> DataFrame:
+    """Every cell of landed workbooks (path, content)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
                 yield pd.DataFrame([(name, *c) for c in cells_of(content)], columns=[c.split()[0] for c in CELLS.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, CELLS)
+    return files.select("path", "content").mapInPandas(run, CELLS)
+
+
+def best_sheet(cells: DataFrame, first: int = 8) -> DataFrame:
+    """path, table_idx, columns, rows, score: of each workbook's first sheets the one of the highest base score."""
+    matrices = sheet_matrices(cells, first).withColumnRenamed("rows", "matrix")
+    return best_by_base(normalized(matrices), ["path"], ["table_idx"])
 
 
 def sheet_matrices(cells: DataFrame, first: int = 8) -> DataFrame:
