@@ -1,4 +1,4 @@
-"""What a crawl of landed pages found: the first table by depth and link score, and a status per entity."""
+"""What a crawl of landed pages found: the first table by depth and link score, fallbacks, and a status per entity."""
 
 from __future__ import annotations
 
@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_TRIED, MAX_QUEUE = 25, 50
+from ..functions.text import clean
+from .enrich import first_text, status_counts
+from .standardize import MAX_ROWS, cut_rows, standardize
 
+#: Fixed value: addresses tried at most. (A queue's bound of 50 can't bind beside it: no more than these leave the queue.)
+MAX_TRIED = 25
 
-def first_tables(visits: DataFrame, key: str = "uni_id") -> DataFrame:
+
+def first_tables(visits: DataFrame, key: str = "uni_id", most: int = MAX_TRIED) -> DataFrame:
     """key, status, source_url, tried_urls, columns, rows. visits: key, url, depth, score, failed, columns, rows.
 
-    Visits count in order of depth, score and url, up to the caps; the first with a table wins. Without one, an
-    entity is partial, or error where its first page failed.
+    Visits count in order of depth, score and url, each address once, up to the cap; the first with a table wins.
+    Without one, an entity is partial, or error where its first page failed.
     """
     w = W.partitionBy(key).orderBy("depth", F.desc("score"), "url")
-    ranked = visits.dropDuplicates([key, "url"]).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= MAX_TRIED)
+    ranked = visits.dropDuplicates([key, "url"]).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)
     hit = F.when(F.size(F.coalesce("rows", F.array().cast("array<array<string>>"))) > 0, F.struct("n", "url", "columns", "rows"))
     per = ranked.groupBy(key).agg(
         F.min(hit).alias("hit"),
@@ -26,3 +31,39 @@ def first_tables(visits: DataFrame, key: str = "uni_id") -> DataFrame:
     status = F.when(F.col("hit").isNotNull(), F.lit("ok")).when(F.coalesce("failed", F.lit(False)), F.lit("error")).otherwise(F.lit("partial"))
     tried = F.transform(F.filter("seen", lambda s: F.col("hit").isNull() | (s["n"] <= F.col("hit.n"))), lambda s: s["url"])
     return per.select(key, status.alias("status"), F.col("hit.url").alias("source_url"), tried.alias("tried_urls"), "hit.columns", "hit.rows")
+
+
+def enriched(entities: DataFrame, visits: DataFrame, fallbacks: DataFrame, fetched_at: str, key: str = "uni_id", cap: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(entities with what the crawl found, their standardised rows).
+
+    entities: key, link, allow_manual_fallback and more. fallbacks (key, columns, rows, message, source_url) are data that
+    the caller gives; one is used where the crawl is not ok or its table has no standardised row, unless the entity
+    forbids it. ``fetched_at`` is the caller's time of the crawl, so that results can be repeated.
+    """
+    base = entities.join(first_tables(visits, key), key, "left").withColumn("status", F.coalesce("status", F.lit("error")))
+    own = standardize(base.filter("status = 'ok'").select(key, "columns", "rows"), key, cap)
+    some = own.groupBy(key).agg(F.count("*").alias("_own"))
+    other = fallbacks.select(F.col(key).alias("_key"), F.struct("columns", "rows", clean("message").alias("message"), "source_url").alias("_other"))
+    base = base.join(some, key, "left").join(other, F.col(key) == F.col("_key"), "left")
+    use = F.col("_key").isNotNull() & ((F.col("status") != "ok") | F.col("_own").isNull()) & F.coalesce("allow_manual_fallback", F.lit(True))
+    base = base.withColumn("is_manual_fallback", use)
+    pick = lambda c: F.when(use, F.col(f"_other.{c}")).otherwise(F.col(c)).alias(c)
+    tables = cut_rows(base.select(key, "is_manual_fallback", pick("columns"), pick("rows")), cap)
+    theirs = standardize(tables.filter("is_manual_fallback").select(key, "columns", "rows"), key, cap)
+    kept = own.join(base.filter("is_manual_fallback").select(key), key, "left_anti")
+    rows = kept.unionByName(theirs)
+    out = base.select(
+        *entities.columns,
+        F.when(use, F.lit("ok")).otherwise(F.col("status")).alias("status"),
+        F.when(use, F.col("_other.message")).otherwise(F.lit("")).alias("message"),
+        F.when(use, first_text(F.col("_other.source_url"), F.col("link"))).otherwise(first_text(F.col("source_url"), F.col("link"))).alias("source_url"),
+        F.coalesce("tried_urls", F.array("link")).alias("tried_urls"),
+        "is_manual_fallback",
+        F.lit(fetched_at).alias("fetched_at"),
+    )
+    return out.join(tables.select(key, "row_count", "truncated"), key), rows
+
+
+def dataset_stats(entities: DataFrame, fetched_at: str) -> DataFrame:
+    """One row: generated_at, total, and entities by status."""
+    return status_counts(entities).select(F.lit(fetched_at).alias("generated_at"), "total", F.col("loaded").alias("ok"), "partial", "errors")

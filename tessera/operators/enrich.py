@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import season_split
+from ..functions.numbers import digits_sum
 from ..functions.text import append_text, clean, flag
 
 
@@ -63,22 +64,29 @@ def update(base: DataFrame, changes: DataFrame, key: str, columns: list[str], ig
     return joined.select(*(value.get(c, F.col(c)).alias(c) for c in base.columns), changed.alias("changed"))
 
 
+#: Up to so many overridden keys are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
 def override(base: DataFrame, overrides: DataFrame, fields: list[str], id_key: str = "id", name_key: str = "name") -> DataFrame:
-    """Overrides (key, field, value) by id or else, as a whole, by name; only known fields, only non-empty values."""
-    good = overrides.filter(F.col("field").isin(fields) & (clean("value") != ""))
-    wide = good.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("field", clean("value")))).alias("values"))
-    all_keys = overrides.select(F.col("key").alias("_k")).distinct().join(wide, F.col("_k") == F.col("key"), "left")
-    side = lambda name: all_keys.select(F.col("_k").alias(f"_{name}"), F.coalesce("values", F.create_map().cast("map<string,string>")).alias(f"{name}_values"))
-    by_id, by_name = side("by_id"), side("by_name")
-    out = base.join(by_id, base[id_key].cast("string") == by_id["_by_id"], "left").join(by_name, base[name_key] == by_name["_by_name"], "left")
-    values = F.coalesce("by_id_values", "by_name_values")
-    pick = lambda c: F.coalesce(F.try_element_at(values, F.lit(c)), F.col(c))
+    """Overrides (key, field, value) by id or else, as a whole, by name; only known fields, only non-empty values.
+
+    The overrides are gathered once; a row may have two keys, so it joins the same side by each of them.
+    """
+    good = F.when(F.col("field").isin(fields) & (clean("value") != ""), F.struct("field", clean("value").alias("value")))
+    sides = overrides.groupBy(F.col("key").alias("_key")).agg(F.map_from_entries(F.collect_list(good)).alias("_values"))
+    if sides.count() <= BROADCAST_ROWS:
+        sides = F.broadcast(sides)
+    out = base
+    for name, key in (("_by_id", id_key), ("_by_name", name_key)):
+        side = sides.select(F.col("_key").alias(f"{name}_key"), F.col("_values").alias(name))
+        out = out.join(side, out[key].cast("string") == side[f"{name}_key"], "left").drop(f"{name}_key")
+    values = F.coalesce("_by_id", "_by_name")
     columns = []
     for c in base.columns:
-        if c == "dorm" and c in fields:
-            columns.append(F.coalesce(flag(F.try_element_at(values, F.lit(c))), F.col(c)).alias(c))
-        else:
-            columns.append(pick(c).alias(c) if c in fields else F.col(c))
+        given = F.try_element_at(values, F.lit(c))
+        given = flag(given) if c == "dorm" else given
+        columns.append(F.coalesce(given, F.col(c)).alias(c) if c in fields else F.col(c))
     return out.select(*columns)
 
 
@@ -107,6 +115,54 @@ def status_counts(df: DataFrame, column: str = "status", rows: str | None = None
     return df.agg(*out, *([F.coalesce(F.sum(rows), F.lit(0)).alias("total_rows")] if rows else []))
 
 
+def portal_rows(rows: DataFrame, cells: str = "cells") -> DataFrame:
+    """The rows with eight typed fields in place of their cells; short rows are padded, empty ones go."""
+    padded = F.slice(F.concat(F.transform(cells, clean), F.array_repeat(F.lit(""), 8)), 1, 8)
+    names = ["code", "dir", "program", "level", "course", "form", "budget", "paid"]
+    at = {n: F.get(padded, F.lit(i)) for i, n in enumerate(names)}
+    digits = F.regexp_extract(at["course"], r"\d+", 0)
+    at["course"] = F.when(digits != "", digits.try_cast("long").cast("string")).otherwise(at["course"])
+    at |= {n: digits_sum(at[n]) for n in ("budget", "paid")}
+    out = rows.select(*(c for c in rows.columns if c != cells), *(c.alias(n) for n, c in at.items()))
+    return out.filter((F.concat(*names[:6]) != "") | (F.col("budget") != 0) | (F.col("paid") != 0))
+
+
+def sources_by_id(base: DataFrame, replaced: DataFrame, key: str, column: str) -> DataFrame:
+    """A source's address replaced where a list of corrections (key, column) has the id."""
+    return update(base, replaced.select(key, column), key, [column], ignore_empty=True).drop("changed")
+
+
+#: Fixed value: what is said of a source that reports rows but has none.
+NO_ROWS = "Таблица извлечена без пригодных строк."
+
+
+def refresh(unis: DataFrame, rows: DataFrame, fresh: DataFrame, fresh_rows: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, their rows, stats) after a refresh: entities that the fresh results name take status, message, source, rows.
+
+    unis: id, abbr, vacancyStatus, vacancyMessage, vacancySource, vacancyRowCount, vacPubSummer, vacPubWinter and more.
+    rows: id and eight fields. fresh: name, status, message, source. fresh_rows: name, cells. overrides: key, field, value.
+    Stats count all entities and all rows, refreshed or not; only the two publication fields are overridden, by id.
+    """
+    new = last_wins(fresh.withColumn("name", clean("name")), ["name"], ["ord"])
+    typed = portal_rows(fresh_rows.withColumn("name", clean("name")))
+    counts = typed.groupBy("name").agg(F.count("*").alias("_n"))
+    new = new.join(counts, "name", "left").select(F.col("name").alias("_name"), first_text(F.col("status"), F.lit("error")).alias("_status"), clean("message").alias("_message"), clean("source").alias("_source"), F.coalesce("_n", F.lit(0)).alias("_n"))
+    joined = unis.join(new, unis["abbr"] == new["_name"], "left")
+    hit, empty = F.col("_name").isNotNull(), (F.col("_status") == "ok") & (F.col("_n") == 0)
+    value = {
+        "vacancyStatus": F.when(empty, F.lit("error")).otherwise(F.col("_status")),
+        "vacancyMessage": F.when(empty, F.lit(NO_ROWS)).otherwise(F.col("_message")),
+        "vacancySource": F.col("_source"),
+        "vacancyRowCount": F.col("_n").cast("int"),
+    }
+    done = joined.select(*(F.when(hit, value[c]).otherwise(F.col(c)).alias(c) if c in value else F.col(c) for c in unis.columns), hit.alias("_hit"))
+    kept = rows.join(done.filter("_hit").select("id"), "id", "left_anti")
+    moved = typed.join(done.filter("_hit").select("id", F.col("abbr").alias("name")), "name").drop("name")
+    all_rows = kept.unionByName(moved)
+    stats = status_counts(done, "vacancyStatus", "vacancyRowCount").drop("partial", "total_rows").crossJoin(all_rows.agg(F.count("*").alias("total_rows")))  # one row by one row
+    return override(done.drop("_hit"), overrides, ["vacPubSummer", "vacPubWinter"], name_key="id"), all_rows, stats
+
+
 #: What stands where a source gives no dates.
 ASK, TABLE_NOTICE = "Уточнять на официальном сайте", "Официальная таблица вакантных мест обновляется на странице вуза; отдельная дата летней публикации не указана"
 

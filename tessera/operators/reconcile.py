@@ -93,10 +93,10 @@ def classify(parsed: DataFrame, expected: DataFrame, sources: DataFrame, key: st
 
 
 def verdict(classified: DataFrame, sources: DataFrame, key: str = "uni_id", policy: tuple[str, ...] = ()) -> DataFrame:
-    """PASS, FAIL or ERROR. sources: key, status, expected_rows. Policy ids are ERROR, whatever was found."""
+    """PASS, FAIL or ERROR. sources: key, status, expected_rows. Policy ids whose source is not ok are ERROR."""
     joined = classified.join(sources.select(key, "status", "expected_rows"), key)
     broken = (F.col("status") != "ok") | (F.col("expected_rows") == 0)
-    error = F.col(key).isin(*policy) if policy else F.lit(False)
+    error = F.col(key).isin(*policy) & (F.col("status") != "ok") if policy else F.lit(False)
     return joined.select(
         key,
         F.when(error, F.lit("ERROR")).when(broken | (F.size("mismatches") > 0), F.lit("FAIL")).otherwise(F.lit("PASS")).alias("verdict"),

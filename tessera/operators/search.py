@@ -59,6 +59,18 @@ def facet_counts(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
 
 
+def facets_of(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys and ``values``: each group's distinct values, numbers first by value, then texts as people expect."""
+    number = F.col(column).try_cast("double")
+    entry = F.struct(number.isNull().alias("a"), F.coalesce(number, F.lit(0.0)).alias("b"), F.when(number.isNull(), collation_key(column)).otherwise("").alias("c"), F.col(column).alias("v"))
+    return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_set(entry)), lambda x: x["v"]).alias("values"))
+
+
+def by_id(df: DataFrame, key: str, value) -> DataFrame:
+    """The row of an id."""
+    return df.filter(F.col(key) == value).limit(1)
+
+
 def keep_selection(options: Column, previous: Column) -> Column:
     """The previous choice while it is still offered, else null."""
     return F.when(F.array_contains(options, previous), previous)
@@ -133,10 +145,11 @@ class Search:
     descending: bool = False
     ties: tuple[str, ...] = ()
     limit: int | None = 1200
+    trim: bool = False
 
     def rows(self, df: DataFrame) -> DataFrame:
         """All matching rows, in no order."""
-        out = df.filter(text_match(self.query, self.text_columns))
+        out = df.filter(text_match(self.query, self.text_columns, self.trim))
         for column, value in self.filters:
             out = out.filter(equals(F.col(column), value))
         for condition in self.where:

@@ -214,7 +214,8 @@ def header_similarity(a: Column, b: Column) -> Column:
 
 def best_table(tables: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of each key's tables that are no layout, the one of the highest score, the first of equals."""
-    kept = tables.filter(~is_layout(F.col("columns"), F.col("rows"))).withColumn("score", score(F.col("columns"), F.col("rows")))
+    kept = tables.filter(~is_layout(F.col("columns"), F.col("rows")))
+    kept = settled(kept.withColumn("score", score(F.col("columns"), F.col("rows"))), "score")
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("score").desc(), *order))
     return kept.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
@@ -313,6 +314,11 @@ HEADER_HINTS = ["код", "наименован", "направлен", "спе
 SIGNATURE_HINTS = ["документ подписан", "уникальный программный ключ", "должность"]
 
 
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """The rows with these columns computed once, as a generator's output: later steps read them and don't repeat them."""
+    return df.select(*(c for c in df.columns if c not in names), F.inline(F.array(F.struct(*names))))
+
+
 def generic_name(i: Column) -> Column:
     return F.concat(F.lit("Колонка "), (i + 1).cast("string"))
 
@@ -358,6 +364,7 @@ def normalized(tables: DataFrame, matrix: str = "matrix") -> DataFrame:
             "rows": rest(F.col("_rows"), F.coalesce(start, F.lit(1))),
         }
     )
+    t = settled(t, "columns", "rows")
     generic = F.transform(F.sequence(F.lit(0), F.col("_width") - 1), generic_name)
     signed = any_of(F.lower(_blob(F.col("_rows"), 4)), SIGNATURE_HINTS)
     t = t.withColumn("columns", F.when(signed, generic).otherwise(F.col("columns")))
@@ -365,15 +372,20 @@ def normalized(tables: DataFrame, matrix: str = "matrix") -> DataFrame:
     promote = (F.size("rows") > 0) & unnamed & any_of(F.lower(F.array_join(F.get("rows", F.lit(0)), " ")), HEADER_HINTS)
     t = t.withColumn("_promote", F.coalesce(promote, F.lit(False)))
     t = t.withColumns({"columns": F.when(F.col("_promote"), F.get("rows", F.lit(0))).otherwise(F.col("columns")), "rows": F.when(F.col("_promote"), rest(F.col("rows"), F.lit(1))).otherwise(F.col("rows"))})
+    t = settled(t, "columns", "rows")
     names = F.transform("columns", lambda c, i: F.coalesce(F.nullif(collapse_duplicates(c), F.lit("")), generic_name(i)))
-    t = t.withColumn("columns", names).withColumn("columns", numbered_names(F.col("columns")))
+    t = t.withColumn("columns", names)
+    t = settled(t, "columns").withColumn("columns", numbered_names(F.col("columns")))
+    t = settled(t, "columns")
     echo = (F.size("rows") > 0) & (row_similarity(F.get("rows", F.lit(0)), F.col("columns")) > 0.7)
     t = t.withColumn("rows", F.when(F.coalesce(echo, F.lit(False)), rest(F.col("rows"), F.lit(1))).otherwise(F.col("rows")))
+    t = settled(t, "rows")
     places = F.filter(F.sequence(F.lit(0), F.col("_width") - 1), lambda i: F.exists("rows", lambda r: F.get(r, i) != ""))
-    t = t.withColumn("_keep", places)
+    t = settled(t.withColumn("_keep", places), "_keep")
     only = lambda xs: F.when(F.size("_keep") > 0, F.transform("_keep", lambda i: F.get(xs, i))).otherwise(xs)
     t = t.withColumns({"columns": only(F.col("columns")), "rows": F.transform("rows", only)})
-    return with_inferred_names(t.drop(matrix, "_rows", "_width", "_start", "_promote", "_keep"))
+    t = settled(t, "columns", "rows")
+    return settled(with_inferred_names(t.drop(matrix, "_rows", "_width", "_start", "_promote", "_keep")), "columns", "rows")
 
 
 def best_by_base(tables: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -35,6 +35,11 @@ def json_fields(column: str, schema: str) -> Column:
     return F.from_json(column, schema)
 
 
+def listed(rows: DataFrame, key: str = "id") -> DataFrame:
+    """Rows whose id is not blank."""
+    return rows.withColumn(key, clean(key)).filter(F.col(key) != "")
+
+
 def overrides(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     """key, field, value; the document may wrap its map in ``overrides``. Unknown fields are dropped."""
     kind = "map<string,map<string,string>>"

@@ -1,4 +1,8 @@
-"""Writers: one JSON document, a JavaScript envelope, an append-only register."""
+"""Writers: one JSON document, a JavaScript envelope, JSON lines, an append-only register.
+
+A document of one object is written in parts: its rows stream into one file through a single partition as text lines
+(sorted on disk where they are many), so no task gathers them into one value. Results that outgrow one file belong into JSON lines.
+"""
 
 from __future__ import annotations
 
@@ -10,14 +14,26 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def document(stats: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """One row, ``value``: the stats' fields and the rows as a JSON array. For results that fit one document only."""
-    items = rows.agg(F.collect_list(F.struct("*")).alias(name))
-    return stats.crossJoin(items).select(F.to_json(F.struct("*")).alias("value"))  # one row by one row
+def _document(stats: DataFrame, rows: DataFrame, name: str, before: str, after: str) -> DataFrame:
+    """Text lines, in order, that together are ``before``, an object of the stats and the rows, and ``after``."""
+    body = rows.select(F.lit(1).alias("_part"), F.to_json(F.struct("*")).alias("value"))
+    fields = F.regexp_replace(F.to_json(F.struct("*")), r"\}$", "")
+    open_ = F.concat(F.lit(before), fields, F.when(F.length(fields) > 1, ",").otherwise(""), F.lit(f'"{name}":['))
+    head = stats.select(F.lit(0).alias("_part"), open_.alias("value"))
+    foot = stats.select(F.lit(2).alias("_part"), F.lit(f"]}}{after}").alias("value"))
+    lines = body.union(head).union(foot).coalesce(1).sortWithinPartitions("_part").withColumn("_line", F.monotonically_increasing_id())
+    later = (F.col("_part") == 1) & (F.col("_line") > 1)  # line 0 is the head, line 1 the first row
+    return lines.select(F.when(later, F.concat(F.lit(","), "value")).otherwise(F.col("value")).alias("value"))
+
+
+def document(stats: DataFrame, rows: DataFrame, name: str, path: str) -> None:
+    """One JSON object: the fields of ``stats`` (one row) and the rows as an array."""
+    _document(stats, rows, name, "", "").write.mode("overwrite").text(path)
 
 
-def js_envelope(doc: DataFrame, path: str, name: str = "window.PORTAL_DATA") -> None:
-    doc.select(F.concat(F.lit(f"{name} = "), "value", F.lit(";"))).coalesce(1).write.mode("overwrite").text(path)
+def js_envelope(stats: DataFrame, rows: DataFrame, name: str, path: str, variable: str = "window.PORTAL_DATA") -> None:
+    """The same object as the value of a script's global."""
+    _document(stats, rows, name, f"{variable} = ", ";").write.mode("overwrite").text(path)
 
 
 def append_register(df: DataFrame, path: str) -> None:

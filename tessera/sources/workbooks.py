@@ -98,7 +98,7 @@ def dated_entities(cells: DataFrame) -> DataFrame:
     columns = [at(n, cell_link(F.col("link"), F.col("value")) if name == LINKED else clean("value")).alias(name) for name, n in DATES_COLUMNS.items()]
     out = c.filter("row_idx > 1").groupBy("path", F.col("row_idx").alias("excel_row")).agg(*columns).fillna("")
     out = out.filter("university <> '' and marker <> '-'")
-    return out.select(F.format_string("u%03d", "excel_row").alias("id"), "excel_row", *DATES_COLUMNS)
+    return out.select("path", F.format_string("u%03d", "excel_row").alias("id"), "excel_row", *DATES_COLUMNS)
 
 
 def keyword_entities(cells: DataFrame, fields: dict[str, list[str]], name: str = "name", number: str | None = None) -> DataFrame:
@@ -115,4 +115,4 @@ def keyword_entities(cells: DataFrame, fields: dict[str, list[str]], name: str =
     wide = joined.groupBy("path", "row_idx").pivot("field", list(fields)).agg(F.first("text")).fillna("", list(fields)).filter(f"`{name}` <> ''")
     order = F.row_number().over(W.partitionBy("path").orderBy("row_idx"))
     own: Column = F.coalesce(F.col(number).try_cast("int"), order) if number else order
-    return wide.select(own.alias("id"), F.format_string("u%03d", order).alias("seq_id"), "row_idx", *fields)
+    return wide.select("path", own.alias("id"), F.format_string("u%03d", order).alias("seq_id"), "row_idx", *fields)

@@ -150,10 +150,11 @@ def test_sections(spark):
 
 def test_documents_and_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "ё")], "id int, name string")
-    doc = sinks.document(rows.agg(F.count("*").alias("total")), rows, "unis")
-    sinks.js_envelope(doc, str(tmp_path / "js"))
+    sinks.js_envelope(rows.agg(F.count("*").alias("total")), rows, "unis", str(tmp_path / "js"))
     back = documents.js_envelope(spark, str(tmp_path / "js"), "total long, unis array<struct<id: int, name: string>>").filter("total is not null").collect()
-    assert back[0]["total"] == 1 and back[0]["unis"][0]["name"] == "ё"
+    assert back[0]["total"] == 1 and [r["name"] for r in back[0]["unis"]] == ["ё"]
+    sinks.document(rows.agg(F.count("*").alias("total")), rows.filter("false"), "unis", str(tmp_path / "none"))
+    assert documents.json_document(spark, str(tmp_path / "none"), "total long, unis array<struct<id: int>>").first()["unis"] == []
     for _ in range(2):
         sinks.append_register(rows, str(tmp_path / "reg"))
     assert spark.read.csv(str(tmp_path / "reg"), header=True).count() == 2
