@@ -107,7 +107,7 @@ def stitch(chunks: list[tuple[int, str, list[int]]]) -> list[tuple[int, int, int
 
 
 CHUNK = "did long, key string, offset int, text string, head array<int>, tail array<int>"
-#: Up to so many chunks' places (about 60 bytes each) are broadcast; more are joined by a shuffle.
+#: Up to so many chunks' places or documents' names (about 60 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
 
@@ -174,7 +174,8 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = 16_384, overlap: int =
     ends = cut(ends, "ends")
     begins = ends.filter("goes_on").select(*name, (F.col("offset") + chunk_chars).alias("offset"), F.col("end").alias("begin"))
     hard = cut(ends.filter("goes_on and end is null").select(*name).distinct(), "hard")
-    some = hard.limit(1).count()
+    some = hard.count()
+    hard = F.broadcast(hard) if some <= BROADCAST_ROWS else hard
     places = ends.join(begins, [*name, "offset"], "left").select(*name, "offset", "begin", "end")
     places = cut(places.join(hard, name, "left_anti") if some else places, "places")
     if places.count() <= BROADCAST_ROWS:
