@@ -24,6 +24,8 @@ from .common import cut, new_path
 
 CHUNKS = "record long, page_id long, url string, chunk int, data binary, payload_bytes long, payload_digest string"
 MARK = b"WARC/1.1"
+#: Keys over which the records of one payload are dealt.
+SALTS = 16
 CRLF = "\r\n"
 
 
@@ -65,12 +67,18 @@ def chunk_table(pages: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
 
 
 def revisits(chunks: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """record, chunks, payload_bytes, payload_digest, and the record and page it revisits (null for responses)."""
-    heads = chunks.filter("payload_digest is not null").select("record", "page_id", (F.col("chunk") + 1).alias("chunks"), "payload_bytes", "payload_digest")
-    first = heads.groupBy("payload_digest").agg(F.max(F.struct("page_id", "record")).alias("first"))
-    joined = heads.join(first, "payload_digest")
-    again = (F.col("first.record") != F.col("record")) & (F.col("payload_bytes") >= min_bytes)
-    return joined.select("record", "chunks", F.col("payload_bytes").alias("total"), F.col("payload_digest").alias("digest"), F.when(again, F.col("first.record")).alias("of_record"), F.when(again, F.col("first.page_id")).alias("of_page"))
+    """record, chunks, payload_bytes, payload_digest, and the record, page and address it revisits (null for responses).
+
+    A payload that many pages share is one hot digest: only digests of several records are joined, and the side of the
+    responses (one row a digest) is dealt to SALTS copies, so that their revisits spread.
+    """
+    heads = chunks.filter("payload_digest is not null").select("record", "page_id", "url", (F.col("chunk") + 1).alias("chunks"), "payload_bytes", "payload_digest")
+    first = heads.groupBy("payload_digest").agg(F.max(F.struct("page_id", "record", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    salts = F.explode(F.array(*map(F.lit, range(SALTS))))
+    joined = heads.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(SALTS)).cast("int")).join(first.select("payload_digest", "first", salts.alias("salt")), ["payload_digest", "salt"], "left")
+    again = F.col("first").isNotNull() & (F.col("first.record") != F.col("record")) & (F.col("payload_bytes") >= min_bytes)
+    of = {f"of_{n}": F.when(again, F.col(f"first.{c}")) for n, c in (("record", "record"), ("page", "page_id"), ("url", "url"))}
+    return joined.select("record", "chunks", F.col("payload_bytes").alias("total"), F.col("payload_digest").alias("digest"), *(c.alias(n) for n, c in of.items()))
 
 
 def write_archives(chunks: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_bytes: int = 0) -> None:
@@ -96,6 +104,8 @@ def write_archives(chunks: DataFrame, path: str, date: str = "2024-01-01T00:00:0
         line("WARC-Payload-Length", F.when(first, F.col("total"))),
         line("WARC-Refers-To", F.when(again, urn(F.col("of_record"), F.lit(0)))),
         line("WARC-Refers-To-Page-ID", F.when(again, F.col("of_page"))),
+        line("WARC-Refers-To-Target-URI", F.when(again, F.regexp_replace("of_url", r"[\r\n]", "%0A"))),
+        line("WARC-Refers-To-Date", F.when(again, F.lit(date))),
         line("WARC-Profile", F.when(again, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         line("WARC-Segment-Number", F.when(split, F.col("chunk") + 1)),
         line("WARC-Segment-Origin-ID", F.when(split & ~first, urn(F.col("record"), F.lit(0)))),
