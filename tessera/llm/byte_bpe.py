@@ -165,7 +165,8 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = 16_384, overlap: int =
     steps = F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk_chars))
     cuts = long.select(*name, "text", F.explode(steps).alias("offset"))
     cuts = cuts.select(*name, "offset", F.expr(f"substring(text, offset + 1, {chunk_chars + overlap})").alias("text"))
-    copies = cuts.filter("offset = 0").groupBy(*name).count().filter("count > 1")
+    copies = cut(long.groupBy(*name).count().filter("count > 1"), "copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
     chunks = cut(cuts.dropDuplicates([*name, "offset"]).select(*name, "offset", "text").mapInArrow(boundaries, CHUNK), "chunks")
     # Where each chunk's piece begins and ends: boundaries near its ends that its neighbours share. No text moves here.
     sides = chunks.select(*name, "offset", "head", "tail")
