@@ -37,10 +37,22 @@ def parse_range(c: Column | str) -> Column:
     return let(clean(c), _first_form)
 
 
-def _first_form(t: Column) -> Column:
-    year, dash, flags = r"(?:\s+\d{4})?", r"\s*[–—\-]\s*", "(?iu)"
+#: How years and dashes are written, and the eight forms of a range, in the order in which they are tried.
+YEAR, DASH, FLAGS = r"(?:\s+\d{4})?", r"\s*[–—\-]\s*", "(?iu)"
+FORMS = [
+    r"(\d{1,2})\.(\d{2})" + DASH + r"(\d{1,2})\.(\d{2})",
+    rf"(\d{{1,2}})\s+({MONTH}){YEAR}{DASH}(\d{{1,2}})\s+({MONTH}){YEAR}",
+    rf"(\d{{1,2}}){DASH}(\d{{1,2}})\s+({MONTH}){YEAR}",
+    rf"(?:до|не\s+позднее)\s+(\d{{1,2}})\s+({MONTH}){YEAR}",
+    rf"1-я\s+(?:неделя|декада)\s+({MONTH})",
+    rf"({MONTH}){DASH}({MONTH})",
+    rf"(?:^|[(\s])({MONTH})(?=[\s);,.]|$)",
+    rf"({MONTH})\s+и\s+({MONTH})\s*\((\d{{1,2}})[–—\-](\d{{1,2}})",
+]
+
 
-    def found(pattern: str, make, months: list[int], also=None) -> Column:
+def _first_form(t: Column) -> Column:
+    def found(k: int, make, months: list[int], also=None) -> Column:
         def fields(g: Column) -> Column:
             number = lambda k: g[k - 1].try_cast("int")
             month = lambda k: month_index(g[k - 1])
@@ -52,21 +64,22 @@ def _first_form(t: Column) -> Column:
             values = [x if isinstance(x, Column) else F.lit(x) for x in make(number, month)]
             return F.when(good, F.struct(*values, *[F.lit(None)] * (8 - len(values))).cast(RANGE))
 
+        pattern = FORMS[k]
         n = re.compile(pattern).groups
-        groups = F.array(*(F.regexp_extract(t, flags + pattern, k + 1) for k in range(n)))
-        return F.when(t.rlike(flags + pattern), let(groups, fields))
+        groups = F.array(*(F.regexp_extract(t, FLAGS + pattern, g + 1) for g in range(n)))
+        return F.when(t.rlike(FLAGS + pattern), let(groups, fields))
 
     first_day = lambda n: F.when(n(1) > 21, F.lit(1)).otherwise(F.lit(15))
     first_month = lambda n, m: F.when(n(1) > 21, m(2)).otherwise((m(2) + 11) % 12)
     return F.coalesce(
-        found(r"(\d{1,2})\.(\d{2})" + dash + r"(\d{1,2})\.(\d{2})", lambda n, m: (n(2) - 1, n(1), n(4) - 1, n(3), False), []),
-        found(rf"(\d{{1,2}})\s+({MONTH}){year}{dash}(\d{{1,2}})\s+({MONTH}){year}", lambda n, m: (m(2), n(1), m(4), n(3), False), [2, 4]),
-        found(rf"(\d{{1,2}}){dash}(\d{{1,2}})\s+({MONTH}){year}", lambda n, m: (m(3), n(1), m(3), n(2), False), [3]),
-        found(rf"(?:до|не\s+позднее)\s+(\d{{1,2}})\s+({MONTH}){year}", lambda n, m: (first_month(n, m), first_day(n), m(2), n(1), True), [2]),
-        found(rf"1-я\s+(?:неделя|декада)\s+({MONTH})", lambda n, m: (m(1), 1, m(1), 10, True), [1]),
-        found(rf"({MONTH}){dash}({MONTH})", lambda n, m: (m(1), 1, m(2), 28, True), [1, 2], lambda m: m(1) != m(2)),
-        found(rf"(?:^|[(\s])({MONTH})(?=[\s);,.]|$)", lambda n, m: (m(1), 1, m(1), 28, True), [1]),
-        found(rf"({MONTH})\s+и\s+({MONTH})\s*\((\d{{1,2}})[–—\-](\d{{1,2}})", lambda n, m: (m(2), n(3), m(2), n(4), False, m(1), n(3), n(4)), [1, 2]),
+        found(0, lambda n, m: (n(2) - 1, n(1), n(4) - 1, n(3), False), []),
+        found(1, lambda n, m: (m(2), n(1), m(4), n(3), False), [2, 4]),
+        found(2, lambda n, m: (m(3), n(1), m(3), n(2), False), [3]),
+        found(3, lambda n, m: (first_month(n, m), first_day(n), m(2), n(1), True), [2]),
+        found(4, lambda n, m: (m(1), 1, m(1), 10, True), [1]),
+        found(5, lambda n, m: (m(1), 1, m(2), 28, True), [1, 2], lambda m: m(1) != m(2)),
+        found(6, lambda n, m: (m(1), 1, m(1), 28, True), [1]),
+        found(7, lambda n, m: (m(2), n(3), m(2), n(4), False, m(1), n(3), n(4)), [1, 2]),
     )
 
 
@@ -84,7 +97,7 @@ def parse_for_wave(c: Column | str, months: list[int]) -> Column:
     """The whole text's range, else that of its first chunk between semicolons that fits the wave."""
     chunks = F.filter(F.split(F.replace(text(c), F.lit(" "), F.lit(" ")), ";"), lambda x: F.trim(x) != "")
     hits = F.filter(F.transform(chunks, lambda x: for_wave(parse_range(x), months)), lambda x: x.isNotNull())
-    return F.coalesce(for_wave(parse_range(c), months), F.get(hits, F.lit(0)))
+    return F.coalesce(for_wave(parse_range(c), months), F.when(F.size(chunks) > 1, F.get(hits, F.lit(0))))  # one chunk is the text
 
 
 def is_current(start_month: Column, start_day: Column, end_month: Column, end_day: Column, month: Column, day: Column) -> Column:

@@ -41,10 +41,8 @@ def header(c: Column | str) -> Column:
 
 
 def any_of(c: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(c, F.lit(w))
-    return out
+    """Whether the text holds any of the words; the text is computed once."""
+    return c.rlike("|".join(map(re.escape, words)))
 
 
 def collapse_duplicates(c: Column | str) -> Column:
@@ -120,18 +118,21 @@ def level_from_code(c: Column | str) -> Column:
 
 def form_literal(c: Column | str) -> Column:
     """The form of study that a header names. "заочная" names none, as it holds "очн" too."""
-    t = header(c)
-    has = lambda w: F.contains(t, F.lit(w))
-    mixed = has("очно-заоч") | has("очно заоч")
-    return (
-        F.when(mixed, F.lit("очно-заочная"))
-        .when(has("очн") & has("заоч"), F.lit(""))
-        .when(has("заоч"), F.lit("заочная"))
-        .when(has("очн"), F.lit("очная"))
-        .when(has("дистанц"), F.lit("дистанционная"))
-        .when(has("вечер"), F.lit("вечерняя"))
-        .otherwise(F.lit(""))
-    )
+
+    def form(t: Column) -> Column:
+        has = lambda w: F.contains(t, F.lit(w))
+        mixed = has("очно-заоч") | has("очно заоч")
+        return (
+            F.when(mixed, F.lit("очно-заочная"))
+            .when(has("очн") & has("заоч"), F.lit(""))
+            .when(has("заоч"), F.lit("заочная"))
+            .when(has("очн"), F.lit("очная"))
+            .when(has("дистанц"), F.lit("дистанционная"))
+            .when(has("вечер"), F.lit("вечерняя"))
+            .otherwise(F.lit(""))
+        )
+
+    return let(header(c), form)
 
 
 def looks_like_level(c: Column | str) -> Column:

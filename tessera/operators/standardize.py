@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -23,25 +24,46 @@ MAX_ROWS = 1200
 TEXT = ["code", "direction", "program"]
 
 
-def fold(df: DataFrame, key: str, step: Callable[[list[dict]], list[dict]]) -> DataFrame:
-    """``step`` over each table's rows in order; the columns stay. A task holds one table's rows and one batch."""
-    names, schema = df.columns, df.schema
+def whole_tables(batches, key: str):
+    """Arrow tables cut so that the rows of one key, which come one after another, stay together."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(b.schema.get_field_index(key))
+        same = pc.equal(keys, keys[-1]).to_pylist() if keys[-1].is_valid else keys.is_null().to_pylist()
+        last = b.num_rows - (same[::-1] + [False]).index(False)
+        if last or held and held[-1].column(held[-1].schema.get_field_index(key))[-1] != keys[0]:
+            yield pa.Table.from_batches([*held, b.slice(0, last)])
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def fold(df: DataFrame, key: str, step: Callable[[list[dict]], list[dict]], reads: list[str], writes: list[str]) -> DataFrame:
+    """``step`` over each table's rows in order; it may change the columns ``writes`` and leave rows out.
+
+    Only the columns ``reads`` become Python values; the others pass as they are. A task holds one table and one batch.
+    """
+    arrow = to_arrow_schema(df.schema)
+    reads = list(dict.fromkeys([key, *reads, *writes]))
 
     def run(batches):
-        held: list[dict] = []
-        for b in batches:
+        for t in whole_tables(batches, key):
+            rows = [r | {"_at": i} for i, r in enumerate(t.select(reads).to_pylist())]
             out: list[dict] = []
-            for r in b.to_pylist():
-                if held and held[-1][key] != r[key]:
-                    out += step(held)
-                    held = []
-                held.append(r)
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
-        if held:
-            yield pa.RecordBatch.from_pylist(step(held), schema=arrow)
+            begin = 0
+            for end in range(1, len(rows) + 1):
+                if end == len(rows) or rows[end][key] != rows[begin][key]:
+                    out += step(rows[begin:end])
+                    begin = end
+            t = t.take([r["_at"] for r in out]) if len(out) < len(rows) else t
+            for c in writes:
+                t = t.set_column(t.schema.get_field_index(c), arrow.field(c), pa.array([r[c] for r in out], arrow.field(c).type))
+            yield from t.cast(arrow).to_batches()
 
-    arrow = to_arrow_schema(schema)
-    return df.repartition(key).sortWithinPartitions(key, "pos").select(*names).mapInArrow(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, "pos").mapInArrow(run, df.schema)
 
 
 def merge_continuations(rows: list[dict]) -> list[dict]:
@@ -148,7 +170,7 @@ def standardize(tables: DataFrame, key: str = "table_id", cap: int = MAX_ROWS) -
     other = F.exists(F.transform("cells", lambda c, i: (clean(c) != "") & ~F.coalesce(F.array_contains(F.array_compact(key_places), i), F.lit(False))), lambda x: x)
     rows = rows.select(key, "pos", "roles", "cells", *(at(f).alias(f) for f in TEXT), other.alias("has_other"))
     texts = rows.select(key, "pos", *TEXT, "has_other")
-    merged = fold(texts, key, merge_continuations)
+    merged = fold(texts, key, merge_continuations, ["code", "has_other"], ["direction", "program"])
     rows = merged.drop("has_other").join(rows.select(key, "pos", "roles", "cells"), [key, "pos"])
 
     # Repairs.
@@ -200,7 +222,7 @@ def standardize(tables: DataFrame, key: str = "table_id", cap: int = MAX_ROWS) -
 
     columns = [key, "pos", "code", "direction", "program", "level", "course", "form", "payload", "amount", "many", "last_course"]
     rows = rows.select(*columns, "parts")
-    carried = fold(rows, key, carry)
+    carried = fold(rows, key, carry, ["form", "payload", "amount", "many", "last_course"], ["code", "direction", "program", "level", "course"])
     out = carried.select(key, "pos", "code", "direction", "program", "level", F.col("course").alias("_own"), "form", F.posexplode("parts").alias("sub", "part"))
     out = out.withColumn("course", F.coalesce("part.course", "_own"))
     out = out.filter((F.concat("code", "direction", "program", "level", "course", "form") != "") | (F.col("part.budget") > 0) | (F.col("part.paid") > 0))

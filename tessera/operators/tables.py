@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import CODE, LEVEL_WORDS, any_of, clean, collapse_duplicates, form_literal, header, looks_like_form, looks_like_level
+from ..functions.text import CODE, LEVEL_WORDS, any_of, clean, collapse_duplicates, form_literal, header, let, looks_like_form, looks_like_level
 
 #: Word lists of the scoring rules.
 TABLE_WORDS = ["вакант", "мест", "бюджет", "направлен", "специальн", "курс", "очная", "заочная", "колич", "финанс", "обуч"]
@@ -30,7 +30,7 @@ def hits(c: Column, words: list[str]) -> Column:
 
 def best_index(columns: Column, scorer: Callable[[Column], Column]) -> Column:
     """The first place of the highest positive score (from 0), else null."""
-    scored = F.transform(columns, lambda c, i: F.struct(scorer(header(c)).alias("score"), (-i).alias("place")))
+    scored = F.transform(columns, lambda c, i: F.struct(let(header(c), scorer).alias("score"), (-i).alias("place")))
     best = F.array_max(scored)
     return F.when(best["score"] > 0, -best["place"])
 
@@ -82,7 +82,7 @@ def column_share(rows: Column, place: Column, test: Callable[[Column], Column])
 
 
 def _places(columns: Column, test: Callable[[Column], Column]) -> Column:
-    marked = F.transform(columns, lambda c, i: F.when(test(header(c)), i))
+    marked = F.transform(columns, lambda c, i: F.when(let(header(c), test), i))
     return F.filter(marked, lambda i: i.isNotNull())
 
 
@@ -102,7 +102,7 @@ def with_roles(tables: DataFrame) -> DataFrame:
     )
     literals = F.array_distinct(F.filter(F.transform(cols, form_literal), lambda x: x != ""))
     group = lambda c: F.regexp_extract(header(c), r"(\d{1,2})\s*курс", 1)
-    groups = F.filter(F.transform(cols, lambda c, i: F.struct(group(c).alias("course"), is_paid(header(c)).alias("paid"), i.alias("place"))), lambda g: g["course"] != "")
+    groups = F.filter(F.transform(cols, lambda c, i: F.struct(group(c).alias("course"), let(header(c), is_paid).alias("paid"), i.alias("place"))), lambda g: g["course"] != "")
     use_groups = F.size(F.array_distinct(F.transform(groups, lambda g: g["course"]))) >= 2
     roles = F.struct(
         F.col("_code").alias("code"),
@@ -121,7 +121,10 @@ def with_roles(tables: DataFrame) -> DataFrame:
 
 def header_kind(c: Column) -> Column:
     """One of 13 kinds; the first rule that holds."""
-    h = header(c)
+    return let(header(c), _kind)
+
+
+def _kind(h: Column) -> Column:
     has = lambda w: _has(h, w)
     kinds = [
         (h == "", "unknown"),
@@ -207,9 +210,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def header_similarity(a: Column, b: Column) -> Column:
-    x, y = F.transform(a, header), F.transform(b, header)
-    full = lambda v: F.filter(v, lambda s: s != "")
-    return F.greatest(row_similarity(x, y), jaccard(F.array_distinct(full(x)), F.array_distinct(full(y))))
+    full = lambda v: F.array_distinct(F.filter(v, lambda s: s != ""))
+    both = F.struct(F.transform(a, header).alias("x"), F.transform(b, header).alias("y"))
+    sets = lambda h: let(F.struct(full(h["x"]).alias("x"), full(h["y"]).alias("y")), lambda s: jaccard(s["x"], s["y"]))
+    return let(both, lambda h: F.greatest(row_similarity(h["x"], h["y"]), sets(h)))
 
 
 def best_table(tables: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -253,9 +257,11 @@ ALIGN_WORDS = ["фед", "субъект", "местн", "плат", "догов
 
 
 def align_points(a: Column, b: Column) -> Column:
-    x, y = header(a), header(b)
-    shared = [F.when(_has(x, w) & _has(y, w), 2).otherwise(0) for w in ALIGN_WORDS]
-    return reduce(lambda p, q: p + q, shared) + F.when(x == y, 3).otherwise(0)
+    def points(x: Column, y: Column) -> Column:
+        shared = [F.when(_has(x, w) & _has(y, w), 2).otherwise(0) for w in ALIGN_WORDS]
+        return reduce(lambda p, q: p + q, shared) + F.when(x == y, 3).otherwise(0)
+
+    return let(F.struct(header(a).alias("x"), header(b).alias("y")), lambda h: points(h["x"], h["y"]))
 
 
 def merge_runs(df: DataFrame, keys: list[str], order: str, by: str, text: str) -> DataFrame:
