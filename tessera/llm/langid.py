@@ -211,13 +211,14 @@ def fit(train: DataFrame, sample: int = 1500, penalty: float = 12.0) -> Model |
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """row (the input's columns), lang_pred, score (share of the letters in that language's spans) and spans.
+    """row (the input's columns), lang_pred, score (share of the letters in that language's spans), unseen and spans.
 
-    ``lang_spans``: language, first word and number of words of each run. Row-wise.
+    ``unseen``: the share of letters in words of scripts that no learned language is written in. ``lang_spans``:
+    language, first word and number of words of each run. Row-wise.
     """
     rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     span = T.StructType().add("lang", "string").add("first", "integer").add("words", "integer")
-    types = {"row": rows.schema["row"].dataType, "lang_pred": T.StringType(), "score": T.DoubleType(), "lang_spans": T.ArrayType(span)}
+    types = {"row": rows.schema["row"].dataType, "lang_pred": T.StringType(), "score": T.DoubleType(), "unseen": T.DoubleType(), "lang_spans": T.ArrayType(span)}
     schema = T.StructType([T.StructField(n, t) for n, t in types.items()])
 
     def run(batches):
@@ -227,17 +228,18 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 part = texts[begin:end]
                 if model:
                     scored = map(words_and_scores, (part[i:j] for i, j in groups(part, 400_000)))
-                    per_text, size, scores = map(np.concatenate, zip(*scored, strict=True))
+                    per_text, size, strange, scores = map(np.concatenate, zip(*scored, strict=True))
                     path = spans(scores, per_text, model.penalty)
                 else:
                     per_text, size, path = np.zeros(len(part), np.int64), np.zeros(0, np.int64), np.zeros(0, LABEL)
-                yield summary(kept.slice(begin, end - begin), per_text, size, path)
+                    strange = np.zeros(0, bool)
+                yield summary(kept.slice(begin, end - begin), per_text, size, path, strange)
 
     def words_and_scores(texts):
         w = cut_words(texts)  # its n-grams are large and go at once
-        return w.per_text, w.size, model.scores(w)
+        return w.per_text, w.size, ~model.seen[w.script].any(axis=1), model.scores(w)
 
-    def summary(kept, per_text, size, path):
+    def summary(kept, per_text, size, path, strange):
         n = len(model.languages) if model else 1
         text = np.repeat(np.arange(len(per_text)), per_text)
         share = np.bincount(text * n + path.astype(np.int64), size, len(per_text) * n).reshape(-1, n)
@@ -246,6 +248,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         names = np.array([*(model.languages if model else []), "und"], object)
         pred = names[np.where(total > 0, best, -1)]
         score = np.where(total > 0, share.max(axis=1) / np.maximum(total, 1), 0.0)
+        unseen = np.bincount(text, size * strange, len(per_text)) / np.maximum(total, 1)
         new = np.ones(len(path), bool)
         new[1:] = (path[1:] != path[:-1]) | (text[1:] != text[:-1])
         first = np.flatnonzero(new)
@@ -256,6 +259,6 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         )
         offsets = np.concatenate([[0], np.cumsum(np.bincount(text[first], minlength=len(per_text)))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), runs)
-        return pa.RecordBatch.from_arrays([kept, pa.array(pred, pa.string()), pa.array(score), lists], names=["row", "lang_pred", "score", "lang_spans"])
+        return pa.RecordBatch.from_arrays([kept, pa.array(pred, pa.string()), pa.array(score), pa.array(unseen), lists], names=["row", "lang_pred", "score", "unseen", "lang_spans"])
 
     return rows.mapInArrow(run, schema)

@@ -63,7 +63,7 @@ def dup_lines(text: Column) -> Column:
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with their statistics under fixed names; columns of the input with such a name are replaced."""
+    """The rows with their statistics under fixed names; columns of the input with such a name are replaced, _words goes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumn("_words", F.array_remove(F.split(text, SPACE), ""))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
