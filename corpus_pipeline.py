@@ -22,9 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language; the others keep their rows."""
+    """Drop documents without a letter, and those mostly in scripts that no learned language is written in."""
     model = langid.fit(langid.training_rows(langid.with_split(docs)))
-    return langid.predict(docs, model).filter("lang_pred <> 'und'").select("row.*")
+    return langid.predict(docs, model).filter("lang_pred <> 'und' and unseen <= 0.5").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ STAGES = [
     ("repeated_passages", repeated_passages),
     ("best_fit_packing", best_fit_packing),
 ]
-#: Learned rules, fingerprints and packing have no SQL form; tests hold each stage against a brute-force version.
+#: Learned rules, fingerprints and packing have no SQL form; tests/llm/test_stages.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
