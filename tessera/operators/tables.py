@@ -245,7 +245,9 @@ def merge_similar(tables: DataFrame, keys: list[str], order: str, least: float =
     rows = near.select(*keys, "anchor", "_to", "_same", "score", order, F.posexplode("rows").alias("_at", "row"))
     rows = rows.withColumn("row", F.transform("row", clean))
     goes = lambda j: F.filter("row", lambda v, i: (F.get("_to", i) == j) & (v != ""))
-    aligned = F.transform("anchor", lambda _, j: F.array_join(F.array_distinct(goes(j)), " "))
+    # Cells that meet in one column are joined, but for those that it holds already.
+    add = lambda a, v: F.when(a == "", v).when(F.contains(a, v), a).otherwise(F.concat(a, F.lit(" "), v))
+    aligned = F.transform("anchor", lambda _, j: F.aggregate(goes(j), F.lit(""), add))
     rows = rows.withColumn("row", F.when(F.col("_same"), F.col("row")).otherwise(aligned))
     rows = rows.filter(F.exists("row", lambda v: v != "")).filter(row_similarity(F.col("row"), F.col("anchor")) <= 0.8)
     first = rows.groupBy(*keys, "anchor", "row").agg(F.min(F.struct(order, "_at")).alias("first"), F.max("score").alias("score"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.crawl import dataset_stats
+
 
 def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
@@ -31,6 +33,11 @@ def document(stats: DataFrame, rows: DataFrame, name: str, path: str) -> None:
     _document(stats, rows, name, "", "").write.mode("overwrite").text(path)
 
 
+def save_dataset(entities: DataFrame, path: str, fetched_at: str) -> None:
+    """The data set's document, overwritten, with its statistics counted anew."""
+    document(dataset_stats(entities, fetched_at), entities, "universities", path)
+
+
 def js_envelope(stats: DataFrame, rows: DataFrame, name: str, path: str, variable: str = "window.PORTAL_DATA") -> None:
     """The same object as the value of a script's global."""
     _document(stats, rows, name, f"{variable} = ", ";").write.mode("overwrite").text(path)

@@ -222,3 +222,26 @@ def test_workbooks(spark, tmp_path):
     by_word = workbooks.keyword_entities(cells, {"name": ["вуз"], "num": ["№"]}, number="num").orderBy("row_idx").collect()
     assert [(r["id"], r["seq_id"], r["name"]) for r in by_word] == [(7, "u001", "Alpha"), (2, "u002", "Beta"), (3, "u003", "Gamma")]
     assert workbooks.sheet_matrices(cells).first()["rows"][0][:2] == ["Вуз", "№"]
+
+
+def test_cells_that_meet_in_one_column(spark):
+    rows = [("a", 2.0, 1, ["Код", "Бюджетные места"], [["01.03.02", "1"]]), ("a", 1.0, 2, ["Код", "Бюджет 1", "Бюджет 2"], [["01.03.03", "2", "2"], ["01.03.04", "2", "3"], ["01.03.05", "23", "3"]])]
+    df = spark.createDataFrame(rows, "e string, score double, at int, columns array<string>, rows array<array<string>>")
+    assert tables.merge_similar(df, ["e"], "at", 0.2).first()["rows"] == [["01.03.02", "1"], ["01.03.03", "2"], ["01.03.04", "2 3"], ["01.03.05", "23"]]
+
+
+def test_noise_is_the_same_in_expressions_and_in_folds(spark):
+    import itertools
+    import random
+
+    from tessera.operators import standardize as std
+
+    rng = random.Random(1)
+    words = ["", "", "01.03.02", "Итого", "5", "1.5", "Филиал x", "все курсы", "факультет институт журнал " * 12, "погода " * 40, "3 курс", "—", "x", "X"]
+    names = ["code", "direction", "program", "level", "course", "form"]
+    rows = [tuple(rng.choice(words) for _ in names) for _ in range(1500)] + [r for r in itertools.product(["", "5"], ["Филиал x", ""], ["Филиал x"], ["филиал X"], ["", "٣"], ["x"])]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    got = df.select(*names, std.noise(*(F.col(n) for n in names)).alias("noise")).collect()
+    assert {r["noise"] for r in got} == {True, False}
+    for r in got:
+        assert r["noise"] == std.noisy(r.asDict()), r
