@@ -31,7 +31,7 @@ def whole_tables(batches, key: str):
         if not b.num_rows:
             continue
         keys = b.column(b.schema.get_field_index(key))
-        same = pc.equal(keys, keys[-1]).to_pylist() if keys[-1].is_valid else keys.is_null().to_pylist()
+        same = pc.fill_null(pc.equal(keys, keys[-1]), False).to_pylist() if keys[-1].is_valid else keys.is_null().to_pylist()
         last = b.num_rows - (same[::-1] + [False]).index(False)
         if last or held and held[-1].column(held[-1].schema.get_field_index(key))[-1] != keys[0]:
             yield pa.Table.from_batches([*held, b.slice(0, last)])

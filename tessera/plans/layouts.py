@@ -1,4 +1,4 @@
-"""Queries of the table operators: lines of orders laid out as tables, and the fields that standardisation gives back."""
+"""Queries of the table operators: events laid out as the lines of tables, and the fields that standardisation gives back."""
 
 from __future__ import annotations
 
@@ -9,11 +9,10 @@ from ..operators import tables
 from ..sources import html_tables
 from .registry import golden, pick, query, table
 
-ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax"
-#: Every line with its place in its order, and the cells that are made of it.
-LINES = f"""SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) - 1 AS pos, l_orderkey % 4 AS v, l_partkey, l_suppkey,
-CAST(l_quantity AS BIGINT) AS q, l_suppkey % 5 AS p, CAST(l_partkey % 4 + 2 AS INTEGER) AS m,
-concat(CAST(l_partkey % 30 + 10 AS VARCHAR(9)), '.0', CAST(l_partkey % 4 + 2 AS VARCHAR(9)), '.', CAST(l_suppkey % 80 + 10 AS VARCHAR(9))) AS code, concat('Направление ', CAST(l_partkey AS VARCHAR(19))) AS name FROM lineitem"""
+#: Every event as a line of its user's table, with its place there, and the cells that are made of it.
+LINES = """SELECT user_id AS l_orderkey, CAST(event_id % 7 + 1 AS INTEGER) AS l_linenumber, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, user_id % 4 AS v, event_id % 40 AS l_partkey,
+event_id % 50 AS q, event_id % 5 AS p, CAST(event_id % 4 + 2 AS INTEGER) AS m,
+concat(CAST(event_id % 30 + 10 AS VARCHAR(9)), '.0', CAST(event_id % 4 + 2 AS VARCHAR(9)), '.', CAST(event_id % 80 + 10 AS VARCHAR(9))) AS code, concat('Направление ', CAST(event_id % 40 AS VARCHAR(19))) AS name FROM events"""
 LEVEL = """CASE m WHEN 2 THEN 'Среднее профессиональное образование' WHEN 3 THEN 'Высшее образование - бакалавриат' WHEN 4 THEN 'Высшее образование - магистратура' ELSE 'Высшее образование - специалитет' END"""
 PLAIN = ["№", "Код", "Наименование специальности", "Курс", "Форма обучения", "Бюджетные места", "Платные места"]
 GROUPED = ["Код", "Наименование направления подготовки", "1 курс бюджет", "1 курс плат", "2 курс бюджет", "3 курс договор"]
@@ -22,8 +21,7 @@ SEVERAL = ["Код", "Направление", "Курс", "Бюджет", "До
 
 def lines(spark, d):
     """The same rows as LINES."""
-    table(spark, d, "lineitem").createOrReplaceTempView("_lineitem")
-    return spark.sql(LINES.replace("FROM lineitem", "FROM _lineitem"))
+    return spark.sql(LINES.replace("FROM events", "FROM {events}"), events=table(spark, d, "events"))
 
 
 def text(*cells):
@@ -31,7 +29,7 @@ def text(*cells):
 
 
 def gathered(rows, columns):
-    """One table per order. rows: l_orderkey, pos, row."""
+    """One table per user. rows: l_orderkey, pos, row."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "row"))), lambda x: x["row"])
     return rows.groupBy(F.col("l_orderkey").alias("table_id")).agg(ordered.alias("rows"), F.first(columns).alias("columns"))
 
@@ -64,11 +62,11 @@ UNION ALL SELECT l_orderkey, pos, s, code, name, {LEVEL}, ([1, 3])[s + 1]::VARCH
 UNION ALL SELECT l_orderkey, pos, 0, code, name, {LEVEL}, '2', '', q, p FROM form WHERE v = 3 AND pos % 2 = 1)
 SELECT l_orderkey AS table_id, pos::INTEGER AS pos, sub::INTEGER AS sub, code, name AS direction, '' AS program, level, course, form, budget::VARCHAR AS budget, paid::VARCHAR AS paid FROM o""")
 def standardize(spark, d):
-    """Every order as a table in one of four layouts, standardised into eight fields."""
+    """Every user's events as a table in one of four layouts, standardised into eight fields."""
     return std.standardize(laid_out(spark, d))
 
 
-@query("""SELECT l_orderkey AS table_id, (count(*) + CASE WHEN l_orderkey % 4 = 0 THEN 1 ELSE 0 END)::INTEGER AS row_count, count(*) + CASE WHEN l_orderkey % 4 = 0 THEN 1 ELSE 0 END > 3 AS truncated, least(count(*) + CASE WHEN l_orderkey % 4 = 0 THEN 1 ELSE 0 END, 3)::INTEGER AS kept FROM lineitem GROUP BY l_orderkey""")
+@query(f"""SELECT l_orderkey AS table_id, (count(*) + CASE WHEN l_orderkey % 4 = 0 THEN 1 ELSE 0 END)::INTEGER AS row_count, count(*) + CASE WHEN l_orderkey % 4 = 0 THEN 1 ELSE 0 END > 3 AS truncated, least(count(*) + CASE WHEN l_orderkey % 4 = 0 THEN 1 ELSE 0 END, 3)::INTEGER AS kept FROM ({LINES}) GROUP BY l_orderkey""")
 def table_cap(spark, d):
     """Rows of a table beyond a cap, reported."""
     return std.cut_rows(laid_out(spark, d), 3).select("table_id", "row_count", "truncated", F.size("rows").alias("kept"))
@@ -227,7 +225,7 @@ def inferred_names(spark, d):
 
 
 def html_of_orders(spark, d):
-    """A page per order: a hidden cell, a spanning cell, a nested table, a picture's text, and a layout table first."""
+    """A page per user: a hidden cell, a spanning cell, a nested table, a picture's text, and a layout table first."""
     c = F.col
     cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
     head = "<tr><th rowspan=2>Код</th><th rowspan=2>Наименование специальности</th><th colspan=2>Места</th></tr><tr><th>Бюджет</th><th>Договор</th></tr>"

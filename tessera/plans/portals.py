@@ -98,7 +98,7 @@ def portal_build(spark, d):
 
 
 def _visits(spark, d):
-    """Orders as entities: their first page fails, is empty or has a table; a linked page may have one."""
+    """Users as entities: their first page fails, is empty or has a table; a linked page may have one."""
     t = gathered(lines(spark, d).withColumn("row", cells("1", c("code"), c("name"), (c("pos") % 6 + 1), "очная", c("q"), c("p"))).withColumn("columns", F.array(*map(F.lit, PLAIN))), "columns")
     k = c("uni_id")
     t = t.select(c("table_id").alias("uni_id"), "columns", "rows")
@@ -111,8 +111,8 @@ def _visits(spark, d):
     return first.union(better).union(better).union(linked), t
 
 
-@query("""SELECT l_orderkey AS uni_id, CASE l_orderkey % 4 WHEN 2 THEN 'partial' WHEN 3 THEN 'error' ELSE 'ok' END AS status, CASE l_orderkey % 4 WHEN 0 THEN 'http://h/' || l_orderkey WHEN 1 THEN 'http://h/' || l_orderkey || '/a' END AS source_url,
-CASE l_orderkey % 4 WHEN 1 THEN ['http://h/' || l_orderkey, 'http://h/' || l_orderkey || '/b.xlsx', 'http://h/' || l_orderkey || '/a'] ELSE ['http://h/' || l_orderkey] END AS tried_urls, CASE WHEN l_orderkey % 4 < 2 THEN count(*)::INTEGER END AS n FROM lineitem GROUP BY l_orderkey""")
+@query(f"""SELECT l_orderkey AS uni_id, CASE l_orderkey % 4 WHEN 2 THEN 'partial' WHEN 3 THEN 'error' ELSE 'ok' END AS status, CASE l_orderkey % 4 WHEN 0 THEN 'http://h/' || l_orderkey WHEN 1 THEN 'http://h/' || l_orderkey || '/a' END AS source_url,
+CASE l_orderkey % 4 WHEN 1 THEN ['http://h/' || l_orderkey, 'http://h/' || l_orderkey || '/b.xlsx', 'http://h/' || l_orderkey || '/a'] ELSE ['http://h/' || l_orderkey] END AS tried_urls, CASE WHEN l_orderkey % 4 < 2 THEN count(*)::INTEGER END AS n FROM ({LINES}) GROUP BY l_orderkey""")
 def crawl_choice(spark, d):
     """The first table by depth and score, and the addresses tried in order, each once."""
     return crawl.first_tables(_visits(spark, d)[0]).select("uni_id", "status", "source_url", "tried_urls", F.size("rows").alias("n"))
@@ -122,7 +122,7 @@ def crawl_choice(spark, d):
 FALLBACK = (["Код", "Направление", "Курс", "Бюджет", "Договор"], [["01.03.02", "Математика", "1", "2", "3"], ["01.03.03", "Механика", "2", "нет", "5"]])
 
 
-@query(f"""WITH l AS ({LINES}), e AS (SELECT l_orderkey AS uni_id, count(*) AS n, l_orderkey % 4 AS v, l_orderkey % 4 >= 2 AND l_orderkey % 3 = 0 AND l_orderkey % 5 <> 0 AS fb FROM lineitem GROUP BY l_orderkey),
+@query(f"""WITH l AS ({LINES}), e AS (SELECT l_orderkey AS uni_id, count(*) AS n, l_orderkey % 4 AS v, l_orderkey % 4 >= 2 AND l_orderkey % 3 = 0 AND l_orderkey % 5 <> 0 AS fb FROM l GROUP BY l_orderkey),
 r AS (SELECT l_orderkey AS uni_id, code, name AS direction, {LEVEL} AS level, (pos % 6 + 1)::VARCHAR AS course, 'очная' AS form, q::VARCHAR AS budget, p::VARCHAR AS paid FROM l WHERE v < 2
 UNION ALL SELECT uni_id, code, direction, 'Высшее образование - бакалавриат', course, '', budget, paid FROM e, (VALUES ('01.03.02', 'Математика', '1', '2', '3'), ('01.03.03', 'Механика', '2', '0', '5')) AS f(code, direction, course, budget, paid) WHERE fb)
 SELECT e.uni_id, CASE WHEN v < 2 OR fb THEN 'ok' WHEN v = 2 THEN 'partial' ELSE 'error' END AS status, fb AS is_manual_fallback, CASE WHEN fb THEN 'http://m' WHEN v = 1 THEN 'http://h/' || e.uni_id || '/a' WHEN v = 0 THEN 'http://h/' || e.uni_id ELSE 'http://x/' || e.uni_id END AS source_url,

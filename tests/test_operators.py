@@ -245,3 +245,17 @@ def test_noise_is_the_same_in_expressions_and_in_folds(spark):
     assert {r["noise"] for r in got} == {True, False}
     for r in got:
         assert r["noise"] == std.noisy(r.asDict()), r
+
+
+def test_folds_keep_tables_whole(spark):
+    from tessera.operators.standardize import fold
+
+    rows = [(k, i, "x") for k in (None, 1, 2, 3) for i in range(150)]
+    df = spark.createDataFrame(rows, "k int, pos int, v string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        count = lambda rows: [r | {"v": str(len(rows))} for r in rows if r["pos"] % 2]
+        got = fold(df.repartition(3), "k", count, ["pos"], ["v"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((str(r["k"]), r["pos"]) for r in got) == sorted((str(k), i) for k, i, _ in rows if i % 2) and {r["v"] for r in got} == {"150"}
