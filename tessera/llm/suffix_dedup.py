@@ -7,10 +7,10 @@ induced from the anchors' suffixes, and about 3 % of the suffixes are anchors.
 
 1. The hashes of all anchors are counted. A bitmap of fixed size (2^27 bits) holds those that occur twice or more.
    It only thins out: what passes by accident drops out later, and if it were full, results would not change.
-2. Anchors in the bitmap become suffix tuples: anchor hash, the bytes before the anchor and from it on that its
-   windows cover, and their place. Tuples of equal bytes (by a hash of them) merge by partial aggregation, keeping
-   the earliest place, so copies cost nothing later: all windows of a later copy go.
-3. The merged tuples are sorted by anchor and suffix, externally, by Spark's disk-backed sort. Each task walks its
+2. Anchors in the bitmap become suffix tuples: anchor hash, a hash of the bytes that its windows cover (before the
+   anchor and from it on), and their place. Tuples of equal bytes merge by partial aggregation, keeping the earliest
+   place, so copies cost nothing later: all windows of a later copy go.
+3. The merged tuples of anchors that have several get their bytes and are sorted by anchor and suffix, externally, by Spark's disk-backed sort. Each task walks its
    sorted run and induces: the order and common prefixes of suffixes one byte further left follow from those at hand
    (stable by the byte before; common prefix: one more than the least in between). Wherever neighbours share
    ``length`` bytes they are equal windows, and only the earliest stays.
@@ -144,12 +144,13 @@ def repeated_filter(docs: DataFrame, length: int, size: int) -> bytes:
     return bytes(out)
 
 
-TUPLES = "key long, context long, d long, th long, first int, last int, place int, again boolean, before binary, suffix binary"
+TUPLES = "key long, context long, d long, th long, first int, last int, place int, again boolean"
+FULL = "key long, d long, th long, first int, last int, place int, before binary, suffix binary"
 
 
 def suffix_tuples(docs: DataFrame, length: int, size: int, bitmap) -> DataFrame:
     """One row per anchor in the bitmap. ``again``: the same bytes stand earlier in the same document."""
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.bool_(), pa.binary(), pa.binary()]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.bool_()]
     names = [c.split()[0] for c in TUPLES.split(", ")]
 
     def run(batches):
@@ -172,7 +173,7 @@ def suffix_tuples(docs: DataFrame, length: int, size: int, bitmap) -> DataFrame:
                     context -= (context >> 63) << 64
                     again = (k, context) in seen
                     seen.add((k, context))
-                    row = (k, context, d, th, f, z, p, again, None if again else text[f:p], None if again else text[p : z + length - 1])
+                    row = (k, context, d, th, f, z, p, again)
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
                 if len(out[0]) >= 20_000:
@@ -184,6 +185,38 @@ def suffix_tuples(docs: DataFrame, length: int, size: int, bitmap) -> DataFrame:
     return docs.mapInArrow(run, TUPLES)
 
 
+def with_bytes(docs: DataFrame, tuples: DataFrame, length: int) -> DataFrame:
+    """The tuples with the bytes before their anchors and from them on, cut from their documents.
+
+    Tuples meet their document as one list, which is as long as the document has anchors; only documents with tuples
+    move. ``docs``: d, text.
+    """
+    names = [c.split()[0] for c in FULL.split(", ")]
+    per_doc = tuples.groupBy("d", "th").agg(F.collect_list(F.struct("key", "first", "last", "place")).alias("found"))
+    joined = docs.withColumn("th", F.xxhash64("text")).join(per_doc, ["d", "th"]).select("d", "th", "text", "found")
+
+    def run(batches):
+        for b in small(batches, 256):
+            lists = b.column(3)
+            size = np.diff(np.asarray(lists.offsets))
+            values = lists.flatten()
+            key, first, last, place = (values.field(i) for i in range(4))
+            doc = pa.array(np.repeat(np.arange(len(size)), size))
+            before, suffix, at = [], [], 0
+            f, z, p = (x.to_pylist() for x in (first, last, place))
+            for n, t in zip(size.tolist(), b.column(2).to_pylist(), strict=True):
+                text = t.encode()
+                for i in range(at, at + n):
+                    before.append(text[f[i] : p[i]])
+                    suffix.append(text[p[i] : z[i] + length - 1])
+                at += n
+            columns = [key, b.column(0).take(doc), b.column(1).take(doc), first, last, place, pa.array(before, pa.binary()), pa.array(suffix, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
+
+    return joined.mapInArrow(run, FULL)
+
+
 def induce(group: np.ndarray, suffix: list[bytes], before: list[bytes], rank: np.ndarray, length: int) -> np.ndarray:
     """dup[row, o]: whether the window that starts o bytes before the row's anchor equals an earlier one's.
 
@@ -322,15 +355,15 @@ def repeated_spans(docs: DataFrame, length: int = 100, heavy: int = 2000) -> Dat
     tuples = cut(suffix_tuples(docs.select("d", "text"), length, size, bitmap), "tuples")
     fresh = tuples.filter("not again")
     # Equal bytes merge: the earliest place stays, and how many there were. The bytes themselves do not move yet.
-    place = F.struct("d", "th")
+    place = F.struct("d", "th", "first", "last", "place")
     merged = fresh.groupBy("key", "context").agg(F.min(place).alias("at"), F.count("*").alias("n"))
     merged = cut(merged.select("key", "context", "n", "at.*"), "merged")
     many = merged.groupBy("key").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > 1)
-    first = cut(merged.join(many, "key").select("key", "context", "d", "th", "contexts"), "first")
-    # Only the earliest tuples of anchors with several surroundings bring their bytes along.
-    full = fresh.join(first, ["key", "context", "d", "th"]).select(*fresh.columns, "contexts")
-    few = cut(induced_spans(full.filter(F.col("contexts") <= heavy), length), "induced")
-    most = cut(window_spans(full.filter(F.col("contexts") > heavy), length), "windows")
+    # Only the earliest tuples of anchors with several surroundings get their bytes.
+    first = cut(merged.join(many, "key").select("key", "d", "th", "first", "last", "place", "contexts"), "first")
+    few = cut(induced_spans(with_bytes(docs, first.filter(F.col("contexts") <= heavy), length), length), "induced")
+    most = first.filter(F.col("contexts") > heavy)
+    most = cut(window_spans(with_bytes(docs, most, length), length), "windows") if most.limit(1).count() else few.limit(0)
     end = (F.col("last") + length - 1).cast("int").alias("end")
     inside = tuples.filter("again").select("d", "th", F.col("first").alias("begin"), end)
     copied = merged.filter("n > 1").select("key", "context", F.col("d").alias("d0"), F.col("th").alias("th0"))
