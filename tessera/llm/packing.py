@@ -116,25 +116,37 @@ def dominated(filling: list[int], left: int, counts: list[int]) -> bool:
     return False
 
 
-def fillings(room: int, counts: list[int], most_waste: int, budget: list[int]):
-    """Undominated fillings of ``room`` by rising waste, larger pieces first. Each step takes one from ``budget``."""
+def fillings(room: int, counts: list[int], most_waste: int, budget: list[int], share: int):
+    """Undominated fillings of ``room`` by rising waste, larger pieces first.
+
+    Each step takes one from ``budget``, and those of one waste take ``share`` at most, so that a waste for which
+    the counts run short can't spend it all.
+    """
     lengths = [n for n in range(min(room, len(counts) - 1), 0, -1) if counts[n]]
+    below = [0] * (len(lengths) + 1)  # tokens of the pieces of this and shorter lengths
+    for k in reversed(range(len(lengths))):
+        below[k] = below[k + 1] + lengths[k] * counts[lengths[k]]
     reach = 1  # bit s: some lengths add up to s, whatever their counts
     for n in reversed(lengths):
+        if (reach >> n) + 1 == 1 << room - n + 1:  # all from here on is reached: longer pieces add nothing
+            break
         step = n
         while step <= room:
             reach |= reach << step
             step *= 2
         reach &= (1 << room + 1) - 1
 
+    own = [0]
+
     def exact(left: int, first: int, chosen: list[int]):
         budget[0] -= 1
+        own[0] -= 1
         if not left:
             yield list(chosen)
             return
         for k in range(first, len(lengths)):
             n = lengths[k]
-            if budget[0] <= 0:
+            if budget[0] <= 0 or own[0] <= 0 or left > below[k]:
                 return
             if n > left or chosen.count(n) >= counts[n] or not reach >> left - n & 1:
                 continue
@@ -142,8 +154,9 @@ def fillings(room: int, counts: list[int], most_waste: int, budget: list[int]):
             yield from exact(left - n, k, chosen)
             chosen.pop()
 
-    for waste in range(min(most_waste, room) + 1):
+    for waste in range(max(room - below[0], 0), min(most_waste, room) + 1):
         if reach >> room - waste & 1:
+            own[0] = share
             for f in exact(room - waste, 0, []):
                 if not dominated(f, waste, counts):
                     yield waste, f
@@ -155,8 +168,8 @@ def complete(counts: list[int], capacity: int, best: list[Filling], low: int, st
     """Bin completion by branch and bound: ``best`` or a packing with fewer sequences.
 
     Each node fills the sequence of the longest piece that is left, in every undominated way, as often as counts allow
-    or once. A branch ends where its waste exceeds what a packing better than the incumbent may waste, or where the
-    lower bound of what is left does not beat it.
+    or once. A branch ends where its waste exceeds what a packing better than the incumbent may waste, or (after the
+    first dive, where waste alone decides) where the lower bound of what is left does not beat it.
     """
     counts, budget = list(counts), [steps]
     total, size = sum(n * c for n, c in enumerate(counts)), sum(t for t, _ in best)
@@ -167,7 +180,7 @@ def complete(counts: list[int], capacity: int, best: list[Filling], low: int, st
         largest = max(n for n, c in enumerate(counts) if c)
         allowed = (size - 1) * capacity - total - wasted
         counts[largest] -= 1
-        found = fillings(capacity - largest, counts, allowed, budget)
+        found = fillings(capacity - largest, counts, allowed, budget, max(steps // 100, 100))
         while True:
             got = next(found, None)
             counts[largest] += 1
@@ -180,27 +193,33 @@ def complete(counts: list[int], capacity: int, best: list[Filling], low: int, st
                     yield t, filling
             counts[largest] -= 1
 
+    def bounded() -> int:
+        budget[0] -= capacity // 32  # about what it costs
+        return lower_bound(counts, capacity)
+
     def use(t: int, filling: list[int], sign: int) -> None:
         nonlocal used, wasted
         for n in filling:
             counts[n] -= sign * t
         used, wasted = used + sign * t, wasted + sign * t * (capacity - sum(filling))
 
-    stack = [children()]
+    stack, dived = [children()], False
     while stack and budget[0] > 0 and size > low:
         step = next(stack[-1], None)
         if step is None:
             stack.pop()
+            dived = True
             if path:
                 use(*path.pop(), -1)
             continue
         use(*step, 1)
         path.append(step)
-        budget[0] -= 1 + capacity // 32  # about what the lower bound costs
+        budget[0] -= 1 + capacity // 256  # about what a node costs
         if not any(counts):
+            dived = True
             if used < size:
                 best, size = list(path), used
-        elif used + lower_bound(counts, capacity) < size:
+        elif not dived or used + bounded() < size:
             stack.append(children())
             continue
         use(*path.pop(), -1)
