@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -160,6 +159,7 @@ def links(fps: DataFrame, bits: int = 64) -> DataFrame:
             fp = np.asarray(b.column(0))
             rows, found = anchors(fp, bits)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(fp[rows])], names=["anchor", "fp"])
+        give_back()
 
     def points(batches):
         for b in batches:
@@ -476,24 +476,20 @@ def rest_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     rows = dealt.join(blocks, "family").select("family", "sid", "root", "block", F.explode("blocks").alias("other"))
     one = F.col("block.tag").isNotNull() & F.col("block.tag").eqNullSafe(F.col("other.tag"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    rows = rows.filter(~one).select("family", F.xxhash64(low, high).alias("pair"), (F.col("block") == low).alias("is_low"), (low == high).alias("alone"), "sid", "root")
-    rows = rows.join(sets, "sid")
-
-    def compare(pdf):
-        sets = [np.frombuffer(x, "<u8") for x in pdf.hashes]
-        roots, low = pdf.root.to_numpy(), pdf.is_low.to_numpy()
-        if pdf.alone.iloc[0]:
-            low = np.ones(len(pdf), bool)
-        left, right = np.flatnonzero(low), np.arange(len(pdf)) if pdf.alone.iloc[0] else np.flatnonzero(~low)
+    rows = rows.filter(~one).select(F.xxhash64("family", low, high).alias("pair"), (F.col("block") == low).alias("is_low"), (F.col("block") == high).alias("is_high"), "sid", "root")
+    rows = rows.join(sets, "sid").select("pair", "is_low", "is_high", "root", "hashes")
+
+    def joined(roots: np.ndarray, low: np.ndarray, high: np.ndarray, found: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Links that connect the roots of a pair of blocks (both the same block, where all rows are low and high)."""
+        left, right = np.flatnonzero(low), np.flatnonzero(high)
         if not len(left) or not len(right):
-            return pd.DataFrame({"src": [], "dst": []}, dtype="int64")
-        shared = overlaps([sets[i] for i in left], [sets[i] for i in right])
-        n = np.array([len(x) for x in sets], float)
+            return []
+        shared = overlaps([found[i] for i in left], [found[i] for i in right])
+        n = np.array([len(x) for x in found], float)
         ok = shared >= similarity * (n[left][:, None] + n[right] - shared) - 1e-9
         ok &= roots[left][:, None] != roots[right]
         x, y = np.nonzero(ok)
         a, b = roots[left[x]], roots[right[y]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         top: dict[int, int] = {}
 
         def root(i: int) -> int:
@@ -502,15 +498,28 @@ def rest_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFr
             return i
 
         out = []
-        for p, q in pairs.tolist():
+        for p, q in np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).tolist():
             p0, q0 = root(p), root(q)
             if p0 != q0:
                 top[max(p0, q0)] = min(p0, q0)
                 out.append((p, q))
-        return pd.DataFrame(out or np.zeros((0, 2), np.int64), columns=["src", "dst"], dtype="int64")
+        return out
+
+    def compare(batches):
+        for g in whole_runs(batches):
+            pair, roots = np.asarray(g.column(0)), np.asarray(g.column(3))
+            low, high = (g.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            links: list[tuple[int, int]] = []
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(pair)], strict=True):
+                if j - i > 1:
+                    found = [np.frombuffer(x, "<u8") for x in g.column(4).slice(i, j - i).to_pylist()]
+                    links += joined(roots[i:j], low[i:j], high[i:j], found)
+            both = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["src", "dst"])
+        give_back()
 
-    found = rows.select("family", "pair", "is_low", "alone", "root", "hashes").groupBy("family", "pair").applyInPandas(compare, "src long, dst long")
-    return found.distinct()
+    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, "src long, dst long").distinct()
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
