@@ -224,10 +224,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         for b in small(batches, 4096):
             kept, texts = b.column(0), b.column(1).to_pylist()
-            for begin, end in groups(texts, 8_000_000):
+            for begin, end in groups(texts, 4_000_000):
                 part = texts[begin:end]
                 if model:
-                    scored = map(words_and_scores, (part[i:j] for i, j in groups(part, 400_000)))
+                    scored = map(words_and_scores, (part[i:j] for i, j in groups(part, 200_000)))
                     per_text, size, strange, scores = map(np.concatenate, zip(*scored, strict=True))
                     path = spans(scores, per_text, model.penalty)
                 else:
