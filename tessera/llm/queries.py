@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, maxscore
+from . import chat, maxscore, ngram_join
 from .common import cut, table
 
 GPT_JSON = "byte_bpe_50k.json"
@@ -89,8 +89,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(decode(encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_suffix_dedup, op3_topk_maxscore, op4_language_id, op5_warc, op6_chat, op7_simhash, op8_packing, op9_quality, op10_byte_bpe)
-}
-ORACLE_SQL: dict[str, str] = {"op3_topk_maxscore": maxscore.ORACLE_SQL, "op6_chat": chat.ORACLE_SQL}
+    for f in (
+        op1_token_counts, op2_suffix_dedup, op3_topk_maxscore, op4_language_id, op5_warc, op6_chat, op7_simhash, op8_packing, op9_quality, op10_byte_bpe,
+        op11_ngram_join,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op3_topk_maxscore": maxscore.ORACLE_SQL, "op6_chat": chat.ORACLE_SQL, "op11_ngram_join": ngram_join.ORACLE_SQL}
