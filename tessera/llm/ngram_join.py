@@ -9,14 +9,15 @@ share m: longer prefixes, but more matches before two sets are compared. Each se
    decides what is cheap, never what links. Equal sets are one from here on.
 2. Prefix shingles of a single set go, the others are counted. For each m the lengths of the lists that the prefix
    would read bound its candidates (at most their sum / m share m entries); the set takes the m of the least cost.
-3. Sets meet at each shingle of their prefixes. A pair needs the smaller m of the two in common, and is looked at only at
+   Masks over buckets of partners count matches without listing pairs: what can't have enough with any set goes.
+3. Sets meet at each shingle that is left. A pair needs the smaller m of the two in common, and is looked at only at
    the least shingle that it shares, so once. The signatures bound its overlap from above: a bit that only one of them
    has is a shingle that the other lacks. What is left are members of that shingle's group, not pairs.
 4. Groups get their members' whole sets and compare them by products of incidence matrices; what already hangs together
    is skipped. Links come out as a forest per group, so no pairs of a family are listed.
 5. Links are contracted to the smallest doc_id that is reachable.
 
-A shingle with more than CROWD sets (large ones weigh more) is dealt in parts, each pair of parts one group: a family
+A set can't link with a larger one if it is small (at 90 %, below nine shingles) and takes no part. A shingle with more than CROWD sets (large ones weigh more) is dealt in parts, each pair of parts one group: a family
 of N sets moves N * N / CROWD rows at most; its comparisons grow with its square where its texts are near the threshold,
 yet don't hang together. Sets are told apart by 64-bit hashes of their shingles.
 
@@ -36,8 +37,10 @@ from pyspark.sql import functions as F
 from .common import cut, give_back, small
 from .simhash import SEED, components, key_of, overlaps, set_of, sets_of, whole_runs
 
-#: Matches that a prefix may be lengthened to require.
-LEVELS = 8
+#: Matches that a prefix asks for at least (where sets are large enough), and may be lengthened to ask for.
+FEWEST, LEVELS = 3, 8
+#: Bits of a posting's mask.
+BUCKETS, FULL, FAR = 64, (1 << 64) - 1, 1 << 62
 #: Counters of frequent shingles, in each task and in all.
 COUNTERS = 1 << 16
 #: What comparing two sets costs, as a share of their shingles, beside reading one entry of a list.
@@ -153,26 +156,94 @@ def repeated(batches):
     give_back()
 
 
+def smallest_joined(percent: int) -> int:
+    """The least n of a set that can link with another one than itself: with one of n + 1."""
+    return max(1, -(-percent // (100 - percent))) if percent < 100 else FAR
+
+
+def least_level(percent: int) -> int:
+    """Matches that any pair needs: FEWEST, or all that the smallest sets share at least."""
+    return min(FEWEST, int(least_shared(smallest_joined(percent), percent)))
+
+
 def postings(unique: DataFrame, percent: int) -> DataFrame:
-    """token, load, sid, n, level, tokens: a row for each prefix shingle of each set that other sets have as well.
+    """token, df, load, sid, n, level: a row for each prefix shingle of each set that other sets have as well.
 
-    ``level``: how many of its ``tokens`` (sorted) a set asks another one to share.
+    ``level``: how many of its prefix's shingles a set asks another one to share.
     """
-    entries = unique.select(F.posexplode("prefix").alias("pos", "token"), "sid", "n").select("token", "sid", "pos", "n")
+    entries = unique.filter(F.col("n") >= smallest_joined(percent)).select(F.posexplode("prefix").alias("pos", "token"), "sid", "n").select("token", "sid", "pos", "n")
     shared = cut(entries.repartition("token").sortWithinPartitions("token").mapInArrow(repeated, "token long, sid long, pos int, n long"), "shared")
     weight = F.lit(1.0) + F.col("n") / 1024
     lists = shared.groupBy("token").agg(F.count("*").alias("df"), F.sum(weight).alias("load"))
     rows = shared.join(lists, "token")
     t = F.ceil(F.lit(percent) * F.col("n") / 100)
     before = F.col("n") - t  # a prefix that asks for m matches has so many entries and m more
-    read = [F.sum(F.when(F.col("pos") < before + m, F.col("df") - 1).otherwise(0)).alias(f"read{m}") for m in range(1, LEVELS + 1)]
-    per_set = rows.groupBy("sid", "n").agg(*read, F.collect_list(F.struct("pos", "token", "load")).alias("entries"))
-    cost = [F.when(F.lit(m) <= F.greatest(t, F.lit(1)), F.col(f"read{m}") * (1 + F.col("n") * COMPARE / m)) for m in range(1, LEVELS + 1)]
-    level = F.array_position(F.array(*cost), F.least(*cost)).cast("int")
+    levels = range(least_level(percent), LEVELS + 1)
+    read = [F.sum(F.when(F.col("pos") < before + m, F.col("df") - 1).otherwise(0)).alias(f"read{m}") for m in levels]
+    per_set = rows.groupBy("sid", "n").agg(*read, F.collect_list(F.struct("pos", "token", "df", "load")).alias("entries"))
+    cost = [F.when(F.lit(m) <= t, F.col(f"read{m}") * (1 + F.col("n") * COMPARE / m)) for m in levels]
+    level = F.array_position(F.array(*cost), F.least(*cost) if len(cost) > 1 else cost[0]).cast("int") + levels[0] - 1
     chosen = per_set.withColumn("level", level)
-    chosen = chosen.withColumn("entries", F.filter("entries", lambda e: e["pos"] < before + F.col("level")))
-    chosen = chosen.withColumn("tokens", F.array_sort(F.transform("entries", lambda e: e["token"])))
-    return chosen.select("sid", "n", "level", "tokens", F.explode("entries").alias("e")).select("e.token", "e.load", "sid", "n", "level", "tokens")
+    chosen = chosen.select("sid", "n", "level", F.explode(F.filter("entries", lambda e: e["pos"] < before + F.col("level"))).alias("e"))
+    return chosen.select("e.token", "e.df", "e.load", "sid", "n", "level")
+
+
+def several(rows: DataFrame, percent: int) -> DataFrame:
+    """The postings of sets that may share enough of them with one other set of a size that fits: token, load, sid, n, level.
+
+    Each posting of a list of up to BUCKETS sets gets a mask: the buckets of the sets beside it whose sizes fit. (Longer
+    lists fill the mask.) A set that shares m shingles with another one has m masks with that one's bucket: buckets that
+    fewer masks hold than any pair needs are struck out, and postings without a bucket left go. No pairs are listed.
+    """
+    least = least_level(percent)
+
+    def masks(batches):
+        for g in whole_runs(batches):
+            token, sid, n = (np.asarray(g.column(k)) for k in (0, 3, 4))
+            mask = np.where(np.asarray(g.column(1)) > BUCKETS, np.uint64(FULL), np.uint64(0))
+            bit = np.uint64(1) << (_spread(sid.view(np.uint64)) & np.uint64(BUCKETS - 1))
+            for lag in range(1, BUCKETS):
+                near = (token[lag:] == token[:-lag]) & (mask[lag:] != FULL)
+                if not near.any():
+                    break
+                near &= linked(np.minimum(n[lag:], n[:-lag]), n[lag:], n[:-lag], percent)
+                mask[lag:][near] |= bit[:-lag][near]
+                mask[:-lag][near] |= bit[lag:][near]
+            some = pa.array(mask > 0)
+            out = g.filter(some).append_column("mask", pa.array(mask.view(np.int64)).filter(some))
+            yield from out.select(["sid", "token", "load", "n", "level", "mask"]).to_batches()
+        give_back()
+
+    def struck(batches):
+        for g in whole_runs(batches):
+            sid, mask = np.asarray(g.column(0)), np.asarray(g.column(5)).view(np.uint64)
+            starts = np.flatnonzero(np.append(True, sid[1:] != sid[:-1]))
+            size = np.diff(np.append(starts, len(sid)))
+            good = np.zeros(len(starts), np.uint64)
+            for k in range(BUCKETS):
+                held = np.add.reduceat((mask >> np.uint64(k) & np.uint64(1)).astype(np.int64), starts)
+                good |= (held >= least).astype(np.uint64) << np.uint64(k)
+            keep = (mask & np.repeat(good, size)) > 0
+            yield from g.select(["token", "sid", "load", "n", "level"]).filter(pa.array(keep)).to_batches()
+        give_back()
+
+    short, long = rows.filter(F.col("df") <= BUCKETS), rows.filter(F.col("df") > BUCKETS)
+    kind = "sid long, token long, load double, n long, level int, mask long"
+    masked = short.select("token", "df", "load", "sid", "n", "level").repartition("token").sortWithinPartitions("token").mapInArrow(masks, kind)
+    masked = masked.union(long.select("sid", "token", "load", "n", "level", F.lit(-1).cast("long").alias("mask")))
+    return masked.repartition("sid").sortWithinPartitions("sid").mapInArrow(struck, "token long, sid long, load double, n long, level int")
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (h ^ h >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(40)
+
+
+def met(rows: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The postings of lists that still have several sets, with all of the set's such shingles (tokens) and its signature."""
+    rows = cut(rows.repartition("token").sortWithinPartitions("token").mapInArrow(repeated, rows.schema), "several")
+    facts = rows.groupBy("sid").agg(F.collect_list("token").alias("tokens")).join(signatures, "sid")
+    return rows.join(facts, "sid")
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -339,8 +410,8 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     facts = [F.first(c).alias(c) for c in ("n", "prefix", "signature")]
     unique = rows.filter("n > 0").groupBy("sid").agg(F.min(F.struct("d", "th")).alias("at"), F.min("doc_id").alias("label"), *facts)
     unique = cut(unique, "unique")
-    met = cut(dealt(postings(unique, percent)).join(unique.select("sid", "signature"), "sid"), "met")
-    groups = cut(candidates(met, percent), "groups")
+    rest = several(cut(postings(unique, percent), "postings"), percent)
+    groups = cut(candidates(dealt(met(rest, unique.select("sid", "signature"))), percent), "groups")
     need = groups.select("sid").distinct().join(unique.select("sid", "at.d", "at.th"), "sid")
     links = cut(verified(groups, cut(sets_of(docs, need, words), "sets"), percent), "links")
     found = components(unique.select(F.col("sid").alias("node"), "label"), links)

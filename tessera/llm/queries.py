@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, maxscore, ngram_join
+from . import chat, collocations, maxscore, ngram_join, prefix_trie
 from .common import cut, table
 
 GPT_JSON = "byte_bpe_50k.json"
@@ -93,11 +93,22 @@ def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), max_words=5, min_count=100, top=2000)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_suffix_dedup, op3_topk_maxscore, op4_language_id, op5_warc, op6_chat, op7_simhash, op8_packing, op9_quality, op10_byte_bpe,
-        op11_ngram_join,
+        op11_ngram_join, op12_prefix_trie, op13_collocations,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_topk_maxscore": maxscore.ORACLE_SQL, "op6_chat": chat.ORACLE_SQL, "op11_ngram_join": ngram_join.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_topk_maxscore": maxscore.ORACLE_SQL, "op6_chat": chat.ORACLE_SQL, "op11_ngram_join": ngram_join.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL,
+}

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join
 
@@ -85,8 +86,11 @@ def test_levels_ask_for_more_matches_where_lists_are_long(spark):
     """Each of two sets shares the matches that both levels ask for; some sets take more than one."""
     docs = spark.createDataFrame(families(5, 200), "doc_id long, text string")
     rows = ngram_join.sketches(docs, 3, 90)
-    got = ngram_join.postings(rows.dropDuplicates(["sid"]), 90).select("sid", "n", "level", "tokens").distinct().collect()
-    assert {r["level"] for r in got} - {1}
+    got = ngram_join.postings(rows.dropDuplicates(["sid"]), 90)
+    kept = ngram_join.several(got, 90).groupBy("sid").agg(F.collect_set("token").alias("tokens"))
+    kept = {r["sid"]: set(r["tokens"]) for r in kept.collect()}
+    got = got.groupBy("sid", "n", "level").agg(F.collect_set("token").alias("tokens")).collect()
+    assert len({r["level"] for r in got}) > 1 and min(r["level"] for r in got) >= ngram_join.FEWEST
     exact = {r["sid"]: None for r in got}
     for r in rows.join(docs, "doc_id").select("sid", "text").collect():
         exact[r["sid"]] = word_sets(r["text"])
@@ -94,7 +98,9 @@ def test_levels_ask_for_more_matches_where_lists_are_long(spark):
         for b in got:
             x, y = exact[a["sid"]], exact[b["sid"]]
             if a["sid"] < b["sid"] and 100 * len(x & y) >= 90 * len(x | y):
-                assert len(set(a["tokens"]) & set(b["tokens"])) >= min(a["level"], b["level"])
+                shared = set(a["tokens"]) & set(b["tokens"])
+                assert len(shared) >= min(a["level"], b["level"])
+                assert shared <= kept[a["sid"]] and shared <= kept[b["sid"]]
 
 
 def test_signatures_bound_the_overlap():
