@@ -264,8 +264,8 @@ c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM f WHE
 cuts AS (
   SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, n, i, (1000 * a * n) // (x.f * y.f) AS score
   FROM c CROSS JOIN range(1, 5) t(i) JOIN n ON n.lang = c.lang
-  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1 : i], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[i + 1 : k], ' ')
-  WHERE i < k),
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1 : i], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[i + 1 : c.k], ' ')
+  WHERE i < c.k),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
 held AS (
   SELECT DISTINCT lang, array_to_string(ws[i : i + j - 1], ' ') AS phrase, a AS longer

@@ -321,8 +321,8 @@ def _size(rows: DataFrame, spines: bool) -> int:
 
 
 #: CRC-32 of a decimal number's digits, by eight shifts a byte.
-CRC = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), c -> ascii(c)::BIGINT),
-    (crc, b) -> list_reduce([xor(crc, b)] || [i::BIGINT FOR i IN range(8)], (x, i) -> CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT)"""
+CRC = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda crc, b: list_reduce([xor(crc, b)] || [i::BIGINT FOR i IN range(8)], lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT)"""
 ORACLE_SQL = f"""
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
