@@ -4,22 +4,23 @@ Two texts link when 100 * (shared shingles) >= percent * (shingles of both). A s
 shares t = ceil(percent * n / 100) of them at least. So in any order common to all sets, the first n - t + m of each
 share m: longer prefixes, but more matches before two sets are compared. Each set takes its own m.
 
-1. Every document becomes its set, a prefix long enough for the largest m, and a bit signature. Shingles of many
-   documents come last in prefixes: mergeable counters over all documents (Misra-Gries, fixed size) name them; the order
-   decides what is cheap, never what links. Equal sets are one from here on.
+1. Every document becomes its set and a prefix long enough for the largest m. Shingles of many documents come last in
+   it: mergeable counters over all documents (Misra-Gries, fixed size) name them. The order decides what is cheap, never
+   what links. Equal sets are one from here on.
 2. Prefix shingles of a single set go, the others are counted. For each m the lengths of the lists that the prefix
    would read bound its candidates (at most their sum / m share m entries); the set takes the m of the least cost.
    Masks over buckets of partners count matches without listing pairs: what can't have enough with any set goes.
 3. Sets meet at each shingle that is left. A pair needs the smaller m of the two in common, and is looked at only at
-   the least shingle that it shares, so once. The signatures bound its overlap from above: a bit that only one of them
+   the least shingle that it shares, so once. Bit signatures bound its overlap from above: a bit that only one of them
    has is a shingle that the other lacks. What is left are members of that shingle's group, not pairs.
 4. Groups get their members' whole sets and compare them by products of incidence matrices; what already hangs together
    is skipped. Links come out as a forest per group, so no pairs of a family are listed.
 5. Links are contracted to the smallest doc_id that is reachable.
 
-A set can't link with a larger one if it is small (at 90 %, below nine shingles) and takes no part. A shingle with more than CROWD sets (large ones weigh more) is dealt in parts, each pair of parts one group: a family
-of N sets moves N * N / CROWD rows at most; its comparisons grow with its square where its texts are near the threshold,
-yet don't hang together. Sets are told apart by 64-bit hashes of their shingles.
+Sets too small to link with another one (at 90 %, of fewer than nine shingles) take no part. A shingle with more than
+CROWD sets (large ones weigh more) is dealt in parts, each pair of parts one group: a family of N sets moves N * N / CROWD
+rows at most; its comparisons grow with its square where its texts are near the threshold, yet don't hang together. Sets
+are told apart by 64-bit hashes of their shingles.
 
 Null, empty and blank texts have the empty set, n_shingles 0 and link with nothing. Fewer words than a shingle: the
 whole sequence is the one shingle. Repeated rows stay, one row each. A null doc_id stays null in the result and names no
@@ -34,11 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, small
+from .common import cut, give_back, replaced, small
 from .simhash import SEED, components, key_of, overlaps, set_of, sets_of, whole_runs
 
-#: Matches that a prefix asks for at least (where sets are large enough), and may be lengthened to ask for.
-FEWEST, LEVELS = 3, 8
+#: Matches that a prefix asks for at least: FEWEST and one more for each SHARE shingles, or half as many more, or twice as many.
+FEWEST, SHARE = 3, 32
 #: Bits of a posting's mask.
 BUCKETS, FULL, FAR = 64, (1 << 64) - 1, 1 << 62
 #: Counters of frequent shingles, in each task and in all.
@@ -54,6 +55,17 @@ def least_shared(n, percent: int):
     return -(-percent * n // 100)
 
 
+def fewest(n, percent: int):
+    """The matches that a set of n asks for at least; larger sets ask for as many or more."""
+    return np.minimum(FEWEST + n // SHARE, least_shared(n, percent))
+
+
+def longest_prefix(n: int, percent: int) -> int:
+    """Entries of the prefix that asks for the most matches."""
+    t = least_shared(n, percent)
+    return n - t + min(2 * (FEWEST + n // SHARE), t)
+
+
 def linked(shared, a, b, percent: int):
     return 100 * shared >= percent * (a + b - shared)
 
@@ -110,7 +122,7 @@ def folded(signatures: list[bytes], size: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """A row per document: doc_id, d and th (which text it is), sid (a hash of the set), n, prefix and signature."""
+    """A row per document: doc_id, d and th (which text it is), sid (a hash of the set), n and prefix."""
     often, rank = frequent(docs, words)
 
     def run(batches):
@@ -124,16 +136,12 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(often, h), len(often) - 1) if len(often) else np.zeros(len(h), np.int64)
                 common = often[at] == h if len(often) else np.zeros(len(h), bool)
                 last = h[common][np.argsort(rank[at[common]])] if common.any() else h[:0]
-                t = least_shared(len(h), percent)
-                prefixes.append(np.concatenate([h[~common], last]).view(np.int64)[: len(h) - t + min(LEVELS, t)])
-            columns = [
-                b.column(0), b.column(1), pa.array(hashes), pa.array(sids), pa.array([len(h) for h in sets], pa.int64()),
-                pa.array(prefixes, pa.list_(pa.int64())), pa.array([signature(h) for h in sets], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d", "th", "sid", "n", "prefix", "signature"])
+                prefixes.append(np.concatenate([h[~common], last]).view(np.int64)[: longest_prefix(len(h), percent)])
+            columns = [b.column(0), b.column(1), pa.array(hashes), pa.array(sids), pa.array([len(h) for h in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d", "th", "sid", "n", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of(docs).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, d long, th long, sid long, n long, prefix array<long>, signature binary")
+    return rows.mapInArrow(run, "doc_id long, d long, th long, sid long, n long, prefix array<long>")
 
 
 def repeated(batches):
@@ -161,11 +169,6 @@ def smallest_joined(percent: int) -> int:
     return max(1, -(-percent // (100 - percent))) if percent < 100 else FAR
 
 
-def least_level(percent: int) -> int:
-    """Matches that any pair needs: FEWEST, or all that the smallest sets share at least."""
-    return min(FEWEST, int(least_shared(smallest_joined(percent), percent)))
-
-
 def postings(unique: DataFrame, percent: int) -> DataFrame:
     """token, df, load, sid, n, level: a row for each prefix shingle of each set that other sets have as well.
 
@@ -177,12 +180,13 @@ def postings(unique: DataFrame, percent: int) -> DataFrame:
     lists = shared.groupBy("token").agg(F.count("*").alias("df"), F.sum(weight).alias("load"))
     rows = shared.join(lists, "token")
     t = F.ceil(F.lit(percent) * F.col("n") / 100)
+    least = FEWEST + F.floor(F.col("n") / SHARE)
+    matches = [F.least(t, m) for m in (least, least + F.floor(least / 2), 2 * least)]
     before = F.col("n") - t  # a prefix that asks for m matches has so many entries and m more
-    levels = range(least_level(percent), LEVELS + 1)
-    read = [F.sum(F.when(F.col("pos") < before + m, F.col("df") - 1).otherwise(0)).alias(f"read{m}") for m in levels]
+    read = [F.sum(F.when(F.col("pos") < before + m, F.col("df") - 1).otherwise(0)).alias(f"read{k}") for k, m in enumerate(matches)]
     per_set = rows.groupBy("sid", "n").agg(*read, F.collect_list(F.struct("pos", "token", "df", "load")).alias("entries"))
-    cost = [F.when(F.lit(m) <= t, F.col(f"read{m}") * (1 + F.col("n") * COMPARE / m)) for m in levels]
-    level = F.array_position(F.array(*cost), F.least(*cost) if len(cost) > 1 else cost[0]).cast("int") + levels[0] - 1
+    cost = F.array(*(F.col(f"read{k}") * (1 + F.col("n") * COMPARE / m) for k, m in enumerate(matches)))
+    level = F.get(F.array(*matches), (F.array_position(cost, F.array_min(cost)) - 1).cast("int")).cast("int")
     chosen = per_set.withColumn("level", level)
     chosen = chosen.select("sid", "n", "level", F.explode(F.filter("entries", lambda e: e["pos"] < before + F.col("level"))).alias("e"))
     return chosen.select("e.token", "e.df", "e.load", "sid", "n", "level")
@@ -195,7 +199,6 @@ def several(rows: DataFrame, percent: int) -> DataFrame:
     lists fill the mask.) A set that shares m shingles with another one has m masks with that one's bucket: buckets that
     fewer masks hold than any pair needs are struck out, and postings without a bucket left go. No pairs are listed.
     """
-    least = least_level(percent)
 
     def masks(batches):
         for g in whole_runs(batches):
@@ -219,10 +222,10 @@ def several(rows: DataFrame, percent: int) -> DataFrame:
             sid, mask = np.asarray(g.column(0)), np.asarray(g.column(5)).view(np.uint64)
             starts = np.flatnonzero(np.append(True, sid[1:] != sid[:-1]))
             size = np.diff(np.append(starts, len(sid)))
-            good = np.zeros(len(starts), np.uint64)
+            need, good = fewest(least_shared(np.asarray(g.column(3))[starts], percent), percent), np.zeros(len(starts), np.uint64)
             for k in range(BUCKETS):
                 held = np.add.reduceat((mask >> np.uint64(k) & np.uint64(1)).astype(np.int64), starts)
-                good |= (held >= least).astype(np.uint64) << np.uint64(k)
+                good |= (held >= need).astype(np.uint64) << np.uint64(k)
             keep = (mask & np.repeat(good, size)) > 0
             yield from g.select(["token", "sid", "load", "n", "level"]).filter(pa.array(keep)).to_batches()
         give_back()
@@ -239,11 +242,16 @@ def _spread(h: np.ndarray) -> np.ndarray:
         return (h ^ h >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(40)
 
 
-def met(rows: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The postings of lists that still have several sets, with all of the set's such shingles (tokens) and its signature."""
-    rows = cut(rows.repartition("token").sortWithinPartitions("token").mapInArrow(repeated, rows.schema), "several")
-    facts = rows.groupBy("sid").agg(F.collect_list("token").alias("tokens")).join(signatures, "sid")
-    return rows.join(facts, "sid")
+def met(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The postings with all of their set's shingles in postings (tokens) and the set's signature."""
+
+    def signed(batches):
+        for b in small(batches):
+            signatures = [signature(np.frombuffer(x, "<u8")) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signatures, pa.binary())], names=["sid", "signature"])
+
+    facts = rows.groupBy("sid").agg(F.collect_list("token").alias("tokens"))
+    return rows.join(facts.join(sets.mapInArrow(signed, "sid long, signature binary"), "sid"), "sid")
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -406,14 +414,19 @@ def verified(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable over links) of every document."""
-    rows = cut(sketches(docs, words, percent), "sketches")
-    facts = [F.first(c).alias(c) for c in ("n", "prefix", "signature")]
-    unique = rows.filter("n > 0").groupBy("sid").agg(F.min(F.struct("d", "th")).alias("at"), F.min("doc_id").alias("label"), *facts)
+    sketched = cut(sketches(docs, words, percent), "sketches")
+    facts = [F.first(c).alias(c) for c in ("n", "prefix")]
+    unique = sketched.filter("n > 0").groupBy("sid").agg(F.min(F.struct("d", "th")).alias("at"), F.min("doc_id").alias("label"), *facts)
     unique = cut(unique, "unique")
-    rest = several(cut(postings(unique, percent), "postings"), percent)
-    groups = cut(candidates(dealt(met(rest, unique.select("sid", "signature"))), percent), "groups")
-    need = groups.select("sid").distinct().join(unique.select("sid", "at.d", "at.th"), "sid")
-    links = cut(verified(groups, cut(sets_of(docs, need, words), "sets"), percent), "links")
+    rows = replaced(sketched.select("doc_id", "sid", "n"), "rows", sketched)
+    listed = cut(postings(unique, percent), "postings")
+    unique = replaced(unique.select("sid", "at", "label"), "names", unique)
+    rest = several(listed, percent)
+    rest = cut(rest.repartition("token").sortWithinPartitions("token").mapInArrow(repeated, rest.schema), "several")
+    need = rest.select("sid").distinct().join(unique.select("sid", "at.d", "at.th"), "sid")
+    sets = cut(sets_of(docs, need, words), "sets")
+    groups = cut(candidates(dealt(met(rest, sets)), percent), "groups")
+    links = cut(verified(groups, sets, percent), "links")
     found = components(unique.select(F.col("sid").alias("node"), "label"), links)
     named = unique.select("sid", "label").join(found.select(F.col("node").alias("sid"), F.col("label").alias("linked"), F.lit(True).alias("has_links")), "sid", "left")
     named = cut(named.select("sid", F.when(F.col("has_links"), F.col("linked")).otherwise(F.col("label")).alias("label")), "named")
