@@ -10,9 +10,11 @@ share m: longer prefixes, but more matches before two sets are compared. Each se
 2. Prefix shingles of a single set go, the others are counted. For each m the lengths of the lists that the prefix
    would read bound its candidates (at most their sum / m share m entries); the set takes the m of the least cost.
    Masks over buckets of partners count matches without listing pairs: what can't have enough with any set goes.
-3. Sets meet at each shingle that is left. A pair needs the smaller m of the two in common, and is looked at only at
-   the least shingle that it shares, so once. Bit signatures bound its overlap from above: a bit that only one of them
-   has is a shingle that the other lacks. What is left are members of that shingle's group, not pairs.
+3. Lists of up to SHORT sets give their pairs (less than SHORT an entry), which are counted; a pair needs the smaller m of
+   the two in common, of which longer lists may give as many as both have in such. Pairs that meet in longer lists alone
+   are never listed: their sets meet at each such shingle, and a pair is looked at only at the least one that it shares,
+   so once, where it needs its m. Bit signatures bound its overlap from above: a bit that only one of the two has is a
+   shingle that the other lacks. What is left are members of that shingle's group.
 4. Groups get their members' whole sets and compare them by products of incidence matrices; what already hangs together
    is skipped. Links come out as a forest per group, so no pairs of a family are listed.
 5. Links are contracted to the smallest doc_id that is reachable.
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, give_back, replaced, small
-from .simhash import SEED, components, key_of, overlaps, set_of, sets_of, whole_runs
+from .simhash import SEED, components, key_of, overlaps, run_sizes, set_of, sets_of, whole_runs
 
 #: Matches that a prefix asks for at least: FEWEST and one more for each SHARE shingles, or half as many more, or twice as many.
 FEWEST, SHARE = 3, 32
@@ -46,6 +48,8 @@ BUCKETS, FULL, FAR = 64, (1 << 64) - 1, 1 << 62
 COUNTERS = 1 << 16
 #: What comparing two sets costs, as a share of their shingles, beside reading one entry of a list.
 COMPARE = 1 / 64
+#: Lists of up to so many sets give pairs.
+SHORT = 16
 #: Weight of a group's members in a task (one of up to a thousand shingles weighs 1 to 2), and sets in a block.
 CROWD, BLOCK, SMALL = 8192, 512, 16
 
@@ -242,6 +246,51 @@ def _spread(h: np.ndarray) -> np.ndarray:
         return (h ^ h >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(40)
 
 
+def lists(rows: DataFrame, percent: int) -> DataFrame:
+    """The postings by their lists. Of up to SHORT sets: a row per pair (sid, other) whose sizes fit; ``level``: the smaller
+    one. Of more: the posting itself, other null. A posting gives less than SHORT pairs."""
+
+    def run(batches):
+        for g in whole_runs(batches):
+            token, sid, n, level = (np.asarray(g.column(k)) for k in (0, 1, 3, 4))
+            size = run_sizes(token)
+            short, a, b, least = size <= SHORT, [], [], []
+            for lag in range(1, SHORT):
+                near = (token[lag:] == token[:-lag]) & short[lag:]
+                if not near.any():
+                    break
+                near &= linked(np.minimum(n[lag:], n[:-lag]), n[lag:], n[:-lag], percent)
+                x, y = sid[:-lag][near], sid[lag:][near]
+                a.append(np.minimum(x, y))
+                b.append(np.maximum(x, y))
+                least.append(np.minimum(level[:-lag][near], level[lag:][near]))
+            pairs, long = sum(map(len, a)), pa.array(~short)
+            none = lambda kind: pa.nulls(pairs, kind)
+            columns = [np.concatenate([*x, np.zeros(0, x[0].dtype if x else np.int64)]) for x in (a, b, least)]
+            out = pa.RecordBatch.from_arrays([none(pa.int64()), pa.array(columns[0]), none(pa.float64()), none(pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[1])], names=names)
+            yield out
+            rest = g.filter(long)
+            yield from rest.append_column("other", pa.nulls(rest.num_rows, pa.int64())).to_batches()
+        give_back()
+
+    names = ["token", "sid", "load", "n", "level", "other"]
+    return rows.select(*names[:-1]).repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, sid long, load double, n long, level int, other long")
+
+
+def enough(met: DataFrame) -> DataFrame:
+    """sid, other: pairs that short lists give often enough, with what long ones may add. ``met``: as from ``lists``."""
+    long = met.filter("other is null").groupBy("sid").agg(F.count("*").alias("long"))
+    pairs = met.filter("other is not null").groupBy("sid", "other").agg(F.count("*").alias("shared"), F.first("level").alias("level"))
+    pairs = pairs.join(long, "sid", "left").join(long.select(F.col("sid").alias("other"), F.col("long").alias("long_too")), "other", "left")
+    return pairs.filter(F.col("shared") + F.least(F.coalesce("long", F.lit(0)), F.coalesce("long_too", F.lit(0))) >= F.col("level")).select("sid", "other")
+
+
+def as_groups(pairs: DataFrame) -> DataFrame:
+    """key, low, high, sid: each pair as a group of its own."""
+    key = F.xxhash64("sid", "other")
+    return pairs.select(F.inline(F.array(*(F.struct(key.alias("key"), F.lit(one).alias("low"), F.lit(not one).alias("high"), F.col(c).alias("sid")) for c, one in (("sid", True), ("other", False))))))
+
+
 def met(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """The postings with all of their set's shingles in postings (tokens) and the set's signature."""
 
@@ -421,11 +470,11 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     rows = replaced(sketched.select("doc_id", "sid", "n"), "rows", sketched)
     listed = cut(postings(unique, percent), "postings")
     unique = replaced(unique.select("sid", "at", "label"), "names", unique)
-    rest = several(listed, percent)
-    rest = cut(rest.repartition("token").sortWithinPartitions("token").mapInArrow(repeated, rest.schema), "several")
-    need = rest.select("sid").distinct().join(unique.select("sid", "at.d", "at.th"), "sid")
+    by_list = cut(lists(several(listed, percent), percent), "lists")
+    pairs, rest = cut(enough(by_list), "pairs"), by_list.filter("other is null").drop("other")
+    need = pairs.select("sid").union(pairs.select("other")).union(rest.select("sid")).distinct().join(unique.select("sid", "at.d", "at.th"), "sid")
     sets = cut(sets_of(docs, need, words), "sets")
-    groups = cut(candidates(dealt(met(rest, sets)), percent), "groups")
+    groups = cut(candidates(dealt(met(rest, sets)), percent), "groups").union(as_groups(pairs))
     links = cut(verified(groups, sets, percent), "links")
     found = components(unique.select(F.col("sid").alias("node"), "label"), links)
     named = unique.select("sid", "label").join(found.select(F.col("node").alias("sid"), F.col("label").alias("linked"), F.lit(True).alias("has_links")), "sid", "left")

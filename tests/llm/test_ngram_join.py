@@ -67,7 +67,7 @@ def test_families_and_odd_rows(spark):
 @pytest.mark.parametrize("seed", [2, 3])
 def test_hot_shingles_dealt_in_parts_and_blocks(spark, seed, monkeypatch):
     """Small parts and blocks, so that every way of dealing is taken: the links must not change."""
-    for name, value in (("CROWD", 9), ("BLOCK", 4), ("SMALL", 3), ("COUNTERS", 20)):
+    for name, value in (("CROWD", 9), ("BLOCK", 4), ("SMALL", 3), ("COUNTERS", 20), ("SHORT", 2), ("BUCKETS", 8)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = families(seed, 90)
     assert found(spark, rows) == brute_force(rows)
