@@ -93,11 +93,15 @@ def _in_wave(parsed: Column, months: list[int]) -> Column:
     return F.when(parsed["start_month"].isin(months), parsed).when(parsed["alt_month"].isin(months), alt)
 
 
+def range_texts(c: Column | str) -> Column:
+    """What may hold a wave's range, in the order in which it counts: the whole text, then its chunks between semicolons."""
+    chunks = F.filter(F.split(F.replace(text(c), F.lit("\u00a0"), F.lit(" ")), ";"), lambda x: F.trim(x) != "")
+    return let(chunks, lambda x: F.when(F.size(x) > 1, F.concat(F.array(text(c)), x)).otherwise(F.array(text(c))))  # one chunk is the text
+
+
 def parse_for_wave(c: Column | str, months: list[int]) -> Column:
-    """The whole text's range, else that of its first chunk between semicolons that fits the wave."""
-    chunks = F.filter(F.split(F.replace(text(c), F.lit(" "), F.lit(" ")), ";"), lambda x: F.trim(x) != "")
-    hits = F.filter(F.transform(chunks, lambda x: for_wave(parse_range(x), months)), lambda x: x.isNotNull())
-    return F.coalesce(for_wave(parse_range(c), months), F.when(F.size(chunks) > 1, F.get(hits, F.lit(0))))  # one chunk is the text
+    """The whole text's range, else that of its first chunk that fits the wave."""
+    return F.get(F.filter(F.transform(range_texts(c), lambda x: for_wave(parse_range(x), months)), lambda r: r.isNotNull()), F.lit(0))
 
 
 def is_current(start_month: Column, start_day: Column, end_month: Column, end_day: Column, month: Column, day: Column) -> Column:

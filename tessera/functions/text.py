@@ -252,10 +252,24 @@ def text_quality(c: Column | str) -> Column:
 def clean_recovered(c: Column | str, safe: bool = True) -> Column:
     """``clean`` after charset recovery: what every text of a landed table goes through.
 
-    Only texts beyond ASCII can be decoded wrongly, so only those go to Python.
+    Only texts that can be decoded wrongly go to Python.
     """
     t = text(c)
-    return clean(F.when(t.rlike(r"[^\x00-\x7F]"), recover_mojibake(t, safe)).otherwise(t))
+    wrong = may_be_wrong(t) if safe else t.rlike(r"[^\x00-\x7F]")
+    return clean(F.when(wrong, recover_mojibake(F.when(wrong, t), safe)).otherwise(t))
+
+
+def may_be_wrong(t: Column) -> Column:
+    """Whether the safe rule of ``recover`` may change a text: a test by its characters, without Python.
+
+    Texts of Latin-1 alone: bytes taken as cp1251 or koi8-r turn every accented letter into a Cyrillic one, so an accented
+    letter beside a plain one would mix scripts; bytes taken as UTF-8 need a lead and a continuation. Others can only be
+    bytes of cp1251, koi8-r or cp866 taken as UTF-8: in the first two no letter from А to я can follow another one (both
+    are leads), in the third a letter from А to п can't come first (it is a continuation).
+    """
+    latin = t.rlike("[À-ÿ]") & (t.rlike("[\u00c2-\u00f4][\u0080-\u00bf]") | ~t.rlike("[A-Za-z][À-ÿ]|[À-ÿ][A-Za-z]"))
+    other = t.rlike("[\u0400-\u04ff─-▟]") & ~(t.rlike("[А-Яа-я][А-Яа-я]") & t.rlike(r"(?:^|[\x00-\x7F])[А-п]"))
+    return F.when(t.rlike("[^\u0000-\u00ff]"), other).otherwise(latin)
 
 
 def mixed_words(t: str) -> int:

@@ -169,9 +169,7 @@ def standardize(tables: DataFrame, key: str = "table_id", cap: int = MAX_ROWS) -
     key_places = F.array(*(F.col(f"roles.{f}") for f in TEXT))
     other = F.exists(F.transform("cells", lambda c, i: (clean(c) != "") & ~F.coalesce(F.array_contains(F.array_compact(key_places), i), F.lit(False))), lambda x: x)
     rows = rows.select(key, "pos", "roles", "cells", *(at(f).alias(f) for f in TEXT), other.alias("has_other"))
-    texts = rows.select(key, "pos", *TEXT, "has_other")
-    merged = fold(texts, key, merge_continuations, ["code", "has_other"], ["direction", "program"])
-    rows = merged.drop("has_other").join(rows.select(key, "pos", "roles", "cells"), [key, "pos"])
+    rows = fold(rows, key, merge_continuations, ["code", "has_other"], ["direction", "program"]).drop("has_other")
 
     # Repairs.
     swap = (F.col("direction") == "") & (F.col("program") != "")

@@ -286,8 +286,7 @@ def ru_timeline(spark, d):
     raw = _date_text()
     winter = F.when(F.col("o_orderkey") % 8 == 7, F.lit("уточняется; 8 декабря – 25 января")).otherwise(raw)
     o = table(spark, d, "orders").select("o_orderkey", raw.alias("summer"), winter.alias("winter"), F.lit("1 июля – 6 июля").alias("vacPubSummer"), F.lit("").alias("vacPubWinter"))
-    rows = timeline.timeline(o, "o_orderkey")
-    rows = timeline.dated(rows).withColumn("is_dated", F.lit(True)).union(timeline.vague(rows).withColumn("is_dated", F.lit(False)))
+    rows = timeline.ordered(timeline.timeline(o, "o_orderkey"))
     track = F.when(F.col("wave") == "summer", dates.track_position(F.col("parsed.start_month"), F.col("parsed.start_day"), dates.SUMMER_MONTHS, 600.0)).otherwise(dates.track_position(F.col("parsed.start_month"), F.col("parsed.start_day"), dates.WINTER_MONTHS, 600.0))
     return rows.select("o_orderkey", "wave", "parsed.start_month", F.col("sort_key").cast("long").alias("sort_key"), "pub_month", F.when(F.col("wave") == "summer", F.col("pub_day")).alias("pub_day"), F.round(track, 6).alias("track"), "is_dated")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize
 from ..operators import crawl, enrich, reconcile, search
 from ..operators.standardize import FIELDS
+from ..sources import html_tables
 from .layouts import LEVEL, LINES, PLAIN, gathered, lines
 from .layouts import text as cells
 from .registry import golden, pick, query, table
@@ -97,25 +98,68 @@ def portal_build(spark, d):
     return out.select("id", "name", "src", "type", "summer", "winter", "notes", "dorm", c("dormInfo").alias("dorm_info"), c("vacancyStatus").alias("status"), c("vacancyRowCount").alias("n_rows"), c("vacPubSummer").alias("published"))
 
 
-def _visits(spark, d):
-    """Users as entities: their first page fails, is empty or has a table; a linked page may have one."""
+def _landed(spark, d):
+    """(starts, pages, links, tables): orders as entities whose first page fails, is empty, has a table or links to one."""
     t = gathered(lines(spark, d).withColumn("row", cells("1", c("code"), c("name"), (c("pos") % 6 + 1), "очная", c("q"), c("p"))).withColumn("columns", F.array(*map(F.lit, PLAIN))), "columns")
     k = c("uni_id")
     t = t.select(c("table_id").alias("uni_id"), "columns", "rows")
     url = lambda s: F.concat(F.lit("http://h/"), k.cast("string"), F.lit(s))
     none = [F.lit(None).cast("array<string>").alias("columns"), F.lit(None).cast("array<array<string>>").alias("rows")]
+    moved, html = F.lit(None).cast("string").alias("final_url"), lambda x: F.lit(x).alias("is_html")
     has = k % 4 == 0
-    first = t.select("uni_id", url("").alias("url"), F.lit(0).alias("depth"), F.lit(0.0).alias("score"), (k % 4 == 3).alias("failed"), F.when(has, c("columns")).alias("columns"), F.when(has, c("rows")).alias("rows"))
-    better = t.filter(k % 4 == 1).select("uni_id", url("/b.xlsx").alias("url"), F.lit(1).alias("depth"), F.lit(6.0).alias("score"), F.lit(False).alias("failed"), *none)
-    linked = t.filter(k % 4 == 1).select("uni_id", url("/a").alias("url"), F.lit(1).alias("depth"), F.lit(4.0).alias("score"), F.lit(False).alias("failed"), "columns", "rows")
-    return first.union(better).union(better).union(linked), t
+    first = t.filter(k % 4 != 3).select(url("").alias("url"), moved, html(True), F.when(has, c("columns")).alias("columns"), F.when(has, c("rows")).alias("rows"))
+    file = t.filter(k % 4 == 1).select(url("/b.xlsx").alias("url"), moved, html(False), *none)
+    linked = t.filter(k % 4 == 1).select(url("/a").alias("url"), moved, html(True), "columns", "rows")
+    links = t.filter(k % 4 == 1).select(url("").alias("url"), F.posexplode(F.array(url("/b.xlsx"), url("/b.xlsx"), url("/a"))).alias("place", "link"))
+    return t.select("uni_id", url("").alias("link")), first.union(file).union(linked), links, t
 
 
 @query(f"""SELECT l_orderkey AS uni_id, CASE l_orderkey % 4 WHEN 2 THEN 'partial' WHEN 3 THEN 'error' ELSE 'ok' END AS status, CASE l_orderkey % 4 WHEN 0 THEN 'http://h/' || l_orderkey WHEN 1 THEN 'http://h/' || l_orderkey || '/a' END AS source_url,
 CASE l_orderkey % 4 WHEN 1 THEN ['http://h/' || l_orderkey, 'http://h/' || l_orderkey || '/b.xlsx', 'http://h/' || l_orderkey || '/a'] ELSE ['http://h/' || l_orderkey] END AS tried_urls, CASE WHEN l_orderkey % 4 < 2 THEN count(*)::INTEGER END AS n FROM ({LINES}) GROUP BY l_orderkey""")
 def crawl_choice(spark, d):
-    """The first table by depth and score, and the addresses tried in order, each once."""
-    return crawl.first_tables(_visits(spark, d)[0]).select("uni_id", "status", "source_url", "tried_urls", F.size("rows").alias("n"))
+    """The first table that is reached, and the addresses tried in order, each once."""
+    starts, pages, links, _ = _landed(spark, d)
+    return crawl.crawled(starts, pages, links).select("uni_id", "status", "source_url", "tried_urls", F.size("rows").alias("n"))
+
+
+#: The pages as a web: page i links to the pages that its anchors' places and lengths name, in order.
+WEB = r"""n AS (SELECT count(*) AS n FROM pages),
+a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1), 1) - 1 AS place FROM pages),
+l AS (SELECT page_id, place, 'http://h/p/' || ((page_id * 7 + place * place * 13 + length(href)) % n) AS link FROM a, n),
+best AS (SELECT page_id, link, min(place) AS place FROM l GROUP BY page_id, link QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY min(place)) <= 10),
+f AS (SELECT page_id, 'http://h/p/' || page_id AS url, CASE WHEN page_id % 13 = 4 THEN 'http://h/r/' || page_id ELSE 'http://h/p/' || page_id END AS final, page_id % 97 = 4 AS found,
+  coalesce((SELECT list(link ORDER BY place) FROM best b WHERE b.page_id = p.page_id), []) AS links FROM pages p WHERE page_id % 11 <> 5)"""
+
+
+@query(f"""WITH RECURSIVE {WEB},
+q AS (
+  SELECT p.page_id AS uni_id, 0 AS step, CASE WHEN f.found THEN f.final END AS hit, f.url IS NOT NULL AS landed, begun AS tried, CASE WHEN f.url IS NULL OR f.found THEN [] ELSE f.links END AS queue
+  FROM pages p LEFT JOIN f ON f.page_id = p.page_id, LATERAL (SELECT CASE WHEN f.final IS NULL OR f.final = 'http://h/p/' || p.page_id THEN ['http://h/p/' || p.page_id] ELSE ['http://h/p/' || p.page_id, f.final] END AS begun)
+  UNION ALL
+  SELECT uni_id, step + 1, CASE WHEN fresh AND f.found THEN f.final END, landed, now,
+    CASE WHEN fresh AND f.url IS NOT NULL AND NOT f.found THEN queue[2:] || list_filter(f.links, lambda x: NOT list_contains(now, x))[1 : greatest(0, 50 - (len(queue) - 1))] ELSE queue[2:] END
+  FROM q LEFT JOIN f ON f.url = q.queue[1],
+    LATERAL (SELECT NOT list_contains(tried, queue[1]) AS fresh), LATERAL (SELECT CASE WHEN NOT fresh THEN tried WHEN f.final IS NULL OR f.final = queue[1] OR list_contains(tried, f.final) THEN tried || [queue[1]] ELSE tried || [queue[1], f.final] END AS now)
+  WHERE hit IS NULL AND len(queue) > 0 AND len(tried) < 25),
+last AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY uni_id ORDER BY step DESC) = 1)
+SELECT uni_id, CASE WHEN hit IS NOT NULL THEN 'ok' WHEN landed THEN 'partial' ELSE 'error' END AS status, hit AS source_url, len(tried)::INTEGER AS n, array_to_string(tried, ' ') AS tried FROM last""")
+def crawl_frontier(spark, d):
+    """A crawl from every page along the links of the landed pages, with redirects, failures, and both bounds."""
+    pages = table(spark, d, "pages")
+    n = pages.agg(F.count("*").alias("n"))
+    at = lambda x: F.concat(F.lit("http://h/p/"), x.cast("string"))
+    anchors = F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
+    target = lambda href, i: (c("page_id") * 7 + i * i * 13 + F.length(href)) % c("n")
+    web = pages.join(F.broadcast(n)).select("page_id", at(c("page_id")).alias("url"), F.array_join(F.transform(anchors, lambda h, i: F.concat(F.lit('<a href="/p/'), target(h, i).cast("string"), F.lit('">see</a>'))), " ").alias("html"))
+    landed = web.filter("page_id % 11 <> 5")
+    links = html_tables.download_links(landed, words=["/p/"]).join(landed.select("page_id", "url"), "page_id").select("url", c("rank").alias("place"), "link")
+    some = c("page_id") % 97 == 4
+    facts = landed.select(
+        "url", F.when(c("page_id") % 13 == 4, F.concat(F.lit("http://h/r/"), c("page_id").cast("string"))).alias("final_url"), F.lit(True).alias("is_html"),
+        F.when(some, F.array(F.lit("a"))).alias("columns"), F.when(some, F.array(F.array(F.lit("x")))).alias("rows"),
+    )
+    found = crawl.crawled(pages.select(c("page_id").alias("uni_id"), at(c("page_id")).alias("link")), facts, links)
+    return found.select("uni_id", "status", "source_url", F.size("tried_urls").alias("n"), F.array_join("tried_urls", " ").alias("tried"))
 
 
 #: A table that stands in where a source gives none.
@@ -130,12 +174,12 @@ SELECT e.uni_id, CASE WHEN v < 2 OR fb THEN 'ok' WHEN v = 2 THEN 'partial' ELSE
 (SELECT coalesce(sum(budget::BIGINT + paid::BIGINT), 0) FROM r WHERE r.uni_id = e.uni_id)::BIGINT AS places FROM e""".replace("FROM l WHERE v < 2", "FROM l WHERE v < 2 AND pos < 4"))
 def enriched_entities(spark, d):
     """Crawl, standardisation, fallbacks that the caller gives, and a status for every entity, end to end."""
-    visits, t = _visits(spark, d)
+    starts, pages, links, t = _landed(spark, d)
     k = c("uni_id")
     entities = t.select("uni_id", F.concat(F.lit("http://x/"), k.cast("string")).alias("link"), F.when(k % 5 == 0, False).alias("allow_manual_fallback"))
     columns, rows = F.array(*map(F.lit, FALLBACK[0])), F.array(*(F.array(*map(F.lit, r)) for r in FALLBACK[1]))
     fallbacks = t.filter(k % 3 == 0).select("uni_id", columns.alias("columns"), rows.alias("rows"), F.lit(" вручную ").alias("message"), F.lit("http://m").alias("source_url"))
-    found, standard = crawl.enriched(entities, visits, fallbacks, "2024-01-01T00:00:00Z", cap=4)
+    found, standard = crawl.enriched(entities, crawl.crawled(starts, pages, links), fallbacks, "2024-01-01T00:00:00Z", cap=4)
     sums = standard.groupBy("uni_id").agg(F.count("*").alias("n_rows"), F.sum(c("budget").cast("long") + c("paid").cast("long")).alias("places"))
     out = found.join(sums, "uni_id", "left").fillna(0, ["n_rows", "places"])
     return out.select("uni_id", "status", "is_manual_fallback", "source_url", "row_count", "truncated", "fetched_at", "n_rows", "places")

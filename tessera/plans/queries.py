@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, normalize, numbers, text
-from ..operators import enrich, reconcile, search, tables
+from ..operators import enrich, facets as bitmaps, reconcile, search, tables, text_index
 from ..sources import documents, html_tables
+from ..shared import new_path
 from ..streaming import refresh as streams
 from .registry import ORACLE_SQL, QUERIES, query, table
 
@@ -48,6 +49,39 @@ def search_global(spark, d):
 
 
 
+@query(f"SELECT * FROM ({FOUND_SQL})".replace("'ur'", "'urge'"))
+def search_indexed(spark, d):
+    """The same match from the trigram index, after a refresh: a tenth of the rows was indexed with other texts, and some are gone."""
+    rows, path = _orders(spark, d), new_path(spark, "text-index")
+    key, columns = F.col("o_orderkey"), asked().text_columns
+    stale = rows.withColumn("c_name", F.when(key % 10 == 3, "turned").otherwise(F.col("c_name")))
+    gone = rows.filter(key % 10 == 7).select((-key).alias("o_orderkey"), F.lit("urn").alias("c_name"), *(F.lit("").alias(x) for x in ("n_name", "o_orderpriority", "c_mktsegment")))
+    some = ["o_orderkey", "c_name", "n_name", "o_orderpriority", "c_mktsegment"]
+    text_index.build(stale.select(*some).unionByName(gone), "o_orderkey", columns, path)
+    text_index.refresh(rows.filter(key % 10 == 3).select(*some), "o_orderkey", columns, path, gone=gone.select("o_orderkey"))
+    found = text_index.search(spark, path, "URGE")
+    rest = rows.filter("o_orderstatus = 'O' and o_totalprice > 1000")
+    return rest.join(found, rest.o_orderkey == found.key, "left_semi")
+
+
+_UNDER = "(c_mktsegment IN ('BUILDING', 'MACHINERY') AND o_orderstatus = 'O' AND year(o_orderdate) IN (1994, 1995, 1996))"
+_FACETED = "FROM orders JOIN customer ON o_custkey = c_custkey"
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS facet, ({column})::VARCHAR AS value, count(*)::BIGINT AS n, (count(*) FILTER (WHERE {_UNDER}))::BIGINT AS n_under {_FACETED} GROUP BY ALL" for name, column in (("segment", "c_mktsegment"), ("status", "o_orderstatus"), ("year", "year(o_orderdate)"), ("priority", "o_orderpriority"))))
+def facets_under_filters(spark, d):
+    """Counts of every facet value, of all rows and under three filters, from bitmaps alone."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    rows = o.join(c, o.o_custkey == c.c_custkey).withColumn("year", F.year("o_orderdate"))
+    index = bitmaps.bitmap_index(rows, "o_orderkey", {"segment": "c_mktsegment", "status": "o_orderstatus", "year": "year", "priority": "o_orderpriority"})
+    path = new_path(spark, "facets")
+    index.write.parquet(path)
+    index = spark.read.parquet(path)
+    under = bitmaps.counts_under(index, {"segment": ["BUILDING", "MACHINERY"], "status": ["O"], "year": ["1994", "1995", "1996"]})
+    under = under.withColumnRenamed("n", "n_under")
+    return bitmaps.counts_under(index).join(under, ["facet", "value"], "left").fillna(0, ["n_under"])
+
+
 @query("SELECT p_type AS value, min(p_partkey) AS first_seen FROM part GROUP BY p_type")
 def facet_first_seen(spark, d):
     return search.facet(table(spark, d, "part"), "p_type", "p_partkey")

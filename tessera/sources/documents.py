@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean, source_type
 from ..operators.tables import best_by_base, normalized
-from .html_tables import best_html_table, decode
+from .charsets import decoded
+from .html_tables import best_html_table
 from .workbooks import best_sheet, cells_of_files
 
 
@@ -90,7 +91,7 @@ def csv_rows(content: Column, encoding: Column) -> Column:
 
         return files.map(rows)
 
-    return run(decode(content, encoding))
+    return run(decoded(content, encoding))
 
 
 def csv_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -106,7 +107,7 @@ def landed_tables(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """
     typed = pages.withColumn("source_type", source_type(F.col("url"), F.col("content_type")))
     of = lambda kind: typed.filter(F.col("source_type") == kind)
-    html = best_html_table(of("html").select(key, decode(F.col("content"), F.col("encoding")).alias("html")), key)
+    html = best_html_table(of("html").select(key, decoded(F.col("content"), F.col("encoding")).alias("html")), key)
     excel = best_sheet(cells_of_files(of("excel").select(F.col(key).cast("string").alias("path"), "content")))
     excel = excel.select(F.col("path").cast(pages.schema[key].dataType).alias(key), "columns", "rows")
     matrices = of("csv").select(key, F.lit(0).alias("table_idx"), csv_rows(F.col("content"), F.col("encoding")).alias("matrix"))

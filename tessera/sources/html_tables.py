@@ -169,19 +169,3 @@ def download_links(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     best = rows.withColumn("score", points).filter("score > 0").groupBy(key, "link").agg(F.max("score").alias("score"), F.min("place").alias("place"))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.col("score").desc(), "place"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= MAX_LINKS).select(key, "link", "score", "rank")
-
-
-def decode(content, encoding):
-    """Bytes to text by the declared charset, else UTF-8; bad bytes are replaced."""
-
-    @F.pandas_udf("string")
-    def run(c: pd.Series, e: pd.Series) -> pd.Series:
-        def one(raw, name):
-            try:
-                return bytes(raw or b"").decode(name or "utf-8", "replace")
-            except LookupError:
-                return bytes(raw or b"").decode("utf-8", "replace")
-
-        return pd.Series([one(x, y) for x, y in zip(c, e, strict=True)])
-
-    return run(content, encoding)

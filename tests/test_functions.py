@@ -1,6 +1,8 @@
 """Hand-derived results of the column functions."""
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, normalize, numbers, text
@@ -93,3 +95,13 @@ def test_season_split(spark):
 def test_recovery():
     assert text.recover("РђРІС‚РѕРј") == "Автом" and text.recover("café") == "café" and text.recover("СПбГУ 5") == "СПбГУ 5"
     assert text.recover("café", safe=False) == "cafй" and text.recover("СПбГУ 5", safe=False) == " 5"
+
+
+PLAIN_AND_WRONG = st.text(st.sampled_from("ab é«ï»ÐÑàÿ·жЯпРСЃѓЂ ёА╨╤▓░ю—"), max_size=12)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(PLAIN_AND_WRONG, min_size=200, max_size=200))
+def test_recovery_skips_only_what_it_would_leave(spark, texts):
+    flags = results(spark, text.may_be_wrong, texts)
+    assert all(text.recover(t) == t for t, wrong in zip(texts, flags, strict=True) if not wrong)

@@ -169,8 +169,9 @@ def test_documents_and_sinks(spark, tmp_path):
 def test_timeline(spark):
     df = spark.createDataFrame([("a", "20.06 – 29.08", "", "1–5 июля", ""), ("b", "1–3 июня", "8 декабря – 25 января", "", "")], "id string, summer string, winter string, vacPubSummer string, vacPubWinter string")
     rows = timeline.timeline(df)
-    assert [(r["id"], r["wave"]) for r in timeline.dated(rows).collect()] == [("b", "summer"), ("a", "summer"), ("b", "winter")]
-    assert timeline.vague(rows).count() == 1
+    got = timeline.ordered(rows).collect()
+    assert [(r["id"], r["wave"]) for r in got if r["is_dated"]] == [("b", "summer"), ("a", "summer"), ("b", "winter")]
+    assert [(r["id"], r["wave"], r["parsed"]) for r in got if not r["is_dated"]] == [("a", "winter", None)]
 
 
 def test_stream_upsert(spark, tmp_path):
@@ -191,16 +192,6 @@ def test_inferred_names(spark):
     assert got["w"][:5] == ["Подразделение", "Форма", "Код", "Направление", "1 курс — Фед. бюджет"] and got["g"] == ["Код", "x"]
 
 
-def test_crawl(spark):
-    from tessera.operators.crawl import first_tables
-
-    schema = "uni_id string, url string, depth int, score double, failed boolean, columns array<string>, rows array<array<string>>"
-    rows = [("a", "u1", 0, 0.0, False, None, None), ("a", "u2", 1, 2.0, False, ["c"], [["x"]]), ("a", "u3", 1, 6.0, False, ["d"], [["y"]]), ("b", "u", 0, 0.0, True, None, None), ("c", "u", 0, 0.0, False, None, None)]
-    got = {r["uni_id"]: r for r in first_tables(spark.createDataFrame(rows, schema)).collect()}
-    assert got["a"]["source_url"] == "u3" and got["a"]["tried_urls"] == ["u1", "u3"]
-    assert (got["b"]["status"], got["c"]["status"]) == ("error", "partial")
-
-
 def test_workbooks(spark, tmp_path):
     import zipfile
 
