@@ -2,87 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FOLDERS: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where none is set, a temporary one, in local mode only."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def own_dir(spark: SparkSession) -> str:
-    """This application's folder below the shared one."""
-    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below this application's folder, which goes when the driver's Python ends."""
-    path = own_dir(spark)
-    if path not in _FOLDERS:
-        _FOLDERS.add(path)
-        atexit.register(_last_clear, spark, path)
-    return f"{path}/{name}-{uuid.uuid4().hex}"
-
-
-def _last_clear(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # a stopped session leaves its folder, as a lost driver does
-        if spark.sparkContext._jsc is not None:
-            remove(spark, path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through the file system that Spark uses for it."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete all intermediate tables; results that were not written yet can't be read after it."""
-    remove(spark, own_dir(spark))
-
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextlib.contextmanager
-def short_shuffles(spark: SparkSession):
-    """Within it, an action's shuffle files go as soon as the action is over."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: short lineage that survives lost executors.
-
-    Its shuffle files go once it is written, so disk use is that of the largest step, not of all steps.
-    """
-    path = new_path(df.sparkSession, name)
-    with short_shuffles(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
+from ..shared import CLEANUP, clear, cut, new_path, own_dir, remove, shared_dir, short_shuffles  # noqa: F401  used by the operators
 
 def replaced(df: DataFrame, name: str, old: DataFrame) -> DataFrame:
     """As ``cut``, and ``old``, a table of ``cut`` that only ``df`` still reads, goes."""

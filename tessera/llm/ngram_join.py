@@ -174,30 +174,28 @@ def smallest_joined(percent: int) -> int:
 
 
 def postings(unique: DataFrame, percent: int) -> DataFrame:
-    """token, df, load, sid, n, level: a row for each prefix shingle of each set that other sets have as well.
+    """token, df, sid, n, level: a row for each prefix shingle of each set that other sets have as well.
 
     ``level``: how many of its prefix's shingles a set asks another one to share.
     """
     entries = unique.filter(F.col("n") >= smallest_joined(percent)).select(F.posexplode("prefix").alias("pos", "token"), "sid", "n").select("token", "sid", "pos", "n")
     shared = cut(entries.repartition("token").sortWithinPartitions("token").mapInArrow(repeated, "token long, sid long, pos int, n long"), "shared")
-    weight = F.lit(1.0) + F.col("n") / 1024
-    lists = shared.groupBy("token").agg(F.count("*").alias("df"), F.sum(weight).alias("load"))
-    rows = shared.join(lists, "token")
+    rows = shared.join(shared.groupBy("token").agg(F.count("*").alias("df")), "token")
     t = F.ceil(F.lit(percent) * F.col("n") / 100)
     least = FEWEST + F.floor(F.col("n") / SHARE)
     matches = [F.least(t, m) for m in (least, least + F.floor(least / 2), 2 * least)]
     before = F.col("n") - t  # a prefix that asks for m matches has so many entries and m more
     read = [F.sum(F.when(F.col("pos") < before + m, F.col("df") - 1).otherwise(0)).alias(f"read{k}") for k, m in enumerate(matches)]
-    per_set = rows.groupBy("sid", "n").agg(*read, F.collect_list(F.struct("pos", "token", "df", "load")).alias("entries"))
+    per_set = rows.groupBy("sid", "n").agg(*read, F.collect_list(F.struct("pos", "token", "df")).alias("entries"))
     cost = F.array(*(F.col(f"read{k}") * (1 + F.col("n") * COMPARE / m) for k, m in enumerate(matches)))
     level = F.get(F.array(*matches), (F.array_position(cost, F.array_min(cost)) - 1).cast("int")).cast("int")
     chosen = per_set.withColumn("level", level)
     chosen = chosen.select("sid", "n", "level", F.explode(F.filter("entries", lambda e: e["pos"] < before + F.col("level"))).alias("e"))
-    return chosen.select("e.token", "e.df", "e.load", "sid", "n", "level")
+    return replaced(chosen.select("e.token", "e.df", "sid", "n", "level"), "postings", shared)
 
 
 def several(rows: DataFrame, percent: int) -> DataFrame:
-    """The postings of sets that may share enough of them with one other set of a size that fits: token, load, sid, n, level.
+    """The postings of sets that may share enough of them with one other set of a size that fits: token, sid, n, level.
 
     Each posting of a list of up to BUCKETS sets gets a mask: the buckets of the sets beside it whose sizes fit. (Longer
     lists fill the mask.) A set that shares m shingles with another one has m masks with that one's bucket: buckets that
@@ -206,7 +204,7 @@ def several(rows: DataFrame, percent: int) -> DataFrame:
 
     def masks(batches):
         for g in whole_runs(batches):
-            token, sid, n = (np.asarray(g.column(k)) for k in (0, 3, 4))
+            token, sid, n = (np.asarray(g.column(k)) for k in (0, 2, 3))
             mask = np.where(np.asarray(g.column(1)) > BUCKETS, np.uint64(FULL), np.uint64(0))
             bit = np.uint64(1) << (_spread(sid.view(np.uint64)) & np.uint64(BUCKETS - 1))
             for lag in range(1, BUCKETS):
@@ -218,27 +216,27 @@ def several(rows: DataFrame, percent: int) -> DataFrame:
                 mask[:-lag][near] |= bit[lag:][near]
             some = pa.array(mask > 0)
             out = g.filter(some).append_column("mask", pa.array(mask.view(np.int64)).filter(some))
-            yield from out.select(["sid", "token", "load", "n", "level", "mask"]).to_batches()
+            yield from out.select(["sid", "token", "n", "level", "mask"]).to_batches()
         give_back()
 
     def struck(batches):
         for g in whole_runs(batches):
-            sid, mask = np.asarray(g.column(0)), np.asarray(g.column(5)).view(np.uint64)
+            sid, mask = np.asarray(g.column(0)), np.asarray(g.column(4)).view(np.uint64)
             starts = np.flatnonzero(np.append(True, sid[1:] != sid[:-1]))
             size = np.diff(np.append(starts, len(sid)))
-            need, good = fewest(least_shared(np.asarray(g.column(3))[starts], percent), percent), np.zeros(len(starts), np.uint64)
+            need, good = fewest(least_shared(np.asarray(g.column(2))[starts], percent), percent), np.zeros(len(starts), np.uint64)
             for k in range(BUCKETS):
                 held = np.add.reduceat((mask >> np.uint64(k) & np.uint64(1)).astype(np.int64), starts)
                 good |= (held >= need).astype(np.uint64) << np.uint64(k)
             keep = (mask & np.repeat(good, size)) > 0
-            yield from g.select(["token", "sid", "load", "n", "level"]).filter(pa.array(keep)).to_batches()
+            yield from g.select(["token", "sid", "n", "level"]).filter(pa.array(keep)).to_batches()
         give_back()
 
     short, long = rows.filter(F.col("df") <= BUCKETS), rows.filter(F.col("df") > BUCKETS)
-    kind = "sid long, token long, load double, n long, level int, mask long"
-    masked = short.select("token", "df", "load", "sid", "n", "level").repartition("token").sortWithinPartitions("token").mapInArrow(masks, kind)
-    masked = masked.union(long.select("sid", "token", "load", "n", "level", F.lit(-1).cast("long").alias("mask")))
-    return masked.repartition("sid").sortWithinPartitions("sid").mapInArrow(struck, "token long, sid long, load double, n long, level int")
+    kind = "sid long, token long, n long, level int, mask long"
+    masked = short.select("token", "df", "sid", "n", "level").repartition("token").sortWithinPartitions("token").mapInArrow(masks, kind)
+    masked = masked.union(long.select("sid", "token", "n", "level", F.lit(-1).cast("long").alias("mask")))
+    return masked.repartition("sid").sortWithinPartitions("sid").mapInArrow(struck, "token long, sid long, n long, level int")
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -252,7 +250,7 @@ def lists(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for g in whole_runs(batches):
-            token, sid, n, level = (np.asarray(g.column(k)) for k in (0, 1, 3, 4))
+            token, sid, n, level = (np.asarray(g.column(k)) for k in range(4))
             size = run_sizes(token)
             short, a, b, least = size <= SHORT, [], [], []
             for lag in range(1, SHORT):
@@ -267,14 +265,14 @@ def lists(rows: DataFrame, percent: int) -> DataFrame:
             pairs, long = sum(map(len, a)), pa.array(~short)
             none = lambda kind: pa.nulls(pairs, kind)
             columns = [np.concatenate([*x, np.zeros(0, x[0].dtype if x else np.int64)]) for x in (a, b, least)]
-            out = pa.RecordBatch.from_arrays([none(pa.int64()), pa.array(columns[0]), none(pa.float64()), none(pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[1])], names=names)
+            out = pa.RecordBatch.from_arrays([none(pa.int64()), pa.array(columns[0]), none(pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[1])], names=names)
             yield out
             rest = g.filter(long)
             yield from rest.append_column("other", pa.nulls(rest.num_rows, pa.int64())).to_batches()
         give_back()
 
-    names = ["token", "sid", "load", "n", "level", "other"]
-    return rows.select(*names[:-1]).repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, sid long, load double, n long, level int, other long")
+    names = ["token", "sid", "n", "level", "other"]
+    return rows.select(*names[:-1]).repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, sid long, n long, level int, other long")
 
 
 def enough(met: DataFrame) -> DataFrame:
@@ -292,13 +290,14 @@ def as_groups(pairs: DataFrame) -> DataFrame:
 
 
 def met(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """The postings with all of their set's shingles in postings (tokens) and the set's signature."""
+    """The postings with all of their set's shingles in postings (tokens), the set's signature, and the list's weight (load)."""
 
     def signed(batches):
         for b in small(batches):
             signatures = [signature(np.frombuffer(x, "<u8")) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signatures, pa.binary())], names=["sid", "signature"])
 
+    rows = rows.join(rows.groupBy("token").agg(F.sum(1 + F.col("n") / 1024).alias("load")), "token")
     facts = rows.groupBy("sid").agg(F.collect_list("token").alias("tokens"))
     return rows.join(facts.join(sets.mapInArrow(signed, "sid long, signature binary"), "sid"), "sid")
 
@@ -468,9 +467,9 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     unique = sketched.filter("n > 0").groupBy("sid").agg(F.min(F.struct("d", "th")).alias("at"), F.min("doc_id").alias("label"), *facts)
     unique = cut(unique, "unique")
     rows = replaced(sketched.select("doc_id", "sid", "n"), "rows", sketched)
-    listed = cut(postings(unique, percent), "postings")
+    listed = postings(unique, percent)
     unique = replaced(unique.select("sid", "at", "label"), "names", unique)
-    by_list = cut(lists(several(listed, percent), percent), "lists")
+    by_list = replaced(lists(several(listed, percent), percent), "lists", listed)
     pairs, rest = cut(enough(by_list), "pairs"), by_list.filter("other is null").drop("other")
     need = pairs.select("sid").union(pairs.select("other")).union(rest.select("sid")).distinct().join(unique.select("sid", "at.d", "at.th"), "sid")
     sets = cut(sets_of(docs, need, words), "sets")
