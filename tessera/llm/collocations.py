@@ -5,10 +5,10 @@
    they stand, and the dictionary of distinct chunks with their frequencies (partial aggregation) replaces the texts.
 2. A chunk owns the phrases that start before its last window (the one at a piece's end: all), so each occurrence is
    counted in exactly one chunk, times the chunk's frequency.
-3. Counting goes by hashes first: words; pairs of words that may reach ``min_count``; longer phrases all of whose pairs
-   may. What reached it is known by a bitmap of fixed size (2^FILTER_BITS bits). It only thins out: what passes by
-   accident, or through a full bitmap, is dropped by the next count. The last pass counts the phrases that are left by
-   their words, exactly.
+3. Counting goes by hashes first: words and pairs of words, then longer phrases all of whose pairs reached ``min_count``.
+   What reached it is known by a bitmap of fixed size (2^FILTER_BITS bits). It only thins out: what passes by accident, or
+   through a full bitmap, is dropped by the next count. The last pass counts the phrases that are left, told apart by
+   64-bit hashes within a task and by their words between tasks.
 4. Candidates meet the counts of the parts at each cut, and the candidates that hold them, by joins on (lang, phrase).
 
 Null lang is ``und``, null text empty; repeated rows count again; an empty table has no phrase. Words may be as long as
@@ -18,10 +18,9 @@ words stay below 2^53; products are decimals of 38 digits.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +30,8 @@ from .common import cut, give_back, short_shuffles, small
 FILTER_BITS = 27
 #: One window in so many ends a chunk. Pieces of up to SHORT words are one chunk.
 RARITY, SHORT = 16, 8
-#: Chunks and hashes that a task holds before it hands on what it has added up.
-HELD_CHUNKS, HELD_HASHES = 1 << 16, 1 << 20
+#: Chunks, hashes and phrases that a task holds before it hands on what it has added up.
+HELD_CHUNKS, HELD_HASHES, HELD_PHRASES = 1 << 18, 1 << 20, 1 << 18
 MIX, MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: A-Z to lower case, and whatever ends a piece to a line feed.
 PLAIN = bytes(10 if chr(b) in ".,;:!?\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -84,28 +83,44 @@ def parse(docs: DataFrame, max_words: int) -> DataFrame:
     return rows.mapInArrow(run, "lang string, chunk binary, own int, n long").groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n"))
 
 
-class Grams:
-    """The phrases of a batch of the dictionary: for each word, hashes of the phrases that start there."""
+def large(batches, rows: int = 1 << 16):
+    """Batches put together into larger ones, so that equal words and phrases meet before Python sees them."""
+    held, n = [], 0
+    for b in batches:
+        for part in (b.slice(i, rows) for i in range(0, b.num_rows, rows)):
+            held.append(part)
+            n += part.num_rows
+            if n >= rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
 
-    def __init__(self, b: pa.RecordBatch) -> None:
-        self.words = [c.split(b" ") for c in b.column(1).to_pylist()]
-        size = np.array([len(w) for w in self.words], np.int64)
-        self.flat = list(chain.from_iterable(self.words))
+class Grams:
+    """The phrases of a part of the dictionary: for each word, hashes of the phrases that start there."""
+
+    def __init__(self, t: pa.Table) -> None:
+        lang, chunk, own, n = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns)
+        lists = pc.split_pattern(chunk, pattern=" ")
+        size = np.diff(np.asarray(lists.offsets))
+        codes = lists.flatten().dictionary_encode()
+        self.codes, self.words = np.asarray(codes.indices), codes.dictionary.to_pylist()
         self.row = np.repeat(np.arange(len(size)), size)
-        self.place = np.arange(len(self.row)) - np.repeat(np.cumsum(size) - size, size)
-        self.left = np.repeat(size, size) - self.place
-        self.owned = self.place < np.repeat(np.asarray(b.column(2)), size)
-        self.weight = np.repeat(np.asarray(b.column(3)), size)
-        langs = {x: np.uint64(xxhash.xxh64_intdigest(x, 1)) for x in set(b.column(0).to_pylist())}
-        lang = np.array([langs[x] for x in b.column(0).to_pylist()], np.uint64)
-        word = np.fromiter(map(xxhash.xxh64_intdigest, self.flat), np.uint64, len(self.flat))
-        self.hashes = [_mixed(word ^ np.repeat(lang, size))]
+        place = np.arange(len(self.row)) - np.repeat(np.cumsum(size) - size, size)
+        self.left = np.repeat(size, size) - place
+        self.owned = place < np.asarray(own)[self.row]
+        self.weight = np.asarray(n)[self.row]
+        langs = lang.dictionary_encode()
+        self.langs, self.lang = langs.dictionary.to_pylist(), np.asarray(langs.indices)
+        word, of_lang = (np.fromiter(map(xxhash.xxh64_intdigest, x), np.uint64, len(x)) for x in (self.words, self.langs))
+        self.hashes = [_mixed(word[self.codes] ^ _mixed(of_lang)[self.lang][self.row])]
 
     def hash(self, k: int) -> np.ndarray:
         """Of the k words from each word on (at a chunk's end: of fewer)."""
         while len(self.hashes) < k:
             n = len(self.hashes)
-            later = np.append(self.hashes[0][n:], np.zeros(min(n, len(self.flat)), np.uint64))
+            later = np.append(self.hashes[0][n:], np.zeros(min(n, len(self.codes)), np.uint64))
             with np.errstate(over="ignore"):
                 self.hashes.append(_mixed(self.hashes[-1] * MIX + later))
         return self.hashes[k - 1]
@@ -113,6 +128,9 @@ class Grams:
     def starts(self, k: int) -> np.ndarray:
         return self.owned & (self.left >= k)
 
+    def phrase(self, i: int, k: int) -> str:
+        return b" ".join([self.words[c] for c in self.codes[i : i + k].tolist()]).decode()
+
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -138,9 +156,9 @@ def bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def reaching(dictionary: DataFrame, min_count: int, lengths, bits=None) -> np.ndarray:
-    """The bitmap of the phrases of these lengths (all one, or all over one) that occur often enough.
+    """The bitmap of the phrases of these lengths that occur often enough.
 
-    ``bits``: a broadcast bitmap of what phrases one word shorter than the shortest must be made of.
+    ``bits``: a broadcast bitmap of what all phrases one word shorter than the shortest in them must be.
     """
     shortest = min(lengths)
 
@@ -152,8 +170,8 @@ def reaching(dictionary: DataFrame, min_count: int, lengths, bits=None) -> np.nd
 
     def run(batches):
         hashes, weights, held = [], [], 0
-        for b in small(batches, 1 << 13):
-            g = Grams(b)
+        for t in large(batches):
+            g = Grams(t)
             part = marked(bits.value, g.hash(shortest - 1)) if bits else None
             for k in lengths:
                 some = g.starts(k)
@@ -176,35 +194,41 @@ def reaching(dictionary: DataFrame, min_count: int, lengths, bits=None) -> np.nd
 def phrases(dictionary: DataFrame, max_words: int, min_count: int) -> DataFrame:
     """lang, phrase, size, f: every phrase of up to ``max_words`` words with at least ``min_count`` occurrences."""
     context = dictionary.sparkSession.sparkContext
-    one = reaching(dictionary, min_count, [1])
-    kept = one.copy()
-    if max_words > 1:
-        shared = context.broadcast(one)
-        two = reaching(dictionary, min_count, [2], shared)
+    kept = reaching(dictionary, min_count, range(1, min(max_words, 2) + 1))
+    if max_words > 2:
+        shared = context.broadcast(kept)
+        kept = kept | reaching(dictionary, min_count, range(3, max_words + 1), shared)
         shared.destroy()
-        kept |= two
-        if max_words > 2:
-            shared = context.broadcast(two)
-            kept |= reaching(dictionary, min_count, list(range(3, max_words + 1)), shared)
-            shared.destroy()
     shared = context.broadcast(kept)
 
     def run(batches):
-        for b in small(batches, 1 << 13):
-            g, langs = Grams(b), b.column(0).to_pylist()
-            held: dict[tuple, int] = {}
-            alive = np.ones(len(g.flat), bool)
+        count: dict[int, int] = {}
+        named: dict[int, tuple] = {}
+
+        def out():
+            columns = zip(*named.values(), strict=True) if named else ([], [], [])
+            kinds = pa.string(), pa.string(), pa.int32()
+            arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)] + [pa.array([count[h] for h in named], pa.int64())]
+            named.clear()
+            count.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "size", "n"])
+
+        for t in large(batches):
+            g = Grams(t)
+            alive = np.ones(len(g.codes), bool)
             for k in range(1, max_words + 1):
                 alive &= g.starts(k) & marked(shared.value, g.hash(k))  # a phrase that often has a beginning that often
                 at = np.flatnonzero(alive)
                 value, first, which = np.unique(g.hash(k)[at], return_index=True, return_inverse=True)
                 total = np.bincount(which, weights=g.weight[at], minlength=len(value)).astype(np.int64)
-                for i, n in zip(at[first].tolist(), total.tolist(), strict=True):
-                    key = (langs[g.row[i]], b" ".join(g.flat[i : i + k]).decode(), k)
-                    held[key] = held.get(key, 0) + n
-            rows = list(held)
-            columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array(list(held.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "size", "n"])
+                for h, i, n in zip(value.tolist(), at[first].tolist(), total.tolist(), strict=True):
+                    if h in count:
+                        count[h] += n
+                    else:
+                        count[h], named[h] = n, (g.langs[g.lang[g.row[i]]], g.phrase(i, k), k)
+            if len(named) >= HELD_PHRASES:
+                yield out()
+        yield out()
         give_back()
 
     found = dictionary.mapInArrow(run, "lang string, phrase string, size int, n long")

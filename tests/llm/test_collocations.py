@@ -69,7 +69,7 @@ def test_against_all_occurrences(spark, seed, how):
 
 
 def test_a_full_bitmap_and_small_buffers_change_nothing(spark, monkeypatch):
-    for name, value in (("FILTER_BITS", 16), ("HELD_CHUNKS", 5), ("HELD_HASHES", 50)):
+    for name, value in (("FILTER_BITS", 16), ("HELD_CHUNKS", 5), ("HELD_HASHES", 50), ("HELD_PHRASES", 9)):
         monkeypatch.setattr(collocations, name, value)
     rows = texts(5) + ODD
     assert found(spark, rows, min_count=6) == brute_force(rows, min_count=6)
