@@ -13,6 +13,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +44,9 @@ def pair_counts(texts: DataFrame, column: str = "text") -> DataFrame:
 
     def run(batches):
         kinds: dict[str, str] = {}
-        for pdf in batches:
+        for b in batches:
             found: Counter = Counter()
-            for t in pdf.iloc[:, 0]:
+            for t in b.column(0).to_pylist():
                 found.update(zip(t, t[1:], strict=False))
             pairs: Counter = Counter()
             for (a, b), n in found.items():
@@ -55,10 +56,10 @@ def pair_counts(texts: DataFrame, column: str = "text") -> DataFrame:
                 a, b = kinds[a], kinds[b]
                 if not (a.islower() and b.isupper() and a in LETTERS):
                     pairs[(a.lower() if a.lower() in LETTERS else a) + (b.lower() if b.lower() in LETTERS else b)] += n
-            yield pd.DataFrame({"pair": list(pairs), "n": list(pairs.values())}, columns=["pair", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(pairs), pa.string()), pa.array(list(pairs.values()), pa.int64())], names=["pair", "n"])
 
     rows = texts.select(F.coalesce(column, F.lit("")).alias("t"))
-    return rows.mapInPandas(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def model(counts: DataFrame) -> dict[str, float]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from ..functions.text import clean, source_type
 from ..operators.tables import best_by_base, normalized
 from .charsets import decoded
 from .html_tables import best_html_table
+from .pdf import pdf_tables
 from .workbooks import best_sheet, cells_of_files
 
 
@@ -103,7 +105,7 @@ def csv_matrix(spark: SparkSession, path: str) -> DataFrame:
 def landed_tables(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """key, source_type, columns, rows of the best table of every landed source. pages: key, url, content_type, encoding, content.
 
-    HTML pages, workbooks and CSV files go their own ways and meet again; other types have no table.
+    HTML pages, workbooks, CSV and PDF files go their own ways and meet again; other types have no table.
     """
     typed = pages.withColumn("source_type", source_type(F.col("url"), F.col("content_type")))
     of = lambda kind: typed.filter(F.col("source_type") == kind)
@@ -112,5 +114,5 @@ def landed_tables(pages: DataFrame, key: str = "page_id") -> DataFrame:
     excel = excel.select(F.col("path").cast(pages.schema[key].dataType).alias(key), "columns", "rows")
     matrices = of("csv").select(key, F.lit(0).alias("table_idx"), csv_rows(F.col("content"), F.col("encoding")).alias("matrix"))
     csvs = best_by_base(normalized(matrices), [key], ["table_idx"])
-    found = [df.select(key, F.lit(kind).alias("source_type"), "columns", "rows") for kind, df in (("html", html), ("excel", excel), ("csv", csvs))]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    ways = (("html", html), ("excel", excel), ("csv", csvs), ("pdf", pdf_tables(of("pdf"), key)))
+    return reduce(DataFrame.unionByName, [df.select(key, F.lit(kind).alias("source_type"), "columns", "rows") for kind, df in ways])
