@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import comparable, qa_course, qa_form, qa_level
 from ..functions.numbers import digits_sum
+from ..shared import cut
 from .enrich import last_wins
 
 BASE = ["code", "dir", "program", "level", "course", "form"]
@@ -50,8 +51,8 @@ def differing_sums(left: DataFrame, right: DataFrame, keys: list[str], column: s
     Equal rows of a side are counted first (``multiset``), then weighted; both sides go through one shuffle.
     """
     tagged = multiset(left.select(*keys, column, F.lit(True).alias("_left")).unionAll(right.select(*keys, column, F.lit(False).alias("_left"))), [*keys, column, "_left"])
-    weight = F.col(column) * F.col("n")
-    sums = tagged.groupBy(*keys).agg(F.sum(F.when(F.col("_left"), weight)).alias(left_name), F.sum(F.when(~F.col("_left"), weight)).alias(right_name))
+    sides = tagged.select(*keys, "n", F.when(F.col("_left"), F.col(column)).alias(left_name), F.when(~F.col("_left"), F.col(column)).alias(right_name))
+    sums = weighted(sides, keys, [left_name, right_name])
     return sums.filter(F.col(left_name) != F.col(right_name))
 
 
@@ -102,3 +103,31 @@ def verdict(classified: DataFrame, sources: DataFrame, key: str = "uni_id", poli
         F.when(error, F.lit("ERROR")).when(broken | (F.size("mismatches") > 0), F.lit("FAIL")).otherwise(F.lit("PASS")).alias("verdict"),
         F.when(error, F.array(F.lit("SOURCE_UNAVAILABLE"))).when(broken, F.array(F.lit("SOURCE_PARSE_ERROR"))).otherwise(F.col("mismatches")).alias("mismatches"),
     )
+
+
+def repair(parsed: DataFrame, expected: DataFrame, sources: DataFrame, checked_at: str, key: str = "uni_id", policy: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(register, rows): what fails is taken anew from its source where that could be read, and checked again.
+
+    parsed, expected: key and the eight fields, stored and read anew. sources: key, source_type, status, expected_rows.
+    The register has a row per source: both verdicts' rows, ``mismatches`` and ``verdict`` after the fix, and
+    ``fix_strategy`` (empty: none). ``rows`` are the stored ones with those of fixed entities replaced whole.
+    """
+    first = cut(verdict(classify(parsed, expected, sources, key), sources, key, policy), "checked")
+    fixed = cut(first.filter("verdict = 'FAIL'").join(sources.filter("status = 'ok'"), key, "left_semi").select(key), "fixed")
+    of_fixed = lambda df: df.join(fixed, key, "left_semi")
+    anew = of_fixed(expected)
+    rows = parsed.join(fixed, key, "left_anti").unionByName(anew, allowMissingColumns=True)
+    again = classify(anew, of_fixed(expected), of_fixed(sources), key).select(key, F.col("mismatches").alias("_again"))
+    count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    register = first.join(sources.select(key, "source_type", "expected_rows"), key).join(again, key, "left")
+    for df, name in ((parsed, "parsed_rows_before"), (rows, "parsed_rows_after")):
+        register = register.join(count(df, name), key, "left").fillna(0, [name])
+    hit = F.col("_again").isNotNull()
+    return register.select(
+        key, "source_type", "parsed_rows_before", "expected_rows",
+        F.when(hit, F.col("_again")).otherwise(F.col("mismatches")).alias("mismatches"),
+        F.when(hit, "refresh_from_source").otherwise("").alias("fix_strategy"),
+        "parsed_rows_after",
+        F.when(hit & (F.size("_again") == 0), "PASS").otherwise(F.col("verdict")).alias("verdict"),
+        F.lit(checked_at).alias("checked_at"),
+    ), rows

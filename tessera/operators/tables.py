@@ -81,6 +81,13 @@ def column_share(rows: Column, place: Column, test: Callable[[Column], Column])
     return F.when(F.size(values) > 0, good / F.size(values)).otherwise(0.0)
 
 
+def column_shares(rows: DataFrame, keys: list[str], value: str, tests: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """keys and, for each test, the share of a group's non-empty values for which it holds: one aggregation, for groups of any size."""
+    v = clean(F.col(value).cast("string"))
+    n = F.count_if(v != "")
+    return rows.groupBy(*keys).agg(*(F.when(n > 0, F.count_if((v != "") & test(v)) / n).otherwise(0.0).alias(name) for name, test in tests.items()))
+
+
 def _places(columns: Column, test: Callable[[Column], Column]) -> Column:
     marked = F.transform(columns, lambda c, i: F.when(let(header(c), test), i))
     return F.filter(marked, lambda i: i.isNotNull())

@@ -267,6 +267,6 @@ def normalized_matrices(spark, d):
 @query(f"""SELECT source, digits / n AS digits, round(long / n, 6) AS long FROM (SELECT source, count(*)::DOUBLE AS n, sum((n_chars % 10 < 3)::INTEGER) AS digits, sum((n_chars > 1000)::INTEGER)::DOUBLE AS long FROM documents WHERE n_chars IS NOT NULL GROUP BY source)""".replace("digits / n AS digits", "round(digits / n, 6) AS digits"))
 def column_shares(spark, d):
     """Shares of a column's values that pass a test."""
-    t = table(spark, d, "documents").filter("n_chars is not null").groupBy("source").agg(F.collect_list(F.array(F.col("n_chars").cast("string"), F.lit(""))).alias("rows"))
-    share = lambda test, n: F.round(tables.column_share(F.col("rows"), F.lit(0), test), 6).alias(n)
-    return t.select("source", share(lambda v: v.cast("long") % 10 < 3, "digits"), share(lambda v: v.cast("long") > 1000, "long"))
+    tests = {"digits": lambda v: v.cast("long") % 10 < 3, "long": lambda v: v.cast("long") > 1000}
+    found = tables.column_shares(table(spark, d, "documents").filter("n_chars is not null"), ["source"], "n_chars", tests)
+    return found.select("source", *(F.round(n, 6).alias(n) for n in tests))

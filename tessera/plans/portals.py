@@ -242,10 +242,8 @@ CHANGES = [
 ]
 
 
-@query(f"""SELECT s_suppkey AS uni_id, CASE s_suppkey % 8 WHEN 0 THEN 'PASS' WHEN 7 THEN CASE WHEN s_suppkey = 7 THEN 'ERROR' ELSE 'FAIL' END ELSE 'FAIL' END AS verdict,
-CASE WHEN s_suppkey = 7 THEN ['SOURCE_UNAVAILABLE'] WHEN s_suppkey % 8 >= 6 THEN ['SOURCE_PARSE_ERROR'] ELSE g.mismatches END AS mismatches FROM supplier JOIN {golden("g", "mismatches", [(m,) for _, m in CHANGES])} ON s_suppkey % 8 = g.i""")
-def mismatches(spark, d):
-    """Parsed against expected rows: what differs, and the verdict."""
+def _checked(spark, d):
+    """(parsed, expected, sources) of suppliers as entities."""
     s = table(spark, d, "supplier").select(c("s_suppkey").alias("uni_id"), (c("s_suppkey") % 8).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i"))
     base = lambda df: df.select("uni_id", "v", "i", F.concat(F.lit("01.03.0"), c("i").cast("string")).alias("code"), F.lit(" Математика ").alias("dir"), F.lit("").alias("program"), F.lit("Бакалавриат").alias("level"), F.concat(c("i").cast("string"), F.lit(" курс")).alias("course"), F.lit("Очная").alias("form"), c("i").cast("string").alias("budget"), F.lit("нет").alias("paid"))
     expected = base(s)
@@ -256,9 +254,28 @@ def mismatches(spark, d):
     empty = s.filter("i = 1").select("uni_id", "v", "i", *[F.lit("").alias(n) for n in FIELDS])
     parsed = p.union(empty)  # rows without any field don't count
     sources = s.filter("i = 1").select("uni_id", F.when(c("v") == 5, "pdf").otherwise("html").alias("source_type"), F.when(c("v") >= 6, "error").otherwise("ok").alias("status"), F.lit(4).alias("expected_rows"))
+    return parsed, expected, sources
+
+
+@query(f"""SELECT s_suppkey AS uni_id, CASE s_suppkey % 8 WHEN 0 THEN 'PASS' WHEN 7 THEN CASE WHEN s_suppkey = 7 THEN 'ERROR' ELSE 'FAIL' END ELSE 'FAIL' END AS verdict,
+CASE WHEN s_suppkey = 7 THEN ['SOURCE_UNAVAILABLE'] WHEN s_suppkey % 8 >= 6 THEN ['SOURCE_PARSE_ERROR'] ELSE g.mismatches END AS mismatches FROM supplier JOIN {golden("g", "mismatches", [(m,) for _, m in CHANGES])} ON s_suppkey % 8 = g.i""")
+def mismatches(spark, d):
+    """Parsed against expected rows: what differs, and the verdict."""
+    parsed, expected, sources = _checked(spark, d)
     return reconcile.verdict(reconcile.classify(parsed, expected, sources), sources, policy=(7,))
 
 
+@query("""WITH s AS (SELECT s_suppkey, s_suppkey % 8 AS v, CASE s_suppkey % 8 WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 5 THEN 4 ELSE 5 END AS before FROM supplier)
+SELECT s_suppkey AS uni_id, before::BIGINT AS before, (CASE WHEN v BETWEEN 1 AND 5 THEN 4 ELSE before END)::BIGINT AS after, (CASE WHEN v BETWEEN 1 AND 5 THEN 4 ELSE before END)::BIGINT AS rows,
+CASE WHEN v <= 5 THEN 'PASS' WHEN s_suppkey = 7 THEN 'ERROR' ELSE 'FAIL' END AS verdict, CASE WHEN v <= 5 THEN '' WHEN s_suppkey = 7 THEN 'SOURCE_UNAVAILABLE' ELSE 'SOURCE_PARSE_ERROR' END AS mismatches, CASE WHEN v BETWEEN 1 AND 5 THEN 'refresh_from_source' ELSE '' END AS fix FROM s""")
+def repaired(spark, d):
+    """Failing entities taken anew from their sources, and checked again; the register and the rows that are left."""
+    register, rows = reconcile.repair(*_checked(spark, d), "2024-01-01T00:00:00Z", policy=(7,))
+    left = rows.groupBy("uni_id").agg(F.count("*").alias("rows"))
+    out = register.join(left, "uni_id")
+    return out.select("uni_id", c("parsed_rows_before").alias("before"), c("parsed_rows_after").alias("after"), "rows", "verdict", F.array_join("mismatches", ",").alias("mismatches"), c("fix_strategy").alias("fix"))
+
+
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def latest_records(spark, d):
     """The last record of each key in a register."""
