@@ -5,10 +5,10 @@
    they stand, and the dictionary of distinct chunks with their frequencies (partial aggregation) replaces the texts.
 2. A chunk owns the phrases that start before its last window (the one at a piece's end: all), so each occurrence is
    counted in exactly one chunk, times the chunk's frequency.
-3. Counting goes by hashes first: words and pairs of words, then longer phrases all of whose pairs reached ``min_count``.
-   What reached it is known by a bitmap of fixed size (2^FILTER_BITS bits). It only thins out: what passes by accident, or
-   through a full bitmap, is dropped by the next count. The last pass counts the phrases that are left, told apart by
-   64-bit hashes within a task and by their words between tasks.
+3. Counting goes by 64-bit hashes, each with a place where the phrase stands: words and pairs of words, then longer
+   phrases all of whose pairs reached ``min_count``. Which did is known by a bitmap of fixed size (2^FILTER_BITS bits). It
+   only thins out: what passes by accident, or through a full bitmap, is dropped by its own count. The phrases that are
+   left get their words from the chunks that they were seen in.
 4. Candidates meet the counts of the parts at each cut, and the candidates that hold them, by joins on (lang, phrase).
 
 Null lang is ``und``, null text empty; repeated rows count again; an empty table has no phrase. Words may be as long as
@@ -30,8 +30,8 @@ from .common import cut, give_back, short_shuffles, small
 FILTER_BITS = 27
 #: One window in so many ends a chunk. Pieces of up to SHORT words are one chunk.
 RARITY, SHORT = 16, 8
-#: Chunks, hashes and phrases that a task holds before it hands on what it has added up.
-HELD_CHUNKS, HELD_HASHES, HELD_PHRASES = 1 << 18, 1 << 20, 1 << 18
+#: Chunks and hashes that a task holds before it hands on what it has added up.
+HELD_CHUNKS, HELD_HASHES = 1 << 18, 1 << 20
 MIX, MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: A-Z to lower case, and whatever ends a piece to a line feed.
 PLAIN = bytes(10 if chr(b) in ".,;:!?\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -101,26 +101,24 @@ class Grams:
     """The phrases of a part of the dictionary: for each word, hashes of the phrases that start there."""
 
     def __init__(self, t: pa.Table) -> None:
-        lang, chunk, own, n = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns)
+        lang, chunk, own, n, chunk_id = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns)
         lists = pc.split_pattern(chunk, pattern=" ")
         size = np.diff(np.asarray(lists.offsets))
         codes = lists.flatten().dictionary_encode()
-        self.codes, self.words = np.asarray(codes.indices), codes.dictionary.to_pylist()
         self.row = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(self.row)) - np.repeat(np.cumsum(size) - size, size)
         self.left = np.repeat(size, size) - place
         self.owned = place < np.asarray(own)[self.row]
-        self.weight = np.asarray(n)[self.row]
+        self.weight, self.place, self.id = np.asarray(n)[self.row], place, np.asarray(chunk_id)[self.row]
         langs = lang.dictionary_encode()
-        self.langs, self.lang = langs.dictionary.to_pylist(), np.asarray(langs.indices)
-        word, of_lang = (np.fromiter(map(xxhash.xxh64_intdigest, x), np.uint64, len(x)) for x in (self.words, self.langs))
-        self.hashes = [_mixed(word[self.codes] ^ _mixed(of_lang)[self.lang][self.row])]
+        word, of_lang = (np.fromiter(map(xxhash.xxh64_intdigest, x), np.uint64, len(x)) for x in (codes.dictionary.to_pylist(), langs.dictionary.to_pylist()))
+        self.hashes = [_mixed(word[np.asarray(codes.indices)] ^ _mixed(of_lang)[np.asarray(langs.indices)][self.row])]
 
     def hash(self, k: int) -> np.ndarray:
         """Of the k words from each word on (at a chunk's end: of fewer)."""
         while len(self.hashes) < k:
             n = len(self.hashes)
-            later = np.append(self.hashes[0][n:], np.zeros(min(n, len(self.codes)), np.uint64))
+            later = np.append(self.hashes[0][n:], np.zeros(min(n, len(self.row)), np.uint64))
             with np.errstate(over="ignore"):
                 self.hashes.append(_mixed(self.hashes[-1] * MIX + later))
         return self.hashes[k - 1]
@@ -128,9 +126,6 @@ class Grams:
     def starts(self, k: int) -> np.ndarray:
         return self.owned & (self.left >= k)
 
-    def phrase(self, i: int, k: int) -> str:
-        return b" ".join([self.words[c] for c in self.codes[i : i + k].tolist()]).decode()
-
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -155,21 +150,28 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def reaching(dictionary: DataFrame, min_count: int, lengths, bits=None) -> np.ndarray:
-    """The bitmap of the phrases of these lengths that occur often enough.
+def with_ids(dictionary: DataFrame) -> DataFrame:
+    return dictionary.select("lang", "chunk", "own", "n", F.xxhash64("lang", "chunk", "own").alias("id"))
+
+
+def reaching(dictionary: DataFrame, min_count: int, lengths, bits=None) -> DataFrame:
+    """key, n, id, place, size of the phrases of these lengths that occur often enough; id and place: where one stands.
 
-    ``bits``: a broadcast bitmap of what all phrases one word shorter than the shortest in them must be.
+    ``dictionary``: as from ``with_ids``. ``bits``: a broadcast bitmap of what all phrases one word shorter than the
+    shortest in them must be.
     """
     shortest = min(lengths)
 
-    def counted(hashes: list[np.ndarray], weights: list[np.ndarray]):
-        value, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate(weights), minlength=len(value)).astype(np.int64)
+    def counted(held: list[tuple[np.ndarray, ...]]):
+        key, weight, chunk, place, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        value, first, at = np.unique(key, return_index=True, return_inverse=True)
+        total = np.bincount(at, weights=weight, minlength=len(value)).astype(np.int64)
+        columns = [value.view(np.int64), total, chunk[first], place[first], size[first]]
         for i in range(0, len(value), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(value[i : i + (1 << 16)].view(np.int64)), pa.array(total[i : i + (1 << 16)])], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["key", "n", "id", "place", "size"])
 
     def run(batches):
-        hashes, weights, held = [], [], 0
+        held, size = [], 0
         for t in large(batches):
             g = Grams(t)
             part = marked(bits.value, g.hash(shortest - 1)) if bits else None
@@ -177,62 +179,37 @@ def reaching(dictionary: DataFrame, min_count: int, lengths, bits=None) -> np.nd
                 some = g.starts(k)
                 for i in range(k - shortest + 2 if bits else 0):  # each phrase of shortest - 1 words in it
                     some[: len(some) - i] &= part[i:]
-                hashes.append(g.hash(k)[some])
-                weights.append(g.weight[some])
-                held += len(hashes[-1])
-            if held >= HELD_HASHES:
-                yield from counted(hashes, weights)
-                hashes, weights, held = [], [], 0
-        if held:
-            yield from counted(hashes, weights)
+                at = np.flatnonzero(some)
+                held.append((g.hash(k)[at], g.weight[at], g.id[at], g.place[at], np.full(len(at), k, np.int32)))
+                size += len(at)
+            if size >= HELD_HASHES:
+                yield from counted(held)
+                held, size = [], 0
+        if size:
+            yield from counted(held)
         give_back()
 
-    found = dictionary.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return bitmap(found.filter(F.col("n") >= min_count).select("key"))
+    found = dictionary.mapInArrow(run, "key long, n long, id long, place long, size int")
+    return found.groupBy("key").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("id", "place", "size"))).filter(F.col("n") >= min_count)
 
 
 def phrases(dictionary: DataFrame, max_words: int, min_count: int) -> DataFrame:
     """lang, phrase, size, f: every phrase of up to ``max_words`` words with at least ``min_count`` occurrences."""
-    context = dictionary.sparkSession.sparkContext
-    kept = reaching(dictionary, min_count, range(1, min(max_words, 2) + 1))
+    context, chunks_ = dictionary.sparkSession.sparkContext, with_ids(dictionary)
+    found = cut(reaching(chunks_, min_count, range(1, min(max_words, 2) + 1)), "short")
     if max_words > 2:
-        shared = context.broadcast(kept)
-        kept = kept | reaching(dictionary, min_count, range(3, max_words + 1), shared)
+        shared = context.broadcast(bitmap(found.select("key")))
+        found = found.union(cut(reaching(chunks_, min_count, range(3, max_words + 1), shared), "long"))
         shared.destroy()
-    shared = context.broadcast(kept)
+    shared = context.broadcast(bitmap(found.select(F.col("id").alias("key"))))
 
-    def run(batches):
-        count: dict[int, int] = {}
-        named: dict[int, tuple] = {}
-
-        def out():
-            columns = zip(*named.values(), strict=True) if named else ([], [], [])
-            kinds = pa.string(), pa.string(), pa.int32()
-            arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)] + [pa.array([count[h] for h in named], pa.int64())]
-            named.clear()
-            count.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "size", "n"])
-
-        for t in large(batches):
-            g = Grams(t)
-            alive = np.ones(len(g.codes), bool)
-            for k in range(1, max_words + 1):
-                alive &= g.starts(k) & marked(shared.value, g.hash(k))  # a phrase that often has a beginning that often
-                at = np.flatnonzero(alive)
-                value, first, which = np.unique(g.hash(k)[at], return_index=True, return_inverse=True)
-                total = np.bincount(which, weights=g.weight[at], minlength=len(value)).astype(np.int64)
-                for h, i, n in zip(value.tolist(), at[first].tolist(), total.tolist(), strict=True):
-                    if h in count:
-                        count[h] += n
-                    else:
-                        count[h], named[h] = n, (g.langs[g.lang[g.row[i]]], g.phrase(i, k), k)
-            if len(named) >= HELD_PHRASES:
-                yield out()
-        yield out()
-        give_back()
+    def named(batches):
+        for b in batches:
+            yield b.filter(pa.array(marked(shared.value, np.asarray(b.column(2)).view(np.uint64))))
 
-    found = dictionary.mapInArrow(run, "lang string, phrase string, size int, n long")
-    return found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
+    some = chunks_.select("lang", "chunk", "id").mapInArrow(named, "lang string, chunk binary, id long")
+    words = F.slice(F.split(F.col("chunk").cast("string"), " "), F.col("place").cast("int") + 1, F.col("size"))
+    return found.join(some, "id").select("lang", F.array_join(words, " ").alias("phrase"), "size", F.col("n").alias("f"))
 
 
 def collocations(docs: DataFrame, max_words: int = 5, min_count: int = 100, top: int = 2000) -> DataFrame:
