@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, replaced, small
+from .common import cut, give_back, repeated, replaced, small
 from .simhash import SEED, components, key_of, overlaps, run_sizes, set_of, sets_of, whole_runs
 
 #: Matches that a prefix asks for at least: FEWEST and one more for each SHARE shingles, or half as many more, or twice as many.
@@ -148,26 +148,6 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, d long, th long, sid long, n long, prefix array<long>")
 
 
-def repeated(batches):
-    """The rows of sorted batches whose first column the row before or after has too. Holds one row."""
-    held, again = None, False
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key = np.asarray(b.column(0))
-        same = key[1:] == key[:-1]
-        keep = np.append(False, same) | np.append(same, False)
-        before = held is not None and np.asarray(held.column(0))[0] == key[0]
-        if held is not None and (again or before):
-            yield held
-        keep[0] |= before
-        yield b.slice(0, b.num_rows - 1).filter(pa.array(keep[:-1]))
-        held, again = b.slice(b.num_rows - 1), bool(keep[-1])
-    if held is not None and again:
-        yield held
-    give_back()
-
-
 def smallest_joined(percent: int) -> int:
     """The least n of a set that can link with another one than itself: with one of n + 1."""
     return max(1, -(-percent // (100 - percent))) if percent < 100 else FAR

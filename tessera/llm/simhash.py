@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, remove, replaced, small, with_text
+from .common import batches_of, cut, give_back, remove, repeated, replaced, small, with_text
 
 SEED = 42
 #: Ranges of hashes of which sets keep the least, and by how much the similarity that those minima show may fall short:
@@ -291,23 +291,23 @@ def least_overlap(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
-def alike(n: np.ndarray, bins: np.ndarray, v, others, similarity: float) -> np.ndarray:
-    """Whether v's and the others' sizes and minima allow the similarity (SLACK below it, by the minima's estimate)."""
+def alike(n: np.ndarray, bins: np.ndarray, v, others, similarity: float, slack: float = SLACK) -> np.ndarray:
+    """Whether v's and the others' sizes and minima allow the similarity (``slack`` below it, by the minima's estimate)."""
     x, y = bins[v], bins[others]
     same = ((x == y) & (y > 0)).sum(-1)
     either = ((x | y) > 0).sum(-1)
     sizes = np.minimum(n[v], n[others]) >= similarity * np.maximum(n[v], n[others]) - 1e-9
-    return sizes & (same >= (similarity - SLACK) * either)
+    return sizes & (same >= (similarity - slack) * either)
 
 
-def forest(n: np.ndarray, bins: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def forest(n: np.ndarray, bins: np.ndarray, similarity: float, slack: float = SLACK) -> list[tuple[int, int]]:
     """Links that connect what chains of ``alike`` connect: from each member reached, to all not reached before."""
     out, left = [], np.arange(len(n))
     while len(left) > 1:
         reached, left = [int(left[0])], left[1:]
         while reached and len(left):
             v = reached.pop()
-            ok = alike(n, bins, v, left, similarity)
+            ok = alike(n, bins, v, left, similarity, slack)
             hit = left[ok].tolist()
             out += [(v, x) for x in hit]
             reached += hit
@@ -360,31 +360,23 @@ def sketches(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "d long, th long, sid long, n int, fp long, bins binary, prefix array<long>")
 
 
-def prefix_links(unique: DataFrame, similarity: float) -> DataFrame:
+def prefix_links(unique: DataFrame, similarity: float, slack: float) -> DataFrame:
     """a, b: links that connect all sets which share a prefix shingle and are ``alike``. Linear in the prefixes.
 
     A shingle with over CROWD sets is dealt in pairs of parts, so that no task compares more than two parts.
     """
 
-    def shared(batches):
-        for g in whole_runs(batches):
-            token, sid = (np.asarray(g.column(k)) for k in range(2))
-            size = run_sizes(token)
-            some = size > 1
-            yield pa.RecordBatch.from_arrays([pa.array(token[some]), pa.array(sid[some]), pa.array(size[some])], names=["token", "sid", "size"])
-        give_back()
-
     def near(batches):
         for g in whole_runs(batches):
             key, sid, n = (np.asarray(g.column(k)) for k in range(3))
             bins = np.frombuffer(b"".join(g.column(3).to_pylist()), np.uint8).reshape(-1, BINS)
             size, start = run_sizes(key), np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             two = start[size[start] == 2]
-            two = two[alike(n, bins, two, two + 1, similarity)] if len(two) else two
+            two = two[alike(n, bins, two, two + 1, similarity, slack)] if len(two) else two
             a, b = [sid[two]], [sid[two + 1]]
             for i in start[size[start] > 2].tolist():
                 j = i + int(size[i])
-                found = np.array(forest(n[i:j], bins[i:j], similarity), np.int64).reshape(-1, 2) + i
+                found = np.array(forest(n[i:j], bins[i:j], similarity, slack), np.int64).reshape(-1, 2) + i
                 a.append(sid[found[:, 0]])
                 b.append(sid[found[:, 1]])
             a, b = np.concatenate(a), np.concatenate(b)
@@ -392,7 +384,8 @@ def prefix_links(unique: DataFrame, similarity: float) -> DataFrame:
         give_back()
 
     tokens = unique.select(F.explode("prefix").alias("token"), "sid")
-    found = cut(tokens.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(shared, "token long, sid long, size long"), "shared")
+    found = cut(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(repeated, "token long, sid long"), "shared")
+    found = found.join(found.groupBy("token").agg(F.count("*").alias("size")), "token")
     parts, own = F.ceil(F.col("size") / CROWD), F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / CROWD))
     other = F.explode(F.when(F.col("size") <= CROWD, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1)))
     dealt = found.select("token", "sid", "size", own.alias("own"), other.alias("other"))
@@ -522,27 +515,34 @@ def rest_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, "src long, dst long").distinct()
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = SLACK) -> DataFrame:
     """d (doc_id, null as the least), th, root: documents that chains of similar texts join have one root.
 
     Texts link if their sets of shingles have at least this Jaccard similarity. Equal sets are one. First, sets whose
     fingerprints differ in at most two bits are linked by anchor-point covering. Two bits of 64 are far less than
     that similarity allows (about ten differ at 0.8), so candidates are completed by shingles: sets so similar share
     one among the first n - ceil(similarity * n) + 1 of each, in any order common to all (shingles of many documents
-    come last). Minima of the sets rule out pairs far below the similarity (SLACK, six standard deviations). Links that
+    come last). Minima of the sets rule out pairs far below the similarity (``slack``, by default six standard deviations). Links that
     connect all candidates are verified by the sets themselves and contracted. Where a family of candidates then still
-    has several roots, all its sets of different roots are compared, block by block. So no link is lost, and nothing
-    that grows with the square of a family is ever listed.
+    has several roots, all its sets of different roots are compared, block by block: each set moves once for each block of
+    its family, so a family of N sets moves N * N / BLOCK of them. No pairs are listed. A pair whose minima mislead is lost
+    by ``slack``, unless that is 1: then all that share a prefix shingle are compared, and none is lost.
     """
+    with batches_of(docs.sparkSession, 512):
+        return _similar(docs, words, similarity, slack)
+
+
+def _similar(docs: DataFrame, words: int, similarity: float, slack: float) -> DataFrame:
     rows = cut(sketches(docs, words, similarity), "sketches")
     facts = [F.first(x).alias(x) for x in ("n", "fp", "bins", "prefix")]
     unique = cut(rows.groupBy("sid").agg(F.min(F.struct("d", "th")).alias("at"), *facts), "unique")
-    near = cut(prefix_links(unique, similarity), "near")
+    near = cut(prefix_links(unique, similarity, slack), "near")
     pairs = cut(near.union(covering_links(unique).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "candidates")
     need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(unique.select("sid", "at.d", "at.th"), "sid")
     sets = cut(sets_of(docs, need, words), "sets")
     nodes = unique.select(F.col("sid").alias("node"), F.col("sid").alias("label"))
-    found = cut(components(nodes, verified(pairs, sets, similarity)).select(F.col("node").alias("sid"), "root"), "joined")
+    alike_pairs = cut(verified(pairs, sets, similarity), "verified")
+    found = cut(components(nodes, alike_pairs).select(F.col("node").alias("sid"), "root"), "joined")
     families = components(nodes, near.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("sid"), F.col("root").alias("family"))
     members = families.join(found, "sid", "left").join(unique.select("sid", "n"), "sid").select("family", "sid", F.coalesce("root", "sid").alias("root"), "n")
     more = cut(rest_links(cut(members, "families"), sets, similarity), "more")

@@ -87,3 +87,19 @@ def test_overlaps_and_forest():
     assert simhash.forest(n, bins, 0.8) == [(0, 1)]  # the third has other minima, the fourth another size
     assert not simhash.minima(np.zeros(0, np.uint64)).any()
     assert np.count_nonzero(simhash.minima(np.array([1, 2, 1 << 60], np.uint64))) == 2
+
+
+def test_without_slack_no_minima_decide(spark):
+    """Texts near the threshold, none ruled out by minima: the groups are those of the exact similarity."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = [d for d, _ in rows]
+    found = {r["d"]: r["root"] for r in simhash.similar(docs, slack=1.0).collect()}
+    assert groups_of(found) == groups_of(roots(exact_links(rows), names))
