@@ -10,7 +10,8 @@ from ..functions import dates, normalize, numbers, text
 from ..operators import enrich, facets as bitmaps, reconcile, search, tables, text_index
 from ..sources import documents, html_tables
 from ..shared import new_path
-from ..streaming import refresh as streams
+from ..sources import versions
+from ..streaming import refresh as streams, tracking
 from .registry import ORACLE_SQL, QUERIES, query, table
 
 
@@ -343,6 +344,23 @@ def windowed_counts(spark, d):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS n, max(epoch_ms(ts)) OVER () AS latest FROM events)
+SELECT user_id, event_id, event_type, n::BIGINT AS n, CASE WHEN epoch_ms(ts) + 6 * 3600000 <= latest - 3600000 THEN 'stale' ELSE 'active' END AS status FROM r WHERE rn = 1""")
+def tracked_register(spark, d):
+    """Last record and status of every user, kept by a stream that reads the events from six files one after another."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    ends = events.approxQuantile("event_id", [i / 6 for i in range(1, 6)], 0.01)
+    source, kept = new_path(spark, "replayed"), new_path(spark, "register")
+    for i, (low, high) in enumerate(zip([None, *ends], [*ends, None], strict=True)):
+        part = events.filter((F.lit(True) if low is None else F.col("event_id") > low) & (F.lit(True) if high is None else F.col("event_id") <= high))
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    changes = tracking.tracked(stream, "user_id", "ts", "event_id", ["event_id", "event_type"], "6 hours", "1 hour")
+    tracking.keep_register(changes, kept, new_path(spark, "register-checkpoint")).awaitTermination()
+    found = versions.read(spark, kept).withColumn("p", F.from_json("payload", "event_id long, event_type string"))
+    return found.select(F.col("key").alias("user_id"), "p.event_id", "p.event_type", "n", "status")
+
+
 @query("""WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split(regexp_replace(text, '[\n\t\r]', ' ', 'g'), ' '), lambda x: x <> '')) AS w FROM documents),
 p AS (SELECT a.doc_id, a.w AS x, b.w AS y FROM t a JOIN t b ON b.doc_id = a.doc_id + 1)
 SELECT doc_id, round(CASE WHEN len(list_distinct(x || y)) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(x || y))::DOUBLE ELSE 0 END, 6) AS similarity FROM p""")
