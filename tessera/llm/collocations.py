@@ -31,7 +31,7 @@ FILTER_BITS = 27
 #: One window in so many ends a chunk. Pieces of up to SHORT words are one chunk.
 RARITY, SHORT = 16, 8
 #: Chunks and hashes that a task holds before it hands on what it has added up.
-HELD_CHUNKS, HELD_HASHES = 1 << 18, 1 << 20
+HELD_CHUNKS, HELD_HASHES = 1 << 16, 1 << 19
 MIX, MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: A-Z to lower case, and whatever ends a piece to a line feed.
 PLAIN = bytes(10 if chr(b) in ".,;:!?\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -83,7 +83,7 @@ def parse(docs: DataFrame, max_words: int) -> DataFrame:
     return rows.mapInArrow(run, "lang string, chunk binary, own int, n long").groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n"))
 
 
-def large(batches, rows: int = 1 << 16):
+def large(batches, rows: int = 1 << 15):
     """Batches put together into larger ones, so that equal words and phrases meet before Python sees them."""
     held, n = [], 0
     for b in batches:
@@ -155,7 +155,8 @@ def with_ids(dictionary: DataFrame) -> DataFrame:
 
 
 def reaching(dictionary: DataFrame, min_count: int, lengths, bits=None) -> DataFrame:
-    """key, n, id, place, size of the phrases of these lengths that occur often enough; id and place: where one stands.
+    """key, n, id, at of the phrases of these lengths that occur often enough. One stands in chunk ``id``; ``at`` is 256 times
+    its first word's place there, and its length.
 
     ``dictionary``: as from ``with_ids``. ``bits``: a broadcast bitmap of what all phrases one word shorter than the
     shortest in them must be.
@@ -163,12 +164,12 @@ def reaching(dictionary: DataFrame, min_count: int, lengths, bits=None) -> DataF
     shortest = min(lengths)
 
     def counted(held: list[tuple[np.ndarray, ...]]):
-        key, weight, chunk, place, size = (np.concatenate(x) for x in zip(*held, strict=True))
-        value, first, at = np.unique(key, return_index=True, return_inverse=True)
-        total = np.bincount(at, weights=weight, minlength=len(value)).astype(np.int64)
-        columns = [value.view(np.int64), total, chunk[first], place[first], size[first]]
+        key, weight, chunk, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        value, first, which = np.unique(key, return_index=True, return_inverse=True)
+        total = np.bincount(which, weights=weight, minlength=len(value)).astype(np.int64)
+        columns = [value.view(np.int64), total, chunk[first], at[first]]
         for i in range(0, len(value), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["key", "n", "id", "place", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["key", "n", "id", "at"])
 
     def run(batches):
         held, size = [], 0
@@ -180,7 +181,7 @@ def reaching(dictionary: DataFrame, min_count: int, lengths, bits=None) -> DataF
                 for i in range(k - shortest + 2 if bits else 0):  # each phrase of shortest - 1 words in it
                     some[: len(some) - i] &= part[i:]
                 at = np.flatnonzero(some)
-                held.append((g.hash(k)[at], g.weight[at], g.id[at], g.place[at], np.full(len(at), k, np.int32)))
+                held.append((g.hash(k)[at], g.weight[at], g.id[at], g.place[at] * 256 + k))
                 size += len(at)
             if size >= HELD_HASHES:
                 yield from counted(held)
@@ -189,8 +190,8 @@ def reaching(dictionary: DataFrame, min_count: int, lengths, bits=None) -> DataF
             yield from counted(held)
         give_back()
 
-    found = dictionary.mapInArrow(run, "key long, n long, id long, place long, size int")
-    return found.groupBy("key").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("id", "place", "size"))).filter(F.col("n") >= min_count)
+    found = dictionary.mapInArrow(run, "key long, n long, id long, at long")
+    return found.groupBy("key").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("id", "at"))).filter(F.col("n") >= min_count)
 
 
 def phrases(dictionary: DataFrame, max_words: int, min_count: int) -> DataFrame:
@@ -208,12 +209,13 @@ def phrases(dictionary: DataFrame, max_words: int, min_count: int) -> DataFrame:
             yield b.filter(pa.array(marked(shared.value, np.asarray(b.column(2)).view(np.uint64))))
 
     some = chunks_.select("lang", "chunk", "id").mapInArrow(named, "lang string, chunk binary, id long")
-    words = F.slice(F.split(F.col("chunk").cast("string"), " "), F.col("place").cast("int") + 1, F.col("size"))
-    return found.join(some, "id").select("lang", F.array_join(words, " ").alias("phrase"), "size", F.col("n").alias("f"))
+    size, place = (F.col("at") % 256).cast("int"), F.floor(F.col("at") / 256).cast("int")
+    words = F.slice(F.split(F.col("chunk").cast("string"), " "), place + 1, size)
+    return found.join(some, "id").select("lang", F.array_join(words, " ").alias("phrase"), size.alias("size"), F.col("n").alias("f"))
 
 
 def collocations(docs: DataFrame, max_words: int = 5, min_count: int = 100, top: int = 2000) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases by their weakest cut."""
+    """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases of up to ``max_words`` (255) by their weakest cut."""
     dictionary = cut(parse(docs, max_words), "chunks")
     counts = cut(phrases(dictionary, max_words, min_count), "phrases")
     words = dictionary.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n"))
