@@ -156,3 +156,11 @@ def collation_key(c: Column | str) -> Column:
         return F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)  # the longer number is the larger
 
     return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), number(x)).otherwise(x)), "")
+
+
+def folded(c: Column | str, locale: str = "ru") -> Column:
+    """The text under a collation that knows neither case nor accents: joins, groups and filters on it take such as equal.
+
+    What comes out is still the text as written; of a group, any of its spellings. (ё and е are one letter to it.)
+    """
+    return F.collate(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), f"{locale}_CI_AI")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -206,3 +208,10 @@ def portal(dates: DataFrame, profiles: DataFrame, vacancies: DataFrame, types: D
     done = override(out, overrides, fields)
     notice = (F.col("vacPubSummer") == "") & (first_text(F.col("vacancySource"), F.col("src")) != "")
     return done.withColumn("vacPubSummer", F.when(notice, F.lit(TABLE_NOTICE)).otherwise(F.col("vacPubSummer")))
+
+
+def written_with_counts(df: DataFrame, write: Callable[[DataFrame], None], counts: dict[str, Column]) -> dict:
+    """Write the rows and count them on the way: aggregates (name -> column) of what was written, without a second pass."""
+    seen = Observation()
+    write(df.observe(seen, *(c.alias(n) for n, c in counts.items())))
+    return seen.get

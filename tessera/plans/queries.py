@@ -344,6 +344,32 @@ def windowed_counts(spark, d):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("""WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal ELSE c_acctbal + 1 END AS bal, c_acctbal, CASE WHEN c_custkey % 5 = 0 THEN 'X' ELSE c_mktsegment END AS seg, c_mktsegment FROM customer),
+u AS (SELECT *, c_custkey % 2 = 0 AS hit FROM n)
+SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE hit AND (bal <> c_acctbal OR seg <> c_mktsegment))::BIGINT AS changed_rows, sum(CASE WHEN hit THEN (bal <> c_acctbal)::INTEGER + (seg <> c_mktsegment)::INTEGER ELSE 0 END)::BIGINT AS changed_fields, count(*) FILTER (WHERE hit AND seg = 'X')::BIGINT AS moved FROM u""")
+def counted_write(spark, d):
+    """What a patch changed, counted while its result is written."""
+    base = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    k = F.col("c_custkey")
+    changes = base.filter(k % 2 == 0).select(k, F.when(k % 3 == 0, F.col("c_acctbal")).otherwise(F.col("c_acctbal") + 1).alias("c_acctbal"), F.when(k % 5 == 0, "X").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+    out, path = enrich.update(base, changes, "c_custkey", ["c_acctbal", "c_mktsegment"]), new_path(spark, "patched")
+    counts = {"total": F.count("*"), "changed_rows": F.count_if(F.col("changed") > 0), "changed_fields": F.coalesce(F.sum("changed"), F.lit(0)).cast("long"), "moved": F.count_if(F.col("c_mktsegment") == "X")}
+    found = enrich.written_with_counts(out, lambda df: df.write.parquet(path), counts)
+    return spark.read.parquet(path).agg(F.count("*").alias("total")).select("total", *(F.lit(found[n]).cast("long").alias(n) for n in counts if n != "total"))
+
+
+@query("""WITH p AS (SELECT p_partkey, translate(lower(CASE p_partkey % 3 WHEN 0 THEN upper(p_type) WHEN 1 THEN replace(p_type, 'E', 'É') ELSE p_type END), 'é', 'e') AS name, p_size FROM part)
+SELECT name, count(*)::BIGINT AS n, (SELECT count(*) FROM part q WHERE lower(q.p_type) = name)::BIGINT AS matched FROM p GROUP BY name""")
+def folded_names(spark, d):
+    """Names that differ in case and accents, grouped and joined as one by a collation."""
+    p = table(spark, d, "part")
+    written = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_type")).when(F.col("p_partkey") % 3 == 1, F.replace(F.col("p_type"), F.lit("E"), F.lit("É"))).otherwise(F.col("p_type"))
+    groups = p.select(normalize.folded(written).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    types = p.groupBy(normalize.folded("p_type").alias("own")).agg(F.count("*").alias("matched"))
+    plain = F.translate(F.lower(F.collate("name", "UTF8_BINARY")), "é", "e")
+    return groups.join(types, groups["name"] == types["own"], "left").select(plain.alias("name"), "n", F.coalesce("matched", F.lit(0)).alias("matched"))
+
+
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS n, max(epoch_ms(ts)) OVER () AS latest FROM events)
 SELECT user_id, event_id, event_type, n::BIGINT AS n, CASE WHEN epoch_ms(ts) + 6 * 3600000 <= latest - 3600000 THEN 'stale' ELSE 'active' END AS status FROM r WHERE rn = 1""")
 def tracked_register(spark, d):
