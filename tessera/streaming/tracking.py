@@ -22,46 +22,50 @@ from ..sources import versions
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-class Register(StatefulProcessor):
-    """Emits an entity's record whenever it changes: key, at (ms), n (records so far), payload, status."""
-
-    def __init__(self, quiet_ms: int) -> None:
-        self.quiet_ms = quiet_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "at long, rank long, n long, payload string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        best = self.last.get() if self.last.exists() else None
-        before = best[0] if best else None
-        n = best[2] if best else 0
-        for part in rows:
-            n += len(part)
-            for at, rank, payload in part[["at", "rank", "payload"]].itertuples(index=False):
-                if best is None or (at, rank) > (best[0], best[1]):
-                    best = (int(at), int(rank), n, payload)
-        best = (best[0], best[1], n, best[3])
-        self.last.update(best)
-        if before != best[0]:
-            if before is not None:
-                self.handle.deleteTimer(before + self.quiet_ms)
-            self.handle.registerTimer(best[0] + self.quiet_ms)
-        stale = best[0] + self.quiet_ms <= timerValues.getCurrentWatermarkInMs()
-        yield self._row(key, best, "stale" if stale else "active")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        best = self.last.get()
-        if best[0] + self.quiet_ms == expiredTimerInfo.getExpiryTimeInMs():
-            yield self._row(key, best, "stale")
-
-    def close(self) -> None:
-        pass
-
-    @staticmethod
-    def _row(key, best, status: str) -> pd.DataFrame:
+def register(quiet_ms: int) -> StatefulProcessor:
+    """The processor of the keyed state.
+
+    Its class is local so that it travels by value: Spark also loads it on the driver, by a worker without shipped modules.
+    """
+
+    def row(key, best, status: str) -> pd.DataFrame:
         return pd.DataFrame({"key": [key[0]], "at": [best[0]], "n": [best[2]], "payload": [best[3]], "status": [status]})
 
+    class Register(StatefulProcessor):
+        """Emits an entity's record whenever it changes: key, at (ms), n (records so far), payload, status."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "at long, rank long, n long, payload string")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+            best = self.last.get() if self.last.exists() else None
+            before = best[0] if best else None
+            n = best[2] if best else 0
+            for part in rows:
+                n += len(part)
+                for at, rank, payload in part[["at", "rank", "payload"]].itertuples(index=False):
+                    if best is None or (at, rank) > (best[0], best[1]):
+                        best = (int(at), int(rank), n, payload)
+            best = (best[0], best[1], n, best[3])
+            self.last.update(best)
+            if before != best[0]:
+                if before is not None:
+                    self.handle.deleteTimer(before + quiet_ms)
+                self.handle.registerTimer(best[0] + quiet_ms)
+            stale = best[0] + quiet_ms <= timerValues.getCurrentWatermarkInMs()
+            yield row(key, best, "stale" if stale else "active")
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            best = self.last.get()
+            if best[0] + quiet_ms == expiredTimerInfo.getExpiryTimeInMs():
+                yield row(key, best, "stale")
+
+        def close(self) -> None:
+            pass
+
+    return Register()
+
 
 @contextlib.contextmanager
 def state_store(spark: SparkSession):
@@ -85,7 +89,7 @@ def tracked(events: DataFrame, key: str, ts: str, rank: str, payload: list[str],
     rows = rows.select(F.col(key).alias("key"), ts, F.unix_millis(ts).alias("at"), F.col(rank).cast("long").alias("rank"), F.to_json(F.struct(*payload)).alias("payload"))
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind}, at long, n long, payload string, status string"
-    return rows.groupBy("key").transformWithStateInPandas(Register(quiet_ms), outputStructType=schema, outputMode="update", timeMode="EventTime")
+    return rows.groupBy("key").transformWithStateInPandas(register(quiet_ms), outputStructType=schema, outputMode="update", timeMode="EventTime")
 
 
 def keep_register(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
