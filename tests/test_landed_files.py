@@ -41,6 +41,14 @@ def test_a_counted_model_tells_capitals_apart(spark):
     assert decoded(spark, [(loud.encode(n), None) for n in ("cp1251", "koi8-r", "cp866")], pairs) == [loud] * 3
 
 
+def test_lone_accented_letters_are_not_cyrillic(spark):
+    german = ["Be, lichberzu geschach der ß schkeittz nicht zu geßch.", "du. " * 20 + "Ê " * 20, "Und, und ßte der zu cheiß ä ü", "à la fin, ça y est", "vereint | enat | lichü"]
+    counted = charsets.model(charsets.pair_counts(spark.createDataFrame([(RUSSIAN * 3,), ("a b in der zu " * 90,), (FRENCH,)], "text string")))
+    for pairs in (None, counted):
+        assert decoded(spark, [(t.encode("latin-1"), None) for t in german], pairs) == german
+        assert decoded(spark, [(t.encode("cp1251"), None) for t in ("Вуз http://a.edu/x",)], pairs) == ["Вуз http://a.edu/x"]
+
+
 def tables(spark, *files):
     rows = spark.createDataFrame([(f"f{i}", bytearray(f) if f is not None else None) for i, f in enumerate(files)], "path string, content binary")
     return {r["path"]: (r["columns"], r["rows"]) for r in pdfs.pdf_tables(rows).collect()}
