@@ -92,6 +92,13 @@ def test_season_split(spark):
     assert tuple(got[2]) == ([], [], [])
 
 
+def test_lone_accented_letters_stay():
+    for t in ("u. du. du. " + "Ê " * 8, "de de " + "è " * 33, "enstungge " + "üß " * 9, "Ê", "se " + "ó " * 9, "der ßäü " * 3):
+        assert text.recover(t) == t
+    for t in ("Математика (https://a.edu/long/path)", "Вуз", "Master of Science: Математика", "по курсам"):
+        assert text.recover(t.encode("cp1251").decode("latin-1")) == t
+
+
 def test_recovery():
     assert text.recover("РђРІС‚РѕРј") == "Автом" and text.recover("café") == "café" and text.recover("СПбГУ 5") == "СПбГУ 5"
     assert text.recover("café", safe=False) == "cafй" and text.recover("СПбГУ 5", safe=False) == " 5"
