@@ -21,6 +21,9 @@ from .standardize import MAX_ROWS, cut_rows, standardize
 
 #: Addresses tried before the crawl ends, and addresses that may wait.
 MAX_TRIED, WAITING = 25, 50
+#: How the crawl's tables meet. All grow with the pages and are written compressed, so what looks small enough to broadcast
+#: would pass through the driver at many times its size, once a level.
+MERGE = "merge"
 
 
 def _tried(level: DataFrame, facts: DataFrame, seen: DataFrame | None, key: str, most: int) -> DataFrame:
@@ -29,13 +32,13 @@ def _tried(level: DataFrame, facts: DataFrame, seen: DataFrame | None, key: str,
     An address at place pos is added at 2 * pos, where its page redirects to at 2 * pos + 1, each once in all levels.
     ``n`` counts what the entity has tried with it. No address is taken up once ``most`` are tried.
     """
-    met = level.join(facts, "url", "left").withColumn("landed", F.coalesce("landed", F.lit(False)))
+    met = level.join(facts.hint(MERGE), "url", "left").withColumn("landed", F.coalesce("landed", F.lit(False)))
     rest = [key, "pos", "n_before", "landed", "is_html", "table"]
     own = met.select(*rest, "url", (F.col("pos") * 2).alias("at"))
     moved = met.filter("landed and final <> url").select(*rest, F.col("final").alias("url"), (F.col("pos") * 2 + 1).alias("at"))
     first = F.row_number().over(W.partitionBy(key, "url").orderBy("at"))
     new = own.unionByName(moved).withColumn("_first", first).filter("_first = 1")
-    new = new.join(seen.select(key, "url"), [key, "url"], "left_anti") if seen is not None else new
+    new = new.join(seen.select(key, "url").hint(MERGE), [key, "url"], "left_anti") if seen is not None else new
     new = new.withColumn("n", F.col("n_before") + F.row_number().over(W.partitionBy(key).orderBy("at")))
     begun = F.max(F.when(F.col("at") % 2 == 0, F.col("n"))).over(W.partitionBy(key, "pos"))  # a redirect goes with its address
     new = new.withColumn("begun", begun).filter(F.col("begun") <= most)
@@ -52,23 +55,23 @@ def _queued(tried: DataFrame, links: DataFrame, before: DataFrame | None, size:
     cut by the least of b - (sum so far) up to there.
     """
     parents = tried.filter("hit is null and landed and is_html and at % 2 = 0")
-    found = parents.select(key, "pos", F.col("url").alias("page")).join(links.select(F.col("url").alias("page"), "place", "link"), "page")
+    found = parents.select(key, "pos", F.col("url").alias("page")).join(links.select(F.col("url").alias("page"), "place", "link").hint(MERGE), "page")
     found = found.filter("link is not null and link <> ''")
     order = W.partitionBy(key).orderBy("pos", "place", "link")
     if before is not None:  # the start's links all wait, whatever they are
         known = tried.select(key, F.col("url").alias("link"), F.col("at").alias("known"))
-        found = found.join(known, [key, "link"], "left").filter("known is null or known > 2 * pos + 1")
-        found = found.join(before.select(key, F.col("url").alias("link")), [key, "link"], "left_anti")
-        counts = found.groupBy(key, "pos").agg(F.count("*").alias("e")).join(size, key)
+        found = found.join(known.hint(MERGE), [key, "link"], "left").filter("known is null or known > 2 * pos + 1")
+        found = found.join(before.select(key, F.col("url").alias("link")).hint(MERGE), [key, "link"], "left_anti")
+        counts = found.groupBy(key, "pos").agg(F.count("*").alias("e")).join(size.hint(MERGE), key)
         so_far = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
         counts = counts.withColumn("sum", F.sum("e").over(so_far))
         room = F.greatest(F.lit(0), F.lit(waiting) - F.col("size") + F.col("pos")) - F.col("sum")
         counts = counts.withColumn("appended", F.col("sum") + F.least(F.lit(0), F.min(room).over(so_far)))
         counts = counts.withColumn("most", F.col("appended") - F.lag("appended", 1, 0).over(W.partitionBy(key).orderBy("pos")))
-        found = found.join(counts.select(key, "pos", "most"), [key, "pos"])
+        found = found.join(counts.select(key, "pos", "most").hint(MERGE), [key, "pos"])
         found = found.withColumn("nth", F.row_number().over(W.partitionBy(key, "pos").orderBy("place", "link"))).filter("nth <= most")
     counted = tried.groupBy(key).agg(F.max("n").alias("n_before"))
-    return found.withColumn("next", F.row_number().over(order)).join(counted, key).select(key, F.col("next").alias("pos"), F.col("link").alias("url"), "n_before")
+    return found.withColumn("next", F.row_number().over(order)).join(counted.hint(MERGE), key).select(key, F.col("next").alias("pos"), F.col("link").alias("url"), "n_before")
 
 
 def crawled(starts: DataFrame, pages: DataFrame, links: DataFrame, key: str = "uni_id", most: int = MAX_TRIED, waiting: int = WAITING) -> DataFrame:
@@ -100,9 +103,9 @@ def crawled(starts: DataFrame, pages: DataFrame, links: DataFrame, key: str = "u
     hit = F.max(F.when((F.col("hit") == F.col("pos")) & (F.col("at") % 2 == 0), F.struct("url", "depth")))
     start = F.max(F.when((F.col("depth") == 0) & (F.col("at") % 2 == 0), F.col("is_html")))
     per = tried.groupBy(key).agg(seen.alias("tried_urls"), hit.alias("hit"), start.alias("is_html"))
-    out = starts.select(key).join(per, key, "left").withColumn("url", F.col("hit.url"))
+    out = starts.select(key).join(per.hint(MERGE), key, "left").withColumn("url", F.col("hit.url"))
     tables = pages.filter(has).select("url", F.coalesce("final_url", "url").alias("source_url"), "columns", "rows")
-    out = out.join(tables, "url", "left")
+    out = out.join(tables.hint(MERGE), "url", "left")
     status = F.when(F.col("hit").isNotNull(), "ok").when(F.coalesce("is_html", F.lit(False)), "partial").otherwise("error")
     return out.select(key, status.alias("status"), "source_url", "hit.depth", F.coalesce("tried_urls", F.array().cast("array<string>")).alias("tried_urls"), "columns", "rows")
 
