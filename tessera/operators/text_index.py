@@ -37,10 +37,14 @@ def _rows(df: DataFrame, key: str, fields: list[Column | str], slots: int) -> Da
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    """The two tables of these rows, a task per slot or some of them, so that each slot has few files."""
-    rows = rows.repartition("slot")
-    rows.sortWithinPartitions("slot", "key").write.partitionBy("slot").parquet(f"{path}/rows")
-    grams = rows.select("slot", "key", F.explode(F.array_distinct(F.flatten(F.transform("texts", _grams)))).alias("gram"))
+    """The two tables of these rows, a task per slot or some of them, so that each slot has few files.
+
+    The rows are worked out and dealt out once: trigrams are those of the table that was written, slot by slot.
+    """
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, texts array<string>, slot int"  # the folder may be empty
+    rows.repartition("slot").sortWithinPartitions("slot", "key").write.partitionBy("slot").parquet(f"{path}/rows")
+    written = rows.sparkSession.read.schema(schema).parquet(f"{path}/rows")
+    grams = written.select("slot", "key", F.explode(F.array_distinct(F.flatten(F.transform("texts", _grams)))).alias("gram"))
     grams.sortWithinPartitions("slot", "gram", "key").write.partitionBy("slot").parquet(f"{path}/grams")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import batches
 from tessera.functions import text
-from tessera.operators import crawl
+from tessera.operators import crawl, text_index
 from tessera.plans.queries import QUERIES
 
 D = "/root/testdata/sf0.001"
@@ -49,3 +49,16 @@ def test_a_crawl_broadcasts_nothing(spark):
     queued = crawl._queued(tried, links, level.select("k", "url"), level.groupBy("k").agg(F.max("pos").alias("size")), "k", 50)
     assert [(r["k"], r["pos"], r["url"]) for r in queued.collect()] == [(1, 1, "b")]
     assert "Broadcast" not in plan(tried) + plan(queued)
+
+
+def test_an_index_works_its_rows_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "k long, a string")
+    text_index.build(rows.withColumn("a", counted("a")), "k", ["a"], str(tmp_path / "i"), slots=4)
+    assert seen.value == 50 and [r["key"] for r in text_index.search(spark, str(tmp_path / "i"), "t 49").collect()] == [49]
