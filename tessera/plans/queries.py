@@ -373,13 +373,17 @@ def folded_names(spark, d):
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS n, max(epoch_ms(ts)) OVER () AS latest FROM events)
 SELECT user_id, event_id, event_type, n::BIGINT AS n, CASE WHEN epoch_ms(ts) + 6 * 3600000 <= latest - 3600000 THEN 'stale' ELSE 'active' END AS status FROM r WHERE rn = 1""")
 def tracked_register(spark, d):
-    """Last record and status of every user, kept by a stream that reads the events from six files one after another."""
+    """Last record and status of every user, kept by a stream that reads the events from six files one after another.
+
+    The files follow each other in time, whatever the ids, so no record is late. Small row groups let many tasks read a file.
+    """
     events = table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    ends = events.approxQuantile("event_id", [i / 6 for i in range(1, 6)], 0.01)
+    at = F.unix_micros("ts")
+    ends = [int(x) for x in events.select(at.alias("at")).approxQuantile("at", [i / 6 for i in range(1, 6)], 0.01)]
     source, kept = new_path(spark, "replayed"), new_path(spark, "register")
     for i, (low, high) in enumerate(zip([None, *ends], [*ends, None], strict=True)):
-        part = events.filter((F.lit(True) if low is None else F.col("event_id") > low) & (F.lit(True) if high is None else F.col("event_id") <= high))
-        part.coalesce(1).write.mode("append").parquet(source)
+        part = events.filter((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        part.repartition(1).write.mode("append").option("parquet.block.size", 4 << 20).parquet(source)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
     changes = tracking.tracked(stream, "user_id", "ts", "event_id", ["event_id", "event_type"], "6 hours", "1 hour")
     tracking.keep_register(changes, kept, new_path(spark, "register-checkpoint")).awaitTermination()
