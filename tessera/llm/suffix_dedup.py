@@ -14,6 +14,7 @@ induced from the anchors' suffixes, and about 3 % of the suffixes are anchors.
    sorted run and induces: the order and common prefixes of suffixes one byte further left follow from those at hand
    (stable by the byte before; common prefix: one more than the least in between). Wherever neighbours share
    ``length`` bytes they are equal windows, and only the earliest stays.
+   What equal tuples tell is written before that, and the tuples go.
 4. An anchor with more than ``heavy`` different surroundings does not go to one task: its windows are dealt by their
    own hash, aggregated partially to the earliest place, and joined back (a join that Spark may split where skewed).
 5. Removed windows meet their document and are cut out.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, give_back, short_shuffles, small
+from .common import cut, give_back, remove, replaced, short_shuffles, small
 
 FILTER_BITS = 27
 PLACE_BITS = 20
@@ -145,7 +146,7 @@ def repeated_filter(docs: DataFrame, length: int, size: int) -> bytes:
 
 
 TUPLES = "key long, context long, d long, th long, first int, last int, place int, again boolean"
-FULL = "key long, d long, th long, first int, last int, place int, before binary, suffix binary"
+FULL = "key long, contexts long, d long, th long, first int, last int, place int, before binary, suffix binary"
 
 
 def suffix_tuples(docs: DataFrame, length: int, size: int, bitmap) -> DataFrame:
@@ -188,19 +189,19 @@ def suffix_tuples(docs: DataFrame, length: int, size: int, bitmap) -> DataFrame:
 def with_bytes(docs: DataFrame, tuples: DataFrame, length: int) -> DataFrame:
     """The tuples with the bytes before their anchors and from them on, cut from their documents.
 
-    Tuples meet their document as one list, which is as long as the document has anchors; only documents with tuples
-    move. ``docs``: d, text.
+    Tuples meet their document as one list, which is as long as the document has anchors. Documents move once, for all
+    tuples, and by a merge at every size: what small tables take then holds for large ones. ``docs``: d, text.
     """
     names = [c.split()[0] for c in FULL.split(", ")]
-    per_doc = tuples.groupBy("d", "th").agg(F.collect_list(F.struct("key", "first", "last", "place")).alias("found"))
-    joined = docs.withColumn("th", F.xxhash64("text")).join(per_doc, ["d", "th"]).select("d", "th", "text", "found")
+    per_doc = tuples.groupBy("d", "th").agg(F.collect_list(F.struct("key", "first", "last", "place", "contexts")).alias("found"))
+    joined = docs.withColumn("th", F.xxhash64("text")).join(per_doc.hint("merge"), ["d", "th"]).select("d", "th", "text", "found")
 
     def run(batches):
         for b in small(batches, 256):
             lists = b.column(3)
             size = np.diff(np.asarray(lists.offsets))
             values = lists.flatten()
-            key, first, last, place = (values.field(i) for i in range(4))
+            key, first, last, place, contexts = (values.field(i) for i in range(5))
             doc = pa.array(np.repeat(np.arange(len(size)), size))
             before, suffix, at = [], [], 0
             f, z, p = (x.to_pylist() for x in (first, last, place))
@@ -210,7 +211,7 @@ def with_bytes(docs: DataFrame, tuples: DataFrame, length: int) -> DataFrame:
                     before.append(text[f[i] : p[i]])
                     suffix.append(text[p[i] : z[i] + length - 1])
                 at += n
-            columns = [key, b.column(0).take(doc), b.column(1).take(doc), first, last, place, pa.array(before, pa.binary()), pa.array(suffix, pa.binary())]
+            columns = [key, contexts, b.column(0).take(doc), b.column(1).take(doc), first, last, place, pa.array(before, pa.binary()), pa.array(suffix, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
         give_back()
 
@@ -361,15 +362,21 @@ def repeated_spans(docs: DataFrame, length: int = 100, heavy: int = 2000) -> Dat
     many = merged.groupBy("key").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > 1)
     # Only the earliest tuples of anchors with several surroundings get their bytes.
     first = cut(merged.join(many, "key").select("key", "d", "th", "first", "last", "place", "contexts"), "first")
-    few = cut(induced_spans(with_bytes(docs, first.filter(F.col("contexts") <= heavy), length), length), "induced")
-    most = first.filter(F.col("contexts") > heavy)
-    most = cut(window_spans(with_bytes(docs, most, length), length), "windows") if most.limit(1).count() else few.limit(0)
+    # What equal tuples tell comes before texts move, and tables that were used up go: disk holds one step's.
     end = (F.col("last") + length - 1).cast("int").alias("end")
     inside = tuples.filter("again").select("d", "th", F.col("first").alias("begin"), end)
     copied = merged.filter("n > 1").select("key", "context", F.col("d").alias("d0"), F.col("th").alias("th0"))
     later = fresh.select("key", "context", "d", "th", "first", "last").join(copied, ["key", "context"])
-    later = cut(later.filter("d <> d0 or th <> th0").select("d", "th", F.col("first").alias("begin"), end), "later")
-    return inside.unionAll(later).unionAll(few).unionAll(most)
+    later = later.filter("d <> d0 or th <> th0").select("d", "th", F.col("first").alias("begin"), end)
+    copies = cut(inside.unionAll(later), "copies")
+    for used in (tuples, merged):
+        remove(spark, used.written_to)
+    full = replaced(with_bytes(docs, first, length), "bytes", first)
+    few = cut(induced_spans(full.filter(F.col("contexts") <= heavy), length), "induced")
+    most = full.filter(F.col("contexts") > heavy)
+    most = cut(window_spans(most, length), "windows") if most.limit(1).count() else few.limit(0)
+    remove(spark, full.written_to)
+    return copies.unionAll(few).unionAll(most)
 
 
 def deduplicate(docs: DataFrame, length: int = 100, heavy: int = 2000) -> DataFrame:
@@ -381,7 +388,7 @@ def deduplicate(docs: DataFrame, length: int = 100, heavy: int = 2000) -> DataFr
     rows = docs.select(F.struct("*").alias("row"), text.alias("text"), d.alias("d"))
     spans = repeated_spans(rows.select("d", "text"), length, heavy)
     per_doc = spans.groupBy("d", "th").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
-    joined = rows.withColumn("th", F.xxhash64("text")).join(per_doc, ["d", "th"], "left").select("row", "text", "found")
+    joined = rows.withColumn("th", F.xxhash64("text")).join(per_doc.hint("merge"), ["d", "th"], "left").select("row", "found")  # the row has the text, which moves once
     names = ["row", "n_bytes", "n_removed", "n_spans", "kept", "spans", "text"]
     span = T.StructType().add("begin", "integer").add("end", "integer")
     types = (joined.schema["row"].dataType, T.LongType(), T.LongType(), T.LongType(), T.BinaryType(), T.ArrayType(span), T.StringType())
@@ -391,7 +398,8 @@ def deduplicate(docs: DataFrame, length: int = 100, heavy: int = 2000) -> DataFr
     def run(batches):
         for b in small(batches):
             out: list[list] = [[] for _ in kinds]
-            for t, found in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+            for t, found in zip(b.column(0).field("text").to_pylist(), b.column(1), strict=True):
+                t = t or ""
                 text, merged = t.encode(), merge(found)
                 kept = without(text, merged)
                 whole = t if not merged else without(text, [inner(text, i, j) for i, j in merged]).decode()

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import byte_bpe, chat, langid, maxscore, packing, quality, queries, simhash, suffix_dedup, token_counts, warc
+from tessera.llm.common import own_dir
 
 JSON = public_tokenizers.path(queries.GPT_JSON)
 MULTI = public_tokenizers.path(queries.MULTI)
@@ -124,6 +126,19 @@ def test_suffix_dedup_edges(spark, docs):
     assert len({r["n_removed"] for r in suffix_dedup.deduplicate(twice, 100).collect()}) == 1
 
 
+def test_suffix_dedup_moves_texts_once_and_leaves_no_used_tables(spark, monkeypatch):
+    rng, calls = random.Random(5), []
+    part = "".join(rng.choice("abcdefgh") for _ in range(150))
+    rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(80)) + part + str(i)) for i in range(30)]
+    with_bytes = suffix_dedup.with_bytes
+    monkeypatch.setattr(suffix_dedup, "with_bytes", lambda *a: calls.append(1) or with_bytes(*a))
+    before = set(Path(own_dir(spark).removeprefix("file:")).glob("*"))
+    found = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), 100, heavy=3)
+    left = {p.name.split("-")[0] for p in set(Path(own_dir(spark).removeprefix("file:")).glob("*")) - before}
+    assert left == {"copies", "induced", "windows"} and calls == [1]
+    assert {r["row"]["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found.collect()} == brute_removed(rows, 100)
+
+
 # 3
 def test_maxscore(spark):
     rng = np.random.default_rng(3)
