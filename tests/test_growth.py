@@ -62,3 +62,8 @@ def test_an_index_works_its_rows_out_once(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "k long, a string")
     text_index.build(rows.withColumn("a", counted("a")), "k", ["a"], str(tmp_path / "i"), slots=4)
     assert seen.value == 50 and [r["key"] for r in text_index.search(spark, str(tmp_path / "i"), "t 49").collect()] == [49]
+
+
+def test_header_kinds_names_forms(spark):
+    got = QUERIES["header_kinds"](spark, D).select("p_partkey", "form_literal").collect()
+    assert {r["form_literal"] for r in got} == {"", "очно-заочная"} and all((r["form_literal"] != "") == (r["p_partkey"] % 18 == 16) for r in got)
