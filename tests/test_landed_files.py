@@ -49,6 +49,16 @@ def test_lone_accented_letters_are_not_cyrillic(spark):
         assert decoded(spark, [(t.encode("cp1251"), None) for t in ("Математика http://a.edu/x",)], pairs) == ["Математика http://a.edu/x"]
 
 
+def test_repeated_and_mixed_words_are_not_cyrillic(spark):
+    """A word counts once, however often it comes; one next to plain letters shows that its text is not Cyrillic."""
+    french = ["Équereç treêê aiç pourenêaire étreoi. " + "En Aile " * 40 + "èèé " * 60, "de elleiervi queque aiquele re aiéè. Aneau èçè que. And the on eslyth of rerestou"]
+    counted = charsets.model(charsets.pair_counts(spark.createDataFrame([(RUSSIAN * 3,), ("a b in der zu " * 90,), (FRENCH,)], "text string")))
+    russian = ["Математика, Java, Python и SQL: места", "места " * 30 + "plain", "Математика"]
+    for pairs in (None, counted):
+        assert decoded(spark, [(t.encode("latin-1"), None) for t in french], pairs) == french
+        assert decoded(spark, [(t.encode("cp1251"), None) for t in russian], pairs) == russian
+
+
 def tables(spark, *files):
     rows = spark.createDataFrame([(f"f{i}", bytearray(f) if f is not None else None) for i, f in enumerate(files)], "path string, content binary")
     return {r["path"]: (r["columns"], r["rows"]) for r in pdfs.pdf_tables(rows).collect()}
