@@ -99,6 +99,13 @@ def test_lone_accented_letters_stay():
         assert text.recover(t.encode("cp1251").decode("latin-1")) == t
 
 
+def test_repeated_and_short_accented_words_stay():
+    for t in ("En de " + "èéä " * 30, "èçè", "éçé. Le", "ñíñ", "üüö.", "plain words about éèéèé and more of them, all plain"):
+        assert text.recover(t) == t
+    for t in ("Код", "Филиал", "Вуз " * 9, "Курсы of us", "Master of Science in all subjects: Математика"):
+        assert text.recover(t.encode("cp1251").decode("latin-1")) == t
+
+
 def test_recovery():
     assert text.recover("РђРІС‚РѕРј") == "Автом" and text.recover("café") == "café" and text.recover("СПбГУ 5") == "СПбГУ 5"
     assert text.recover("café", safe=False) == "cafй" and text.recover("СПбГУ 5", safe=False) == " 5"
