@@ -84,3 +84,15 @@ def test_text_operators_fonts_and_object_streams(spark):
     file += b"7 0 obj\n<</Type/ObjStm/N 3/First %d/Filter/FlateDecode>>\nstream\n" % len(heads) + z + b"\nendstream\nendobj\n"
     columns, rows = tables(spark, file)["f0"]
     assert columns == ["Code", "Places (all)"] and rows == [["01.03.02", "10"], ["09.03.01", "5"], ["38.03.01", "7"]]
+
+
+def test_every_page_is_read(spark):
+    """Files of any number of pages, in a page tree of any depth, and a node that holds itself."""
+    rows = [[f"01.{i // 60 + 10}.{i % 60 + 10}", f"Направление {i}", str(i), "5"] for i in range(80)]
+    deep = b"%PDF-1.5\n1 0 obj\n<</Type/Catalog/Pages 2 0 R>>\nendobj\n"
+    for n in range(2, 70):
+        deep += b"%d 0 obj\n<</Type/Pages/Count 1/Kids[%d 0 R %d 0 R]>>\nendobj\n" % (n, 2, n + 1) if n == 2 else b"%d 0 obj\n<</Type/Pages/Count 1/Kids[%d 0 R]>>\nendobj\n" % (n, n + 1)
+    content = b"BT /F 10 Tf 1 0 0 1 50 700 Tm (Code) Tj 1 0 0 1 200 700 Tm (Places) Tj 1 0 0 1 50 680 Tm (01.03.02) Tj 1 0 0 1 200 680 Tm (10) Tj 1 0 0 1 50 660 Tm (09.03.01) Tj 1 0 0 1 200 660 Tm (5) Tj ET"
+    deep += b"70 0 obj\n<</Type/Page/Contents 71 0 R>>\nendobj\n71 0 obj\n<</Length 1>>\nstream\n" + content + b"\nendstream\nendobj\n"
+    got = tables(spark, pdf([[HEAD, *rows[i : i + 2]] for i in range(0, 80, 2)]), deep)
+    assert got == {"f0": (HEAD, rows), "f1": (["Code", "Places"], [["01.03.02", "10"], ["09.03.01", "5"]])}
