@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean
 from ..shared import cut
 from .enrich import first_text, status_counts
-from .standardize import MAX_ROWS, cut_rows, standardize
+from .standardize import cut_rows, standardize
 
 #: Addresses tried before the crawl ends, and addresses that may wait.
 MAX_TRIED, WAITING = 25, 50
@@ -110,12 +110,13 @@ def crawled(starts: DataFrame, pages: DataFrame, links: DataFrame, key: str = "u
     return out.select(key, status.alias("status"), "source_url", "hit.depth", F.coalesce("tried_urls", F.array().cast("array<string>")).alias("tried_urls"), "columns", "rows")
 
 
-def enriched(entities: DataFrame, found: DataFrame, fallbacks: DataFrame, fetched_at: str, key: str = "uni_id", cap: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:
+def enriched(entities: DataFrame, found: DataFrame, fallbacks: DataFrame, fetched_at: str, key: str = "uni_id", cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(entities with what the crawl found, their standardised rows).
 
     entities: key, link, allow_manual_fallback and more. found: as from ``crawled``. fallbacks (key, columns, rows, message,
     source_url) are data that the caller gives; one is used where the crawl is not ok or its table has no standardised
-    row, unless the entity forbids it. ``fetched_at`` is the caller's time of the crawl, so that results can be repeated.
+    row, unless the entity forbids it. ``fetched_at`` is the caller's time of the crawl, so that results can be repeated. Tables are
+    taken whole, or ``cap`` rows of each where the caller asks for it.
 
     Found tables and fallbacks are standardised in one pass, and written: counts and rows are read from there.
     """
@@ -125,7 +126,7 @@ def enriched(entities: DataFrame, found: DataFrame, fallbacks: DataFrame, fetche
     kind = base.schema[key].dataType
     own = base.filter("status = 'ok'").select(F.concat(F.lit("+"), F.col(key).cast("string")).alias("_table"), "columns", "rows")
     theirs = base.filter("_allowed").select(F.concat(F.lit("-"), F.col(key).cast("string")).alias("_table"), "_other.columns", "_other.rows")
-    rows = standardize(own.unionByName(theirs), "_table", cap)
+    rows = standardize(cut_rows(own.unionByName(theirs), cap), "_table")
     rows = cut(rows.select(F.substring("_table", 2, 1 << 30).cast(kind).alias(key), F.col("_table").startswith("-").alias("_theirs"), *rows.columns[1:]), "standardized")
     some = rows.filter("not _theirs").groupBy(key).agg(F.count("*").alias("_own"))
     use = F.col("_allowed") & ((F.col("status") != "ok") | F.col("_own").isNull())

@@ -1,16 +1,17 @@
 """Standardisation of a table into eight fields: code, direction, program, level, course, form, budget, paid.
 
 Field extraction, repairs and number parsing are Column expressions per row. Two steps depend on the order of a
-table's rows: merging continuation rows and carrying fields forward. They are folds over a table's sorted rows, in
-Arrow batches; a table has at most ``cap`` rows (the cap comes first), so what a task holds is bounded.
+table's rows: merging continuation rows and carrying fields forward. They go over a table's sorted rows one by one, in
+Arrow batches, and look one row ahead at most, so a table may have any number of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -20,69 +21,62 @@ from ..functions.text import CODE, any_of, clean, is_code, is_numeric_cell, is_s
 from .tables import MENU_WORDS, with_roles
 
 FIELDS = ["code", "direction", "program", "level", "course", "form", "budget", "paid"]
-MAX_ROWS = 1200
 TEXT = ["code", "direction", "program"]
 
 
-def whole_tables(batches, key: str):
-    """Arrow tables cut so that the rows of one key, which come one after another, stay together."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = b.column(b.schema.get_field_index(key))
-        same = pc.fill_null(pc.equal(keys, keys[-1]), False).to_pylist() if keys[-1].is_valid else keys.is_null().to_pylist()
-        last = b.num_rows - (same[::-1] + [False]).index(False)
-        if last or held and held[-1].column(held[-1].schema.get_field_index(key))[-1] != keys[0]:
-            yield pa.Table.from_batches([*held, b.slice(0, last)])
-            held = []
-        held.append(b.slice(last))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def fold(df: DataFrame, key: str, step: Callable[[list[dict]], list[dict]], reads: list[str], writes: list[str]) -> DataFrame:
+def stream(df: DataFrame, key: str, step: Callable[[Iterator[dict]], Iterator[dict]], reads: list[str], writes: list[str]) -> DataFrame:
     """``step`` over each table's rows in order; it may change the columns ``writes`` and leave rows out.
 
-    Only the columns ``reads`` become Python values; the others pass as they are. A task holds one table and one batch.
+    Only the columns ``reads`` become Python values; the others pass as they are. A task holds a batch, and those of the
+    rows that ``step`` has not handed on.
     """
     arrow = to_arrow_schema(df.schema)
     reads = list(dict.fromkeys([key, *reads, *writes]))
 
     def run(batches):
-        for t in whole_tables(batches, key):
-            rows = [r | {"_at": i} for i, r in enumerate(t.select(reads).to_pylist())]
-            out: list[dict] = []
-            begin = 0
-            for end in range(1, len(rows) + 1):
-                if end == len(rows) or rows[end][key] != rows[begin][key]:
-                    out += step(rows[begin:end])
-                    begin = end
-            t = t.take([r["_at"] for r in out]) if len(out) < len(rows) else t
+        def rows() -> Iterator[dict]:
+            for n, b in enumerate(batches):
+                for i, r in enumerate(b.select(reads).to_pylist()):
+                    yield r | {"_batch": b, "_n": n, "_at": i}
+
+        kept = (r for _, table in groupby(rows(), itemgetter(key)) for r in step(table))
+        for _, group in groupby(kept, itemgetter("_n")):
+            out = list(group)
+            b = out[0]["_batch"]
+            b = b.take(pa.array([r["_at"] for r in out])) if len(out) < b.num_rows else b
             for c in writes:
-                t = t.set_column(t.schema.get_field_index(c), arrow.field(c), pa.array([r[c] for r in out], arrow.field(c).type))
-            yield from t.cast(arrow).to_batches()
+                b = b.set_column(b.schema.get_field_index(c), arrow.field(c), pa.array([r[c] for r in out], arrow.field(c).type))
+            yield b.cast(arrow)
 
     return df.repartition(key).sortWithinPartitions(key, "pos").mapInArrow(run, df.schema)
 
 
-def merge_continuations(rows: list[dict]) -> list[dict]:
-    """Rows with text but neither code nor other cells go into the next row if that lacks text, else the one before."""
-    out: list[dict] = []
-    for k, r in enumerate(rows):
-        if r["code"] or not (r["direction"] or r["program"]) or r["has_other"]:
-            out.append(r)
-            continue
-        following = rows[k + 1] if k + 1 < len(rows) else None
-        ahead = following and following["code"] and not (following["direction"] or following["program"]) and following["has_other"]
-        target = following if ahead else out[-1] if out else None
-        for f in ("direction", "program") if target else ():
-            if r[f]:
-                target[f] = " ".join(x for x in ((r[f], target[f]) if ahead else (target[f], r[f])) if x)
-    return out
+def fold(df: DataFrame, key: str, step: Callable[[list[dict]], list[dict]], reads: list[str], writes: list[str]) -> DataFrame:
+    """As ``stream``, for steps that take a table's rows as a whole."""
+    return stream(df, key, lambda rows: iter(step(list(rows))), reads, writes)
 
 
-def carry(rows: list[dict]) -> list[dict]:
+def merge_continuations(rows: Iterator[dict]) -> Iterator[dict]:
+    """Rows with text but neither code nor other cells go into the next row if that lacks text, else the one before."""
+    before, r = None, next(rows, None)
+    while r is not None:
+        following = next(rows, None)
+        if r["code"] or not (r["direction"] or r["program"]) or r["has_other"]:
+            if before:
+                yield before
+            before = r
+        else:
+            ahead = following and following["code"] and not (following["direction"] or following["program"]) and following["has_other"]
+            target = following if ahead else before
+            for f in ("direction", "program") if target else ():
+                if r[f]:
+                    target[f] = " ".join(x for x in ((r[f], target[f]) if ahead else (target[f], r[f])) if x)
+        r = following
+    if before:
+        yield before
+
+
+def carry(rows: Iterator[dict]) -> Iterator[dict]:
     """Fill fields from the last accepted row, and the course within one code and direction.
 
     A row takes them only if it has a payload. Rows that turn out to be noise leave what is carried as it was, but
@@ -100,13 +94,14 @@ def carry(rows: list[dict]) -> list[dict]:
         if r["many"]:
             last = r["last_course"] or context["course"]
             context = own | {"course": last} if any(own.values()) else context
+            yield r
             continue
         if not r["course"] and r["payload"] and context["course"] and (r["code"], r["direction"]) == (context["code"], context["direction"]):
             r["course"] = context["course"]
         kept = any(own.values()) or r["course"] or r["form"] or r["amount"]
         if kept and any(own.values()) and not noisy(r):
             context = own | {"course": r["course"]}
-    return rows
+        yield r
 
 
 #: What a text over 200 characters holds if it is a page's menu, and headings that fill whole rows.
@@ -152,24 +147,22 @@ def noisy(r: dict) -> bool:
     return any(others.count(x) >= 3 and (any(h in x for h in HEADINGS) or x.startswith(tuple(HEADING_STARTS))) for x in others)
 
 
-def cut_rows(tables: DataFrame, cap: int = MAX_ROWS) -> DataFrame:
-    """The tables with at most ``cap`` rows each, ``row_count`` (before the cut) and ``truncated``."""
+def cut_rows(tables: DataFrame, cap: int | None = None) -> DataFrame:
+    """The tables with ``row_count`` and ``truncated``; with at most ``cap`` rows each where the caller asks for it."""
     n = F.coalesce(F.size("rows"), F.lit(0))
+    if cap is None:
+        return tables.withColumn("row_count", n).withColumn("truncated", F.lit(False))
     return tables.withColumn("row_count", n).withColumn("truncated", n > cap).withColumn("rows", F.slice("rows", 1, cap))
 
 
-def standardize(tables: DataFrame, key: str = "table_id", cap: int = MAX_ROWS) -> DataFrame:
-    """key, pos, sub (place within an expanded row) and the eight fields of every kept row. tables: key, columns, rows.
-
-    ``cut_rows`` says which tables have more than ``cap`` rows.
-    """
-    capped = cut_rows(tables, cap).select(key, "columns", "rows")
-    rows = with_roles(capped).select(key, "roles", F.posexplode("rows").alias("pos", "cells"))
+def standardize(tables: DataFrame, key: str = "table_id") -> DataFrame:
+    """key, pos, sub (place within an expanded row) and the eight fields of every kept row. tables: key, columns, rows."""
+    rows = with_roles(tables.select(key, "columns", "rows")).select(key, "roles", F.posexplode("rows").alias("pos", "cells"))
     at = lambda f: clean(F.get("cells", F.col(f"roles.{f}")))
     key_places = F.array(*(F.col(f"roles.{f}") for f in TEXT))
     other = F.exists(F.transform("cells", lambda c, i: (clean(c) != "") & ~F.coalesce(F.array_contains(F.array_compact(key_places), i), F.lit(False))), lambda x: x)
     rows = rows.select(key, "pos", "roles", "cells", *(at(f).alias(f) for f in TEXT), other.alias("has_other"))
-    rows = fold(rows, key, merge_continuations, ["code", "has_other"], ["direction", "program"]).drop("has_other")
+    rows = stream(rows, key, merge_continuations, ["code", "has_other"], ["direction", "program"]).drop("has_other")
 
     # Repairs.
     swap = (F.col("direction") == "") & (F.col("program") != "")
@@ -220,7 +213,7 @@ def standardize(tables: DataFrame, key: str = "table_id", cap: int = MAX_ROWS) -
 
     columns = [key, "pos", "code", "direction", "program", "level", "course", "form", "payload", "amount", "many", "last_course"]
     rows = rows.select(*columns, "parts")
-    carried = fold(rows, key, carry, ["form", "payload", "amount", "many", "last_course"], ["code", "direction", "program", "level", "course"])
+    carried = stream(rows, key, carry, ["form", "payload", "amount", "many", "last_course"], ["code", "direction", "program", "level", "course"])
     out = carried.select(key, "pos", "code", "direction", "program", "level", F.col("course").alias("_own"), "form", F.posexplode("parts").alias("sub", "part"))
     out = out.withColumn("course", F.coalesce("part.course", "_own"))
     out = out.filter((F.concat("code", "direction", "program", "level", "course", "form") != "") | (F.col("part.budget") > 0) | (F.col("part.paid") > 0))

@@ -250,3 +250,25 @@ def test_folds_keep_tables_whole(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((str(r["k"]), r["pos"]) for r in got) == sorted((str(k), i) for k, i, _ in rows if i % 2) and {r["v"] for r in got} == {"150"}
+
+
+def test_tables_of_any_length_are_standardised_whole(spark):
+    """Rows far beyond 1200, over several Arrow batches: merged and carried forward across them."""
+    names = ["Код", "Наименование специальности", "Курс", "Форма обучения", "Бюджет", "Платные"]
+    cells = [[f"01.03.{i % 80 + 10}" if i % 3 == 0 else "", f"Направление {i}" if i % 3 < 2 else "", "1" if i % 3 != 1 else "", "", str(i % 50) if i % 3 != 1 else "", ""] for i in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        got = standardize(spark.createDataFrame([("t", names, cells), ("u", names, cells[:4])], TABLE)).orderBy("table_id", "pos").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    full = [(i, f"01.03.{j % 80 + 10}", f"Направление {j} Направление {j + 1}", str(i % 50)) for i in range(3000) if i % 3 != 1 for j in [i - i % 3]]
+    assert [(r["pos"], r["code"], r["direction"], r["budget"]) for r in got if r["table_id"] == "t"] == full
+    assert [r["pos"] for r in got if r["table_id"] == "u"] == [0, 2, 3]
+
+
+def test_steps_over_rows_hold_few():
+    from tessera.operators.standardize import FIELDS, carry, merge_continuations
+
+    given = iter([dict.fromkeys(FIELDS, "") | {"code": "01.03.02", "direction": str(i), "has_other": True, "payload": True, "amount": True, "many": False, "last_course": ""} for i in range(100)])
+    steps = iter(carry(merge_continuations(given)))
+    assert [next(steps)["direction"] for _ in range(3)] == ["0", "1", "2"] and len(list(given)) >= 95
